@@ -234,23 +234,16 @@ def first_below_by_label(objects: DataFrame, margin: float = 0.02) -> DataFrame:
     """
     tall = _with_height(objects)
     steps = prefix_best(tall, ["scene_id", "label"], "zc", "ord", _SLAB, "object_ord")
-    ladder = (
-        steps.groupBy("scene_id", "label")
-        .agg(F.sort_array(F.collect_list(F.struct("zc", "object_ord"))).alias("steps"))
+    subjects = tall.select(
+        "scene_id",
+        F.col("node_id").alias("subject"),
+        F.col("ord").alias("subject_ord"),
+        F.col("zc").alias("_zs"),
     )
-    subjects = tall.select("scene_id", "ord", "node_id", "zc")
-    reached = F.filter("steps", lambda s: F.col("zc") - s.zc > margin)
     return (
-        subjects.join(ladder, "scene_id")
-        .withColumn("_hit", F.try_element_at(reached, F.lit(-1)))
-        .filter(F.col("_hit").isNotNull())
-        .select(
-            "scene_id",
-            F.col("node_id").alias("subject"),
-            F.lit("above").alias("predicate"),
-            F.lit(CONF_ABOVE).alias("confidence"),
-            F.col("ord").alias("subject_ord"),
-            F.col("_hit.object_ord").alias("object_ord"),
-            F.col("label").alias("object_label"),
-        )
+        subjects.join(steps, "scene_id")
+        .filter(F.col("_zs") - F.col("zc") > margin)
+        .groupBy("scene_id", "subject", "subject_ord", F.col("label").alias("object_label"))
+        .agg(F.min("object_ord").alias("object_ord"))
+        .withColumns({"predicate": F.lit("above"), "confidence": F.lit(CONF_ABOVE)})
     )

@@ -1,6 +1,6 @@
 """Importing the query modules fills the registry."""
 
-from roomgraph.plans import scene_queries  # noqa: F401
+from roomgraph.plans import question_queries, scene_queries  # noqa: F401
 from roomgraph.plans.catalog import ORACLES, QUERIES  # noqa: F401
 
-FLAGSHIP = "relations_on"
+FLAGSHIP = "where_is"

@@ -176,17 +176,40 @@ SELECT seq, device_id, trigger, raw_text FROM (
   END AS raw_text
  FROM {a_frames}) t""",
     "a_docs": "SELECT doc_id, source, lang, text FROM {documents}",
-    # questions to the room memory, one per part of the catalogue
+    # confirmed memory: one node per catalogue part
+    "a_memory": """
+SELECT scene_id, ord, node_id,
+       CASE label WHEN 'bolt' THEN '电风扇' WHEN 'gear' THEN '键盘' WHEN 'ring' THEN '葡萄'
+                  WHEN 'rod' THEN '椅子' ELSE label END AS name,
+       CASE color WHEN 'red' THEN '红色' WHEN 'blue' THEN '蓝色' WHEN 'hot' THEN '橙色'
+                  WHEN 'cold' THEN '白色' WHEN 'old' THEN '灰色' ELSE '' END AS color,
+       CASE j % 4 WHEN 0 THEN 'fan' WHEN 1 THEN label WHEN 2 THEN '' ELSE 'plate ring' END AS label_hint,
+       CASE j % 3 WHEN 0 THEN 'ocr' WHEN 1 THEN 'interactive' ELSE 'multi_view' END AS source,
+       conf AS confidence,
+       CASE WHEN j % 5 = 0 THEN NULL ELSE (xmin + xmax) / 2 END AS x,
+       (ymin + ymax) / 2 AS y, (zmin + zmax) / 2 AS z
+FROM {a_objects}""",
+    # questions to that memory, one per part
     "a_questions": """
-SELECT p_partkey AS query_id, CAST(floor(p_partkey / 50) AS BIGINT) AS scene_id,
-       CASE p_partkey % 6
-         WHEN 0 THEN concat(split_part(p_name, ' ', 2), '在哪里')
-         WHEN 1 THEN concat(split_part(p_name, ' ', 1), '色')
-         WHEN 2 THEN '垃圾桶在哪儿'
-         WHEN 3 THEN concat(split_part(p_name, ' ', 1), '的', split_part(p_name, ' ', 2), '是什么颜色')
-         WHEN 4 THEN '在哪'
-         ELSE split_part(p_name, ' ', 2) END AS text
-FROM {part}""",
+SELECT ord AS query_id, scene_id,
+       CASE ord % 7
+         WHEN 0 THEN concat(name, '在哪里')
+         WHEN 1 THEN color
+         WHEN 2 THEN '办公椅在哪儿'
+         WHEN 3 THEN '不存在的蓝色恐龙'
+         WHEN 4 THEN ' 在哪 '
+         WHEN 5 THEN name
+         ELSE concat(color, '的', name, '是什么颜色') END AS text
+FROM {a_memory}""",
+    # words to locate among labels, stable texts and aliases, one per part
+    "a_lookups": """
+SELECT ord AS query_id, scene_id,
+       CASE ord % 6 WHEN 0 THEN label WHEN 1 THEN substring(label, 2, 2) WHEN 2 THEN color
+            WHEN 3 THEN '垃圾桶和水桶' WHEN 4 THEN concat(color, '的') ELSE upper(label) END AS text,
+       CASE ord % 3 WHEN 0 THEN 'on' WHEN 1 THEN 'near' ELSE '' END AS predicate,
+       CASE ord % 5 WHEN 4 THEN '' ELSE label END AS subject_hint,
+       CASE ord % 4 WHEN 3 THEN '' ELSE color END AS object_hint
+FROM {a_objects}""",
     # feature gallery
     "a_features": """
 SELECT vec_id, label, embedding, vec_id % 4 AS color_id,
