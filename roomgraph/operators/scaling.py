@@ -47,6 +47,40 @@ def with_previous(
     )
 
 
+def last_known(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    payload: dict[str, str],
+    width: float,
+    ties: Sequence[str] = (),
+) -> DataFrame:
+    """Add ``payload[c]`` = latest non-null ``c`` among the earlier rows of the key."""
+    keys, sort = list(keys), [order, *ties]
+    bucketed = df.withColumn(BUCKET, F.floor(F.col(order) / F.lit(width)))
+    inner = Window.partitionBy(*keys, BUCKET).orderBy(*sort).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.struct(*sort)
+    carried = (
+        bucketed.groupBy(*keys, BUCKET)
+        .agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(f"_c_{c}") for c in payload])
+        .select(
+            *keys, BUCKET,
+            *[F.last(f"_c_{c}", ignorenulls=True).over(earlier).alias(f"_k_{c}") for c in payload],
+        )
+    )
+    return (
+        bucketed.withColumns(
+            {f"_l_{c}": F.last(c, ignorenulls=True).over(inner) for c in payload}
+        )
+        .join(carried, [*keys, BUCKET])
+        .withColumns({name: F.coalesce(f"_l_{c}", f"_k_{c}") for c, name in payload.items()})
+        .drop(BUCKET, *[f"_l_{c}" for c in payload], *[f"_k_{c}" for c in payload])
+    )
+
+
 def sessionize(
     df: DataFrame,
     keys: Sequence[str],
@@ -57,28 +91,41 @@ def sessionize(
     name: str = "session",
 ) -> DataFrame:
     """Number the stretches of a key that are separated by at least ``gap`` (from 1)."""
-    keys, sort = list(keys), [order, *ties]
     before = "_before"
     marked = with_previous(df, keys, order, {order: before}, width, ties)
     starts = (F.col(before).isNull() | (F.col(order) - F.col(before) >= F.lit(gap))).cast("long")
-    marked = marked.withColumn("_starts", starts).withColumn(
-        BUCKET, F.floor(F.col(order) / F.lit(width))
-    )
+    return running_total(
+        marked.withColumn("_starts", starts), keys, order, "_starts", width, name, ties
+    ).drop(before, "_starts")
+
+
+def running_total(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: str,
+    width: float,
+    name: str,
+    ties: Sequence[str] = (),
+) -> DataFrame:
+    """Running sum of ``value`` in the key, the row itself included."""
+    keys = list(keys)
+    marked = df.withColumn(BUCKET, F.floor(F.col(order) / F.lit(width)))
     running = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     base = (
         marked.groupBy(*keys, BUCKET)
-        .agg(F.sum("_starts").alias("_n"))
+        .agg(F.sum(value).alias("_n"))
         .withColumn("_base", F.coalesce(F.sum("_n").over(running), F.lit(0)))
         .select(*keys, BUCKET, "_base")
     )
-    inner = Window.partitionBy(*keys, BUCKET).orderBy(*sort).rowsBetween(
+    inner = Window.partitionBy(*keys, BUCKET).orderBy(order, *ties).rowsBetween(
         Window.unboundedPreceding, 0
     )
     return (
-        marked.withColumn("_local", F.sum("_starts").over(inner))
+        marked.withColumn("_local", F.sum(value).over(inner))
         .join(base, [*keys, BUCKET])
         .withColumn(name, F.col("_base") + F.col("_local"))
-        .drop(BUCKET, before, "_starts", "_local", "_base")
+        .drop(BUCKET, "_local", "_base")
     )
 
 
@@ -103,11 +150,17 @@ def with_halo(df: DataFrame, order: str, width: float, halo: float) -> DataFrame
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: str, width: int = 1_000_000, name: str = "pos"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    width: int = 1_000_000,
+    name: str = "pos",
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Place (from 1) of each row in the key by a unique whole-number ``order``.
+    """Place (from 1) of each row in the key by ``order``, a whole number, then ``ties``.
 
-    A bucket of ``width`` unique numbers holds at most ``width`` rows, whatever the key.
+    With a unique ``order`` a bucket of ``width`` numbers holds at most ``width`` rows,
+    whatever the key.
     """
     keys = list(keys)
     bucketed = df.withColumn(BUCKET, F.floor(F.col(order) / F.lit(width)))
@@ -118,7 +171,7 @@ def positions(
         .withColumn("_base", F.coalesce(F.sum("_n").over(running), F.lit(0)))
         .select(*keys, BUCKET, "_base")
     )
-    inner = Window.partitionBy(*keys, BUCKET).orderBy(order)
+    inner = Window.partitionBy(*keys, BUCKET).orderBy(order, *ties)
     return (
         bucketed.withColumn("_local", F.row_number().over(inner))
         .join(base, [*keys, BUCKET])
@@ -197,12 +250,11 @@ def top_k(
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
-    column: str,
-    probs: dict[str, float],
+    wanted: dict[str, tuple[str, float]],
     hot_rows: int = 5_000_000,
     bins: int = 4096,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles of ``column`` per key.
+    """Exact linear-interpolated quantiles per key: ``wanted[name] = (column, p)``.
 
     Keys up to ``hot_rows`` use the built-in percentile. Larger keys are answered by rank:
     equal values are merged, values go into ``bins`` equal-width bins between the extremes
@@ -210,33 +262,34 @@ def exact_quantiles(
     bins are ordered.
     """
     keys = list(keys)
-    valid = df.filter(F.col(column).isNotNull())
-    sizes = valid.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(column).alias("_lo"),
-        F.max(column).alias("_hi"),
-    )
-    hot = sizes.filter(F.col("_n") > hot_rows)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter(F.col("_n") > hot_rows).select(*keys)
+    builtin = [F.percentile(c, F.lit(p)).alias(name) for name, (c, p) in wanted.items()]
     if hot.isEmpty():
-        return valid.groupBy(*keys).agg(
-            *[F.percentile(column, F.lit(p)).alias(n) for n, p in probs.items()]
-        )
-    usual = (
-        valid.join(hot.select(*keys), keys, "left_anti")
-        .groupBy(*keys)
-        .agg(*[F.percentile(column, F.lit(p)).alias(n) for n, p in probs.items()])
-    )
-    return usual.unionByName(_ranked_quantiles(valid, keys, column, probs, hot, bins))
+        return df.groupBy(*keys).agg(*builtin)
+    usual = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*builtin)
+    large = df.join(hot, keys, "left_semi")
+    ranked = hot
+    for column in dict.fromkeys(c for c, _ in wanted.values()):
+        probs = {name: p for name, (c, p) in wanted.items() if c == column}
+        ranked = ranked.join(_ranked_quantiles(large, keys, column, probs, bins), keys, "left")
+    return usual.unionByName(ranked)
 
 
-def _ranked_quantiles(df, keys, column, probs, sizes, bins) -> DataFrame:
+def _ranked_quantiles(
+    df: DataFrame, keys: list[str], column: str, probs: dict[str, float], bins: int
+) -> DataFrame:
+    valid = df.filter(F.col(column).isNotNull())
+    sizes = valid.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(column).alias("_lo"), F.max(column).alias("_hi")
+    )
     span = F.col("_hi") - F.col("_lo")
     spot = F.when(
         span > 0,
         F.least(F.floor((F.col(column) - F.col("_lo")) / span * F.lit(bins)), F.lit(bins - 1)),
     ).otherwise(F.lit(0))
     merged = (
-        df.groupBy(*keys, column)
+        valid.groupBy(*keys, column)
         .agg(F.count(F.lit(1)).alias("_c"))
         .join(sizes, keys)
         .withColumn("_bin", spot)
