@@ -105,8 +105,8 @@ def novel(rows: DataFrame, known: DataFrame, sim_tol: float = SIM_TOL) -> DataFr
         "scene_id", F.col("ord").alias("query_id"), "feature", F.lit("").alias("conflict")
     )
     shown = known.filter(F.col("feature").isNotNull()).select(
-        "scene_id", (-F.xxhash64("node_id")).alias("match_id"),
-        F.xxhash64("node_id").alias("match_ord"), "feature", F.lit("").alias("conflict"),
+        "scene_id", "node_id", F.col("node_id").alias("match_id"),
+        F.col("node_id").alias("match_ord"), "feature", F.lit("").alias("conflict"),
     )
     alike = best_matches(asked, shown, ["scene_id"], 1, sim_tol).select(
         "scene_id", F.col("query_id").alias("ord")
@@ -456,8 +456,7 @@ def reidentify(queries: DataFrame, gallery: DataFrame, sim_threshold: float = 0.
             words.alias("k"),
             (F.col("q.scene_id") == F.col("k.scene_id"))
             & (F.col("q._f") == F.col("k._f"))
-            & w.same_color(F.col("q.color"), F.col("k._c"))
-            & (F.col("q.query_id") != F.col("k._first.ord")),
+            & w.same_color(F.col("q.color"), F.col("k._c")),
         )
         .groupBy(F.col("q.scene_id").alias("scene_id"), "query_id")
         .agg(F.min("_first").alias("s"))

@@ -55,7 +55,6 @@ def _score_blocks(keys: Sequence[str], k: int, min_sim: float, strict: bool, dig
         if digits is not None:
             sim = np.round(sim, digits)
         ok = sim > min_sim if strict else sim >= min_sim
-        ok &= queries["query_id"].to_numpy()[:, None] != gallery["match_id"].to_numpy()[None, :]
         labels = pd.concat([queries["conflict"], gallery["conflict"]]).fillna("")
         codes, names = pd.factorize(labels)
         blank = np.array([name == "" for name in names])[codes]
@@ -94,7 +93,7 @@ def best_matches(
 
     ``queries`` carry the keys, query_id, feature and conflict; ``gallery`` the keys,
     match_id, match_ord, feature and conflict. Two different non-empty conflict words rule
-    a pair out, and a row never matches its own id. Ties go to the lower match_ord.
+    a pair out. Ties go to the lower match_ord.
     """
     keys = list(keys)
     q = queries.select(*keys, "query_id", "feature", "conflict")

@@ -210,9 +210,26 @@ SELECT ord AS query_id, scene_id,
        CASE ord % 5 WHEN 4 THEN '' ELSE label END AS subject_hint,
        CASE ord % 4 WHEN 3 THEN '' ELSE color END AS object_hint
 FROM {a_objects}""",
+    # novel-looking detections with a meaning, one per order
+    "a_candidate_rows": """
+SELECT scene_id, ord, frame_no, frame, class AS label_hint,
+       CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE
+         CASE o_custkey % 6 WHEN 0 THEN '风扇' WHEN 1 THEN '座椅' WHEN 2 THEN '键盘' WHEN 3 THEN '杯子'
+              WHEN 4 THEN '落地扇' ELSE 'Widget' END END AS name,
+       CASE o_custkey % 4 WHEN 0 THEN '红色' WHEN 1 THEN '白色' WHEN 2 THEN '蓝色' ELSE '灰色' END AS color,
+       CAST(1 + o_custkey % 7 AS DOUBLE) AS f1, CAST(1 + o_custkey % 3 AS DOUBLE) AS f2,
+       CAST(o_custkey % 5 AS DOUBLE) - 2 AS f3, CAST(o_orderkey % 4 AS DOUBLE) - 1 AS f4,
+       CAST(o_custkey * 7 % 50 AS DOUBLE) / 10 AS cx, CAST(o_custkey * 3 % 40 AS DOUBLE) / 10 AS cy
+FROM {a_detections} d JOIN {orders} o ON d.ord = o.o_orderkey""",
+    # vectors asked for: the stored ones with six signs turned
+    "a_vector_asks": """
+SELECT vec_id AS query_id, CAST(floor(vec_id / 50) AS BIGINT) AS scene_id, vec_id, label, embedding,
+       CASE WHEN vec_id % 2 = 0 THEN NULL ELSE concat('name', CAST(label AS STRING)) END AS name,
+       CASE vec_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'red' WHEN 2 THEN 'blue' WHEN 3 THEN 'grey' ELSE 'green' END AS color
+FROM {embeddings}""",
     # feature gallery
     "a_features": """
-SELECT vec_id, label, embedding, vec_id % 4 AS color_id,
+SELECT vec_id, CAST(floor(vec_id / 50) AS BIGINT) AS scene_id, label, embedding,
        CASE WHEN vec_id % 3 = 0 THEN NULL ELSE concat('name', CAST(label AS STRING)) END AS name,
        CASE vec_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'red' WHEN 2 THEN 'blue' ELSE 'grey' END AS color
 FROM {embeddings}""",
