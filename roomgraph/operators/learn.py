@@ -194,7 +194,7 @@ def pool_candidates(
         .select(
             "scene_id", "ord", F.col("_family").alias("family"), F.col("_color").alias("color"),
             F.col("center.x").alias("x"), F.col("center.y").alias("y"), F.col("center.z").alias("z"),
-            "feature", F.when("_open", F.lit("")).otherwise(F.col("_color")).alias("_block"),
+            "feature", F.when(F.col("_open"), F.lit("")).otherwise(F.col("_color")).alias("_block"),
         )
         .groupBy("scene_id", "_block")
         .applyInPandas(

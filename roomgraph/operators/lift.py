@@ -17,25 +17,38 @@ def with_poses(detections: DataFrame, poses: DataFrame) -> DataFrame:
     return detections.join(poses.select("scene_id", "frame", "pose"), ["scene_id", "frame"])
 
 
-def _pixel(value: Column) -> Column:
-    return F.floor(value / F.lit(float(_PIXEL_CELL)))
-
-
 def project_frames(points: DataFrame, frames: DataFrame, lens: Column) -> DataFrame:
     """Every point of a scene seen from every given frame, projected once.
 
     ``points`` carry scene_id and p, ``frames`` scene_id, frame and pose.
     """
-    shot = g.project(F.col("p"), F.col("pose"), lens)
+    # One step per projection, and the result passes through a generator: filters on image
+    # coordinates would otherwise be pushed under the join with every step written out anew.
+    p, pose = F.col("p"), F.col("pose")
+    cam = g.to_camera(p, pose)
+    floor = F.greatest(F.col("_cz"), F.lit(g.TINY))
+    bent = 1.0 + lens.k * (F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y"))
+    shot = F.struct(
+        (lens.f * F.col("_x") * F.col("_bent") + lens.cx).alias("u"),
+        (lens.f * F.col("_y") * F.col("_bent") + lens.cy).alias("v"),
+        F.col("_cz").alias("depth"),
+    )
+    kept = [c for c in (*points.columns, *frames.columns) if c not in ("scene_id", "pose")]
     return (
         points.join(frames, "scene_id")
-        .withColumn("shot", shot)
-        .select("*", F.col("shot.u").alias("u"), F.col("shot.v").alias("v"),
-                F.col("shot.z").alias("depth"))
-        .drop("shot", "pose")
+        .withColumns({"_cx": cam.x, "_cy": cam.y, "_cz": cam.z})
+        .withColumns({"_x": F.col("_cx") / floor, "_y": F.col("_cy") / floor})
+        .withColumn("_bent", bent)
+        .select("scene_id", *kept, F.inline(F.array(shot)))
+        # everything that follows works per frame; one exchange serves all of it
+        .repartition("scene_id", "frame")
     )
 
 
+def _pixel(value: Column) -> Column:
+    return F.floor(value / F.lit(float(_PIXEL_CELL)))
+
+
 def _in_cells(detections: DataFrame, x1: Column, y1: Column, x2: Column, y2: Column) -> DataFrame:
     """A detection once for each pixel cell its image box touches."""
     return (

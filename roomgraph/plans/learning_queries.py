@@ -483,11 +483,11 @@ _VIEWS = """
 
 @query("confirm_upgrade", f"""
 WITH {_VIEWS},
- vg AS (SELECT cand, {fam('name')} AS f, trim(color) AS c, count(*) AS n, arg_max(name, ord) AS name, min(ord) AS at FROM views WHERE name<>'' GROUP BY 1,2,3 HAVING count(*)>=2),
- u AS (SELECT cand, f, c, name, 0.7::DOUBLE AS weight, 'multi_view' AS source, 0 AS stage, at FROM vg
+ vg AS (SELECT cand, {fam('name')} AS f, trim(color) AS c, count(*) AS n, arg_max(name, ord) AS name, min(ord) AS "at" FROM views WHERE name<>'' GROUP BY 1,2,3 HAVING count(*)>=2),
+ u AS (SELECT cand, f, c, name, 0.7::DOUBLE AS weight, 'multi_view' AS source, 0 AS stage, vg.at AS "at" FROM vg
    UNION ALL SELECT cand, {fam('name')}, trim(color), name, weight, source, 1, ord FROM conf WHERE name<>''),
- g AS (SELECT cand, f, c, round(sum(weight),9) AS weight, arg_max(name, [stage, at]) AS name, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, min([stage,at]) AS at FROM u GROUP BY 1,2,3),
- b AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY weight DESC, contains(sources,'interactive') DESC, contains(sources,'ocr') DESC, at) AS rn FROM g)
+ g AS (SELECT cand, f, c, round(sum(weight),9) AS weight, arg_max(name, [stage, u."at"]) AS name, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, min([stage,u."at"]) AS "at" FROM u GROUP BY 1,2,3),
+ b AS (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY weight DESC, contains(sources,'interactive') DESC, contains(sources,'ocr') DESC, g."at") AS rn FROM g)
 SELECT a.cand AS candidate_id, coalesce(weight>=0.7,false) AS upgrade, CASE WHEN weight>=0.7 THEN name ELSE '' END AS name, CASE WHEN weight>=0.7 THEN c ELSE '' END AS color, CASE WHEN weight>=0.7 THEN sources ELSE '' END AS sources,
  round(CASE WHEN weight>=0.7 THEN least(1.0, weight/0.7) ELSE 0 END,6) AS confidence FROM (SELECT DISTINCT cand FROM views) a LEFT JOIN b ON b.cand=a.cand AND rn=1""")
 def confirm_upgrade(spark, sf):
@@ -591,12 +591,12 @@ def evidence_fallback(spark, sf):
 
 @query("label_work", """
 SELECT crop_key, min(ord) AS first_ord FROM (SELECT concat('det:',frame,':',class) AS crop_key, ord FROM {a_detections}) k
-WHERE crop_key NOT IN (SELECT concat('det:',frame,':',class) FROM {a_detections} WHERE conf>0.6) GROUP BY 1""")
+WHERE crop_key NOT IN (SELECT concat('det:',frame,':',class) FROM {a_detections} WHERE conf>0.6 AND ord%2=0) GROUP BY 1""")
 def label_work(spark, sf):
     """Crops a labeller has still to be asked about."""
     d = t.detections(spark, sf).withColumn("crop_key", F.concat(F.lit("det:"), "frame", F.lit(":"), "class"))
     items = d.groupBy("crop_key").agg(F.min("ord").alias("first_ord"))
-    cache = d.filter(F.col("conf") > 0.6).select(
+    cache = d.filter((F.col("conf") > 0.6) & (F.col("ord") % 2 == 0)).select(
         "crop_key", F.lit("n").alias("name"), F.lit("c").alias("color")
     ).dropDuplicates(["crop_key"])
     return evidence.label_work(items, cache)
@@ -627,16 +627,26 @@ def combined_memory(spark, sf):
 # ---- changes over time ------------------------------------------------------------------------------------------
 
 _CORR = """
- corr AS (SELECT concat('obj_', CAST(l_partkey AS VARCHAR)) AS node_id, l_orderkey*1000000+l_linenumber*100000+l_suppkey AS ord, l_orderkey AS t_s,
+ corr AS (SELECT concat('obj_', CAST(l_partkey AS VARCHAR)) AS node_id, l_orderkey*100000000000+l_linenumber*10000000000+l_partkey*10000+l_suppkey AS ord, l_orderkey AS t_s,
    CASE l_suppkey%3 WHEN 0 THEN '' WHEN 1 THEN concat('n',CAST(l_suppkey%5 AS VARCHAR)) ELSE '暖风机' END AS new_name, CASE l_suppkey%4 WHEN 0 THEN '白色' WHEN 1 THEN '' ELSE concat('c',CAST(l_orderkey%4 AS VARCHAR)) END AS new_color FROM {lineitem})"""
 
 
+_ORDERS_1000 = 10**14  # a thousand orders in units of the line order
+
+
+def _line_order():
+    return (
+        F.col("l_orderkey") * 10**11 + F.col("l_linenumber") * 10**10
+        + F.col("l_partkey") * 10000 + F.col("l_suppkey")
+    )
+
+
 def _corrections(spark, sf):
     li = t.view(spark, sf, "lineitem")
     k, o = F.col("l_suppkey"), F.col("l_orderkey")
     return li.select(
         F.concat(F.lit("obj_"), F.col("l_partkey").cast("string")).alias("node_id"),
-        (o * 1000000 + F.col("l_linenumber") * 100000 + k).alias("ord"), o.alias("t_s"),
+        _line_order().alias("ord"), o.alias("t_s"),
         F.lit("interactive").alias("source"),
         F.when(k % 3 == 0, "").when(k % 3 == 1, F.concat(F.lit("n"), (k % 5).cast("string"))).otherwise("暖风机").alias("new_name"),
         F.when(k % 4 == 0, "白色").when(k % 4 == 1, "").otherwise(F.concat(F.lit("c"), (o % 4).cast("string"))).alias("new_color"),
@@ -656,7 +666,9 @@ WITH RECURSIVE {_CORR.strip()}, n AS (SELECT node_id, count(*) AS n, arg_max(new
 SELECT o.node_id, coalesce(nn, label) AS name, coalesce(nc, color) AS color, round(f.c,6) AS confidence, coalesce(n.n,0) AS n_corrections
 FROM {{a_objects}} o LEFT JOIN n ON n.node_id=o.node_id JOIN fold f ON f.node_id=o.node_id AND f.i=f.n""")
 def corrections_applied(spark, sf):
-    nodes, _ = lifecycle.apply_corrections(_named_nodes(spark, sf), _corrections(spark, sf))
+    nodes, _ = lifecycle.apply_corrections(
+        _named_nodes(spark, sf), _corrections(spark, sf), bucket=_ORDERS_1000
+    )
     return nodes.select("node_id", "name", "color", F.round("confidence", 6).alias("confidence"), "n_corrections")
 
 
@@ -665,22 +677,24 @@ WITH {_CORR}, h AS (SELECT c.*, label, color, last_value(nullif(new_name,'') IGN
  FROM corr c JOIN {{a_objects}} o ON o.node_id=c.node_id WINDOW w AS (PARTITION BY c.node_id ORDER BY c.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT node_id, ord, coalesce(pn,label) AS old_name, coalesce(nullif(new_name,''),pn,label) AS new_name, coalesce(pc,color) AS old_color, coalesce(nullif(new_color,''),pc,color) AS new_color FROM h""")
 def correction_log(spark, sf):
-    _, log = lifecycle.apply_corrections(_named_nodes(spark, sf), _corrections(spark, sf))
+    _, log = lifecycle.apply_corrections(
+        _named_nodes(spark, sf), _corrections(spark, sf), bucket=_ORDERS_1000
+    )
     return log.drop("t_s", "source")
 
 
 @query("moves_history", """
-WITH mv AS (SELECT concat('obj_', CAST(l_partkey AS VARCHAR)) AS node_id, l_orderkey*1000000+l_linenumber*100000+l_suppkey AS ord, l_orderkey AS t_s, CAST(l_suppkey%60 AS DOUBLE)/10 AS x FROM {lineitem}),
- p AS (SELECT m.*, lag(x) OVER (PARTITION BY m.node_id ORDER BY ord) AS px, j, (xmin+xmax)/2 AS sx FROM mv m JOIN {a_objects} o ON o.node_id=m.node_id)
+WITH mv AS (SELECT concat('obj_', CAST(l_partkey AS VARCHAR)) AS node_id, l_orderkey*100000000000+l_linenumber*10000000000+l_partkey*10000+l_suppkey AS ord, l_orderkey AS t_s, CAST(l_suppkey%60 AS DOUBLE)/10 AS x FROM {lineitem}),
+ p AS (SELECT m.node_id, m.ord, t_s, lag(x) OVER (PARTITION BY m.node_id ORDER BY m.ord) AS px, j, (xmin+xmax)/2 AS sx FROM mv m JOIN {a_objects} o ON o.node_id=m.node_id)
 SELECT node_id, ord, round(CASE WHEN px IS NOT NULL THEN px ELSE sx END,6) AS old_x, t_s AS archived_at_s FROM p WHERE px IS NOT NULL OR j%4<>0""")
 def moves_history(spark, sf):
     moves = t.view(spark, sf, "lineitem").select(
         F.concat(F.lit("obj_"), F.col("l_partkey").cast("string")).alias("node_id"),
-        (F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_suppkey")).alias("ord"),
+        _line_order().alias("ord"),
         F.col("l_orderkey").alias("t_s"),
         g.make_point((F.col("l_suppkey") % 60) / 10, 0.0, 0.0).alias("center"),
     )
-    _, archived = lifecycle.move_nodes(_named_nodes(spark, sf), moves)
+    _, archived = lifecycle.move_nodes(_named_nodes(spark, sf), moves, _ORDERS_1000)
     return archived.select(
         "node_id", "ord", F.round("old_center.x", 6).alias("old_x"), "archived_at_s"
     )
@@ -699,7 +713,7 @@ def stale_nodes(spark, sf):
 
 _SIGHT = """
  sight AS (SELECT l_orderkey%50 AS scene_id, concat('o',CAST(l_partkey%40 AS VARCHAR)) AS subject, CASE l_linenumber%3 WHEN 0 THEN 'on' WHEN 1 THEN 'near' ELSE 'in' END AS predicate, concat('s',CAST(l_suppkey%4 AS VARCHAR)) AS object,
-   l_quantity/50 AS confidence, CAST(l_orderkey%977 AS DOUBLE) AS t_s, l_orderkey*1000000+l_linenumber*100000+l_suppkey AS ord, concat('v',CAST(l_suppkey%3 AS VARCHAR)) AS tag, l_returnflag AS val FROM {lineitem})"""
+   l_quantity/50 AS confidence, CAST(l_orderkey%977 AS DOUBLE) AS t_s, l_orderkey*100000000000+l_linenumber*10000000000+l_partkey*10000+l_suppkey AS ord, concat('v',CAST(l_suppkey%3 AS VARCHAR)) AS tag, l_returnflag AS val FROM {lineitem})"""
 
 
 def _relation_sightings(spark, sf):
@@ -712,7 +726,7 @@ def _relation_sightings(spark, sf):
         F.concat(F.lit("s"), (F.col("l_suppkey") % 4).cast("string")).alias("object"),
         (F.col("l_quantity") / 50).alias("confidence"),
         (F.col("l_orderkey") % 977).cast("double").alias("t_s"),
-        (F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + F.col("l_suppkey")).alias("ord"),
+        _line_order().alias("ord"),
         F.create_map(F.concat(F.lit("v"), (F.col("l_suppkey") % 3).cast("string")), "l_returnflag").alias("view_tags"),
     )
 
@@ -741,7 +755,7 @@ def archived_split(spark, sf):
 
 
 @query("object_ingest", """
-WITH b AS (SELECT l_orderkey%50 AS scene_id, concat('o',CAST(l_partkey%40 AS VARCHAR)) AS node_id, l_orderkey*1000000+l_linenumber*100000+l_suppkey AS ord, CAST(l_orderkey%977 AS DOUBLE) AS t_s,
+WITH b AS (SELECT l_orderkey%50 AS scene_id, concat('o',CAST(l_partkey%40 AS VARCHAR)) AS node_id, l_orderkey*100000000000+l_linenumber*10000000000+l_partkey*10000+l_suppkey AS ord, CAST(l_orderkey%977 AS DOUBLE) AS t_s,
   concat('l',CAST(l_suppkey%6 AS VARCHAR)) AS label, l_quantity/50 AS confidence, CASE WHEN l_suppkey%5<>0 THEN CAST(l_suppkey AS DOUBLE) END AS bx, l_returnflag AS k, l_linestatus AS v FROM {lineitem}),
  a AS (SELECT scene_id, node_id, arg_min(label, ord) AS label, arg_min(confidence, ord) AS confidence, min(ord) AS mo, max(t_s) AS last_seen_s, arg_max(t_s, ord) AS last_updated_s, arg_min(t_s, ord) AS first_seen_s, arg_max(bx, ord) FILTER (WHERE bx IS NOT NULL) AS bx FROM b GROUP BY 1,2),
  tg AS (SELECT scene_id, node_id, string_agg(concat(k,'=',v), ',' ORDER BY k) AS attrs FROM (SELECT scene_id, node_id, k, arg_max(v, ord) AS v FROM b GROUP BY 1,2,3) x GROUP BY 1,2)
@@ -753,7 +767,7 @@ def object_ingest(spark, sf):
     batch = li.select(
         (F.col("l_orderkey") % 50).alias("scene_id"),
         F.concat(F.lit("o"), (F.col("l_partkey") % 40).cast("string")).alias("node_id"),
-        (F.col("l_orderkey") * 1000000 + F.col("l_linenumber") * 100000 + k).alias("ord"),
+        _line_order().alias("ord"),
         (F.col("l_orderkey") % 977).cast("double").alias("t_s"),
         F.concat(F.lit("l"), (k % 6).cast("string")).alias("label"), F.lit("").alias("category"),
         F.lit("room_1").alias("parent_id"), (F.col("l_quantity") / 50).alias("confidence"),

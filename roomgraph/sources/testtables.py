@@ -327,7 +327,8 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = view(spark, sf_dir, "a_poses")
     rotation = [f"r{i}{j}" for i in range(3) for j in range(3)]
     pose = make_pose([F.col(c) for c in rotation], [F.col(c) for c in ("tx", "ty", "tz")])
-    return flat.withColumn("pose", pose).drop(*rotation, "tx", "ty", "tz")
+    # an exchange stands for the stored table: pose fields are not recomputed per point
+    return flat.withColumn("pose", pose).drop(*rotation, "tx", "ty", "tz").repartition("scene_id", "frame")
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
