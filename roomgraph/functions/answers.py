@@ -202,7 +202,7 @@ def mentioned_objects(text: Column) -> Column:
 
 # ---- cutting --------------------------------------------------------------------------------------------
 
-_WS = "[" + "".join(re.escape(c) if ord(c) > 127 or c == " " else f"\\x{ord(c):02x}" for c in WHITESPACE) + "]"
+_WS = "[" + "".join(c if ord(c) > 127 else f"\\x{ord(c):02x}" for c in WHITESPACE) + "]"
 
 
 def segment_pattern(limit: int) -> str:

@@ -1,6 +1,11 @@
 """Importing the query modules fills the registry."""
 
-from roomgraph.plans import learning_queries, question_queries, scene_queries  # noqa: F401
+from roomgraph.plans import (  # noqa: F401
+    learning_queries,
+    question_queries,
+    scene_queries,
+    stream_queries,
+)
 from roomgraph.plans.catalog import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "where_is"
