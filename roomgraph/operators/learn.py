@@ -249,9 +249,9 @@ _INSTANCE = [
 
 
 def _merge_step(rows: DataFrame, target: DataFrame) -> DataFrame:
-    """Fold rows into the row ``keep_ord`` names; the most confident keeps its identity."""
+    """Fold rows with one ``root`` into one; the most confident keeps its identity."""
     joined = rows.join(target, ["scene_id", "ord"], "left").withColumn(
-        "_group", F.coalesce("keep_ord", "ord")
+        "_group", F.coalesce("root", "ord")
     )
     kept = [c for c in _INSTANCE if c not in ("first_no", "last_no", "n_observations", "scene_id")]
     best = F.struct("median_conf", (-F.col("ord")).alias("o"))
@@ -264,12 +264,13 @@ def _merge_step(rows: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def _report(rows: DataFrame, target: DataFrame) -> DataFrame:
-    held = rows.select("scene_id", "ord", "instance_id")
-    kept = held.select("scene_id", F.col("ord").alias("keep_ord"), F.col("instance_id").alias("keep"))
+    held = target.join(rows.select("scene_id", "ord", "instance_id", "median_conf"), ["scene_id", "ord"])
+    best = held.groupBy("scene_id", "root").agg(
+        F.max_by("instance_id", F.struct("median_conf", (-F.col("ord")).alias("o"))).alias("keep")
+    )
     return (
-        target.filter(F.col("ord") != F.col("keep_ord"))
-        .join(held, ["scene_id", "ord"])
-        .join(kept, ["scene_id", "keep_ord"])
+        held.join(best, ["scene_id", "root"])
+        .filter(F.col("instance_id") != F.col("keep"))
         .select("scene_id", "keep", F.col("instance_id").alias("absorbed"))
     )
 
@@ -280,11 +281,10 @@ def _twins(rows: DataFrame) -> DataFrame:
     named = rows.filter(F.col("name").isNotNull()).withColumns(
         {"_f": w.name_family(F.col("name")), "_c": w.clean(F.col("color"))}
     )
-    best = named.groupBy(*keys).agg(
-        F.max_by("ord", F.struct("median_conf", (-F.col("ord")).alias("o"))).alias("keep_ord"),
-        F.count(F.lit(1)).alias("_n"),
+    heads = named.groupBy(*keys).agg(
+        F.min("ord").alias("root"), F.count(F.lit(1)).alias("_n")
     ).filter(F.col("_n") > 1)
-    return named.join(best, keys).select("scene_id", "ord", "keep_ord")
+    return named.join(heads, keys).select("scene_id", "ord", "root")
 
 
 _PAIR = ["ord", "name", "color", "feature", "center", "first_no", "last_no", "median_conf"]
@@ -318,7 +318,7 @@ def _same_pairs(rows: DataFrame, sim_tol: float, near: float) -> DataFrame:
         full = rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in _PAIR])
         pairs = pairs.join(full, [*keys, f"{side}_ord"])
     return pairs.filter(is_same_object("a", "b", sim_tol, near)).select(
-        "scene_id", "a_ord", "b_ord", "a_median_conf", "b_median_conf"
+        "scene_id", "a_ord", "b_ord"
     )
 
 
@@ -328,9 +328,10 @@ def merge_duplicates(
     """Instances without duplicates, and the report (keep, absorbed).
 
     The more confident instance stays, observations add up and frame windows widen, so more
-    pairs may follow; rounds go on until none is left. Each round merges all pairs that are
-    the smallest of both their members, which leaves pairs that share no member unaffected.
-    Instances without a feature take no part.
+    pairs may follow; rounds go on until none is left. In a round every instance looks at its
+    earliest counterpart; those whose counterpart has no earlier one itself are folded into
+    it. The earliest instance of any group of pairs always takes its own in, so each round
+    makes progress. Instances without a feature take no part.
     """
     idle = instances.filter(F.col("feature").isNull()).select(*_INSTANCE)
     rows = instances.filter(F.col("feature").isNotNull()).select(*_INSTANCE)
@@ -341,23 +342,15 @@ def merge_duplicates(
         pairs = cut_lineage(_same_pairs(rows, sim_tol, near))
         if pairs.isEmpty():
             break
-        rank = F.struct("a_ord", "b_ord")
-        least = (
-            pairs.select("scene_id", rank.alias("r"), F.explode(F.array("a_ord", "b_ord")).alias("ord"))
-            .groupBy("scene_id", "ord")
-            .agg(F.min("r").alias("m"))
+        earliest = pairs.groupBy("scene_id", F.col("b_ord").alias("ord")).agg(
+            F.min("a_ord").alias("root")
+        )
+        # roots are rows without an earlier counterpart
+        folded = earliest.alias("e").join(
+            earliest.select("scene_id", F.col("ord").alias("root")), ["scene_id", "root"], "left_anti"
         )
-        chosen = pairs.withColumn("r", rank)
-        for side in ("a", "b"):
-            mine = least.select("scene_id", F.col("ord").alias(f"{side}_ord"), F.col("m").alias("_m"))
-            chosen = (
-                chosen.join(mine, ["scene_id", f"{side}_ord"]).filter(F.col("_m") == F.col("r"))
-                .drop("_m")
-            )
-        first_wins = F.col("a_median_conf") >= F.col("b_median_conf")
-        target = chosen.select(
-            "scene_id", F.explode(F.array("a_ord", "b_ord")).alias("ord"),
-            F.when(first_wins, F.col("a_ord")).otherwise(F.col("b_ord")).alias("keep_ord"),
+        target = folded.select("scene_id", "ord", "root").unionByName(
+            folded.select("scene_id", F.col("root").alias("ord"), "root").distinct()
         )
         report = report.unionByName(cut_lineage(_report(rows, target)))
         rows = cut_lineage(_merge_step(rows, target))

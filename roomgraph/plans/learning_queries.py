@@ -457,20 +457,22 @@ def covered_detections(spark, sf):
 
 @query("merge_duplicates")
 def merge_duplicates(spark, sf):
-    """Instances per scene and part group, merged where they are the same object."""
-    o = t.view(spark, sf, "a_instance_obs")
-    inst = o.groupBy("scene_id", "instance_id", "class").agg(
-        F.min("k3").alias("_k"), F.max("color").alias("color"), F.median("x").alias("x"),
-        F.median("y").alias("y"), F.min("frame_no").alias("first_no"),
-        F.max("frame_no").alias("last_no"), F.countDistinct("frame_no").alias("n_observations"),
-        F.median("conf").alias("median_conf"),
+    """Instances per scene, class and look, merged where they are the same object."""
+    o = t.view(spark, sf, "a_candidate_rows")
+    look = F.col("f1").cast("long")
+    inst = o.groupBy("scene_id", "label_hint", "f1").agg(
+        F.min("ord").alias("ord"), F.max_by("name", "ord").alias("name"),
+        F.max_by("color", "ord").alias("color"), F.median("cx").alias("x"), F.median("cy").alias("y"),
+        F.min("frame_no").alias("first_no"), F.max("frame_no").alias("last_no"),
+        F.countDistinct("frame_no").alias("n_observations"), F.count(F.lit(1)).alias("n"),
     ).select(
-        "scene_id", F.xxhash64("class", "_k").alias("ord"), "instance_id", "class",
-        F.when(F.col("_k") % 3 != 0, F.concat("class", (F.col("_k") % 4).cast("string"))).alias("name"),
-        F.when(F.col("_k") % 5 != 0, F.col("color")).otherwise("").alias("color"),
-        F.array(F.lit(1.0), F.col("_k") % 4, F.col("_k") % 3).cast("array<double>").alias("feature"),
+        "scene_id", "ord",
+        F.concat("label_hint", F.lit("_"), look.cast("string")).alias("instance_id"),
+        F.col("label_hint").alias("class"), F.when(look % 3 != 0, F.col("name")).alias("name"),
+        F.when(look % 5 != 0, F.col("color")).otherwise("").alias("color"),
+        F.array(F.lit(1.0), look % 4, look % 3).cast("array<double>").alias("feature"),
         g.make_point(F.col("x"), F.col("y"), F.lit(1.0)).alias("center"),
-        "first_no", "last_no", "n_observations", "median_conf",
+        "first_no", "last_no", "n_observations", (F.col("n") / 100).alias("median_conf"),
     )
     rows, _ = learn.merge_duplicates(inst)
     return rows.select("scene_id", "instance_id", "class", "first_no", "last_no", "n_observations")
@@ -590,11 +592,11 @@ def evidence_fallback(spark, sf):
 
 
 @query("label_work", """
-SELECT crop_key, min(ord) AS first_ord FROM (SELECT concat('det:',frame,':',class) AS crop_key, ord FROM {a_detections}) k
-WHERE crop_key NOT IN (SELECT concat('det:',frame,':',class) FROM {a_detections} WHERE conf>0.6 AND ord%2=0) GROUP BY 1""")
+SELECT crop_key, min(ord) AS first_ord FROM (SELECT concat('det:',scene_id,'/',frame,':',class) AS crop_key, ord FROM {a_detections}) k
+WHERE crop_key NOT IN (SELECT concat('det:',scene_id,'/',frame,':',class) FROM {a_detections} WHERE conf>0.6 AND ord%2=0) GROUP BY 1""")
 def label_work(spark, sf):
     """Crops a labeller has still to be asked about."""
-    d = t.detections(spark, sf).withColumn("crop_key", F.concat(F.lit("det:"), "frame", F.lit(":"), "class"))
+    d = t.detections(spark, sf).withColumn("crop_key", F.concat(F.lit("det:"), F.col("scene_id").cast("string"), F.lit("/"), "frame", F.lit(":"), "class"))
     items = d.groupBy("crop_key").agg(F.min("ord").alias("first_ord"))
     cache = d.filter((F.col("conf") > 0.6) & (F.col("ord") % 2 == 0)).select(
         "crop_key", F.lit("n").alias("name"), F.lit("c").alias("color")

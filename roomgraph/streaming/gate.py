@@ -96,8 +96,10 @@ _OUT = (
 
 
 def _judge(policy: GatePolicy, state, frames: pd.DataFrame):
-    rows = []
+    rows, stretch = [], None
     for f in frames.itertuples(index=False):
+        if getattr(f, "stretch", stretch) != stretch:
+            state, stretch = FRESH, f.stretch
         state, reason, distance, since = gate_step(policy, state, f.epoch_s, f.trigger, f.phash)
         rows.append((f.device_id, f.seq, f.epoch_s, f.trigger, f.phash, reason, distance, since))
     out = pd.DataFrame(
@@ -108,19 +110,25 @@ def _judge(policy: GatePolicy, state, frames: pd.DataFrame):
     return state, out.astype({"hash_distance": "Int32"})
 
 
-def replay(frames: DataFrame, policy: GatePolicy = GatePolicy(), bundles: int = 64) -> DataFrame:
+def replay(
+    frames: DataFrame, policy: GatePolicy = GatePolicy(), bundle_rows: int = 50_000
+) -> DataFrame:
     """Gate decisions over stored frames (device_id, seq, epoch_s, trigger, phash)."""
     gap = policy.forgetting_gap_s
     parts = sessionize(
         frames.select("device_id", "seq", "epoch_s", "trigger", "phash"),
-        ["device_id"], "epoch_s", gap, max(3600.0, gap), ["seq"], "_stretch",
-    ).withColumn("_bundle", F.pmod(F.xxhash64("_stretch"), F.lit(bundles)))
+        ["device_id"], "epoch_s", gap, max(3600.0, gap), ["seq"], "stretch",
+    )
+    sizes = frames.groupBy("device_id").agg(
+        F.ceil(F.count(F.lit(1)) / bundle_rows).alias("_bundles")
+    )
+    parts = parts.join(sizes, "device_id").withColumn(
+        "_bundle", F.pmod(F.xxhash64("stretch"), F.col("_bundles"))
+    ).drop("_bundles")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_stretch", "epoch_s", "seq"], kind="stable")
-        return pd.concat(
-            [_judge(policy, FRESH, part)[1] for _, part in pdf.groupby("_stretch", sort=False)]
-        )
+        ordered = pdf.sort_values(["stretch", "epoch_s", "seq"], kind="stable")
+        return _judge(policy, FRESH, ordered)[1]
 
     return parts.groupBy("device_id", "_bundle").applyInPandas(run, _OUT)
 
