@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roomgraph.fixed_values import TIGHT_FAMILIES
 from roomgraph.functions import geometry as g
@@ -131,9 +132,10 @@ def associate(
         "_bundle", F.pmod(F.xxhash64(*keys[1:]), F.col("_bundles"))
     ).drop("_bundles")
     firsts = ["first_" + c for c in orders]
-    schema = bundled.schema
-    for c, f in zip(orders, firsts):
-        schema = schema.add(f, bundled.schema[c].dataType)
+    schema = T.StructType(
+        [*bundled.schema.fields,
+         *[T.StructField(f, bundled.schema[c].dataType) for c, f in zip(orders, firsts)]]
+    )
     walked = (
         bundled.groupBy("scene_id", "_bundle")
         .applyInPandas(_greedy(orders, dist, family_dist), schema)

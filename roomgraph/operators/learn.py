@@ -352,7 +352,7 @@ def merge_duplicates(
         target = folded.select("scene_id", "ord", "root").unionByName(
             folded.select("scene_id", F.col("root").alias("ord"), "root").distinct()
         )
-        report = report.unionByName(cut_lineage(_report(rows, target)))
+        report = report.unionByName(_report(rows, target))
         rows = cut_lineage(_merge_step(rows, target))
     return rows.unionByName(idle), report
 
