@@ -147,25 +147,29 @@ def parse_read_text(raw: Column, max_chars: int = 2000) -> Column:
 # ---- redaction and guards ------------------------------------------------------------------------
 
 
-def redact(text: Column) -> Column:
-    """``struct<text, id_card, bank_card, phone, email, plate>``: masked text and hit counts.
+def _needs(name: str, text: Column) -> Column:
+    """Cheap test that every text with such a pattern passes."""
+    if name == "email":
+        return F.contains(text, F.lit("@"))
+    if name == "plate":
+        return F.lit(True)
+    return F.regexp_like(text, F.lit(r"\p{Nd}{11}"))
 
-    Patterns apply in order, each to what the earlier ones left.
-    """
-    counts = []
-    for name, pattern in REDACT_PATTERNS:
-        unicode_pattern = "(?U)" + pattern
-        counts.append(F.regexp_count(text, F.lit(unicode_pattern)).alias(name))
-        text = F.regexp_replace(text, unicode_pattern, MASK)
-    return F.struct(text.alias("text"), *counts)
 
+def redact(df, column: str):
+    """Masks ``column`` in place and adds ``n_<pattern>`` hit counts.
 
-def redact_step(df, column: str):
-    """Masks ``column`` in place, one projection per pattern, adding ``n_<pattern>``."""
+    Patterns apply in order, each to what the earlier ones left. Digits are those of any
+    script. Texts without a hit are not rewritten.
+    """
     for name, pattern in REDACT_PATTERNS:
-        unicode_pattern = "(?U)" + pattern
-        df = df.withColumn(f"n_{name}", F.regexp_count(F.col(column), F.lit(unicode_pattern)))
-        df = df.withColumn(column, F.regexp_replace(column, unicode_pattern, MASK))
+        regex = pattern.replace(r"\d", r"\p{Nd}")
+        text, count = F.col(column), f"n_{name}"
+        hits = F.when(_needs(name, text), F.regexp_count(text, F.lit(regex))).otherwise(F.lit(0))
+        df = df.withColumn(count, hits)
+        df = df.withColumn(
+            column, F.when(F.col(count) > 0, F.regexp_replace(column, regex, MASK)).otherwise(text)
+        )
     return df
 
 

@@ -237,7 +237,7 @@ _COUNTS, _MASKED_DOC = _counts_sql("text")
 @query("redact_counts", f"""
 SELECT doc_id, {_COUNTS}, md5({_MASKED_DOC}) AS masked_md5 FROM {{a_docs}}""")
 def redact_counts(spark, sf):
-    out = a.redact_step(t.view(spark, sf, "a_docs"), "text")
+    out = a.redact(t.view(spark, sf, "a_docs"), "text")
     return out.select(
         "doc_id", *[F.col(f"n_{n}").cast("long").alias(f"n_{n}") for n, _ in REDACT_PATTERNS],
         F.md5("text").alias("masked_md5"),

@@ -108,7 +108,7 @@ def finish_frames(frames: DataFrame, banned: list[str] | None = None) -> DataFra
     """
     cleaned = frames
     for name in ("scene", "ocr_text", "advice"):
-        cleaned = a.redact_step(cleaned.withColumn(f"_{name}", F.col(f"result.{name}")), f"_{name}")
+        cleaned = a.redact(cleaned.withColumn(f"_{name}", F.col(f"result.{name}")), f"_{name}")
         cleaned = cleaned.drop(*[f"n_{p}" for p, _ in a.REDACT_PATTERNS])
     result = F.col("result").withField("scene", F.col("_scene"))
     result = result.withField("ocr_text", F.col("_ocr_text")).withField("advice", F.col("_advice"))
