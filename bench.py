@@ -10,11 +10,10 @@ from roomgraph.plans.all_queries import QUERIES
 from roomgraph.session import build_session
 
 HEADLINE = [
-    "relations_on", "relations_near", "relations_above", "on_support", "locate_top", "where_is",
-    "retrieval_answer", "lift_boxes", "class_votes", "instance_rollup", "nms_keep",
-    "novel_candidates", "confirm_upgrade", "reid_best", "kb_topk", "relation_upsert",
-    "correction_log", "gate_replay", "parse_outputs", "shape_replies", "redact_counts",
-    "injection_scan", "read_segments", "kb_chunks", "latency_pcts",
+    "relations_on", "relations_near", "on_support", "locate_top", "where_is", "retrieval_answer",
+    "lift_boxes", "class_votes", "nms_keep", "reid_best", "kb_topk", "relation_upsert",
+    "gate_replay", "parse_outputs", "redact_counts", "injection_scan", "read_segments",
+    "kb_chunks", "latency_pcts",
 ]
 
 
