@@ -12,6 +12,7 @@ from roomgraph.fixed_values import TIGHT_FAMILIES
 from roomgraph.functions import geometry as g
 from roomgraph.functions import words as w
 from roomgraph.operators.scaling import exact_quantiles, islands, positions, top_k
+from roomgraph.session import cut_lineage
 
 # ---- suppression ------------------------------------------------------------------------------
 
@@ -204,6 +205,8 @@ def roll_up(
 def instances(associated: DataFrame, order: Column, min_frames: int = 2, topk: int = 3) -> DataFrame:
     """Labelled instances of associated sightings, named ``<label>_<instance_no>``."""
     keys = ["scene_id", "instance_no"]
+    # several roll-ups read the walked rows: store them instead of walking again
+    associated = cut_lineage(associated)
     ranked = class_votes(associated, keys, topk)
     entry = F.struct("rank", "class", "votes", "max_conf", "n_frames")
     votes = ranked.groupBy(*keys).agg(
