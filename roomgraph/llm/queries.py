@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from roomgraph.llm import chat
+from roomgraph.llm import chat, packing, warc
 from roomgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +52,28 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.format_chat(turns.unionByName(planted))).drop("error")
+
+
+@query("op10_warc", """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(html)) AS n, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS f FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(h, CAST((i // 4) * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), '') AS payload_digest,
+  CASE WHEN f = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN f = page_id THEN NULL ELSE f END AS refers_to
+FROM d
+""")
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages"), least_bytes=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, 4096, 2).drop("ids")
