@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. A batch lies in a Python worker as a whole, so this bounds its memory.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -17,9 +17,10 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 
 from roomgraph.llm.common import small_batches, stored, text_of
 
-#: Distinct words whose ids a task remembers; beyond it words are encoded as they come.
-CACHE_WORDS = 400_000
-_SPACE = re.compile("[ \n]+")
+#: Words whose ids a worker remembers, from task to task; once full, further words are encoded anew.
+CACHE_WORDS = 700_000
+_KNOWN: dict[str, "_Words"] = {}
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "whole boolean, ids binary")
@@ -39,28 +40,55 @@ PLACED = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long
           "sequence_id long, offset long, sequence_tokens long, ids binary")
 
 
-def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Texts to ids (little-endian unsigned 32-bit), remembering the ids of words.
+class _Words(dict):
+    """Ids (little-endian unsigned 32-bit) of words, found when first asked for.
 
-    Only for a tokenizer that drops white space before it looks for merges: then the ids of a
-    text are those of its space-separated words, one after the other.
+    Only for a tokenizer that drops white space and lower-cases before it looks for merges, and
+    whose pre-tokens are runs of letters, single digits and runs of other signs: a word of letters
+    then goes to the merges as it is, byte by byte, and a comma or stop behind it stands alone.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_file(path), {"": b""}
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        super().__init__({"": b""})
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = "".join(map(chr, range(0x80, 0x100)))
+        # how the merges write a byte that isn't ASCII
+        self.signs = {
+            ord(c): letters.pre_tokenize_str(bytes([0xC2 + (ord(c) >= 0xC0), 0x80 + ord(c) % 64]
+                                                   ).decode())[0][0][1] for c in latin[:64]}
+        leads = {b: letters.pre_tokenize_str(chr((b - 0xC0) * 64 if b < 0xE0 else
+                 max(0x800, (b - 0xE0) << 12) if b < 0xF0 else max(0x10000, (b - 0xF0) << 18))
+                 )[0][0][0] for b in range(0xC2, 0xF5)}
+        self.signs |= leads
+
+    def __missing__(self, word: str) -> bytes:
+        lower, end = word.lower(), b""
+        if word[-1] in ".," and len(word) > 1 and lower[:-1].isalpha():
+            lower, end = lower[:-1], self[word[-1]]
+        if lower.isalpha() and (lower.isascii() or is_normalized("NFC", word)
+                                and "\u03a3" not in word):
+            if not lower.isascii():
+                lower = lower.encode().decode("latin-1").translate(self.signs)
+            ids = [t.id for t in self.model.tokenize(lower)]
+        else:
+            ids, end = self.tokenizer.encode(word, add_special_tokens=False).ids, b""
+        found = struct.pack(f"<{len(ids)}I", *ids) + end
+        if len(self) < CACHE_WORDS:
+            self[word] = found
+        return found
+
+
+def word_encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Texts to ids: those of their words (between spaces and line ends), one after the other."""
+    known = _KNOWN.setdefault(path, None) or _Words(path)
+    _KNOWN[path] = known
 
     def encode(texts: list[str]) -> list[bytes]:
-        split = [_SPACE.split(t) for t in texts]
-        fresh = list({w for words in split for w in words}.difference(known))
-        now = known
-        if fresh:
-            ids = [np.array(e.ids, "<u4").tobytes()
-                   for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            if len(known) + len(fresh) <= CACHE_WORDS:
-                known.update(zip(fresh, ids, strict=True))
-            else:
-                now = known | dict(zip(fresh, ids, strict=True))
-        return [b"".join(map(now.__getitem__, words)) for words in split]
+        return [b"".join(map(known.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
     return encode
 
@@ -144,7 +172,7 @@ def pack_block(sizes: np.ndarray, capacity: int) -> np.ndarray:
         k = max(k + 1, math.ceil(k * (1 + (fullest / capacity - 1) / 2)))
 
 
-def pack(pieces: DataFrame, capacity: int, block: int = 4096) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, block: int = 2048) -> DataFrame:
     """Place stored pieces: sequence_id, offset and length of the sequence."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +210,7 @@ def pack(pieces: DataFrame, capacity: int, block: int = 4096) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
-                   with_ids: bool = False, block: int = 4096) -> DataFrame:
+                   with_ids: bool = False, block: int = 2048) -> DataFrame:
     """Tokenise and pack ``docs`` (doc_id, text). ``with_ids`` adds each piece's ids as bytes.
 
     The pieces are stored first: their rows and order in the files are then fixed, so blocks and

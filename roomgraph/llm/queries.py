@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from roomgraph.llm import chat, packing, warc
+from roomgraph.llm import chat, fingerprint, langid, mixing, packing, tokencount, warc
 from roomgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +78,55 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, 4096, 2).drop("ids")
+
+
+#: Sources by domain and weights of the mixture that op1 makes.
+MIX_DOMAIN = "CASE WHEN source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7') THEN 'web' WHEN source IN ('src8', 'src9', 'src10', 'src11', 'src12', 'src13') THEN 'books' ELSE 'news' END"
+MIX_WEIGHTS = {"domain": {"web": 5, "books": 3, "news": 2}, "lang": {"en": 4, "de": 2, "fr": 2}}
+MIX_SHARE, MIX_SEED, MIX_EPOCHS = 0.6, 11, 4
+
+
+@query("op1_mixing", f"""
+WITH d AS (
+  SELECT doc_id, {MIX_DOMAIN} AS domain, coalesce(lang, '') AS l, coalesce(source, '') AS s, lang, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+leaf AS (SELECT domain, l, s, CAST(sum(n) AS BIGINT) AS avail, CAST(sum(n) AS BIGINT) * {MIX_EPOCHS} AS cap FROM d GROUP BY ALL),
+b0 AS (SELECT CAST(floor(least(floor(sum(avail) * CAST({MIX_SHARE} AS DOUBLE)), sum(cap))) AS BIGINT) AS b FROM leaf),
+n1 AS (SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, CASE domain WHEN 'web' THEN 5 WHEN 'books' THEN 3 WHEN 'news' THEN 2 ELSE 1 END AS w FROM leaf GROUP BY 1),
+l1 AS (SELECT *, CAST(b - coalesce(sum(cap) OVER (ORDER BY CAST(cap AS DOUBLE) / w, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / CAST(sum(w) OVER (ORDER BY CAST(cap AS DOUBLE) / w, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev FROM n1, b0),
+b1 AS (SELECT domain, CASE WHEN cap <= w * lev THEN cap ELSE CAST(floor(w * max(CASE WHEN cap > w * lev THEN lev END) OVER ()) AS BIGINT) END AS b FROM l1),
+n2 AS (SELECT domain, l, CAST(sum(cap) AS BIGINT) AS cap, CASE l WHEN 'en' THEN 4 WHEN 'de' THEN 2 WHEN 'fr' THEN 2 ELSE 1 END AS w FROM leaf GROUP BY 1, 2),
+l2 AS (SELECT *, CAST(b - coalesce(sum(cap) OVER (PARTITION BY domain ORDER BY CAST(cap AS DOUBLE) / w, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / CAST(sum(w) OVER (PARTITION BY domain ORDER BY CAST(cap AS DOUBLE) / w, l ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev FROM n2 JOIN b1 USING (domain)),
+b2 AS (SELECT domain, l, CASE WHEN cap <= w * lev THEN cap ELSE CAST(floor(w * max(CASE WHEN cap > w * lev THEN lev END) OVER (PARTITION BY domain)) AS BIGINT) END AS b FROM l2),
+l3 AS (SELECT domain, l, s, avail, cap, CAST(b - coalesce(sum(cap) OVER (PARTITION BY domain, l ORDER BY CAST(cap AS DOUBLE), s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
+    / CAST(count(*) OVER (PARTITION BY domain, l ORDER BY CAST(cap AS DOUBLE), s ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS lev FROM leaf JOIN b2 USING (domain, l)),
+b3 AS (SELECT domain, l, s, avail, CASE WHEN cap <= lev THEN cap ELSE CAST(floor(max(CASE WHEN cap > lev THEN lev END) OVER (PARTITION BY domain, l)) AS BIGINT) END AS b FROM l3),
+t AS (SELECT d.*, b // avail AS whole, b % avail AS rest FROM d JOIN b3 USING (domain, l, s) WHERE b > 0),
+p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY domain, l, s ORDER BY md5('{MIX_SEED}/' || whole || '/' || doc_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM t)
+SELECT doc_id, lang, source, domain, CAST(e AS BIGINT) AS epoch, CAST(n AS BIGINT) AS n_tokens, CAST(n AS BIGINT) AS take_tokens FROM t, range(0, whole) AS r(e)
+UNION ALL SELECT doc_id, lang, source, domain, whole, n, CAST(least(n, rest - start) AS BIGINT) FROM p WHERE start < rest
+""")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    total = F.floor(F.sum("_mix_tokens") * F.lit(MIX_SHARE))
+    return mixing.mix(docs, F.expr(MIX_DOMAIN), MIX_WEIGHTS, total, MIX_SEED, MIX_EPOCHS).drop("text")
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"),
+                                   public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    model = langid.train(docs.filter("not held_out"))
+    return langid.predict(docs, model)
+
+
+@query("op6_fingerprints")
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.against_next(table(spark, sf_dir, "documents"))
