@@ -31,10 +31,13 @@ def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage ends at the written files, so a lost executor never replays what led to them, and
-    partitions read from them hold the same rows in the same order each time.
+    partitions read from them hold the same rows in the same order each time. Nothing needs the
+    shuffles behind them any more; a collection on the driver lets Spark's cleaner delete their
+    files now and not at the end of the job.
     """
     folder = shared_dir(df.sparkSession)
     df.write.parquet(folder)
+    df.sparkSession._jvm.System.gc()
     again = df.sparkSession.read.schema(df.schema).parquet(folder)
     again._stored_in = folder
     return again
