@@ -27,7 +27,7 @@ from roomgraph.llm.common import small_batches, text_of
 SPAN = 20
 #: Words whose pooled labels a task remembers.
 CACHE_WORDS = 300_000
-PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double, n_positions long"
+PREDICTED = "lang_pred string, score double, n_positions long"
 
 
 @dataclass(frozen=True)
@@ -202,18 +202,19 @@ def label_words(words: list[str], model: Model) -> np.ndarray:
     return out
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Language and score of every whole text of ``docs`` (doc_id, text, held_out)."""
+def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` with lang_pred, score and n_positions of every whole text of ``docs``."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out",
-                       text_of("text").alias("text"))
+    rows = docs.select(text_of("text").alias("text"),
+                       *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)])
+    schema = ", ".join([f"c{i} {kind}" for i, (_, kind) in enumerate(docs.select(*keep).dtypes)] + [PREDICTED])
     n_langs = len(model.langs)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places: dict[str, int] = {}
         known = np.zeros((0, n_langs + 1), np.float32)
         for batch in batches:
-            split = [t.lower().split() for t in batch.column(2).to_pylist()]
+            split = [t.lower().split() for t in batch.column(0).to_pylist()]
             counts = np.array([len(w) for w in split])
             codes, words = pd.factorize(np.array([w for ws in split for w in ws] or [""], object))
             fresh = [w for w in words if w not in places]
@@ -236,14 +237,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             said = pooled[:, n_langs] > 0
             best = share.argmax(1) if n_langs else np.zeros(len(split), int)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), batch.column(1),
+                *batch.columns[1:],
                 pa.array([model.langs[b] if s else "und" for b, s in zip(best, said, strict=True)],
                          pa.string()),
                 pa.array(np.where(said, share.max(1, initial=0), 0.0).clip(0, 1)),
                 pa.array(pooled[:, n_langs].astype(np.int64))],
-                names=["doc_id", "held_out", "lang_pred", "score", "n_positions"])
+                names=[f"c{i}" for i in range(len(keep))] + ["lang_pred", "score", "n_positions"])
 
-    return rows.mapInArrow(label, PREDICTED)
+    return rows.mapInArrow(label, schema).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "n_positions")
 
 
 def held_out() -> Column:

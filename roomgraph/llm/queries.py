@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomgraph.llm import (
-    chat, fingerprint, langid, mixing, neardup, packing, substring, tokencount, warc,
+    chat, fingerprint, langid, mixing, neardup, neighbours, packing, substring, tokencount, warc,
 )
 from roomgraph.llm.common import table
 
@@ -126,7 +126,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
     model = langid.train(docs.filter("not held_out"))
-    return langid.predict(docs, model)
+    return langid.predict(docs, model, ["doc_id", "held_out"])
 
 
 @query("op6_fingerprints")
@@ -153,3 +153,8 @@ FROM w LEFT JOIN left_over o ON w.doc_id = o.doc_id
 """)
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), 20).drop("text")
+
+
+@query("op7_neighbours")
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)

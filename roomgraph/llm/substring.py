@@ -36,7 +36,7 @@ from roomgraph.llm.shingles import _power, hashed_words, mixed
 
 ANCHORS = "anchor long, doc long, version long, lo int"
 PATHS = ("anchor long, path long, doc long, version long, lo int, windows array<long>")
-CLEAN = "doc_id long, n_words long, n_removed long, text string, kept_sha256 string"
+CLEAN = "n_words long, n_removed long, text string, kept_sha256 string"
 
 
 def _runs(words: np.ndarray, length: int) -> np.ndarray:
@@ -66,11 +66,12 @@ def paths_of(words: np.ndarray, starts: np.ndarray, window: int, k: int
     return first, number, short[anchor[first]], owner[first]
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _keyed(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFrame:
     low = F.lit(-(1 << 63))
     return docs.select(
         F.coalesce(F.col(doc_id).cast("long"), low).alias("doc"),
-        F.xxhash64(text_of(text)).alias("version"), text_of(text).alias("text"))
+        F.xxhash64(text_of(text)).alias("version"), text_of(text).alias("text"),
+        F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("row"))
 
 
 def anchors(rows: DataFrame, window: int, k: int) -> DataFrame:
@@ -86,7 +87,7 @@ def anchors(rows: DataFrame, window: int, k: int) -> DataFrame:
                     pa.array((first - starts[owner]).astype(np.int32))],
                     names=["anchor", "doc", "version", "lo"])
 
-    return rows.mapInArrow(run, ANCHORS)
+    return rows.select("doc", "version", "text").mapInArrow(run, ANCHORS)
 
 
 def open_paths(rows: DataFrame, window: int, k: int) -> DataFrame:
@@ -160,22 +161,24 @@ def repeats(rows: DataFrame, window: int, k: int) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, k: int = 6, doc_id: str = "doc_id",
-                   text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_removed, the text that is left and the digest of its words.
+                   text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (the id alone by default), n_words, n_removed, the text that is left
+    and the digest of its words.
 
     A text that loses nothing is returned as it was; of others the kept words are joined by one
     space.
     """
     small_batches(docs.sparkSession)
-    rows = _keyed(docs, doc_id, text)
+    keep = [doc_id] if keep is None else keep
+    rows = _keyed(docs, doc_id, text, keep)
     spans = stored(repeats(rows, window, k).groupBy("doc", "version").agg(
         F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, los, ns = (c.to_pylist() for c in batch.columns)
+            texts, los, ns = (c.to_pylist() for c in batch.columns[:3])
             out = []
-            for key, said, at, number in zip(ids, texts, los, ns, strict=True):
+            for said, at, number in zip(texts, los, ns, strict=True):
                 words = said.encode().split()
                 kept = words
                 if at:
@@ -185,15 +188,17 @@ def remove_repeats(docs: DataFrame, window: int = 20, k: int = 6, doc_id: str =
                     np.add.at(edge, lo + np.array(number) + window - 1, -1)
                     kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
                 joined = b" ".join(kept)
-                out.append((key, len(words), len(words) - len(kept),
-                            joined.decode() if at else said, hashlib.sha256(joined).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                out.append((len(words), len(words) - len(kept), joined.decode() if at else said,
+                            hashlib.sha256(joined).hexdigest()))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
-                names=["doc_id", "n_words", "n_removed", "text", "kept_sha256"])
-
-    low = F.lit(-(1 << 63))
-    return rows.join(spans, ["doc", "version"], "left").select(
-        F.when(F.col("doc") != low, F.col("doc")).alias("doc_id"), "text", "los", "ns"
-    ).mapInArrow(run, CLEAN)
+                batch.columns[3:] + [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)],
+                names=[f"c{i}" for i in range(len(keep))]
+                + ["n_words", "n_removed", "text", "kept_sha256"])
+
+    held = rows.join(spans, ["doc", "version"], "left").select("text", "los", "ns", "row.*")
+    schema = ", ".join([f"c{i} {kind}" for i, (_, kind) in enumerate(docs.select(*keep).dtypes)] + [CLEAN])
+    out = held.mapInArrow(run, schema)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)],
+                      "n_words", "n_removed", "text", "kept_sha256")

@@ -45,7 +45,7 @@ def test_words_are_labelled_as_one_by_one():
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", langid.held_out())
     model = langid.train(docs.filter("not held_out"), docs_per_lang=100, steps=200)
-    got = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    got = langid.predict(docs, model, ["doc_id", "held_out"]).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert len(got) > 200
     assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
 
@@ -56,10 +56,10 @@ def test_edges(spark):
     docs = spark.createDataFrame([(*r, 1.0, False, 3) for r in rows], SCHEMA)
     model = langid.train(docs, steps=60)
     assert model.langs == ["en", "es"]
-    got = langid.predict(docs, model).collect()
+    got = langid.predict(docs, model, ["doc_id", "held_out"]).collect()
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     by = {r.doc_id: r.lang_pred for r in got}
     assert by[3] == by[4] == by[5] == "und" and by[6] == "es"
     nothing = langid.train(docs.limit(0))
-    assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
-    assert langid.predict(docs.limit(0), model).count() == 0
+    assert {r.lang_pred for r in langid.predict(docs, nothing, ["doc_id"]).collect()} == {"und"}
+    assert langid.predict(docs.limit(0), model, []).count() == 0
