@@ -147,8 +147,10 @@ def apply_corrections(
     """Corrected nodes and the correction log, corrections taken in ``ord`` order.
 
     Empty names and colours change nothing. Every correction multiplies the confidence by
-    ``factor``, rounded to three digits each time.
+    ``factor`` (0 to 1), rounded to three digits each time.
     """
+    if not 0 <= factor <= 1:
+        raise ValueError("factor must lie between 0 and 1")
     cleaned = corrections.withColumns(
         {"_n": _present(F.col("new_name")), "_c": _present(F.col("new_color"))}
     )
@@ -167,8 +169,10 @@ def apply_corrections(
         F.max_by("_c", F.when(F.col("_c").isNotNull(), F.col("ord"))).alias("_c"),
         F.count(F.lit(1)).alias("n_corrections"),
     )
-    # three-digit halving reaches zero long before this many steps
-    times = F.sequence(F.lit(1), F.least(F.col("n_corrections"), F.lit(40)).cast("int"))
+    # a step lowers the value by a thousandth at least or leaves it for good, so the value stands
+    # still after this many steps however many corrections follow
+    settled = F.ceil(F.abs("confidence") * 1000) + 1
+    times = F.sequence(F.lit(1), F.least(F.col("n_corrections"), settled).cast("int"))
     lowered = F.aggregate(
         times, F.col("confidence"), lambda acc, _: F.bround(acc * factor, 3)
     )

@@ -251,93 +251,69 @@ def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     wanted: dict[str, tuple[str, float]],
-    hot_rows: int = 5_000_000,
     bins: int = 4096,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key: ``wanted[name] = (column, p)``.
 
-    Keys up to ``hot_rows`` use the built-in percentile. Larger keys are answered by rank:
-    equal values are merged, values go into ``bins`` equal-width bins between the extremes
-    of the key, cumulative bin counts tell which bins hold the wanted ranks, and only those
-    bins are ordered.
+    One way for keys of every size. Equal values of a key and column are merged with their counts,
+    values go into ``bins`` equal-width bins between the extremes, cumulative counts of the bins
+    tell which ones hold the wanted ranks, and only those are ordered. Interpolation is that of
+    Spark's percentile, to the last bit. Nulls don't count; a key without a value has null.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > hot_rows).select(*keys)
-    builtin = [F.percentile(c, F.lit(p)).alias(name) for name, (c, p) in wanted.items()]
-    if hot.isEmpty():
-        return df.groupBy(*keys).agg(*builtin)
-    usual = df.join(hot, keys, "left_anti").groupBy(*keys).agg(*builtin)
-    large = df.join(hot, keys, "left_semi")
-    ranked = hot
-    for column in dict.fromkeys(c for c, _ in wanted.values()):
-        probs = {name: p for name, (c, p) in wanted.items() if c == column}
-        ranked = ranked.join(_ranked_quantiles(large, keys, column, probs, bins), keys, "left")
-    return usual.unionByName(ranked)
-
-
-def _ranked_quantiles(
-    df: DataFrame, keys: list[str], column: str, probs: dict[str, float], bins: int
-) -> DataFrame:
-    valid = df.filter(F.col(column).isNotNull())
-    sizes = valid.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(column).alias("_lo"), F.max(column).alias("_hi")
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    place = {c: i for i, c in enumerate(columns)}
+    per = [*keys, "_col"]
+    merged = (
+        df.select(*keys, F.posexplode(F.array(*[F.col(c).cast("double") for c in columns]))
+                  .alias("_col", "_v"))
+        .groupBy(*per, "_v").agg(F.count("_v").alias("_c"))
     )
+    valid = merged.filter(F.col("_v").isNotNull())
+    sizes = valid.groupBy(*per).agg(
+        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     span = F.col("_hi") - F.col("_lo")
     spot = F.when(
-        span > 0,
-        F.least(F.floor((F.col(column) - F.col("_lo")) / span * F.lit(bins)), F.lit(bins - 1)),
+        span > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / span * F.lit(bins)), F.lit(bins - 1))
     ).otherwise(F.lit(0))
-    merged = (
-        valid.groupBy(*keys, column)
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .join(sizes, keys)
-        .withColumn("_bin", spot)
-    )
-    before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    valid = valid.join(sizes, per).withColumn("_bin", spot)
+    before = Window.partitionBy(*per).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
-        merged.groupBy(*keys, "_bin")
-        .agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
+        valid.groupBy(*per, "_bin").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
         .withColumn("_base", F.coalesce(F.sum("_bc").over(before), F.lit(0)))
     )
-    ranks = [
-        F.struct(F.lit(name).alias("q"), (F.lit(p) * (F.col("_n") - 1)).alias("at"))
-        for name, p in probs.items()
-    ]
-    wanted = (
-        counts.withColumn("_w", F.explode(F.array(*ranks)))
-        .withColumn(
-            "_end",
-            F.explode(F.array(F.floor(F.col("_w.at")), F.ceil(F.col("_w.at")))),
-        )
-        .filter((F.col("_end") >= F.col("_base")) & (F.col("_end") < F.col("_base") + F.col("_bc")))
-        .select(*keys, "_bin", "_base", F.col("_w.q").alias("_q"), F.col("_w.at").alias("_at"),
-                "_end")
-        .distinct()
+    asked = F.array(*[
+        F.struct(F.lit(name).alias("q"), F.lit(place[c]).alias("col"), F.lit(float(p)).alias("p"))
+        for name, (c, p) in wanted.items()
+    ])
+    at = (F.col("_n") - 1) * F.col("_w.p")
+    ends = F.array(F.struct(F.floor(at).alias("r"), F.lit(True).alias("low")),
+                   F.struct(F.ceil(at).alias("r"), F.lit(False).alias("low")))
+    spots = (
+        counts.withColumn("_w", F.explode(F.filter(asked, lambda x: x.col == F.col("_col"))))
+        .withColumn("_end", F.explode(ends))
+        .filter((F.col("_end.r") >= F.col("_base"))
+                & (F.col("_end.r") < F.col("_base") + F.col("_bc")))
+        .select(*per, "_bin", "_base", F.col("_w.q").alias("_q"), at.alias("_at"),
+                F.col("_end.r").alias("_rank"), F.col("_end.low").alias("_low"))
     )
-    inside = Window.partitionBy(*keys, "_bin").orderBy(column).rowsBetween(
+    inside = Window.partitionBy(*per, "_bin").orderBy("_v").rowsBetween(
         Window.unboundedPreceding, 0
     )
-    bins_wanted = wanted.select(*keys, "_bin").distinct()
-    ordered = merged.join(bins_wanted, [*keys, "_bin"], "left_semi").withColumn(
-        "_upto", F.sum("_c").over(inside)
-    )
+    ordered = valid.join(spots.select(*per, "_bin").distinct(), [*per, "_bin"], "left_semi"
+                         ).withColumn("_upto", F.sum("_c").over(inside))
     picked = (
-        ordered.join(wanted, [*keys, "_bin"])
-        .filter(
-            (F.col("_end") < F.col("_base") + F.col("_upto"))
-            & (F.col("_end") >= F.col("_base") + F.col("_upto") - F.col("_c"))
-        )
+        ordered.join(spots, [*per, "_bin"])
+        .filter((F.col("_rank") < F.col("_base") + F.col("_upto"))
+                & (F.col("_rank") >= F.col("_base") + F.col("_upto") - F.col("_c")))
         .groupBy(*keys, "_q", "_at")
-        .agg(
-            F.min_by(column, "_end").alias("_a"),
-            F.max_by(column, "_end").alias("_b"),
-        )
-        .withColumn(
-            "_value",
-            F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_at") - F.floor("_at")),
-        )
-    )
-    return picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_q") == name, F.col("_value"))).alias(name) for name in probs]
+        .agg(F.max(F.when(F.col("_low"), F.col("_v"))).alias("_a"),
+             F.max(F.when(~F.col("_low"), F.col("_v"))).alias("_b"))
     )
+    value = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(
+        (F.ceil("_at") - F.col("_at")) * F.col("_a") + (F.col("_at") - F.floor("_at")) * F.col("_b"))
+    rows = picked.select(*keys, "_q", value.alias("_value")).unionByName(
+        merged.select(*keys, F.lit(None).cast("string").alias("_q"),
+                      F.lit(None).cast("double").alias("_value")).distinct())
+    return rows.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_q") == name, F.col("_value"))).alias(name) for name in wanted])

@@ -1,7 +1,8 @@
 """Locating nodes by words, relation questions and answers from confirmed memory.
 
-Words and node texts are matched as *distinct* strings first, by an equi-join on a shared
-gram with an exact test after it; only real matches are joined back to nodes and questions.
+Words and node texts are matched as *distinct* strings of one scene, by an equi-join on the scene
+and a shared gram with an exact test after it; only real matches are joined back to nodes and
+questions. No pair is formed across scenes.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from roomgraph.operators.scaling import top_k
 
 
 def contained_pairs(small: DataFrame, s: str, big: DataFrame, b: str) -> DataFrame:
-    """Distinct pairs of strings with ``s`` inside ``b``."""
-    inner = small.select(s).distinct().withColumn("_g", w.first_gram(F.col(s)))
-    outer = big.select(b).distinct().withColumn("_g", F.explode(w.grams(F.col(b))))
-    return inner.join(outer, "_g").filter(F.contains(F.col(b), F.col(s))).drop("_g")
+    """Distinct pairs of non-empty strings of one scene with ``s`` inside ``b``."""
+    inner = small.select("scene_id", s).filter(F.col(s) != "").distinct().withColumn(
+        "_g", w.first_gram(F.col(s)))
+    outer = big.select("scene_id", b).filter(F.col(b) != "").distinct().withColumn(
+        "_g", F.explode(w.grams(F.col(b))))
+    return inner.join(outer, ["scene_id", "_g"]).filter(F.contains(F.col(b), F.col(s))).drop("_g")
 
 
 # ---- locate ----------------------------------------------------------------------------------
@@ -53,34 +56,32 @@ def locate(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     asked = questions.select(
         "query_id", "scene_id", F.explode(w.expand_question(F.col("text"))).alias("kw")
     )
+    keywords = asked.select("scene_id", "kw").distinct()
     texted = _node_texts(nodes)
-    shape = ["_label", "_category", "_direct", "_aliases"]
-    kinds = texted.select(*shape).distinct()
-    keywords = asked.select("kw").distinct()
+    shape = ["scene_id", "_label", "_category", "_direct", "_aliases"]
+    kinds = texted.select(*shape).distinct().join(
+        keywords.select("scene_id").distinct(), "scene_id", "left_semi")
 
     exact = keywords.join(
-        kinds.withColumn("kw", F.explode(F.array_distinct(F.array("_label", "_category")))), "kw"
+        kinds.withColumn("kw", F.explode(F.array_distinct(F.array("_label", "_category")))),
+        ["scene_id", "kw"],
     ).withColumn("score", F.lit(3))
-    within = contained_pairs(keywords, "kw", kinds, "_direct").join(kinds, "_direct").withColumn(
-        "score", F.lit(2)
-    )
-    alias = contained_pairs(
-        keywords, "kw", kinds.filter(F.col("_aliases") != ""), "_aliases"
-    ).join(kinds, "_aliases").withColumn("score", F.lit(1))
-    matched = (
+    within = contained_pairs(keywords, "kw", kinds, "_direct").join(
+        kinds, ["scene_id", "_direct"]).withColumn("score", F.lit(2))
+    alias = contained_pairs(keywords, "kw", kinds, "_aliases").join(
+        kinds, ["scene_id", "_aliases"]).withColumn("score", F.lit(1))
+    # the empty word is inside every text of its scene
+    everywhere = keywords.filter("kw = ''").join(kinds, "scene_id").withColumn("score", F.lit(2))
+    wanted = (
         exact.select("kw", *shape, "score")
         .unionByName(within.select("kw", *shape, "score"))
         .unionByName(alias.select("kw", *shape, "score"))
-        .groupBy("kw", *shape)
-        .agg(F.max("score").alias("score"))
-    )
-    wanted = (
-        asked.join(matched, "kw")
-        .groupBy("query_id", "scene_id", *shape)
+        .unionByName(everywhere.select("kw", *shape, "score"))
+        .join(asked, ["scene_id", "kw"])
+        .groupBy("query_id", *shape)
         .agg(F.max("score").alias("score"))
     )
-    return wanted.join(texted, ["scene_id", *shape]).drop(*shape)
-
+    return wanted.join(texted, shape).drop(*shape[1:])
 
 
 def locate_ranked(questions: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -195,21 +196,28 @@ def _score(q: Column, keywords: Column, name: Column, hint: Column, color: Colum
 
 
 def _matches(asked: DataFrame, memory: DataFrame) -> DataFrame:
-    """Distinct (q, name, hint, color) with a positive score."""
-    kinds = memory.select("_name", "_hint", "_color").distinct()
-    questions = asked.select("q").distinct().withColumn("keywords", w.expand_question(F.col("q")))
-    words = questions.select("q", F.explode(F.array_union(F.array("q"), F.col("keywords"))).alias("s"))
-    parts = kinds.select("*", F.explode(F.array_distinct(F.array("_name", "_hint", "_color"))).alias("p"))
+    """Distinct (scene_id, q, name, hint, color) with a positive score."""
+    shape = ["scene_id", "_name", "_hint", "_color"]
+    questions = asked.select("scene_id", "q").distinct().withColumn(
+        "keywords", w.expand_question(F.col("q")))
+    kinds = memory.select(*shape).distinct().join(
+        questions.select("scene_id").distinct(), "scene_id", "left_semi")
+    words = questions.select(
+        "scene_id", "q", F.explode(F.array_union(F.array("q"), F.col("keywords"))).alias("s"))
+    parts = kinds.select(
+        "*", F.explode(F.array_distinct(F.array("_name", "_hint", "_color"))).alias("p"))
     touching = contained_pairs(words, "s", parts, "p").unionByName(
         contained_pairs(parts, "p", words, "s")
     ).distinct()
-    by_text = words.join(touching, "s").join(parts, "p").select("q", "_name", "_hint", "_color")
-    by_family = (
-        questions.withColumn("_f", w.name_family(F.col("q")))
-        .join(kinds.withColumn("_f", w.name_family(F.col("_name"))), "_f")
-        .select("q", "_name", "_hint", "_color")
+    by_text = words.join(touching, ["scene_id", "s"]).join(parts, ["scene_id", "p"])
+    by_family = questions.withColumn("_f", w.name_family(F.col("q"))).join(
+        kinds.withColumn("_f", w.name_family(F.col("_name"))), ["scene_id", "_f"])
+    # an empty name is inside every keyword
+    nameless = questions.join(kinds.filter("_name = ''"), "scene_id")
+    pairs = (
+        by_text.select("q", *shape).unionByName(by_family.select("q", *shape))
+        .unionByName(nameless.select("q", *shape)).distinct().join(questions, ["scene_id", "q"])
     )
-    pairs = by_text.unionByName(by_family).distinct().join(questions, "q")
     score = _score(F.col("q"), F.col("keywords"), F.col("_name"), F.col("_hint"), F.col("_color"))
     return pairs.withColumn("score", score).filter(F.col("score") > 0).drop("keywords")
 
@@ -256,7 +264,7 @@ def retrieve(
         }
     )
     hits = (
-        asked.join(_matches(asked, named), "q")
+        asked.join(_matches(asked, named), ["scene_id", "q"])
         .join(named, ["scene_id", "_name", "_hint", "_color"])
     )
     best = top_k(

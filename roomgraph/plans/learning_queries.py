@@ -664,7 +664,7 @@ def _named_nodes(spark, sf):
 
 @query("corrections_applied", f"""
 WITH RECURSIVE {_CORR.strip()}, n AS (SELECT node_id, count(*) AS n, arg_max(new_name, ord) FILTER (WHERE new_name<>'') AS nn, arg_max(new_color, ord) FILTER (WHERE new_color<>'') AS nc FROM corr GROUP BY 1),
- fold AS (SELECT o.node_id, conf AS c, 0 AS i, coalesce(least(n.n,40),0) AS n FROM {{a_objects}} o LEFT JOIN n ON n.node_id=o.node_id UNION ALL SELECT node_id, CAST(round_even(c*0.5,3) AS DOUBLE), i+1, n FROM fold WHERE i<n)
+ fold AS (SELECT o.node_id, conf AS c, 0 AS i, coalesce(n.n,0) AS n FROM {{a_objects}} o LEFT JOIN n ON n.node_id=o.node_id UNION ALL SELECT node_id, CAST(round_even(c*0.5,3) AS DOUBLE), i+1, n FROM fold WHERE i<n)
 SELECT o.node_id, coalesce(nn, label) AS name, coalesce(nc, color) AS color, round(f.c,6) AS confidence, coalesce(n.n,0) AS n_corrections
 FROM {{a_objects}} o LEFT JOIN n ON n.node_id=o.node_id JOIN fold f ON f.node_id=o.node_id AND f.i=f.n""")
 def corrections_applied(spark, sf):
@@ -674,6 +674,17 @@ def corrections_applied(spark, sf):
     return nodes.select("node_id", "name", "color", F.round("confidence", 6).alias("confidence"), "n_corrections")
 
 
+@query("corrections_slow_fade", f"""
+WITH RECURSIVE {_CORR.strip()}, n AS (SELECT node_id, count(*) AS n FROM corr GROUP BY 1),
+ fold AS (SELECT o.node_id, conf AS c, 0 AS i, coalesce(n.n,0) AS n FROM {{a_objects}} o LEFT JOIN n ON n.node_id=o.node_id UNION ALL SELECT node_id, CAST(round_even(c*0.95,3) AS DOUBLE), i+1, n FROM fold WHERE i<n)
+SELECT node_id, round(c,6) AS confidence, n AS n_corrections FROM fold WHERE i=n""")
+def corrections_slow_fade(spark, sf):
+    nodes, _ = lifecycle.apply_corrections(
+        _named_nodes(spark, sf), _corrections(spark, sf), factor=0.95, bucket=_ORDERS_1000
+    )
+    return nodes.select("node_id", F.round("confidence", 6).alias("confidence"), "n_corrections")
+
+
 @query("correction_log", f"""
 WITH {_CORR}, h AS (SELECT c.*, label, color, last_value(nullif(new_name,'') IGNORE NULLS) OVER w AS pn, last_value(nullif(new_color,'') IGNORE NULLS) OVER w AS pc
  FROM corr c JOIN {{a_objects}} o ON o.node_id=c.node_id WINDOW w AS (PARTITION BY c.node_id ORDER BY c.ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))

@@ -20,6 +20,7 @@ def build_session(app: str = "roomgraph", master: str | None = None, **conf) ->
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -31,12 +32,17 @@ def build_session(app: str = "roomgraph", master: str | None = None, **conf) ->
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so that lost executors never force a replay of every round.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where the cluster names none
-    (tests, a laptop) and the context has none yet is a temporary one set.
+    The folder is ``spark.checkpoint.dir``, which all executors must share. Only a local session
+    that names none gets a temporary one. Spark's cleaner deletes a checkpoint once nothing refers
+    to it any more (see ``build_session``).
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="roomgraph-ckpt-"))
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="roomgraph-ckpt-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
