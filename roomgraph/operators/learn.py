@@ -248,113 +248,174 @@ _INSTANCE = [
 ]
 
 
-def _merge_step(rows: DataFrame, target: DataFrame) -> DataFrame:
-    """Fold rows with one ``root`` into one; the most confident keeps its identity."""
-    joined = rows.join(target, ["scene_id", "ord"], "left").withColumn(
-        "_group", F.coalesce("root", "ord")
-    )
-    kept = [c for c in _INSTANCE if c not in ("first_no", "last_no", "n_observations", "scene_id")]
-    best = F.struct("median_conf", (-F.col("ord")).alias("o"))
-    return joined.groupBy("scene_id", "_group").agg(
-        F.max_by(F.struct(*kept), best).alias("k"),
-        F.min("first_no").alias("first_no"),
-        F.max("last_no").alias("last_no"),
-        F.sum("n_observations").alias("n_observations"),
-    ).select("scene_id", "k.*", "first_no", "last_no", "n_observations").select(*_INSTANCE)
-
-
-def _report(rows: DataFrame, target: DataFrame) -> DataFrame:
-    held = target.join(rows.select("scene_id", "ord", "instance_id", "median_conf"), ["scene_id", "ord"])
-    best = held.groupBy("scene_id", "root").agg(
-        F.max_by("instance_id", F.struct("median_conf", (-F.col("ord")).alias("o"))).alias("keep")
-    )
-    return (
-        held.join(best, ["scene_id", "root"])
-        .filter(F.col("instance_id") != F.col("keep"))
-        .select("scene_id", "keep", F.col("instance_id").alias("absorbed"))
-    )
-
+_MERGE_STATE = (
+    "scene_id long, ord long, keeper long, first_no long, last_no long, n_observations long, "
+    "absorbed array<struct<step:long,keep:long,gone:long,n:long>>"
+)
 
-def _twins(rows: DataFrame) -> DataFrame:
-    """Rows of one class with equal known family and colour are one object whatever else."""
-    keys = ["scene_id", "class", "_f", "_c"]
-    named = rows.filter(F.col("name").isNotNull()).withColumns(
-        {"_f": w.name_family(F.col("name")), "_c": w.clean(F.col("color"))}
-    )
-    heads = named.groupBy(*keys).agg(
-        F.min("ord").alias("root"), F.count(F.lit(1)).alias("_n")
-    ).filter(F.col("_n") > 1)
-    return named.join(heads, keys).select("scene_id", "ord", "root")
-
-
-_PAIR = ["ord", "name", "color", "feature", "center", "first_no", "last_no", "median_conf"]
 
+def _maybe_pairs(rows: DataFrame, sim_tol: float, near: float) -> DataFrame:
+    """Pairs of components that some merge inside them could make one object.
 
-def _same_pairs(rows: DataFrame, sim_tol: float, near: float) -> DataFrame:
-    """Pairs that are the same object: blocked by place, by time window and by family."""
+    ``rows`` carry ``comp`` and the hull of the component's windows. Merging only ever swaps
+    identities within a component and widens windows up to its hull, so a pair that fails here
+    can't come to match: windows can meet only where the hulls overlap, and names, colours,
+    features and places are those of some member.
+    """
     keys = ["scene_id", "class"]
+    held = ["ord", "comp", "name", "color", "feature", "center", "lo", "hi"]
     placed = near_pairs(
         rows.filter(F.col("center").isNotNull()), keys, "ord", F.col("center"), near, []
     ).select(*keys, "a_ord", "b_ord")
-    # frame windows as flat rectangles, 100 frames to the unit
-    spans = rows.withColumn(
-        "box",
-        g.make_box(F.col("first_no") / 100.0, 0.0, 0.0, F.col("last_no") / 100.0, 0.0, 0.0),
+    hulls = rows.groupBy(*keys, "comp").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    spans = hulls.withColumn(
+        "box", g.make_box(F.col("lo") / 100.0, 0.0, 0.0, F.col("hi") / 100.0, 0.0, 0.0))
+    meeting = footprint_pairs(spans, spans, keys, ["comp"], ["comp"]).filter(
+        F.col("l_comp") < F.col("r_comp"))
+    member = rows.select(*keys, "comp", "ord")
+    timed = (
+        meeting.join(member.select(*keys, F.col("comp").alias("l_comp"), F.col("ord").alias("x")), [*keys, "l_comp"])
+        .join(member.select(*keys, F.col("comp").alias("r_comp"), F.col("ord").alias("y")), [*keys, "r_comp"])
+        .select(*keys, F.least("x", "y").alias("a_ord"), F.greatest("x", "y").alias("b_ord"))
     )
-    timed = footprint_pairs(spans, spans, keys, ["ord"], ["ord"]).filter(
-        F.col("l_ord") < F.col("r_ord")
-    ).select(*keys, F.col("l_ord").alias("a_ord"), F.col("r_ord").alias("b_ord"))
     kin = rows.filter(F.col("name").isNotNull()).select(
-        *keys, "ord", w.name_family(F.col("name")).alias("_f")
-    )
+        *keys, "ord", w.name_family(F.col("name")).alias("_f"))
     family = (
-        kin.withColumnRenamed("ord", "a_ord")
-        .join(kin.withColumnRenamed("ord", "b_ord"), [*keys, "_f"])
-        .filter(F.col("a_ord") < F.col("b_ord"))
-        .select(*keys, "a_ord", "b_ord")
+        kin.withColumnRenamed("ord", "a_ord").join(kin.withColumnRenamed("ord", "b_ord"), [*keys, "_f"])
+        .filter(F.col("a_ord") < F.col("b_ord")).select(*keys, "a_ord", "b_ord")
     )
     pairs = placed.unionByName(timed).unionByName(family).distinct()
     for side in ("a", "b"):
-        full = rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in _PAIR])
+        full = rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in held])
         pairs = pairs.join(full, [*keys, f"{side}_ord"])
-    return pairs.filter(is_same_object("a", "b", sim_tol, near)).select(
-        "scene_id", "a_ord", "b_ord"
-    )
+    close = F.coalesce(g.euclidean(F.col("a_center"), F.col("b_center")) <= near, F.lit(False))
+    together = close | (F.least("a_hi", "b_hi") > F.greatest("a_lo", "b_lo"))
+    alike = F.coalesce(cosine(F.col("a_feature"), F.col("b_feature")) >= sim_tol, F.lit(False))
+    named = F.col("a_name").isNotNull() & F.col("b_name").isNotNull()
+    by_name = w.same_color(F.col("a_color"), F.col("b_color")) & (
+        (w.name_family(F.col("a_name")) == w.name_family(F.col("b_name"))) | together)
+    return pairs.filter(
+        (F.col("a_comp") != F.col("b_comp")) & F.when(named, by_name).otherwise(alike & together)
+    ).select("scene_id", F.least("a_comp", "b_comp").alias("u"),
+             F.greatest("a_comp", "b_comp").alias("v")).distinct()
+
+
+def _settled_components(rows: DataFrame, sim_tol: float, near: float) -> DataFrame:
+    """``rows`` with ``comp``: no merge can ever lead from one component into another."""
+    hull = ["scene_id", "comp"]
+    placed = cut_lineage(rows.withColumns(
+        {"comp": F.col("ord"), "lo": F.col("first_no"), "hi": F.col("last_no")}))
+    while True:
+        links = cut_lineage(_maybe_pairs(placed, sim_tol, near))
+        if links.isEmpty():
+            return placed
+        both = links.unionByName(links.select("scene_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        label = both.groupBy("scene_id", F.col("u").alias("comp")).agg(
+            F.least(F.min("v"), F.first("u")).alias("_to"))
+        moved = placed.join(label, hull, "left").withColumn(
+            "comp", F.coalesce("_to", "comp")).drop("_to", "lo", "hi")
+        hulls = moved.groupBy(*hull).agg(
+            F.min("first_no").alias("lo"), F.max("last_no").alias("hi"))
+        placed = cut_lineage(moved.join(hulls, hull))
+
+
+def _merge_walk(sim_tol: float, near: float):
+    """The walk over one component, in ``ord`` order: the first pair (by the earlier, then the
+    later one) that is the same object is merged in the earlier one's place; then anew."""
+
+    def walk(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("ord").reset_index(drop=True)
+        n = len(part)
+        known = part["named"].to_numpy(bool)
+        family, color = part["_f"].to_numpy(object), part["_c"].to_numpy(object)
+        feature = np.array(part["feature"].tolist(), float)
+        norm = np.sqrt((feature * feature).sum(1))
+        center = part[["_x", "_y", "_z"]].to_numpy(float)
+        conf = part["median_conf"].to_numpy(float)
+        first, last = part["first_no"].to_numpy().copy(), part["last_no"].to_numpy().copy()
+        seen = part["n_observations"].to_numpy().copy()
+        who, here = np.arange(n), np.ones(n, bool)  # the identity in each place
+
+        def same(i: int) -> np.ndarray:
+            """Which places hold the same object as place ``i``."""
+            a, b = who[i], who
+            over = np.minimum(last[i], last) - np.maximum(first[i], first)
+            short = np.minimum(last[i] - first[i], last - first)
+            meet = (over > 0) & (short > 0) & (over >= 0.5 * short)
+            with np.errstate(invalid="ignore"):
+                near_by = np.sqrt(((center[a] - center[b]) ** 2).sum(1)) <= near
+            together = near_by | meet
+            colors = (color[b] == color[a]) | (color[b] == "") | (color[a] == "")
+            cos = feature[b] @ feature[a] / np.maximum(norm[a] * norm[b], 1e-9)
+            out = np.where(known[a] & known[b], colors & ((family[b] == family[a]) | together),
+                           (cos >= sim_tol) & together)
+            out[i] = False
+            return out & here
+
+        match = np.array([same(i) for i in range(n)]) if n else np.zeros((0, 0), bool)
+        told: list[list[dict]] = [[] for _ in range(n)]
+        ords, step = part["ord"].to_numpy(), 0
+        while True:
+            rows = np.flatnonzero(np.triu(match, 1).any(1))
+            if not len(rows):
+                break
+            i = rows[0]
+            j = i + 1 + np.flatnonzero(match[i, i + 1:])[0]
+            a, b = who[i], who[j]
+            keep, gone = (a, b) if conf[a] >= conf[b] else (b, a)
+            seen[i] += seen[j]
+            first[i], last[i] = min(first[i], first[j]), max(last[i], last[j])
+            who[i], here[j] = keep, False
+            match[j, :] = match[:, j] = False
+            match[i, :] = match[:, i] = same(i)
+            told[i] += told[j] + [{"step": step, "keep": int(ords[keep]), "gone": int(ords[gone]),
+                                   "n": int(seen[i])}]
+            step += 1
+        return pd.DataFrame({
+            "scene_id": part["scene_id"], "ord": ords, "keeper": ords[who], "first_no": first,
+            "last_no": last, "n_observations": seen, "absorbed": told,
+        })[here]
+
+    return walk
 
 
 def merge_duplicates(
     instances: DataFrame, sim_tol: float = SIM_TOL, near: float = NEAR_TOL
 ) -> tuple[DataFrame, DataFrame]:
-    """Instances without duplicates, and the report (keep, absorbed).
-
-    The more confident instance stays, observations add up and frame windows widen, so more
-    pairs may follow; rounds go on until none is left. In a round every instance looks at its
-    earliest counterpart; those whose counterpart has no earlier one itself are folded into
-    it. The earliest instance of any group of pairs always takes its own in, so each round
-    makes progress. Instances without a feature take no part.
+    """Instances without duplicates, and the report (keep, absorbed, class, n_observations_sum).
+
+    The result is that of one plain loop over each scene: in ``ord`` order the first pair that is
+    the same object is merged and stands in the earlier one's place, until no pair is left. The
+    more confident one keeps its identity, the earlier one if they tie; observations add up and
+    windows widen. Components that no merge can leave are found first; each is walked by itself,
+    which gives the loop's result as pairs of different components never touch. Instances without
+    a feature take no part.
     """
     idle = instances.filter(F.col("feature").isNull()).select(*_INSTANCE)
     rows = instances.filter(F.col("feature").isNotNull()).select(*_INSTANCE)
-    target = _twins(rows)
-    report = _report(rows, target)
-    rows = cut_lineage(_merge_step(rows, target))
-    while True:
-        pairs = cut_lineage(_same_pairs(rows, sim_tol, near))
-        if pairs.isEmpty():
-            break
-        earliest = pairs.groupBy("scene_id", F.col("b_ord").alias("ord")).agg(
-            F.min("a_ord").alias("root")
-        )
-        # roots are rows without an earlier counterpart
-        folded = earliest.alias("e").join(
-            earliest.select("scene_id", F.col("ord").alias("root")), ["scene_id", "root"], "left_anti"
-        )
-        target = folded.select("scene_id", "ord", "root").unionByName(
-            folded.select("scene_id", F.col("root").alias("ord"), "root").distinct()
-        )
-        report = report.unionByName(_report(rows, target))
-        rows = cut_lineage(_merge_step(rows, target))
-    return rows.unionByName(idle), report
+    placed = _settled_components(rows, sim_tol, near)
+    looks = placed.select(
+        "scene_id", "comp", "ord", "feature", "first_no", "last_no", "n_observations", "median_conf",
+        F.col("name").isNotNull().alias("named"), w.name_family(F.col("name")).alias("_f"),
+        w.strip(F.coalesce("color", F.lit(""))).alias("_c"),
+        F.col("center.x").alias("_x"), F.col("center.y").alias("_y"), F.col("center.z").alias("_z"),
+    ).withColumns({c: F.col(c).cast("long") for c in ("scene_id", "ord", "first_no", "last_no", "n_observations")})
+    walked = cut_lineage(looks.groupBy("scene_id", "comp").applyInPandas(
+        _merge_walk(sim_tol, near), _MERGE_STATE))
+    fixed = [c for c in _INSTANCE if c not in ("ord", "first_no", "last_no", "n_observations")]
+    identity = rows.select(*fixed, F.col("ord").alias("keeper"))
+    merged = walked.drop("absorbed").join(identity, ["scene_id", "keeper"]).select(*_INSTANCE)
+    names = rows.select("scene_id", "ord", "instance_id", "class")
+    steps = walked.select("scene_id", F.explode("absorbed").alias("s"))
+    report = (
+        steps.select("scene_id", F.col("s.step").alias("step"), F.col("s.keep").alias("ord"),
+                     F.col("s.gone").alias("gone"), F.col("s.n").alias("n_observations_sum"))
+        .join(names.withColumnRenamed("instance_id", "keep"), ["scene_id", "ord"]).drop("ord")
+        .join(names.select("scene_id", F.col("ord").alias("gone"), F.col("instance_id").alias("absorbed")),
+              ["scene_id", "gone"])
+        .select("scene_id", "keep", "absorbed", "class", "n_observations_sum")
+    )
+    return merged.unionByName(idle), report
 
 
 # ---- confirmation --------------------------------------------------------------------------------------

@@ -76,6 +76,62 @@ def test_duplicates_keep_the_surer(spark):
     assert [(r.keep, r.absorbed) for r in report.collect()] == [("chair_6", "chair_8")]
 
 
+def plain_merge(rows, tol=0.82, near=1.0):
+    """The loop itself: rows are dicts in ord order."""
+    def same(a, b):
+        if a["class"] != b["class"]:
+            return False
+        over = min(a["last_no"], b["last_no"]) - max(a["first_no"], b["first_no"])
+        short = min(a["last_no"] - a["first_no"], b["last_no"] - b["first_no"])
+        meet = over > 0 and short > 0 and over / short >= 0.5
+        close = a["center"] is not None and b["center"] is not None and sum((a["center"][k] - b["center"][k]) ** 2 for k in "xyz") ** 0.5 <= near
+        if a["name"] is not None and b["name"] is not None:
+            return (not a["color"] or not b["color"] or a["color"] == b["color"]) and (a["name"] == b["name"] or meet or close)
+        fa, fb = np.array(a["feature"]), np.array(b["feature"])
+        return fa @ fb / max(np.sqrt(fa @ fa) * np.sqrt(fb @ fb), 1e-9) >= tol and (meet or close)
+
+    rows, report = [dict(r) for r in rows], []
+    while True:
+        pair = next(((i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if same(rows[i], rows[j])), None)
+        if pair is None:
+            return rows, report
+        a, b = rows[pair[0]], rows.pop(pair[1])
+        keep, gone = (a, b) if a["median_conf"] >= b["median_conf"] else (b, a)
+        rows[pair[0]] = keep | {"first_no": min(a["first_no"], b["first_no"]), "last_no": max(a["last_no"], b["last_no"]),
+                                "n_observations": a["n_observations"] + b["n_observations"]}
+        report.append((keep["instance_id"], gone["instance_id"], a["n_observations"] + b["n_observations"]))
+
+
+def test_merging_equals_plain_loop(spark):
+    rng = np.random.default_rng(12)
+    data = []
+    for scene in range(12):
+        for o in range(30):
+            start = int(rng.integers(0, 400))
+            data.append({
+                "scene_id": scene, "ord": o, "instance_id": f"{scene}_{o}", "class": str(rng.choice(["chair", "fan"])),
+                "name": None if rng.random() < 0.5 else str(rng.choice(["qa", "qb", "qc"])), "color": str(rng.choice(["", "red", "blue"])),
+                "feature": rng.integers(-1, 2, 3).astype(float).tolist(), "first_no": start, "last_no": start + int(rng.integers(0, 60)),
+                "n_observations": int(rng.integers(1, 9)), "median_conf": float(rng.integers(1, 6)) / 5,
+                "center": None if rng.random() < 0.3 else {"x": float(rng.random() * 6), "y": float(rng.random() * 6), "z": 0.0}})
+    df = spark.createDataFrame(data, "scene_id long, ord long, instance_id string, class string, name string, color string, feature array<double>, "
+                               "first_no long, last_no long, n_observations long, median_conf double, center struct<x:double,y:double,z:double>")
+    kept, report = learn.merge_duplicates(df)
+    cols = ["instance_id", "first_no", "last_no", "n_observations"]
+    got, told = {}, {}
+    for r in kept.collect():
+        got.setdefault(r.scene_id, []).append(tuple(r[c] for c in cols))
+    for r in report.collect():
+        told.setdefault(r.scene_id, []).append((r.keep, r.absorbed, r.n_observations_sum))
+    merges = 0
+    for scene in range(12):
+        rows, steps = plain_merge([r for r in data if r["scene_id"] == scene])
+        assert sorted(got[scene]) == sorted(tuple(r[c] for c in cols) for r in rows)
+        assert sorted(told.get(scene, [])) == sorted(steps)
+        merges += len(steps)
+    assert merges > 60
+
+
 def test_confirmation_rules(spark):
     views = spark.createDataFrame(
         [("a", 1, "杯子", "白"), ("a", 2, "杯子", "白"), ("b", 1, "杯子", "白"), ("c", 1, "杯子", "白"),
