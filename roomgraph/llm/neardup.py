@@ -9,11 +9,12 @@
 4. A star alone may miss links between two of its rays. A shingle that only one candidate has
    can't be shared, which bounds every similarity from above; of two documents that the bound
    lets be linked one has few such shingles. So only these are held against the members of other
-   components in their buckets, and only pairs within the bound are made. In one component all is
-   known already. No link between members of a bucket is lost.
+   components in their buckets, and only pairs within the bound are made whose one-bit MinHash
+   signatures come near the threshold. In one component all is known already.
 
-A link at the threshold is missed if no band of the two agrees; with ``rows`` and ``bands`` as in
-the query that happens with a probability below 1e-6.
+A link at the threshold is missed if no band of the two agrees, or if their ``BITS`` independent
+signature bits agree five standard deviations too rarely; with ``rows`` and ``bands`` as in the
+query either happens with a probability below 1e-6.
 
 Defined cases: a document without words has an empty set, is linked with nothing and is its own
 component. Rows without id take no part and have no component; they are kept. Where an id
@@ -33,6 +34,8 @@ from roomgraph.llm.common import drop_stored, small_batches, stored, text_of
 from roomgraph.llm.shingles import mixed, shingle_sets
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+#: Bits of the signature that pairs are held against before they are made.
+BITS = 1024
 #: Rounds of a labelling; it ends far earlier, as labels jump along each other.
 MOST_ROUNDS = 100
 
@@ -102,6 +105,34 @@ def lonely_shingles(texts: DataFrame) -> DataFrame:
     )
 
 
+def one_bit_signatures(texts: DataFrame) -> DataFrame:
+    """(doc, bits): the lowest bit of ``BITS`` independent MinHash values, in longs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds = np.random.default_rng(21).integers(1, 1 << 63, (2, BITS), dtype=np.uint64)
+        factor, shift = seeds[0] | np.uint64(1), seeds[1]
+        for batch in batches:
+            out = []
+            for s in shingle_sets([t.encode() for t in batch.column(1).to_pylist()]):
+                low = np.zeros(BITS, np.uint8)
+                step = max(1, (1 << 18) // max(1, len(s)))
+                for at in range(0, BITS if len(s) else 0, step):
+                    part = slice(at, at + step)
+                    # the products' upper halves are well mixed; their least one says the bit
+                    least = ((s[None, :] ^ shift[part, None]) * factor[part, None]).min(1)
+                    low[part] = mixed(least) & np.uint64(1)
+                out.append(np.packbits(low).view("<i8"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc", "bits"])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc long, bits array<long>")
+
+
+def _near_bits(percent: int) -> int:
+    """So many bits agree at least, but for chance, at a similarity of ``percent``."""
+    share = (1 + percent / 100) / 2
+    return int(BITS * share - 5 * (BITS * share * (1 - share)) ** 0.5)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The ``pairs`` (a, b) whose shingle sets reach ``percent``; ``texts`` has (doc, text)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,19 +226,29 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 40, rows: i
     # what the stars leave open: documents with few lone shingles against other components
     placed = stored(mine.join(first, "doc", "left").withColumn(
         "component", F.coalesce("component", "doc")))
-    spread = placed.select("doc", "n", "shared", "component", "names",
-                           F.explode("names").alias("at")).select(
-        "doc", "n", "shared", "component", "names", "at.band", "at.bucket")
-    mixed_up = spread.groupBy("band", "bucket").agg(
-        F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo <> _hi").select("band", "bucket")
-    spread = spread.join(mixed_up, ["band", "bucket"])
+    at_bucket = [F.col("at.band").alias("band"), F.col("at.bucket").alias("bucket")]
+    mixed_up = placed.select("component", F.explode("names").alias("at")).select(
+        "component", *at_bucket).groupBy("band", "bucket").agg(
+        F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter(
+        "_lo <> _hi").select("band", "bucket")
+    spread = placed.select("doc", F.explode("names").alias("at")).select("doc", *at_bucket).join(
+        mixed_up, ["band", "bucket"]).groupBy("doc").agg(
+        F.collect_set(F.struct("band", "bucket")).alias("open"))
+    bits = one_bit_signatures(texts.join(spread.select("doc"), "doc"))
+    spread = stored(placed.join(spread, "doc").join(bits, "doc").select(
+        "doc", "n", "shared", "component", "open", "bits"))
+    spread = spread.select("*", F.explode("open").alias("at")).select(
+        "doc", "n", "shared", "component", "open", "bits", *at_bucket)
     few = spread.filter((100 + percent) * F.col("shared") >= 2 * percent * F.col("n"))
     is_few = (100 + percent) * F.col("y.shared") >= 2 * percent * F.col("y.n")
-    once = F.array_min(F.array_intersect("x.names", "y.names"))
+    agree = sum((F.bit_count(F.bitwise_not(F.get("x.bits", F.lit(i)).bitwiseXOR(
+        F.get("y.bits", F.lit(i))))) for i in range(BITS // 64)), F.lit(0))
+    once = F.array_min(F.array_intersect("x.open", "y.open"))
     rest = few.alias("x").join(spread.alias("y"), (
         (F.col("x.band") == F.col("y.band")) & (F.col("x.bucket") == F.col("y.bucket"))
         & (F.col("x.component") != F.col("y.component"))
         & ((F.col("x.doc") < F.col("y.doc")) | ~is_few) & possible("x", "y")
+        & (agree >= _near_bits(percent))
         & (once == F.struct(F.col("x.band").alias("band"), F.col("x.bucket").alias("bucket"))))
     ).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
     more = confirmed(rest, texts, percent)

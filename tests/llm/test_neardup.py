@@ -83,3 +83,21 @@ def test_words_are_hashed_like_words():
                 assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
     assert len(np.unique(shingles.runs(np.arange(9).astype(np.uint64), 5))) == 5
+
+
+def test_signature_bits_estimate_similarity(spark):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    texts, base = [], [rng.choice(words) for _ in range(400)]
+    for edits in (0, 5, 10, 20, 40, 80, 200):
+        t = list(base)
+        for _ in range(edits):
+            t[rng.randrange(400)] = rng.choice(words)
+        texts.append(" ".join(t))
+    docs = spark.createDataFrame(list(enumerate([*texts, "one", "one", "two"])), "doc long, text string")
+    bits = {r.doc: np.array(r.bits).view(np.uint8) for r in neardup.one_bit_signatures(docs).collect()}
+    share = lambda a, b: 1 - np.unpackbits(bits[a] ^ bits[b]).mean()
+    for i, t in enumerate(texts):
+        a, b = shingle_set(texts[0]), shingle_set(t)
+        assert abs(2 * share(0, i) - 1 - len(a & b) / len(a | b)) < 0.1
+    assert share(7, 8) == 1 and abs(share(7, 9) - 0.5) < 0.1
