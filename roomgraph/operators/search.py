@@ -119,11 +119,35 @@ def _side(questions: DataFrame, hint: str, nodes: DataFrame, name: str) -> DataF
     return locate(asked, nodes).select("query_id", "scene_id", F.col("node_id").alias(name))
 
 
-def relational(questions: DataFrame, nodes: DataFrame, relations: DataFrame) -> DataFrame:
+def _standing(questions: DataFrame, hint: str, nodes: DataFrame, name: str) -> DataFrame:
+    """Nodes with a height that a hint names in its scene; an empty hint names all of them."""
+    tall = nodes.filter(F.col("box").isNotNull()).select(
+        "scene_id", F.col("node_id").alias(name), g.box_center(F.col("box")).z.alias(f"_z_{name}"))
+    every = questions.filter(F.col(hint) == "").select("query_id", "scene_id").join(tall, "scene_id")
+    named = _side(questions, hint, nodes, name).join(tall, ["scene_id", name])
+    return every.unionByName(named.select(*every.columns))
+
+
+def relational_above(questions: DataFrame, nodes: DataFrame, margin: float = 0.02) -> DataFrame:
+    """Objects that lie below the subjects, from heights: no pair is stored, and only located
+    subjects meet located objects."""
+    asked = questions.filter(F.col("predicate").isin("above", ""))
+    subjects = _standing(asked, "subject_hint", nodes, "subject")
+    objects = _standing(asked, "object_hint", nodes, "object").drop("scene_id")
+    return (
+        subjects.join(objects, "query_id")
+        .filter(F.col("_z_subject") - F.col("_z_object") > margin)
+        .select("query_id", "scene_id", "subject", F.lit("above").alias("predicate"), "object")
+    )
+
+
+def relational(questions: DataFrame, nodes: DataFrame, relations: DataFrame,
+               upright: bool = False) -> DataFrame:
     """Objects of active relations from located subjects to located objects.
 
     ``questions`` carry subject_hint, predicate, object_hint; an empty hint or predicate
-    matches anything. Parent links count as ``in`` when ``in`` is asked for. One row per
+    matches anything. Parent links count as ``in`` when ``in`` is asked for. With ``upright``
+    ``above`` is taken from the nodes' boxes, as it isn't among the stored relations. One row per
     relation found, so an object may come back several times.
     """
     edges = (
@@ -160,7 +184,8 @@ def relational(questions: DataFrame, nodes: DataFrame, relations: DataFrame) ->
         nodes.select("scene_id", F.col("node_id").alias("object")), ["scene_id", "object"],
         "left_semi",
     )
-    return hinted.unionByName(free).select("query_id", "scene_id", "subject", "predicate", "object")
+    told = hinted.unionByName(free).select("query_id", "scene_id", "subject", "predicate", "object")
+    return told.unionByName(relational_above(questions, nodes)) if upright else told
 
 
 def egocentric_answers(located: DataFrame, viewers: DataFrame) -> DataFrame:

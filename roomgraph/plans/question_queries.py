@@ -157,19 +157,50 @@ def relations_of(spark, sf):
     )
 
 
-@query("relational_query", "WITH" + _keywords_sql("{a_lookups}", "subject_hint") + ","
-       + _keywords_sql("{a_lookups}", "object_hint").replace("syn(", "syn2(").replace(" syn ", " syn2 ").replace("kw AS (", "kw2 AS (", 1)
-       + "," + _NODES_SQL + "," + _locate_sql("s_hits", "kw") + "," + _locate_sql("o_hits", "kw2") + "," + _EDGES_SQL + """
-SELECT q.query_id, e.object, count(*) AS n FROM {a_lookups} q JOIN edges e ON e.scene_id=q.scene_id AND (q.predicate='' OR q.predicate=e.predicate)
+_SIDES_SQL = (
+    "WITH" + _keywords_sql("{a_lookups}", "subject_hint") + ","
+    + _keywords_sql("{a_lookups}", "object_hint").replace("syn(", "syn2(").replace(" syn ", " syn2 ").replace("kw AS (", "kw2 AS (", 1)
+    + "," + _NODES_SQL + "," + _locate_sql("s_hits", "kw") + "," + _locate_sql("o_hits", "kw2")
+)
+_FOUND_SQL = """
+SELECT q.query_id, e.object, count(*) AS n FROM {a_lookups} q JOIN edges e ON e.scene_id=q.scene_id AND WANTED
 WHERE (q.subject_hint='' OR EXISTS (SELECT 1 FROM s_hits h WHERE h.query_id=q.query_id AND h.node_id=e.subject))
   AND EXISTS (SELECT 1 FROM nodes n WHERE n.scene_id=e.scene_id AND n.node_id=e.object)
   AND (q.object_hint='' OR EXISTS (SELECT 1 FROM o_hits h WHERE h.query_id=q.query_id AND h.node_id=e.object))
-GROUP BY 1,2""")
-def relational_query(spark, sf):
-    found = search.relational(t.view(spark, sf, "a_lookups"), memory(spark, sf), edges(spark, sf))
+GROUP BY 1,2"""
+_ABOVE_SQL = """SELECT a.scene_id, a.node_id AS subject, 'above' AS predicate, b.node_id AS object
+ FROM {a_objects} a JOIN {a_objects} b ON a.scene_id=b.scene_id AND (a.zmin+a.zmax)/2-(b.zmin+b.zmax)/2>0.02"""
+
+
+def _objects_found(found):
     return found.groupBy("query_id", "object").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("relational_query", _SIDES_SQL + "," + _EDGES_SQL.rstrip().removesuffix(")") + " UNION ALL " + _ABOVE_SQL + ")"
+       + _FOUND_SQL.replace("WANTED", "(q.predicate='' OR q.predicate=e.predicate)"))
+def relational_query(spark, sf):
+    return _objects_found(search.relational(
+        t.view(spark, sf, "a_lookups"), memory(spark, sf), edges(spark, sf), upright=True))
+
+
+@query("relational_above", _SIDES_SQL + ", edges AS (" + _ABOVE_SQL + ")" + _FOUND_SQL.replace("WANTED", "true"))
+def relational_above(spark, sf):
+    asked = t.view(spark, sf, "a_lookups").withColumn("predicate", F.lit("above"))
+    return _objects_found(search.relational(asked, memory(spark, sf), edges(spark, sf), upright=True))
+
+
+@query("relational_in", _SIDES_SQL + """,
+ edges AS (SELECT scene_id, node_id AS subject, concat('obj_', CAST(ord-j AS VARCHAR)) AS object FROM {a_objects} WHERE j%3=1)"""
+       + _FOUND_SQL.replace("WANTED", "true"))
+def relational_in(spark, sf):
+    """Which containers are the named things in? Every third object lies in its scene's first."""
+    first = F.concat(F.lit("obj_"), F.floor(F.col("ord") / 50).cast("long") * 50)
+    nodes = memory(spark, sf).withColumn(
+        "parent_id", F.when(F.col("ord") % 50 % 3 == 1, first))
+    asked = t.view(spark, sf, "a_lookups").withColumn("predicate", F.lit("in"))
+    return _objects_found(search.relational(asked, nodes, edges(spark, sf)))
+
+
 _PHRASE = """CASE predicate WHEN 'on' THEN concat('在',lab,'上') WHEN 'above' THEN concat('在',lab,'上方') ELSE concat('在',lab,'附近') END"""
 _RELTEXT = f"""
  e AS (
