@@ -6,11 +6,11 @@ equal anchors. The consecutive windows of a document that share an anchor form a
 branch but at its ends.
 
 1. Anchors are counted over the corpus. Windows on an anchor that occurs once are unique; of the
-   rest only the paths are taken on, with the hash of each of their windows.
+   rest only the paths are taken on, each with a hash of its windows.
 2. Equal paths compact to one through an aggregation and a join: all but the first occurrence, by
    source coordinates, repeat every window of it.
-3. Only the first occurrences, one for each distinct path, are opened again: paths meet in windows
-   where they branch, so their windows are compared, again by coordinates.
+3. Where an anchor has several distinct paths the graph branches. Only there, and only the first
+   occurrence of each distinct path, are the windows compared one by one, again by coordinates.
 
 What steps 2 and 3 name is the exact set of windows that also start earlier; a document's words
 under such windows are removed. Anchors, paths and windows that are very frequent meet only in
@@ -28,14 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roomgraph.llm.common import drop_stored, small_batches, stored, text_of
 from roomgraph.llm.shingles import _power, hashed_words, mixed
 
-ANCHORS = "anchor long, doc long, version long, lo int"
-PATHS = ("anchor long, path long, doc long, version long, lo int, windows array<long>")
+ANCHORS = "anchor long, key long"
+PATHS = "anchor long, path long, doc long, version long, lo int, n int"
+EDGES = "anchor long, edge long, doc long, version long, lo int"
 CLEAN = "n_words long, n_removed long, text string, kept_sha256 string"
 
 
@@ -71,92 +72,117 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, keep: list[str]) -> DataFram
     return docs.select(
         F.coalesce(F.col(doc_id).cast("long"), low).alias("doc"),
         F.xxhash64(text_of(text)).alias("version"), text_of(text).alias("text"),
-        F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("row"))
+        F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("row"),
+    ).withColumn("key", F.xxhash64("doc", "version"))
 
 
 def anchors(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """The anchors of every text, with a hash of the document's id and version.
+
+    Two documents that share that hash would only be looked at for each other's anchors too.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, version = (batch.column(i).to_numpy() for i in (0, 1))
-            texts = [t.encode() for t in batch.column(2).to_pylist()]
+            key = batch.column(0).to_numpy()
+            texts = [t.encode() for t in batch.column(1).to_pylist()]
             for at, _, words, starts in hashed_words(texts, lower=False):
-                first, _, anchor, owner = paths_of(words, starts, window, k)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor.view(np.int64)), pa.array(doc[at + owner]),
-                    pa.array(version[at + owner]),
-                    pa.array((first - starts[owner]).astype(np.int32))],
-                    names=["anchor", "doc", "version", "lo"])
-
-    return rows.select("doc", "version", "text").mapInArrow(run, ANCHORS)
-
-
-def open_paths(rows: DataFrame, window: int, k: int) -> DataFrame:
-    """Paths of ``rows`` (doc, version, text, los) that begin at one of the row's ``los``."""
+                _, _, anchor, owner = paths_of(words, starts, window, k)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(key[at + owner])],
+                    names=["anchor", "key"])
+
+    return rows.select("key", "text").mapInArrow(run, ANCHORS)
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], window: int, k: int, by_anchor: bool):
+    """Of batches (doc, version, text, wanted) the paths whose anchor, or whose first window, is
+    among the row's ``wanted``: first window, number, anchor, row, that row's start, and the hashes
+    of all windows."""
+    for batch in batches:
+        doc, version = (batch.column(i).to_numpy() for i in (0, 1))
+        texts = [t.encode() for t in batch.column(2).to_pylist()]
+        wanted = batch.column(3).to_pylist()
+        for at, end, words, starts in hashed_words(texts, lower=False):
+            first, number, anchor, owner = paths_of(words, starts, window, k)
+            mine = [np.asarray(w, np.int64) + (0 if by_anchor else starts[i])
+                    for i, w in enumerate(wanted[at:end])]
+            keep = np.isin(anchor.view(np.int64) if by_anchor else first,
+                           np.concatenate([np.zeros(0, np.int64), *mine]))
+            row = at + owner[keep]
+            yield (first[keep], number[keep], anchor[keep], doc[row], version[row],
+                   starts[owner[keep]], _runs(words, window))
+
+
+def _spread(first: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All windows of the paths, and where each path's begin among them."""
+    offsets = np.cumsum(number) - number
+    return np.repeat(first - offsets, number) + np.arange(number.sum()), offsets
+
+
+def named_paths(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """Paths of ``rows`` (doc, version, text, often) on one of the row's ``often`` anchors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, version = (batch.column(i).to_numpy() for i in (0, 1))
-            texts = [t.encode() for t in batch.column(2).to_pylist()]
-            los = batch.column(3)
-            ends = los.offsets.to_numpy()
-            marks = los.values.to_numpy()
-            for at, end, words, starts in hashed_words(texts, lower=False):
-                first, number, anchor, owner = paths_of(words, starts, window, k)
-                edges = _runs(words, window)
-                mine = marks[ends[at]:ends[end]].astype(np.int64)
-                of = np.repeat(np.arange(end - at), np.diff(ends[at:end + 1]))
-                keep = np.isin(first, mine + starts[of])
-                first, number, anchor, owner = first[keep], number[keep], anchor[keep], owner[keep]
-                offsets = np.concatenate([[0], np.cumsum(number)])
-                place = np.repeat(first - offsets[:-1], number) + np.arange(offsets[-1])
-                inside = edges[place]
+        for first, number, anchor, doc, version, start, edges in _chosen(batches, window, k, True):
+            place, offsets = _spread(first, number)
+            name = np.zeros(len(first), np.uint64)
+            if len(first):
                 # a path's content: its windows in order, and how many
-                name = np.zeros(len(first), np.uint64)
-                if len(first):
-                    spun = mixed(inside + (place - np.repeat(first, number)).astype(np.uint64)
-                                 * np.uint64(0x9E3779B97F4A7C15))
-                    name = mixed(np.add.reduceat(spun, offsets[:-1]) + number.astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)),
-                    pa.array(doc[at + owner]), pa.array(version[at + owner]),
-                    pa.array((first - starts[owner]).astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)),
-                                             pa.array(inside.view(np.int64)))],
-                    names=["anchor", "path", "doc", "version", "lo", "windows"])
+                turn = (place - np.repeat(first, number)).astype(np.uint64)
+                spun = mixed(edges[place] + turn * np.uint64(0x9E3779B97F4A7C15))
+                name = mixed(np.add.reduceat(spun, offsets) + number.astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(anchor.view(np.int64)), pa.array(name.view(np.int64)), pa.array(doc),
+                pa.array(version), pa.array((first - start).astype(np.int32)),
+                pa.array(number.astype(np.int32))],
+                names=["anchor", "path", "doc", "version", "lo", "n"])
+
+    return rows.select("doc", "version", "text", "often").mapInArrow(run, PATHS)
 
-    return rows.select("doc", "version", "text", "los").mapInArrow(run, PATHS)
 
+def opened_paths(rows: DataFrame, window: int, k: int) -> DataFrame:
+    """Every window of the paths of ``rows`` (doc, version, text, los) that begin at ``los``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for first, number, anchor, doc, version, start, edges in _chosen(batches, window, k, False):
+            place, _ = _spread(first, number)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.repeat(anchor, number).view(np.int64)),
+                pa.array(edges[place].view(np.int64)), pa.array(np.repeat(doc, number)),
+                pa.array(np.repeat(version, number)),
+                pa.array((place - np.repeat(start, number)).astype(np.int32))],
+                names=["anchor", "edge", "doc", "version", "lo"])
 
-def _where(*columns: Column) -> Column:
-    return F.struct(*columns)
+    return rows.select("doc", "version", "text", "los").mapInArrow(run, EDGES)
 
 
 def repeats(rows: DataFrame, window: int, k: int) -> DataFrame:
     """Spans of windows that also start earlier: doc, version, first window, number of windows."""
     found = anchors(rows, window, k)
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    marked = stored(found.join(often.select("anchor"), "anchor").groupBy("doc", "version").agg(
-        F.collect_set("lo").alias("los")))
-    paths = stored(open_paths(rows.join(marked, ["doc", "version"]), window, k))
+    marked = stored(found.join(often.select("anchor"), "anchor").groupBy("key").agg(
+        F.collect_set("anchor").alias("often")))
+    paths = stored(named_paths(rows.join(marked, "key"), window, k))
     drop_stored(marked)
 
-    place = _where(F.col("doc"), F.col("version"), F.col("lo"))
-    firsts = paths.groupBy("anchor", "path").agg(
-        F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    told = stored(paths.join(firsts.select("anchor", "path", "first"), ["anchor", "path"], "left")
-                  .select("anchor", "doc", "version", "lo", "windows",
-                          (F.col("first").isNotNull() & (F.col("first") != place)).alias("again"))
-                  .select("anchor", "doc", "version", "lo", "again", F.size("windows").alias("n"),
-                          F.when(~F.col("again"), F.col("windows")).alias("windows")))
+    place = F.struct("doc", "version", "lo")
+    firsts = stored(paths.groupBy("anchor", "path").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("times")))
+    again = firsts.filter("times > 1").select("anchor", "path", "first")
+    whole = stored(paths.join(again, ["anchor", "path"]).filter(F.col("first") != place).select(
+        "doc", "version", "lo", "n"))
     drop_stored(paths)
-    whole = told.filter("again").select("doc", "version", "lo", "n")
-
-    opened = told.filter(~F.col("again")).select(
-        "anchor", "doc", "version", "lo", F.posexplode("windows").alias("at", "edge")).select(
-        "anchor", "edge", "doc", "version", (F.col("lo") + F.col("at")).alias("lo"))
-    shared = opened.groupBy("anchor", "edge").agg(
-        F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
-    single = opened.join(shared.select("anchor", "edge", "first"), ["anchor", "edge"]).filter(
-        F.col("first") != place).select("doc", "version", "lo", F.lit(1).alias("n"))
+
+    forks = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    leaders = stored(firsts.join(forks.select("anchor"), "anchor", "left_semi").groupBy(
+        F.col("first.doc").alias("doc"), F.col("first.version").alias("version")).agg(
+        F.collect_set("first.lo").alias("los")))
+    drop_stored(firsts)
+    edges = stored(opened_paths(rows.join(leaders, ["doc", "version"]), window, k))
+    drop_stored(leaders)
+    shared = edges.groupBy("anchor", "edge").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    single = stored(edges.join(shared.select("anchor", "edge", "first"), ["anchor", "edge"]).filter(
+        F.col("first") != place).select("doc", "version", "lo", F.lit(1).alias("n")))
+    drop_stored(edges)
     return whole.unionByName(single)
 
 
