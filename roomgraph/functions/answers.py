@@ -185,6 +185,16 @@ def is_injection(text: Column) -> Column:
     return F.coalesce(text.rlike(together), F.lit(False))
 
 
+def name_list(text: Column, key: str) -> Column:
+    """Names under ``key`` of the JSON object between the first and the last brace of a text:
+    stripped, without empty ones; a plain string is a list of one."""
+    inner = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+    value = F.try_variant_get(F.try_parse_json(inner), f"$.{key}", "array<string>")
+    single = F.try_variant_get(F.try_parse_json(inner), f"$.{key}", "string")
+    names = F.coalesce(value, F.array(single))
+    return F.filter(F.transform(names, strip), lambda n: F.coalesce(n, F.lit("")) != "")
+
+
 def hide_prompt(text: Column, prompt: str, size: int = 40) -> Column:
     """Replace every full 40-character piece of the prompt that shows up in a text."""
     for start in range(0, len(prompt) - size + 1, size):

@@ -117,6 +117,26 @@ def ingest_objects(batch: DataFrame, existing: DataFrame | None = None) -> DataF
     )
 
 
+def observed_rows(observations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of observations: the object, its support where one is named, and ``on``.
+
+    ``observations`` carry scene_id, ord, t_s, object_name, support_name, confidence; rows without
+    an object name say nothing. Nodes are named by what they are called.
+    """
+    said = observations.withColumns({
+        "_o": F.btrim(F.coalesce("object_name", F.lit(""))),
+        "_s": F.btrim(F.coalesce("support_name", F.lit("")))}).filter(F.col("_o") != "")
+    parts = F.array(F.struct(F.col("_o").alias("label"), F.lit("object").alias("node_type")),
+                    F.struct(F.col("_s").alias("label"), F.lit("anchor").alias("node_type")))
+    nodes = said.withColumn("_p", F.explode(F.filter(parts, lambda p: p.label != ""))).select(
+        "scene_id", F.concat(F.lit("seen_"), F.col("_p.label")).alias("node_id"), "_p.label",
+        "_p.node_type", "confidence", "t_s", "ord")
+    edges = said.filter(F.col("_s") != "").select(
+        "scene_id", F.concat(F.lit("seen_"), F.col("_o")).alias("subject"), F.lit("on").alias("predicate"),
+        F.concat(F.lit("seen_"), F.col("_s")).alias("object"), "confidence", "t_s", "ord")
+    return nodes, edges
+
+
 def ingest_relations(batch: DataFrame) -> DataFrame:
     """``on`` and ``in`` sightings that come with ingested objects (support_id, room_id)."""
     links = F.array(

@@ -53,6 +53,21 @@ def latency_summary(rows: DataFrame, keys: list[str], column: str = "latency_ms"
     )
 
 
+def run_report(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """One line per run: calls, pass rate, latency summary with its minimum, token totals.
+
+    ``calls`` carry ``passed``, latency_ms, prompt_tokens and completion_tokens.
+    """
+    totals = calls.groupBy(*keys).agg(
+        F.avg(F.coalesce("passed", F.lit(False)).cast("double")).alias("pass_rate"),
+        F.min("latency_ms").alias("min_ms"),
+        F.sum("prompt_tokens").alias("prompt_tokens"),
+        F.sum("completion_tokens").alias("completion_tokens"),
+        F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
+    )
+    return totals.join(latency_summary(calls, keys), keys)
+
+
 def latency_histogram(
     rows: DataFrame, keys: list[str], seconds: Column, bounds: tuple[float, ...] = E2E_BUCKETS
 ) -> DataFrame:

@@ -180,6 +180,13 @@ def positions(
     )
 
 
+def every_step(df: DataFrame, keys: Sequence[str], order: str, step: int, width: int = 1_000_000
+               ) -> DataFrame:
+    """The first row of each key by ``order`` and every ``step``-th after it."""
+    return positions(df, keys, order, width, "_pos").filter(
+        (F.col("_pos") - 1) % step == 0).drop("_pos")
+
+
 def prefix_best(
     df: DataFrame,
     keys: Sequence[str],

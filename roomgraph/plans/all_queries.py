@@ -1,6 +1,7 @@
 """Importing the query modules fills the registry."""
 
 from roomgraph.plans import (  # noqa: F401
+    further_queries,
     learning_queries,
     question_queries,
     scene_queries,

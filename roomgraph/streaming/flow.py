@@ -74,14 +74,14 @@ def with_recheck(first: DataFrame, second: DataFrame) -> DataFrame:
     """Replace risky answers without context by their second answer, where there is one.
 
     Both carry seq, device_id, result, degraded, prompt_tokens, completion_tokens and
-    latency_ms; ``first`` also kb_context; ``second`` holds successful second calls made with
-    knowledge hits. Tokens and latencies add up.
+    latency_ms; ``first`` also kb_context and trigger; ``second`` holds successful second calls
+    made with knowledge hits. Tokens and latencies add up. Reading frames are never asked again.
     """
     keys = ["device_id", "seq"]
     values = ["result", "degraded", "prompt_tokens", "completion_tokens", "latency_ms"]
     other = second.select(*keys, F.struct(*values).alias("_s"))
     asks = (
-        (F.col("result.risk_level") == "high")
+        (F.col("result.risk_level") == "high") & (F.coalesce("trigger", F.lit("")) != "read")
         & (F.coalesce("kb_context", F.lit("")) == "")
         & (F.size("result.keywords") > 0)
     )
@@ -131,14 +131,17 @@ def finish_frames(frames: DataFrame, banned: list[str] | None = None) -> DataFra
 
 
 def split_logs(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(inference_log, reject_log). Only gate rejects keep the time since the last call."""
+    """(inference_log, reject_log). Only gate rejects keep the time since the last call; frames
+    over the rate are refused before they are hashed, so they have no hash."""
     rejected = frames.filter(F.col("rejected_by").isNotNull()).withColumn(
         "since_last_call_s",
         F.when(F.col("rejected_by") == "gate", F.col("since_last_call_s")),
     )
     rejects = rejected.select(
         "device_id", "thread_id", F.col("rejected_by").alias("node"),
-        F.coalesce("reject_reason", F.lit("")).alias("reason"), "phash", "hash_distance",
+        F.coalesce("reject_reason", F.lit("")).alias("reason"),
+        F.when(F.col("reject_reason").isin("rate_limit", "read_rate_limit"), "").otherwise(F.col("phash")).alias("phash"),
+        "hash_distance",
         "since_last_call_s", "created_at",
     )
     return frames.filter(F.col("rejected_by").isNull()), rejects
