@@ -16,25 +16,27 @@ NAME_FAMILY = {
 }
 
 # ---- class -> family, for association across frames --------------------------------
-CLASS_FAMILY_MEMBERS = {
-    "container": [
-        "cup", "mug", "water cup", "bottle", "vase", "flower vase", "bucket",
-        "water bucket", "plastic bucket", "flower bucket", "trash can", "trash bin",
-        "wastebin", "waste basket", "garbage can", "flower pot", "plant pot", "planter",
-        "垃圾桶", "水桶", "花筒", "杯子",
-    ],
-    "furniture": [
-        "chair", "stool", "table", "desk", "coffee table", "sofa", "couch", "bed",
-        "dining table", "sink", "toilet", "沙发", "桌子", "茶几",
-    ],
-    "electronics": [
-        "laptop", "cell phone", "phone", "smartphone", "remote", "remote control",
-        "mouse", "computer mouse", "keyboard", "tv", "television", "clock",
-        "电视", "遥控器", "鼠标", "键盘", "手机",
-    ],
-    "textile": ["pillow", "cushion", "blanket", "quilt", "被子", "枕头"],
-    "plant": ["potted plant", "花盆"],
-    "paper": ["book", "书本"],
+CLASS_FAMILY = {
+    "cup": "container", "mug": "container", "water cup": "container", "bottle": "container",
+    "vase": "container", "flower vase": "container", "bucket": "container",
+    "water bucket": "container", "plastic bucket": "container", "flower bucket": "container",
+    "trash can": "container", "trash bin": "container", "wastebin": "container",
+    "waste basket": "container", "garbage can": "container", "flower pot": "container",
+    "plant pot": "container", "planter": "container", "垃圾桶": "container", "水桶": "container",
+    "花筒": "container", "杯子": "container",
+    "chair": "furniture", "stool": "furniture", "table": "furniture", "desk": "furniture",
+    "coffee table": "furniture", "sofa": "furniture", "couch": "furniture", "bed": "furniture",
+    "dining table": "furniture", "sink": "furniture", "toilet": "furniture", "沙发": "furniture",
+    "桌子": "furniture", "茶几": "furniture",
+    "laptop": "electronics", "cell phone": "electronics", "phone": "electronics",
+    "smartphone": "electronics", "remote": "electronics", "remote control": "electronics",
+    "mouse": "electronics", "computer mouse": "electronics", "keyboard": "electronics",
+    "tv": "electronics", "television": "electronics", "clock": "electronics", "电视": "electronics",
+    "遥控器": "electronics", "鼠标": "electronics", "键盘": "electronics", "手机": "electronics",
+    "pillow": "textile", "cushion": "textile", "blanket": "textile", "quilt": "textile",
+    "被子": "textile", "枕头": "textile",
+    "potted plant": "plant", "花盆": "plant",
+    "book": "paper", "书本": "paper",
 }
 # Families in which differently labelled views of one object may be joined.
 TIGHT_FAMILIES = ("container", "textile", "plant")
@@ -83,11 +85,17 @@ DIRECTION_ZH = {
     "front": "前方", "left": "左方", "right": "右方", "behind": "后方",
     "left_front": "左前方", "right_front": "右前方",
 }
-# predicate -> (text before the object, text after it)
+# predicate -> text around the object
 PREDICATE_ZH = {
-    "on": ("在", "上"), "above": ("在", "上方"), "below": ("在", "下方"),
-    "near": ("在", "附近"), "in": ("在", "里"), "left_of": ("在", "左边"),
-    "right_of": ("在", "右边"), "front_of": ("在", "前方"), "behind": ("在", "后面"),
+    "on": "在{}上",
+    "above": "在{}上方",
+    "below": "在{}下方",
+    "near": "在{}附近",
+    "in": "在{}里",
+    "left_of": "在{}左边",
+    "right_of": "在{}右边",
+    "front_of": "在{}前方",
+    "behind": "在{}后面",
 }
 # hue range in degrees [from, to) -> colour
 HUE_RANGES = [

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from roomgraph.fixed_values import (
-    CLASS_FAMILY_MEMBERS,
+    CLASS_FAMILY,
     DIRECTION_ZH,
     HUE_RANGES,
     LABEL_ZH,
@@ -56,11 +56,9 @@ def same_color(a: Column, b: Column) -> Column:
     return (ca == "") | (cb == "") | (strip(ca) == strip(cb))
 
 
-_FAMILY_OF = {cls: fam for fam, members in CLASS_FAMILY_MEMBERS.items() for cls in members}
-
 
 def class_family(cls: Column) -> Column:
-    return F.coalesce(lookup(_FAMILY_OF, cls), cls)
+    return F.coalesce(lookup(CLASS_FAMILY, cls), cls)
 
 
 def zh_label(label: Column) -> Column:
@@ -72,9 +70,7 @@ def zh_direction(tag: Column) -> Column:
 
 
 def relation_phrase(predicate: Column, label: Column) -> Column:
-    before = lookup({p: a for p, (a, _) in PREDICATE_ZH.items()}, predicate)
-    after = lookup({p: b for p, (_, b) in PREDICATE_ZH.items()}, predicate)
-    return F.concat(before, zh_label(label), after)
+    return F.replace(lookup(PREDICATE_ZH, predicate), F.lit("{}"), zh_label(label))
 
 
 def frame_number(name: Column) -> Column:
