@@ -13,7 +13,10 @@ HEADLINE = [
     "relations_on", "relations_near", "on_support", "locate_top", "where_is", "retrieval_answer",
     "lift_boxes", "class_votes", "nms_keep", "reid_best", "kb_topk", "relation_upsert",
     "gate_replay", "parse_outputs", "redact_counts", "injection_scan", "read_segments",
-    "kb_chunks", "latency_pcts",
+    "kb_chunks", "latency_pcts", "relations_above", "instance_rollup", "novel_candidates",
+    "confirm_upgrade", "correction_log", "shape_replies", "relational_query", "relation_text",
+    "merge_duplicates", "associate_instances", "jump_filter", "candidate_pool_placed",
+    "support_planes", "wall_planes",
 ]
 
 

@@ -115,7 +115,9 @@ def depth_scale(spark, sf):
 SELECT scene_id, frame, round(-(r00*tx+r10*ty+r20*tz),6) AS x, round(-(r01*tx+r11*ty+r21*tz),6) AS y, round(-(r02*tx+r12*ty+r22*tz),6) AS z,
  round(atan2(r10,r00),6) AS yaw,
  round(CASE WHEN r00+r11+r22>0 THEN sqrt(r00+r11+r22+1.0)*2*0.25 WHEN r00>r11 AND r00>r22 THEN (r21-r12)/(sqrt(1.0+r00-r11-r22)*2) WHEN r11>r22 THEN (r02-r20)/(sqrt(1.0+r11-r00-r22)*2) ELSE (r10-r01)/(sqrt(1.0+r22-r00-r11)*2) END,6) AS qw,
- round(CASE WHEN r00+r11+r22>0 THEN (r02-r20)/(sqrt(r00+r11+r22+1.0)*2) WHEN r00>r11 AND r00>r22 THEN (r01+r10)/(sqrt(1.0+r00-r11-r22)*2) WHEN r11>r22 THEN sqrt(1.0+r11-r00-r22)*2*0.25 ELSE (r12+r21)/(sqrt(1.0+r22-r00-r11)*2) END,6) AS qy
+ round(CASE WHEN r00+r11+r22>0 THEN (r02-r20)/(sqrt(r00+r11+r22+1.0)*2) WHEN r00>r11 AND r00>r22 THEN (r01+r10)/(sqrt(1.0+r00-r11-r22)*2) WHEN r11>r22 THEN sqrt(1.0+r11-r00-r22)*2*0.25 ELSE (r12+r21)/(sqrt(1.0+r22-r00-r11)*2) END,6) AS qy,
+ round(CASE WHEN r00+r11+r22>0 THEN (r21-r12)/(sqrt(r00+r11+r22+1.0)*2) WHEN r00>r11 AND r00>r22 THEN sqrt(1.0+r00-r11-r22)*2*0.25 WHEN r11>r22 THEN (r01+r10)/(sqrt(1.0+r11-r00-r22)*2) ELSE (r02+r20)/(sqrt(1.0+r22-r00-r11)*2) END,6)+0.0 AS qx,
+ round(CASE WHEN r00+r11+r22>0 THEN (r10-r01)/(sqrt(r00+r11+r22+1.0)*2) WHEN r00>r11 AND r00>r22 THEN (r02+r20)/(sqrt(1.0+r00-r11-r22)*2) WHEN r11>r22 THEN (r12+r21)/(sqrt(1.0+r11-r00-r22)*2) ELSE sqrt(1.0+r22-r00-r11)*2*0.25 END,6)+0.0 AS qz
 FROM {a_poses}""")
 def camera_track(spark, sf):
     poses = align.camera_centers(t.poses(spark, sf)).withColumn(
@@ -125,6 +127,7 @@ def camera_track(spark, sf):
         "scene_id", "frame", *[F.round(f"center.{a}", 6).alias(a) for a in "xyz"],
         F.round(g.yaw_from_pose(F.col("pose")), 6).alias("yaw"),
         F.round("q.qw", 6).alias("qw"), F.round("q.qy", 6).alias("qy"),
+        (F.round("q.qx", 6) + 0.0).alias("qx"), (F.round("q.qz", 6) + 0.0).alias("qz"),
     )
 
 

@@ -16,6 +16,7 @@ from roomgraph.fixed_values import (
 from roomgraph.functions import answers as a
 from roomgraph.functions import frames as fr
 from roomgraph.operators import reports
+from roomgraph.operators.scaling import with_previous
 from roomgraph.plans.catalog import query
 from roomgraph.sources import testtables as t
 from roomgraph.streaming import flow
@@ -34,11 +35,9 @@ def lit(text: str) -> str:
 @query("phash_distance", """
 SELECT device_id, seq, abs(bits - coalesce(lag(bits) OVER (PARTITION BY device_id ORDER BY epoch_s, seq), bits+64)) AS distance FROM {a_frames}""")
 def phash_distance(spark, sf):
-    from pyspark.sql.window import Window
-
     f = t.view(spark, sf, "a_frames")
-    before = F.lag("phash").over(Window.partitionBy("device_id").orderBy("epoch_s", "seq"))
-    return f.withColumn("_b", before).select(
+    linked = with_previous(f, ["device_id"], "epoch_s", {"phash": "_b"}, 86400.0, ["seq"])
+    return linked.select(
         "device_id", "seq", fr.hamming(F.col("phash"), F.col("_b")).cast("long").alias("distance")
     )
 
@@ -100,6 +99,18 @@ def quality_reasons(spark, sf):
     return reports.reason_counts(q.withColumn("reasons", reasons))
 
 
+@query("quality_reason_lists", """
+WITH f AS (SELECT seq, 200+k%400 AS w, value%90 AS luma, CAST(k%10 AS DOUBLE)/20 AS bright, CAST(seq%12 AS DOUBLE)/12 AS dark, CAST(seq%150 AS DOUBLE) AS blur FROM {a_frames})
+SELECT seq, array_to_string(list_filter([CASE WHEN w<320 THEN 'resolution_too_small' END, CASE WHEN luma<35 THEN 'too_dark' END, CASE WHEN bright>0.35 THEN 'over_exposed' END, CASE WHEN dark>0.85 THEN 'occluded' END, CASE WHEN blur<65 THEN 'blurry' END], lambda v: v IS NOT NULL), ',') AS reasons FROM f""")
+def quality_reason_lists(spark, sf):
+    """All five reasons, alone and together."""
+    f = t.view(spark, sf, "a_frames")
+    reasons = fr.quality_reasons(
+        200 + F.col("k") % 400, F.lit(480), F.col("value") % 90, (F.col("seq") % 12) / 12.0,
+        (F.col("k") % 10) / 20.0, (F.col("seq") % 150).cast("double"))
+    return f.select("seq", F.array_join(reasons, ",").alias("reasons"))
+
+
 @query("static_rules", """
 SELECT seq, CASE WHEN k*10+100<512 THEN 'too_small' WHEN k*60000>4194304 THEN 'too_large' WHEN seq%11=0 THEN 'decode_failed' WHEN bits<4 THEN 'too_low_resolution' WHEN value<20 THEN 'too_blurry'
  WHEN seq%5=0 AND trigger<>'read' THEN 'face_detected' END AS reject_reason FROM {a_frames}""")
