@@ -129,12 +129,37 @@ def static_rules(spark, sf):
 # ---- gate and flow ----------------------------------------------------------------------------------
 
 
-@query("gate_replay")
+# the walk itself: one frame of every device a step (POLICY: burst 1, expiry 144000 s, reads 0.1/s)
+_GATE_WALK = """WITH RECURSIVE f AS (SELECT device_id, seq, epoch_s, trigger, phash, bits, row_number() OVER (PARTITION BY device_id ORDER BY epoch_s, seq) AS rn FROM {a_frames}),
+ s AS (
+  SELECT device_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS BIGINT) AS distance, CAST(NULL AS DOUBLE) AS since,
+   CAST(NULL AS DOUBLE) AS tok, CAST(NULL AS DOUBLE) AS tat, CAST(NULL AS DOUBLE) AS rd, CAST(NULL AS DOUBLE) AS rat, CAST(NULL AS BIGINT) AS lb, CAST(NULL AS DOUBLE) AS la FROM f WHERE rn=1
+  UNION ALL
+  SELECT device_id, rn, seq, reason, CASE WHEN ok THEN d END, CASE WHEN ok THEN epoch_s-la1 END,
+   CASE WHEN trigger='read' OR NOT ok THEN tok1 ELSE tok1-1 END, CASE WHEN trigger='read' THEN tat ELSE epoch_s END,
+   CASE WHEN trigger='read' AND ok THEN rd1-1 ELSE rd1 END, CASE WHEN trigger='read' THEN epoch_s ELSE rat END,
+   CASE WHEN reason IS NULL THEN bits WHEN ok THEN lb1 ELSE lb END, CASE WHEN reason IS NULL THEN epoch_s WHEN ok THEN la1 ELSE la END
+  FROM (SELECT *, CASE WHEN NOT ok THEN CASE WHEN trigger='read' THEN 'read_rate_limit' ELSE 'rate_limit' END
+     WHEN trigger NOT IN ('manual','read') AND la1 IS NOT NULL AND d<2 THEN 'duplicate'
+     WHEN trigger NOT IN ('manual','read') AND la1 IS NOT NULL AND epoch_s-la1<14400 AND d<7 THEN 'no_scene_change' END AS reason
+   FROM (SELECT *, CASE WHEN trigger='read' THEN rd1>=1 ELSE tok1>=1 END AS ok, CASE WHEN la1 IS NULL THEN 64 ELSE abs(bits-lb1) END AS d
+    FROM (SELECT f.device_id, f.rn, f.seq, f.epoch_s, f.trigger, f.bits, s.tok, s.tat, s.rd, s.rat, s.lb, s.la,
+      CASE WHEN f.trigger='read' THEN s.tok ELSE coalesce(least(1.0::DOUBLE, s.tok+greatest(0.0::DOUBLE, f.epoch_s-s.tat)), 1.0::DOUBLE) END AS tok1,
+      CASE WHEN f.trigger='read' THEN coalesce(least(3.0::DOUBLE, s.rd+greatest(0.0::DOUBLE, f.epoch_s-s.rat)*0.1::DOUBLE), 3.0::DOUBLE) ELSE s.rd END AS rd1,
+      CASE WHEN f.epoch_s-s.la<144000 THEN s.la END AS la1, CASE WHEN f.epoch_s-s.la<144000 THEN s.lb END AS lb1
+     FROM s JOIN f ON f.device_id=s.device_id AND f.rn=s.rn+1) w) x) y)"""
+
+
+@query("gate_replay", _GATE_WALK + """
+SELECT f.device_id, f.seq, f.epoch_s, f.trigger, f.phash, s.reason AS reject_reason, CAST(s.distance AS INT) AS hash_distance, s.since AS since_last_call_s
+FROM s JOIN f ON f.device_id=s.device_id AND f.rn=s.rn""")
 def gate_replay(spark, sf):
     return replay(t.view(spark, sf, "a_frames"), POLICY)
 
 
-@query("gate_stats")
+@query("gate_stats", _GATE_WALK + """
+SELECT trigger, coalesce(reason,'admitted') AS reason, count(*) AS n, count(*)/CAST(sum(count(*)) OVER () AS DOUBLE) AS share
+FROM s JOIN f ON f.device_id=s.device_id AND f.rn=s.rn GROUP BY 1,2""")
 def gate_stats(spark, sf):
     judged = replay(t.view(spark, sf, "a_frames"), POLICY)
     return reports.shares(
