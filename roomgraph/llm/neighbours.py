@@ -26,15 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roomgraph.llm.common import drop_stored, stored
+from roomgraph.llm.common import drop_stored, few_files, stored
 
 #: Pairs of a bucket are compared in blocks of about so many vectors.
 LEAF = 128
-PROPOSED = "node long, other long, score float, fresh boolean"
+PROPOSED = "node long, other long, score float"
+#: A node with its neighbours, best first. Marks: 0 tried before, 1 fresh, 2 to be tried now.
+NODES = ("node long, code binary, worst float, others array<long>, scores array<float>, "
+         "marks array<int>")
+BEAM = "query long, node long, score float, seen boolean, opens boolean"
 
 
 def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -134,13 +139,10 @@ class _Proposals:
     def batches(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
             self._cut()
-            node, other, score = self.parts[0]
-            for at in range(0, len(node), 50_000):
-                s = slice(at, at + 50_000)
+            for at in range(0, self.n, 50_000):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[s]), pa.array(other[s]), pa.array(score[s]),
-                     pa.array(np.ones(len(node[s]), bool))],
-                    names=["node", "other", "score", "fresh"])
+                    [pa.array(c[at:at + 50_000]) for c in self.parts[0]],
+                    names=["node", "other", "score"])
 
 
 def from_buckets(codes: DataFrame, degree: int, tables: int, seed: int = 3) -> DataFrame:
@@ -186,49 +188,80 @@ def from_buckets(codes: DataFrame, degree: int, tables: int, seed: int = 3) -> D
         "block").mapInArrow(compare, PROPOSED)
 
 
-def merged(proposals: DataFrame, degree: int) -> DataFrame:
-    """Each node's best distinct others; an edge that was there before isn't fresh."""
+def merged(nodes: DataFrame, proposals: DataFrame, degree: int, sample: int, turn: int) -> DataFrame:
+    """``nodes`` with each one's best distinct others of those it has and those proposed."""
+    random = np.random.default_rng(turn).integers(1, 1 << 62, dtype=np.int64) | 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches):
-            node, other, score, fresh = (part.column(i).to_numpy() for i in range(4))
-            order = np.argsort(fresh, kind="stable")
+            mine = part.filter(pa.compute.is_valid(part["code"])).combine_chunks()
+            told = part.filter(pa.compute.is_null(part["code"]))
+            ids = mine["node"].to_numpy()
+            counts = np.diff(_offsets(mine["others"]))
+            node = np.concatenate([np.repeat(ids, counts), told["node"].to_numpy()])
+            other = np.concatenate([_flat(mine["others"]), told["other"].to_numpy()]).astype(np.int64)
+            score = np.concatenate([_flat(mine["scores"]), told["score"].to_numpy()]).astype(np.float32)
+            fresh = np.concatenate([_flat(mine["marks"]) == 1, np.ones(len(told), bool)])
+            order = np.argsort(fresh, kind="stable")  # of two equal edges the tried one stays
             keep = order[_best(node[order], other[order], score[order], degree)]
+            node, other, score, fresh = node[keep], other[keep], score[keep], fresh[keep]
+            # a random few of the fresh edges of each node are tried next
+            mixed = (other ^ node * random) * random
+            lot = np.lexsort((mixed, ~fresh, node))
+            first = np.searchsorted(node, ids)
+            size = np.searchsorted(node, ids, "right") - first
+            place = np.empty(len(node), np.int64)
+            place[lot] = np.arange(len(node)) - np.repeat(first, size)
+            mark = np.where(fresh, np.where(place < sample, 2, 1), 0)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            last = first + size - 1
+            worst = np.where(size >= degree, score[np.maximum(last, 0)] if len(score) else -np.inf, -np.inf)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in
+                     (other, score, mark.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c[keep]) for c in (node, other, score, fresh)],
-                names=["node", "other", "score", "fresh"])
+                [pa.array(ids), mine["code"].combine_chunks() if isinstance(mine["code"], pa.ChunkedArray)
+                 else mine["code"], pa.array(worst.astype(np.float32)), *lists],
+                names=["node", "code", "worst", "others", "scores", "marks"])
 
-    return proposals.repartition("node").sortWithinPartitions("node").mapInArrow(run, PROPOSED)
+    none = {c: F.lit(None).cast(t) for c, t in (
+        ("code", "binary"), ("others", "array<long>"), ("scores", "array<float>"), ("marks", "array<int>"),
+        ("other", "long"), ("score", "float"))}
+    shape = ["node", "code", "others", "scores", "marks", "other", "score"]
+    both = nodes.withColumns({c: none[c] for c in ("other", "score")}).select(*shape).unionByName(
+        proposals.withColumns({c: none[c] for c in ("code", "others", "scores", "marks")}).select(*shape))
+    return both.repartition("node").sortWithinPartitions("node").mapInArrow(run, NODES)
 
 
-def _share(edges: DataFrame, key: str, most: int, turn: int) -> DataFrame:
-    """At most ``most`` random rows of each ``key``."""
-    drawn = Window.partitionBy(key).orderBy(F.xxhash64("node", "other", F.lit(turn)))
-    return edges.withColumn("_r", F.row_number().over(drawn)).filter(F.col("_r") <= most).drop("_r")
+def _offsets(lists) -> np.ndarray:
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.offsets.to_numpy()
 
 
-def descend(graph: DataFrame, codes: DataFrame, degree: int, sample: int, turn: int) -> DataFrame:
-    """One round: neighbours of neighbours are compared, and the graph is merged anew."""
-    tried = _share(graph.filter("fresh"), "node", sample, turn)
-    old = graph.filter("not fresh")
+def _flat(lists) -> np.ndarray:
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False)
 
-    def both(edges: DataFrame, fresh: bool) -> DataFrame:
-        back = _share(edges, "other", degree, turn)
-        return edges.select(F.col("node").alias("at"), F.col("other").alias("node")).unionByName(
-            back.select(F.col("other").alias("at"), "node")).withColumn("new", F.lit(fresh))
 
-    lists = both(tried, True).unionByName(both(old, False)).groupBy("at", "node").agg(
-        F.max("new").alias("new"))
-    worst = graph.groupBy("node").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("n"))
-    known = codes.join(worst, "node", "left").select(
-        "node", "code", F.when(F.col("n") >= degree, F.col("worst")).otherwise(
-            F.lit(float("-inf"))).cast("float").alias("worst"))
-    lists = lists.join(known, "node").select("at", "node", "new", "worst", "code")
+def neighbours_of_neighbours(nodes: DataFrame, degree: int, turn: int) -> DataFrame:
+    """One round's proposals: in every node's list of neighbours, forward and a bounded random
+    share backward, the pairs with a member that is tried now."""
+    edges = nodes.select("node", F.explode(F.arrays_zip("others", "marks")).alias("e")).select(
+        "node", F.col("e.others").alias("other"), F.col("e.marks").alias("mark")).filter("mark <> 1")
+    drawn = Window.partitionBy("other", "mark").orderBy(F.xxhash64("node", "other", F.lit(turn)))
+    back = edges.withColumn("_r", F.row_number().over(drawn)).filter(F.col("_r") <= degree)
+    lists = edges.select(F.col("node").alias("at"), F.col("other").alias("node"), "mark").unionByName(
+        back.select(F.col("other").alias("at"), "node", "mark"))
+    lists = lists.join(nodes.select("node", "worst", "code"), "node").select(
+        "at", "node", "mark", "worst", "code")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = _Proposals(degree)
         for part in _runs(batches):
-            at, node, new, worst = (part.column(i).to_numpy() for i in range(4))
-            x = _vectors(part.column(4).combine_chunks())
+            at, node, mark, worst = (part.column(i).to_numpy() for i in range(4))
+            order = np.lexsort((-mark, node, at))
+            one = order[np.concatenate([[True], (np.diff(at[order]) != 0) | (np.diff(node[order]) != 0)])]
+            at, node, new, worst = at[one], node[one], mark[one] == 2, worst[one]
+            x = _vectors(part.column(4).combine_chunks().take(pa.array(one)))
             cuts = np.flatnonzero(np.diff(at, prepend=at[0] - 1, append=at[-1] + 1))
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 w = new[a:b]
@@ -243,62 +276,79 @@ def descend(graph: DataFrame, codes: DataFrame, degree: int, sample: int, turn:
                 found.add(ids[j], ids[w][i], s[i, j])
         yield from found.batches()
 
-    made = lists.repartition("at").sortWithinPartitions("at").mapInArrow(compare, PROPOSED)
-    was = graph.join(tried.select("node", "other", F.lit(True).alias("_t")), ["node", "other"], "left"
-                     ).select("node", "other", "score",
-                              (F.col("fresh") & F.col("_t").isNull()).alias("fresh"))
-    return merged(was.unionByName(made), degree)
+    return lists.repartition("at").sortWithinPartitions("at").mapInArrow(compare, PROPOSED)
 
 
 def build_graph(codes: DataFrame, degree: int = 50, sample: int = 20, tables: int = 2,
-                rounds: int = 9, settled: float = 0.02) -> DataFrame:
-    """The neighbour graph (node, other, score) of ``codes``."""
-    graph = stored(merged(from_buckets(codes, degree, tables), degree))
-    for turn in range(rounds):
-        after = stored(descend(graph, codes, degree, sample, turn))
-        drop_stored(graph)
-        graph = after
-        share = graph.agg(F.avg(F.col("fresh").cast("double"))).head()[0]
-        if share is None or share < settled:
+                rounds: int = 9, settled: float = 0.1) -> DataFrame:
+    """The neighbour graph of ``codes`` (node, code), as rows of ``NODES``."""
+    bare = codes.select("node", "code", *[F.array().cast(t).alias(c) for c, t in (
+        ("others", "array<long>"), ("scores", "array<float>"), ("marks", "array<int>"))])
+    n = codes.count()
+    nodes = stored(few_files(
+        merged(bare, from_buckets(codes, degree, tables), degree, sample, 0), n, 1000))
+    for turn in range(1, rounds + 1):
+        told = neighbours_of_neighbours(nodes, degree, turn)
+        after = stored(few_files(merged(nodes, told, degree, sample, turn), n, 1000))
+        drop_stored(nodes)
+        nodes = after
+        fresh, every = nodes.agg(
+            F.sum(F.size(F.filter("marks", lambda m: m > 0))), F.sum(F.size("marks"))).head()
+        if not every or fresh / every < settled:
             break
-    return graph.select("node", "other", "score")
+    return nodes
 
 
 def _exact(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda n, v: n + v)
 
 
-def greedy_search(graph: DataFrame, codes: DataFrame, queries: DataFrame, width: int = 100,
-                  opened: int = 25, steps: int = 4) -> DataFrame:
-    """(query, node, score, seen) of the best nodes that each of ``queries`` (node) reaches."""
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                s = np.einsum("ij,ij->i", _vectors(batch.column(2)), _vectors(batch.column(3)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(s.astype(np.float32)),
-                     pa.array(np.zeros(len(s), bool))], names=["query", "node", "score", "seen"])
-
-    schema = "query long, node long, score float, seen boolean"
-    asked = queries.join(codes, "node").select(F.col("node").alias("query"),
-                                               F.col("code").alias("asking"))
-    beam = stored(queries.join(graph, "node").select(
-        F.col("node").alias("query"), F.col("other").alias("node"), "score",
-        F.lit(False).alias("seen")))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+def greedy_search(nodes: DataFrame, queries: DataFrame, width: int = 100, opened: int = 25,
+                  steps: int = 3) -> DataFrame:
+    """(query, node, score, ...) of the best nodes that each of ``queries`` (node) reaches."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _runs(batches):
+            query, node, kind, score, seen, opens = (
+                part.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            codes = part.column(6).combine_chunks()
+            cuts = np.flatnonzero(np.diff(query, prepend=query[0] - 1, append=query[-1] + 1))
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                # kinds: 0 the query's own vector, 1 its beam, 2 reached nodes
+                k = a + np.searchsorted(kind[a:b], [1, 2])
+                mine, asking = slice(k[0], k[1]), _vectors(codes.slice(a, 1))[0]
+                ids, at = np.unique(node[k[1]:b], return_index=True)
+                at = at[~np.isin(ids, node[mine])] + k[1]
+                s = _vectors(codes.take(pa.array(at))) @ asking if len(at) else np.zeros(0, np.float32)
+                ids = np.concatenate([node[mine], node[at]]).astype(np.int64)
+                s = np.concatenate([score[mine].astype(np.float32), s])
+                was = np.concatenate([(seen[mine] | opens[mine]).astype(bool), np.zeros(len(at), bool)])
+                best = np.lexsort((ids, -s))[:width]
+                ids, s, was = ids[best], s[best], was[best]
+                out.append((np.full(len(ids), query[a]), ids, s, was, ~was & (np.cumsum(~was) <= opened)))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in columns], names=["query", "node", "score", "seen", "opens"])
+
+    n = queries.count()
+    own = few_files(queries.join(nodes.select("node", "code", "others", "scores"), "node"), n, 200)
+    asked = own.select(F.col("node").alias("query"), "node", F.lit(0).alias("kind"), "code")
+    beam = stored(own.select(F.col("node").alias("query"), F.posexplode(F.arrays_zip("others", "scores"))
+                             .alias("place", "e")).select(
+        "query", F.col("e.others").alias("node"), F.col("e.scores").alias("score"),
+        F.lit(False).alias("seen"), (F.col("place") < opened).alias("opens")))
+    columns = ["query", "node", "kind", "score", "seen", "opens", "code"]
     for _ in range(steps):
-        turn = Window.partitionBy("query", "seen").orderBy(F.desc("score"), "node")
-        ranked = beam.withColumn("_r", F.row_number().over(turn)).withColumn(
-            "_open", ~F.col("seen") & (F.col("_r") <= opened))
-        reached = ranked.filter("_open").join(graph.select("node", "other"), "node").select(
-            "query", F.col("other").alias("node")).filter("query <> node").distinct()
-        fresh = reached.join(beam.select("query", "node"), ["query", "node"], "left_anti")
-        scored = fresh.join(codes, "node").join(asked, "query").select(
-            "query", "node", "code", "asking").mapInArrow(score, schema)
-        all_of = ranked.select("query", "node", "score", (F.col("seen") | F.col("_open")).alias("seen")
-                               ).unionByName(scored)
-        after = stored(all_of.withColumn("_r", F.row_number().over(best))
-                       .filter(F.col("_r") <= width).drop("_r"))
+        reached = beam.filter("opens").select("query", "node").join(
+            nodes.select("node", "others"), "node").select("query", F.explode("others").alias("node")
+                                                          ).filter("query <> node")
+        reached = reached.join(nodes.select("node", "code"), "node").withColumns({
+            "kind": F.lit(2), "score": F.lit(0.0).cast("float"), "seen": F.lit(False), "opens": F.lit(False)})
+        held = beam.withColumns({"kind": F.lit(1), "code": F.lit(None).cast("binary")})
+        head = asked.withColumns({"score": F.lit(0.0).cast("float"), "seen": F.lit(False), "opens": F.lit(False)})
+        rows = head.select(*columns).unionByName(held.select(*columns)).unionByName(reached.select(*columns))
+        after = stored(few_files(rows.repartition("query").sortWithinPartitions("query", "kind")
+                                 .mapInArrow(walk, BEAM), n, 200))
         drop_stored(beam)
         beam = after
     return beam
@@ -308,14 +358,14 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id
             embedding: str = "embedding", degree: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` (up to 20) nearest found of the rows for which
     ``queries`` holds (over ``id``)."""
-    nodes = stored(usable(rows, vec_id, embedding))
+    nodes = stored(few_files(usable(rows, vec_id, embedding), rows.count(), 1000))
     codes = stored(packed(nodes))
     graph = build_graph(codes, degree)
     taking = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast(
         "array<double>").alias("vector")).filter(queries).join(
         nodes.select("node", "vector"), "vector").groupBy("id").agg(F.min("node").alias("node"))
-    taking = stored(taking)
-    found = greedy_search(graph, codes, taking.select("node").distinct())
+    taking = stored(few_files(taking, nodes.count(), 10_000))
+    found = greedy_search(graph, taking.select("node").distinct())
     own = taking.select(F.col("node").alias("query"), "node").distinct()
     close = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     found = found.withColumn("_r", F.row_number().over(close)).filter(
