@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -45,7 +46,7 @@ class Vocabulary:
     scores: dict[str, float]
     byte: float
 
-    @property
+    @cached_property
     def longest(self) -> int:
         return max(map(len, self.scores), default=1)
 
@@ -66,12 +67,12 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 def count_alone(word: str, vocabulary: Vocabulary) -> int:
     """Tokens of one pre-token (with its mark) by the forward recurrence."""
-    best, count = [0.0], [0]
+    best, count, longest = [0.0], [0], vocabulary.longest
     for end in range(1, len(word) + 1):
         size = len(word[end - 1].encode())
         score, n = best[end - 1] + size * vocabulary.byte, count[end - 1] + size
         top = -math.inf
-        for start in range(max(0, end - vocabulary.longest), end):
+        for start in range(max(0, end - longest), end):
             piece = vocabulary.scores.get(word[start:end])
             if piece is not None and best[start] + piece > top:
                 top, taken = best[start] + piece, count[start] + 1
@@ -103,9 +104,8 @@ class TrieCounter:
                 raise ValueError("two pieces share a hash")
             scores = np.array([vocabulary.scores[p] for p in pieces])
             self.by_length[m] = h[order], scores[order]
-        self.power = np.ones(max(self.by_length, default=1) + 1, np.uint64)
-        for m in range(1, len(self.power)):
-            self.power[m] = self.power[m - 1] * self.BASE
+        longest = max(self.by_length, default=1)
+        self.power = np.array([pow(int(self.BASE), m, 1 << 64) for m in range(longest + 1)], np.uint64)
 
     def counts(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words), np.int64)
