@@ -16,7 +16,7 @@ from roomgraph.llm.queries import MIX_DOMAIN, MIX_WEIGHTS
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this share of its positions a language isn't taken for found.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 

@@ -43,6 +43,14 @@ def stored(df: DataFrame) -> DataFrame:
     return again
 
 
+def few_files(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """``df``, whose size goes with ``rows``, in about ``each`` of them a partition, but two tasks a
+    core at least: small tables aren't scattered over hundreds of near-empty files, large ones keep
+    all their partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.coalesce(max(2 * cores, rows // each + 1))
+
+
 def drop_stored(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` that nothing reads any more."""
     drop_folder(df.sparkSession, df._stored_in)

@@ -26,7 +26,7 @@ from roomgraph.llm.common import small_batches, text_of
 
 SPAN = 20
 #: Words whose pooled labels a task remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 PREDICTED = "lang_pred string, score double, n_positions long"
 
 
@@ -41,11 +41,12 @@ def training_words(docs: DataFrame, docs_per_lang: int = 300, words_per_lang: in
     """(lang, word, n) of a bounded sample: per language the ``docs_per_lang`` labelled documents
     whose ids hash lowest, and the ``words_per_lang`` most frequent words of their whole texts."""
     picked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = (
-        docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-        .select("lang", "doc_id", F.lower(text_of("text")).alias("text"))
-        .withColumn("rn", F.row_number().over(picked)).filter(F.col("rn") <= docs_per_lang)
-    )
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    # ids are picked without their texts; there are docs_per_lang of them for each language at most
+    ids = known.select("lang", "doc_id").withColumn("rn", F.row_number().over(picked)).filter(
+        F.col("rn") <= docs_per_lang).select("lang", "doc_id").distinct()
+    sample = known.select("lang", "doc_id", F.lower(text_of("text")).alias("text")).join(
+        F.broadcast(ids), ["lang", "doc_id"])
     words = (
         sample.select("lang", F.explode(F.split("text", r"[ \t-\r]+")).alias("word"))
         .filter("word rlike '\\\\p{L}'").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roomgraph.llm.common import stored, text_of
+from roomgraph.llm.common import few_files, stored, text_of
 
 #: Up to so many leaves their budgets are sent to every task; more are joined by a shuffle.
 SMALL_TREE = 20_000
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], tot
         "_mix_n": words_in("text") if tokens is None else tokens})
     leaves = stored(rows.groupBy(*LEVELS).agg(
         F.sum("_mix_n").alias("_mix_tokens"), F.count(F.lit(1)).alias("_mix_docs")))
-    plan = stored(budgets(leaves, total, weights, most_epochs))
+    plan = stored(few_files(budgets(leaves, total, weights, most_epochs), leaves.count(), 50_000))
     sizes = plan.agg(F.count(F.lit(1)), F.coalesce(F.sum("_mix_docs"), F.lit(0))).head()
     plan = plan.filter((F.col("_mix_budget") > 0)).select(
         *LEVELS, F.floor(F.col("_mix_budget") / F.col("_mix_tokens")).cast("long").alias("_mix_whole"),

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roomgraph.llm.common import drop_stored, small_batches, stored, text_of
+from roomgraph.llm.common import drop_stored, few_files, small_batches, stored, text_of
 from roomgraph.llm.shingles import mixed, shingle_sets
 
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
@@ -163,17 +163,19 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round takes the smallest label among the neighbours, then the label of one's label.
     """
-    edges = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
-        links.select("b", "a")).filter("u <> v").distinct())
-    labels = stored(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    n = links.count()
+    edges = stored(few_files(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(
+        links.select("b", "a")).filter("u <> v").distinct(), n, 50_000))
+    labels = stored(few_files(
+        edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")), n, 50_000))
     for _ in range(MOST_ROUNDS):
         near = edges.join(labels.withColumnRenamed("u", "v"), "v").groupBy("u").agg(
             F.min("label").alias("near"))
         better = labels.join(near, "u").select("u", F.least("label", "near").alias("next"),
                                                F.col("label").alias("was"))
         jump = better.select(F.col("u").alias("next"), F.col("next").alias("far"))
-        after = stored(better.join(jump, "next", "left").select(
-            "u", F.least("next", F.coalesce("far", "next")).alias("label"), "was"))
+        after = stored(few_files(better.join(jump, "next", "left").select(
+            "u", F.least("next", F.coalesce("far", "next")).alias("label"), "was"), n, 50_000))
         moved = after.filter("label <> was").limit(1).count()
         drop_stored(labels)
         labels = after
@@ -193,19 +195,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 40, rows: i
     busy = members.groupBy("band", "bucket").agg(
         F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).filter("_lo <> _hi").select("band", "bucket")
     ids = members.join(busy, ["band", "bucket"]).select("doc").distinct()
-    texts = stored(docs.select(F.col("doc_id").cast("long").alias("doc"),
-                               text_of("text").alias("text")).join(ids, "doc")
-                   .groupBy("doc").agg(F.min("text").alias("text")))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of("text").alias("text")).join(
+        ids, "doc").groupBy("doc").agg(F.min("text").alias("text"))
+    texts = stored(few_files(texts, sketch.count(), 5000))
     members = (
         sketches(texts.withColumnRenamed("doc", "doc_id"), bands, rows)
         .select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"),
                 F.posexplode("bands").alias("band", "bucket")).join(busy, ["band", "bucket"])
     )
+    n = texts.count()
     lone = lonely_shingles(texts)
     mine = members.groupBy("doc").agg(
         F.max("n").alias("n"), F.collect_set(F.struct("band", "bucket")).alias("names"))
-    mine = stored(mine.join(lone, "doc", "left").select(
-        "doc", "n", (F.col("n") - F.coalesce("n_lone", F.lit(0))).alias("shared"), "names"))
+    mine = stored(few_files(mine.join(lone, "doc", "left").select(
+        "doc", "n", (F.col("n") - F.coalesce("n_lone", F.lit(0))).alias("shared"), "names"), n, 2000))
 
     # 100 i >= p (n1 + n2 - i), and i is at most what either shares with anything
     def possible(x: str, y: str) -> Column:
@@ -220,12 +223,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 40, rows: i
     star = rays.alias("x").join(hubs.alias("y"), ["band", "bucket"]).filter(
         (F.col("x.doc") != F.col("y.doc")) & possible("x", "y")
     ).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
-    links = stored(confirmed(star, texts, percent))
+    links = stored(few_files(confirmed(star, texts, percent), n, 2000))
     first = components(links)
 
     # what the stars leave open: documents with few lone shingles against other components
-    placed = stored(mine.join(first, "doc", "left").withColumn(
-        "component", F.coalesce("component", "doc")))
+    placed = stored(few_files(mine.join(first, "doc", "left").withColumn(
+        "component", F.coalesce("component", "doc")), n, 2000))
     at_bucket = [F.col("at.band").alias("band"), F.col("at.bucket").alias("bucket")]
     mixed_up = placed.select("component", F.explode("names").alias("at")).select(
         "component", *at_bucket).groupBy("band", "bucket").agg(
@@ -235,8 +238,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 40, rows: i
         mixed_up, ["band", "bucket"]).groupBy("doc").agg(
         F.collect_set(F.struct("band", "bucket")).alias("open"))
     bits = one_bit_signatures(texts.join(spread.select("doc"), "doc"))
-    spread = stored(placed.join(spread, "doc").join(bits, "doc").select(
-        "doc", "n", "shared", "component", "open", "bits"))
+    spread = stored(few_files(placed.join(spread, "doc").join(bits, "doc").select(
+        "doc", "n", "shared", "component", "open", "bits"), n, 2000))
     spread = spread.select("*", F.explode("open").alias("at")).select(
         "doc", "n", "shared", "component", "open", "bits", *at_bucket)
     few = spread.filter((100 + percent) * F.col("shared") >= 2 * percent * F.col("n"))
@@ -251,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 40, rows: i
         & (agree >= _near_bits(percent))
         & (once == F.struct(F.col("x.band").alias("band"), F.col("x.bucket").alias("bucket"))))
     ).select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
-    more = confirmed(rest, texts, percent)
+    more = stored(few_files(confirmed(rest, texts, percent), n, 2000))
 
     found = components(links.unionByName(more))
     named = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roomgraph.llm.common import drop_stored, small_batches, stored, text_of
+from roomgraph.llm.common import drop_stored, few_files, small_batches, stored, text_of
 from roomgraph.llm.shingles import _power, hashed_words, mixed
 
 ANCHORS = "anchor long, key long"
@@ -156,31 +156,36 @@ def opened_paths(rows: DataFrame, window: int, k: int) -> DataFrame:
 
 def repeats(rows: DataFrame, window: int, k: int) -> DataFrame:
     """Spans of windows that also start earlier: doc, version, first window, number of windows."""
+    n = rows.count()
+
+    def kept(df: DataFrame) -> DataFrame:
+        return stored(few_files(df, n, 1000))
+
     found = anchors(rows, window, k)
     often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    marked = stored(found.join(often.select("anchor"), "anchor").groupBy("key").agg(
+    marked = kept(found.join(often.select("anchor"), "anchor").groupBy("key").agg(
         F.collect_set("anchor").alias("often")))
-    paths = stored(named_paths(rows.join(marked, "key"), window, k))
+    paths = kept(named_paths(rows.join(marked, "key"), window, k))
     drop_stored(marked)
 
     place = F.struct("doc", "version", "lo")
-    firsts = stored(paths.groupBy("anchor", "path").agg(
+    firsts = kept(paths.groupBy("anchor", "path").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("times")))
     again = firsts.filter("times > 1").select("anchor", "path", "first")
-    whole = stored(paths.join(again, ["anchor", "path"]).filter(F.col("first") != place).select(
+    whole = kept(paths.join(again, ["anchor", "path"]).filter(F.col("first") != place).select(
         "doc", "version", "lo", "n"))
     drop_stored(paths)
 
     forks = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    leaders = stored(firsts.join(forks.select("anchor"), "anchor", "left_semi").groupBy(
+    leaders = kept(firsts.join(forks.select("anchor"), "anchor", "left_semi").groupBy(
         F.col("first.doc").alias("doc"), F.col("first.version").alias("version")).agg(
         F.collect_set("first.lo").alias("los")))
     drop_stored(firsts)
-    edges = stored(opened_paths(rows.join(leaders, ["doc", "version"]), window, k))
+    edges = kept(opened_paths(rows.join(leaders, ["doc", "version"]), window, k))
     drop_stored(leaders)
     shared = edges.groupBy("anchor", "edge").agg(
         F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    single = stored(edges.join(shared.select("anchor", "edge", "first"), ["anchor", "edge"]).filter(
+    single = kept(edges.join(shared.select("anchor", "edge", "first"), ["anchor", "edge"]).filter(
         F.col("first") != place).select("doc", "version", "lo", F.lit(1).alias("n")))
     drop_stored(edges)
     return whole.unionByName(single)
@@ -197,8 +202,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, k: int = 6, doc_id: str =
     small_batches(docs.sparkSession)
     keep = [doc_id] if keep is None else keep
     rows = _keyed(docs, doc_id, text, keep)
-    spans = stored(repeats(rows, window, k).groupBy("doc", "version").agg(
-        F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns")))
+    spans = stored(few_files(repeats(rows, window, k).groupBy("doc", "version").agg(
+        F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns")), docs.count(), 1000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
