@@ -92,13 +92,12 @@ def test_memory_answers(spark):
 
 
 def naive_association(rows, dist=0.6, family_dist=0.2):
-    from roomgraph.fixed_values import CLASS_FAMILY_MEMBERS, TIGHT_FAMILIES
+    from roomgraph.fixed_values import CLASS_FAMILY, TIGHT_FAMILIES
 
-    family_of = {c: f for f, m in CLASS_FAMILY_MEMBERS.items() for c in m}
     instances = []
     out = []
     for cls, p in rows:
-        fam = family_of.get(cls, cls)
+        fam = CLASS_FAMILY.get(cls, cls)
 
         def gap(inst):
             pts = [q for _, q in inst["obs"]]
