@@ -15,8 +15,7 @@ HEADLINE = [
     "gate_replay", "parse_outputs", "redact_counts", "injection_scan", "read_segments",
     "kb_chunks", "latency_pcts", "relations_above", "instance_rollup", "novel_candidates",
     "confirm_upgrade", "correction_log", "shape_replies", "relational_query", "relation_text",
-    "merge_duplicates", "associate_instances", "jump_filter", "candidate_pool_placed",
-    "support_planes", "wall_planes",
+    "jump_filter", "candidate_pool_placed",
 ]
 
 
