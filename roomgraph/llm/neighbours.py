@@ -1,13 +1,16 @@
 """Approximate nearest neighbours: a graph by NN-descent in Spark joins, and greedy search on it.
 
 Every vector keeps its ``degree`` best neighbours so far. They begin with what random hyperplane
-buckets give. In each round a vector's neighbours, and a bounded random share of those that have it
-as a neighbour, meet in one list; pairs in a list of which one is new are compared, and each of the
-two keeps what beats its worst neighbour. Rounds end when few neighbours change.
+buckets give and with random ones, the best in a block drawn by a seeded hash, so that a vector
+alone on its side of the hyperplanes has neighbours as well. In each round a vector's neighbours,
+and a bounded random share of those that have it as a neighbour, meet in one list; pairs in a list
+of which one is new are compared, and each of the two keeps what beats its worst neighbour. Rounds
+end when few neighbours change.
 
 A query, a row of the table itself, then walks the graph greedily: the best nodes found and not yet
 opened are replaced by their neighbours, as far as these are new to the query, and the best of all
-are kept. The best in the end are scored on the original vectors.
+are kept. The best in the end are scored on the original vectors. A query that reaches fewer
+candidates than asked for, though there are more, is held against all vectors, block by block.
 
 Vectors travel as signed bytes with a scale; only the final scores decide the result. Equal vectors
 are one node, whose smallest ids stand for it, so a very frequent vector is one node as well. Hub
@@ -35,6 +38,8 @@ from roomgraph.llm.common import drop_stored, few_files, stored
 
 #: Pairs of a bucket are compared in blocks of about so many vectors.
 LEAF = 128
+#: Vectors and queries of one block in the search over all vectors.
+SCAN = 1024
 PROPOSED = "node long, other long, score float"
 #: A node with its neighbours, best first. Marks: 0 tried before, 1 fresh, 2 to be tried now.
 NODES = ("node long, code binary, worst float, others array<long>, scores array<float>, "
@@ -146,7 +151,8 @@ class _Proposals:
 
 
 def from_buckets(codes: DataFrame, degree: int, tables: int, seed: int = 3) -> DataFrame:
-    """First proposals: the best in blocks of vectors on the same side of random hyperplanes."""
+    """First proposals: the best in blocks of vectors on the same side of random hyperplanes, and
+    in random blocks over all vectors."""
     n = codes.count()
     bits = max(1, int(np.ceil(np.log2(max(2, n / LEAF)))))
 
@@ -163,7 +169,10 @@ def from_buckets(codes: DataFrame, degree: int, tables: int, seed: int = 3) -> D
                     [pa.array(name[:, t].astype(np.int64)), batch.column(0), batch.column(1)],
                     names=["bucket", "node", "code"])
 
-    placed = codes.mapInArrow(sides, "bucket long, node long, code binary")
+    # at least LEAF vectors a block on average: none is ever left alone but by a table of one
+    drawn = F.lit(tables << bits) + F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(max(1, n // LEAF)))
+    placed = codes.mapInArrow(sides, "bucket long, node long, code binary").unionByName(
+        codes.select(drawn.cast("long").alias("bucket"), "node", "code"))
     size = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
     blocks = placed.join(size, "bucket").withColumn(
         "block", F.xxhash64("bucket", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / (2 * LEAF)))))
@@ -354,6 +363,32 @@ def greedy_search(nodes: DataFrame, queries: DataFrame, width: int = 100, opened
     return beam
 
 
+def search_all(nodes: DataFrame, queries: DataFrame, k: int, n: int, n_queries: int) -> DataFrame:
+    """(query, node): the ``k`` best of all ``nodes`` (node, vector) for each of ``queries`` (node)."""
+    def blocks(rows: DataFrame, count: int, name: str) -> DataFrame:
+        place = F.pmod(F.xxhash64("node"), F.lit(max(1, count // SCAN)))
+        return rows.groupBy(place.alias("block")).agg(
+            F.collect_list("node").alias(f"{name}_node"),
+            F.flatten(F.collect_list("vector")).alias(f"{name}_vector")).drop("block")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                query, asking, node, vector = (
+                    batch.column(i)[at].values.to_numpy(zero_copy_only=False) for i in range(4))
+                s = asking.reshape(len(query), -1) @ vector.reshape(len(node), -1).T
+                top = np.lexsort((np.broadcast_to(node, s.shape), -s), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(query, top.shape[1])), pa.array(node[top].ravel()),
+                     pa.array(np.take_along_axis(s, top, 1).ravel())], names=["query", "node", "score"])
+
+    asked = blocks(queries.join(nodes.select("node", "vector"), "node"), n_queries, "q")
+    pairs = asked.crossJoin(blocks(nodes.select("node", "vector"), n, "n"))
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
+    return pairs.mapInArrow(compare, "query long, node long, score double").withColumn(
+        "_r", F.row_number().over(best)).filter(F.col("_r") <= k).select("query", "node")
+
+
 def nearest(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id",
             embedding: str = "embedding", degree: int = 50) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` (up to 20) nearest found of the rows for which
@@ -370,6 +405,15 @@ def nearest(rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id
     close = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     found = found.withColumn("_r", F.row_number().over(close)).filter(
         F.col("_r") <= 2 * k).select("query", "node").unionByName(own).distinct()
+    n, ids = nodes.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("ids")), F.lit(0))).head()
+    found = stored(few_files(found, taking.count(), 500))
+    short = found.join(nodes.select("node", F.size("ids").alias("_n")), "node").groupBy("query").agg(
+        F.sum("_n").alias("_n")).filter(F.col("_n") <= min(k, ids - 1)).select(F.col("query").alias("node"))
+    short = stored(few_files(short, n, 10_000))
+    n_short = short.count()
+    if n_short:
+        found = found.join(short.withColumnRenamed("node", "query"), "query", "left_anti").unionByName(
+            search_all(nodes, short, k + 1, n, n_short))
     asked = nodes.select(F.col("node").alias("query"), F.col("vector").alias("asking"))
     exact = found.join(asked, "query").join(nodes, "node").select(
         "query", "ids", _exact(F.col("asking"), F.col("vector")).alias("score"))

@@ -51,3 +51,32 @@ def test_few_odd_and_no_vectors(spark):
     assert got == {0: [(20, 0.5), (3, 0.0)], 20: [(3, 1.0), (0, 0.5)]}
     assert run(spark, []) == {}
     assert run(spark, [(0, [1.0, 1.0])]) == {}
+
+
+def test_opposite_groups_and_lone_vectors_are_whole(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=16)
+    x = np.concatenate([base + 0.01 * rng.normal(size=(10, 16)), -base + 0.01 * rng.normal(size=(15, 16))])
+    rows = [(int(i), v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    got, want = run(spark, rows), brute(rows, 20)
+    assert {q: [j for j, _ in near] for q, near in got.items()} == {
+        q: [j for j, _ in near] for q, near in want.items()}
+    # one large tight cluster, and vectors far from it and from each other
+    x = np.concatenate([base + 0.05 * rng.normal(size=(600, 16)), 2 * np.eye(16) - base, -2 * np.eye(16) - base])
+    rows = [(int(i) + (20 * int(i) - int(i) if i >= 600 else 0), v.astype(np.float32).tolist()) for i, v in enumerate(x)]
+    got, want = run(spark, rows), brute(rows, 20)
+    assert got.keys() == want.keys() and all(len(near) == 20 for near in got.values())
+    lone = [q for q in want if q >= 12000]
+    hit = sum(len({j for j, _ in got[q]} & {j for j, _ in want[q]}) for q in lone)
+    assert len(lone) == 32 and hit / (20 * len(lone)) >= 0.95
+
+
+def test_queries_without_neighbours_search_all(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(int(i), v.astype(np.float32).tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))]
+    none = lambda codes, *a, **b: spark.createDataFrame([], nb.PROPOSED)
+    monkeypatch.setattr(nb, "from_buckets", none)
+    monkeypatch.setattr(nb, "SCAN", 64)
+    got, want = run(spark, rows), brute(rows, 20)
+    assert {q: [j for j, _ in near] for q, near in got.items()} == {
+        q: [j for j, _ in near] for q, near in want.items()}
