@@ -9,7 +9,7 @@ end when few neighbours change.
 
 A query, a row of the table itself, then walks the graph greedily: the best nodes found and not yet
 opened are replaced by their neighbours, as far as these are new to the query, and the best of all
-are kept. The best in the end are scored on the original vectors. A query that reaches fewer
+are kept, until all kept ones are opened. The best in the end are scored on the original vectors. A query that reaches fewer
 candidates than asked for, though there are more, is held against all vectors, block by block.
 
 Vectors travel as signed bytes with a scale; only the final scores decide the result. Equal vectors
@@ -26,6 +26,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -289,14 +290,18 @@ def neighbours_of_neighbours(nodes: DataFrame, degree: int, turn: int) -> DataFr
 
 
 def build_graph(codes: DataFrame, degree: int = 50, sample: int = 20, tables: int = 2,
-                rounds: int = 9, settled: float = 0.1) -> DataFrame:
-    """The neighbour graph of ``codes`` (node, code), as rows of ``NODES``."""
+                settled: float = 0.1) -> DataFrame:
+    """The neighbour graph of ``codes`` (node, code), as rows of ``NODES``.
+
+    Rounds go on until less than ``settled`` of the edges are fresh. Lists only ever get better and
+    a tried edge is not tried again, so this ends.
+    """
     bare = codes.select("node", "code", *[F.array().cast(t).alias(c) for c, t in (
         ("others", "array<long>"), ("scores", "array<float>"), ("marks", "array<int>"))])
     n = codes.count()
     nodes = stored(few_files(
         merged(bare, from_buckets(codes, degree, tables), degree, sample, 0), n, 1000))
-    for turn in range(1, rounds + 1):
+    for turn in count(1):
         told = neighbours_of_neighbours(nodes, degree, turn)
         after = stored(few_files(merged(nodes, told, degree, sample, turn), n, 1000))
         drop_stored(nodes)
@@ -312,9 +317,12 @@ def _exact(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda n, v: n + v)
 
 
-def greedy_search(nodes: DataFrame, queries: DataFrame, width: int = 100, opened: int = 25,
-                  steps: int = 3) -> DataFrame:
-    """(query, node, score, ...) of the best nodes that each of ``queries`` (node) reaches."""
+def greedy_search(nodes: DataFrame, queries: DataFrame, width: int = 100, opened: int = 25
+                  ) -> DataFrame:
+    """(query, node, score, ...) of the best nodes that each of ``queries`` (node) reaches.
+
+    ``opened`` nodes of a query are opened at a time, until its ``width`` best are all opened.
+    """
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _runs(batches):
             query, node, kind, score, seen, opens = (
@@ -328,7 +336,8 @@ def greedy_search(nodes: DataFrame, queries: DataFrame, width: int = 100, opened
                 mine, asking = slice(k[0], k[1]), _vectors(codes.slice(a, 1))[0]
                 ids, at = np.unique(node[k[1]:b], return_index=True)
                 at = at[~np.isin(ids, node[mine])] + k[1]
-                s = _vectors(codes.take(pa.array(at))) @ asking if len(at) else np.zeros(0, np.float32)
+                # row by row, so that a node scores the same each time and a dropped one stays out
+                s = (_vectors(codes.take(pa.array(at))) * asking).sum(1) if len(at) else np.zeros(0, np.float32)
                 ids = np.concatenate([node[mine], node[at]]).astype(np.int64)
                 s = np.concatenate([score[mine].astype(np.float32), s])
                 was = np.concatenate([(seen[mine] | opens[mine]).astype(bool), np.zeros(len(at), bool)])
@@ -347,7 +356,7 @@ def greedy_search(nodes: DataFrame, queries: DataFrame, width: int = 100, opened
         "query", F.col("e.others").alias("node"), F.col("e.scores").alias("score"),
         F.lit(False).alias("seen"), (F.col("place") < opened).alias("opens")))
     columns = ["query", "node", "kind", "score", "seen", "opens", "code"]
-    for _ in range(steps):
+    while not beam.filter("opens").isEmpty():
         reached = beam.filter("opens").select("query", "node").join(
             nodes.select("node", "others"), "node").select("query", F.explode("others").alias("node")
                                                           ).filter("query <> node")

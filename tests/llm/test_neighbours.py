@@ -80,3 +80,13 @@ def test_queries_without_neighbours_search_all(spark, monkeypatch):
     got, want = run(spark, rows), brute(rows, 20)
     assert {q: [j for j, _ in near] for q, near in got.items()} == {
         q: [j for j, _ in near] for q, near in want.items()}
+
+
+def test_search_goes_on_until_all_kept_are_opened(spark):
+    # a chain: each node knows only the next, better one
+    rows = [(i, [1.0 + i], [i + 1] if i < 11 else [10], [2.0 + i]) for i in range(12)]
+    own = spark.createDataFrame([(i, v) for i, v, _, _ in rows], "node long, vector array<double>")
+    lists = spark.createDataFrame([(i, o, s) for i, _, o, s in rows], "node long, others array<long>, scores array<float>")
+    nodes = nb.packed(own).join(lists, "node")
+    found = nb.greedy_search(nodes, spark.createDataFrame([(0,)], "node long"))
+    assert {r.node for r in found.collect()} >= set(range(1, 12))
