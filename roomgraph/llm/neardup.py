@@ -18,7 +18,8 @@ query either happens with a probability below 1e-6.
 
 Defined cases: a document without words has an empty set, is linked with nothing and is its own
 component. Rows without id take no part and have no component; they are kept. Where an id
-repeats with several texts, links are sought for the one that sorts first. Other columns are ignored.
+repeats with several texts, each text is linked by itself, and its rows have the component of that
+text. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -63,8 +64,8 @@ def band_hashes(hashes: np.ndarray, bands: int, rows: int, donors: np.ndarray) -
     return name.view(np.int64)
 
 
-def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, size and digests of the shingle set, and the names of its buckets."""
+def sketches(docs: DataFrame, bands: int, rows: int, with_text: bool = False) -> DataFrame:
+    """doc_id, size and digests of the shingle set, the names of its buckets, and if asked the text."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,11 +81,12 @@ def sketches(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
-                pa.array(names, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                pa.array(names, pa.list_(pa.int64())), *batch.columns[1:1 + with_text]],
+                names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "text"][:5 + with_text])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       text_of("text").alias("text")).mapInArrow(run, SKETCH)
+                       text_of("text").alias("text")).mapInArrow(
+        run, SKETCH + ", text string" if with_text else SKETCH)
 
 
 def lonely_shingles(texts: DataFrame) -> DataFrame:
@@ -181,6 +183,8 @@ def components(links: DataFrame) -> DataFrame:
         labels = after
         if not moved:
             break
+    else:
+        raise RuntimeError(f"labels still move after {MOST_ROUNDS} rounds")
     return labels.select(F.col("u").alias("doc"), F.col("label").alias("component"))
 
 
@@ -189,20 +193,24 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 40, rows: i
     """doc_id, n_shingles, component_id and ``kept`` (the component's smallest id) of each row."""
     sketch = stored(sketches(docs, bands, rows))
     usable = sketch.filter("doc_id is not null and n_shingles > 0")
-    classes = usable.groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("doc"), F.first("bands").alias("bands"))
+    # a class has a number of its own, as one id can stand for several
+    classes = stored(few_files(usable.groupBy("set_a", "set_b").agg(
+        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), sketch.count(), 20_000
+    ).withColumn("doc", F.monotonically_increasing_id()))
     members = classes.select("doc", F.posexplode("bands").alias("band", "bucket"))
     busy = members.groupBy("band", "bucket").agg(
         F.min("doc").alias("_lo"), F.max("doc").alias("_hi")).filter("_lo <> _hi").select("band", "bucket")
     ids = members.join(busy, ["band", "bucket"]).select("doc").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), text_of("text").alias("text")).join(
-        ids, "doc").groupBy("doc").agg(F.min("text").alias("text"))
+    named = classes.join(ids, "doc").select("doc", "doc_id", "set_a", "set_b")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
+        named.select("doc_id").distinct(), "doc_id")
+    texts = sketches(texts, bands, rows, with_text=True).join(
+        named, ["doc_id", "set_a", "set_b"]).groupBy("doc").agg(
+        F.min("text").alias("text"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     texts = stored(few_files(texts, sketch.count(), 5000))
-    members = (
-        sketches(texts.withColumnRenamed("doc", "doc_id"), bands, rows)
-        .select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"),
-                F.posexplode("bands").alias("band", "bucket")).join(busy, ["band", "bucket"])
-    )
+    members = texts.select("doc", "n", F.posexplode("bands").alias("band", "bucket")).join(
+        busy, ["band", "bucket"])
+    texts = texts.select("doc", "text")
     n = texts.count()
     lone = lonely_shingles(texts)
     mine = members.groupBy("doc").agg(
@@ -257,9 +265,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, bands: int = 40, rows: i
     more = stored(few_files(confirmed(rest, texts, percent), n, 2000))
 
     found = components(links.unionByName(more))
-    named = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc"))
-    named = named.join(found, "doc", "left").select(
-        "set_a", "set_b", F.coalesce("component", "doc").alias("_component"))
+    named = classes.select("doc", "doc_id", "set_a", "set_b").join(found, "doc", "left").withColumn(
+        "component", F.coalesce("component", "doc"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("_component"))
+    named = named.join(least, "component").select("set_a", "set_b", "_component")
     out = sketch.join(named, ["set_a", "set_b"], "left")
     of_class = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("_component"))
     component = F.coalesce(of_class, F.col("doc_id"))

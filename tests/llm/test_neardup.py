@@ -101,3 +101,18 @@ def test_signature_bits_estimate_similarity(spark):
         a, b = shingle_set(texts[0]), shingle_set(t)
         assert abs(2 * share(0, i) - 1 - len(a & b) / len(a | b)) < 0.1
     assert share(7, 8) == 1 and abs(share(7, 9) - 0.5) < 0.1
+
+
+def test_each_text_of_a_repeated_id_is_linked(spark):
+    one = " ".join(f"a{i}" for i in range(80))
+    two = " ".join(f"b{i}" for i in range(80))
+    rows = [(5, one), (5, two), (9, two), (12, two + " more"), (3, one + " more"), (7, "other words")]
+    got = neardup.near_duplicates(spark.createDataFrame([(*r, 1, "x", 2) for r in rows], SCHEMA), 85, 25, 5).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [
+        (3, 77, 3), (5, 76, 3), (5, 76, 5), (7, 1, 7), (9, 76, 5), (12, 77, 5)]
+
+
+def test_unsettled_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MOST_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        neardup.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
