@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +77,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(column: str) -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this scope an Arrow batch holds ``rows`` rows at most; afterwards the caller's own
+    setting holds again. What shall run with it must be stored inside the scope."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, str(max(1, rows)))
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, was)
+
+
+def sound_vector(column: str) -> Column:
+    """Whether an array<double> is there, not empty and without null or non-finite components."""
+    finite = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(F.col(column).isNotNull() & (F.size(column) > 0) & finite, F.lit(False))
+
+
+def usual_length(rows: DataFrame, column: str) -> int:
+    """The commonest length of the arrays in ``column``, the smallest of equally common ones; 0 if
+    there are no rows."""
+    most = rows.groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), "n").head()
+    return most.n if most else 0
+
+
+def floored(column: str, scale: int) -> Column:
+    """Components x as integers floor(scale * x); an error where one does not fit in 31 bits."""
+    def whole(x: Column) -> Column:
+        value = F.floor(x * F.lit(float(scale)))
+        return F.when(F.abs(x) < F.lit(2.0 ** 31 / scale), value).otherwise(
+            F.raise_error(F.lit(f"a component times {scale} does not fit in 31 bits")).cast("long"))
+    return F.transform(column, whole)

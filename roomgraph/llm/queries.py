@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomgraph.llm import (
-    chat, fingerprint, langid, mixing, neardup, neighbours, packing, substring, tokencount, warc,
+    chat, fingerprint, langid, mixing, neardup, negatives, neighbours, packing, substring, tokencount,
+    vectorcodes, vectordedup, warc,
 )
 from roomgraph.llm.common import table
 
@@ -158,3 +159,77 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_neighbours")
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
+
+
+def _sound(column: str = "embedding") -> str:
+    return f"{column} IS NOT NULL AND len({column}) > 0 AND len(list_filter({column}, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+@query("op11_near_vectors", f"""
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND {_sound()} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  AND list_cosine_similarity(a.x, b.x) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT l.a, r.c FROM reach r JOIN l ON l.b = r.a)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN (SELECT a AS vec_id, min(c) AS component_id FROM reach GROUP BY 1) USING (vec_id)
+LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1) USING (vec_id)
+""")
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordedup.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+def _lloyd(rounds: int) -> str:
+    """The plain rounds: assign every part, then move every entry."""
+    far = "list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (SELECT r, p.part, min(CAST({far} AS BIGINT) * 256 + c.entry) AS best FROM p JOIN c{i} c ON p.part = c.part GROUP BY r, p.part)""")
+        if i < rounds:
+            steps.append(f"""
+g{i} AS (SELECT part, entry, place, sum(x) AS s, count(*) AS n FROM (
+  SELECT a.part, a.best % 256 AS entry, unnest(p.x) AS x, unnest(range(len(p.x))) AS place FROM a{i} a JOIN p ON a.r = p.r AND a.part = p.part) GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (
+  SELECT part, entry, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY place) AS x FROM (SELECT part, entry, place, CAST(s AS BIGINT) AS s, n FROM g{i}) GROUP BY ALL) m
+  ON c.part = m.part AND c.entry = m.entry)""")
+    return ",".join(steps)
+
+
+@query("op12_vector_codes", f"""
+WITH k AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE {_sound()}),
+p AS MATERIALIZED (SELECT r, vec_id, j AS part, v[j * len(v) // 8 + 1:(j + 1) * len(v) // 8] AS x FROM k, range(8) AS q(j)),
+c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM p
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= 16),{_lloyd(6)},
+done AS (SELECT r, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a6 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c6) AS codebooks_sha256
+FROM k JOIN done USING (r)
+""")
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.encode(table(spark, sf_dir, "embeddings"), 8, 16, 6, 4096).drop("label")
+
+
+@query("op13_hard_negatives", f"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE label IS NOT NULL AND {_sound()}),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INT) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) <= 5
+""")
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = table(spark, sf_dir, "embeddings").withColumn("label", F.expr(
+        "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return negatives.mine(moved, F.col("id") % 100 == 0, 5, 5, 80, 256)
