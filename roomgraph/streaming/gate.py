@@ -1,6 +1,6 @@
 """Admission gate per device: token buckets, duplicate and scene-change rules.
 
-One step function serves the batch replay and the stream. The replay splits a device at
+One step function serves the batch replay and the stream (``keyed.gate_stream``). The replay splits a device at
 pauses after which every bucket is full again and the last frame has expired, so a busy
 device is spread over its active stretches.
 """
@@ -13,7 +13,6 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from roomgraph.operators.scaling import sessionize
 
@@ -132,26 +131,3 @@ def replay(
 
     return parts.groupBy("device_id", "_bundle").applyInPandas(run, _OUT)
 
-
-def stream(frames: DataFrame, policy: GatePolicy = GatePolicy()) -> DataFrame:
-    """The same decisions over a stream with event time ``ts``; state expires with the pause.
-
-    Rows of a micro-batch are ordered per device by time; rows later than the watermark do
-    not arrive here.
-    """
-    def run(key, batches, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        now = state.get if state.exists else FRESH
-        rows = pd.concat(list(batches)).sort_values(["epoch_s", "seq"], kind="stable")
-        now, out = _judge(policy, tuple(None if v is None or v != v else v for v in now), rows)
-        state.update(now)
-        watermark = state.getCurrentWatermarkMs()
-        expires = int((rows["epoch_s"].max() + policy.forgetting_gap_s) * 1000)
-        state.setTimeoutTimestamp(max(expires, watermark + 1))
-        yield out
-
-    return frames.groupBy("device_id").applyInPandasWithState(
-        run, _OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )

@@ -1,86 +1,167 @@
-"""Per-device state over streams, late rows as dead letters, and tables kept by micro-batches.
-
-A device's rows are taken in time order within a micro-batch. A row that is older than the newest
-one seen by more than ``late_s`` can't change what was decided; it isn't dropped but comes back
-marked, and ``late_writer`` puts such rows aside. State is kept in processing time, as Spark would
-drop rows behind an event-time watermark before a function could see them.
+"""Per-device state over streams in event-time order, late rows as dead letters, and tables kept by
+micro-batches.
+
+Rows wait in their device's state until the watermark, ``late_s`` behind the newest row of all devices,
+has passed them; an event-time timer then takes them in order of time and sequence number. So rows out
+of order within ``late_s`` change nothing: the outcome is that of the batch operator over the same rows.
+A row behind the watermark when its micro-batch begins can't be put in order any more; it isn't dropped
+but comes back at once, marked, and ``late_writer`` puts such rows aside. For that the column of the
+watermark is not handed to the stateful operator, which would drop these rows itself.
+
+A device's state is what waits, at most its rows of ``late_s``, and what the step keeps; a device
+without rows for the time that the step remembers is forgotten. The state store must be RocksDB
+(``session.build_session`` sets it).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from roomgraph.streaming.flow import latest_only
 from roomgraph.streaming.gate import FRESH, STATE, GatePolicy, gate_step
 
 
-def keyed_stream(
-    frames: DataFrame, step: Callable, values: str, state: str, fresh: tuple,
-    late_s: float, keep_s: float,
-) -> DataFrame:
-    """device_id, seq, epoch_s, the ``values`` of ``step(state, row) -> (state, values)``, and
-    ``late``. A device without rows for ``keep_s`` is forgotten."""
-    n = len(values.split(","))
-
-    def run(key, batches, held):
-        if held.hasTimedOut:
-            held.remove()
-            return
-        now = held.get if held.exists else (None, *fresh)
-        newest, *now = (None if v is None or v != v else v for v in now)
-        rows, out = pd.concat(list(batches)).sort_values(["epoch_s", "seq"], kind="stable"), []
-        for row in rows.itertuples(index=False):
-            if newest is not None and row.epoch_s < newest - late_s:
-                out.append((row.device_id, row.seq, row.epoch_s, *[None] * n, True))
-                continue
-            newest = row.epoch_s if newest is None else max(newest, row.epoch_s)
-            now, told = step(tuple(now), row)
-            out.append((row.device_id, row.seq, row.epoch_s, *told, False))
-        held.update((newest, *now))
-        held.setTimeoutDuration(int(keep_s * 1000))
-        yield pd.DataFrame(out, columns=names).convert_dtypes()
-
-    names = ["device_id", "seq", "epoch_s", *(v.split()[0] for v in values.split(",")), "late"]
-    return frames.groupBy("device_id").applyInPandasWithState(
-        run, f"device_id long, seq long, epoch_s double, {values}, late boolean",
-        f"newest double, {state}", "append", GroupStateTimeout.ProcessingTimeTimeout)
+def _plain(row) -> tuple:
+    return tuple(None if v is None or v != v else v for v in row)
+
+
+class InOrder(StatefulProcessor):
+    """Keeps rows until the watermark has passed them and hands them on in order.
+
+    ``step(state, rows) -> (state, values)`` gets rows in order, all those of one time together, and
+    returns a list of values for each row.
+    """
+
+    def __init__(self, step: Callable, key: str, rows: StructType, values: list[str], state: str,
+                 fresh: tuple, keep_s: float):
+        self.step, self.key, self.rows, self.values = step, key, rows, values
+        self.state, self.fresh, self.keep_ms = state, fresh, math.ceil(keep_s * 1000)
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.rows)
+        self.kept = handle.getValueState("kept", self.state)
+        self.due = handle.getValueState("due", "at_ms long")
+
+    def _wake(self, at_ms: int) -> None:
+        """Only the next timer is set; an earlier one takes its place."""
+        if not self.due.exists() or at_ms < self.due.get()[0]:
+            self.handle.registerTimer(at_ms)
+            self.due.update((at_ms,))
+
+    def _told(self, key, rows: list, values: list, late: bool) -> pd.DataFrame:
+        names = ["epoch_s", "seq", *self.values]
+        columns = {n: pd.Series([v[i] for v in values], dtype=object) for i, n in enumerate(names)}
+        return pd.DataFrame({self.key: pd.Series([key[0]] * len(rows), dtype=object), "seq": columns.pop("seq"),
+                             "epoch_s": columns.pop("epoch_s"), **columns, "late": pd.Series([late] * len(rows), dtype=object)})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        late, early = [], []
+        for part in rows:
+            for row in part[self.rows.names].itertuples(index=False):
+                (late if row.epoch_s * 1000 < passed else early).append(_plain(row))
+        if early:
+            self.waiting.appendList(early)
+            self._wake(int(min(row[0] for row in early) * 1000) + 1)
+        if late:
+            yield self._told(key, late, [row[:2] + (None,) * len(self.values) for row in late], True)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        if not self.due.exists() or expiredTimerInfo.getExpiryTimeInMs() != self.due.get()[0]:
+            return  # an earlier timer took its place
+        self.due.clear()
+        held = [_plain(row) for row in self.waiting.get()] if self.waiting.exists() else []
+        held.sort(key=lambda r: (r[0], r[1] is not None, r[1] or 0))
+        cut = next((i for i, row in enumerate(held) if int(row[0] * 1000) >= passed), len(held))
+        if cut:
+            frame = pd.DataFrame(held[:cut], columns=self.rows.names)
+            now = _plain(self.kept.get())[1:] if self.kept.exists() else self.fresh
+            now, values = self.step(now, frame)
+            self.kept.update((held[cut - 1][0], *now))
+            if cut < len(held):
+                self.waiting.put(held[cut:])
+            else:
+                self.waiting.clear()
+            yield self._told(key, held[:cut], [row[:2] + tuple(v) for row, v in zip(held, values, strict=False)], False)
+        if cut < len(held):
+            self._wake(int(held[cut][0] * 1000) + 1)
+        elif self.kept.exists():
+            forget = int(self.kept.get()[0] * 1000) + self.keep_ms + 1
+            if forget <= passed:
+                self.kept.clear()
+            else:
+                self._wake(forget)
+
+
+def keyed_stream(frames: DataFrame, step: Callable, values: str, state: str, fresh: tuple,
+                 late_s: float, keep_s: float, key: str = "device_id") -> DataFrame:
+    """``key``, seq, epoch_s, the ``values`` of ``step`` for rows in order, and ``late``. A key without
+    rows for ``keep_s`` is forgotten. Rows without time or key have no place in an order: they are late."""
+    names = [v.split()[0] for v in values.split(",")]
+    rest = [c for c in frames.columns if c not in (key, "epoch_s", "seq")]
+    rows = frames.select("epoch_s", "seq", *rest).schema
+    at = F.timestamp_millis((F.col("epoch_s") * 1000).cast("long"))
+    moved = frames.withColumn("_at", at).withWatermark("_at", f"{int(late_s * 1000)} milliseconds").select(
+        key, F.coalesce(F.nanvl("epoch_s", F.lit(None)), F.lit(float("-inf"))).alias("epoch_s"), "seq", *rest)
+    kind = frames.schema[key].dataType.simpleString()
+    told = moved.groupBy(key).transformWithStateInPandas(
+        InOrder(step, key, rows, names, f"last_s double, {state}", fresh, keep_s),
+        f"{key} {kind}, seq long, epoch_s double, {values}, late boolean", "Append", "eventTime")
+    return told.withColumn("epoch_s", F.nullif("epoch_s", F.lit(float("-inf"))))
 
 
 def gate_stream(frames: DataFrame, policy: GatePolicy, late_s: float) -> DataFrame:
     """Gate decisions (as ``gate.replay``) with late rows marked."""
-    def step(state, row):
-        state, reason, distance, since = gate_step(policy, state, row.epoch_s, row.trigger, row.phash)
-        return state, (reason, distance, since)
+    def step(state, rows):
+        out = []
+        for row in rows.itertuples(index=False):
+            state, reason, distance, since = gate_step(policy, state, *_plain((row.epoch_s, row.trigger, row.phash)))
+            out.append((reason, distance, since))
+        return state, out
 
-    return keyed_stream(frames, step, "reject_reason string, hash_distance int, since_last_call_s double",
-                        STATE, FRESH, late_s, policy.forgetting_gap_s)
+    return keyed_stream(frames.select("device_id", "seq", "epoch_s", "trigger", "phash"), step,
+                        "reject_reason string, hash_distance int, since_last_call_s double", STATE, FRESH,
+                        late_s, policy.forgetting_gap_s)
 
 
 def context_stream(frames: DataFrame, ttl_s: float, late_s: float) -> DataFrame:
-    """Latest earlier knowledge ``hits`` of the device that are at most ``ttl_s`` old."""
-    def step(state, row):
+    """Latest earlier knowledge ``hits`` of the device that are less than ``ttl_s`` old (as
+    ``flow.context_asof``)."""
+    def step(state, rows):
         hits, at = state
-        told = hits if hits is not None and row.epoch_s - at < ttl_s else None
-        return ((row.hits, row.epoch_s) if row.hits else state), (told,)
-
-    return keyed_stream(frames, step, "kb_context string", "hits string, at double", (None, None),
-                        late_s, ttl_s + late_s)
-
-
-def rate_stream(requests: DataFrame, window_s: int, limit: int, late_s: float) -> DataFrame:
-    """Requests of the device in the last ``window_s`` seconds, and whether that is too many."""
-    def step(state, row):
-        times = [float(t) for t in (state[0] or "").split(",") if t]
-        times = [t for t in times if t >= row.epoch_s - window_s] + [row.epoch_s]
-        return (",".join(map(repr, times)),), (len(times), len(times) > limit)
-
-    return keyed_stream(requests, step, "n_recent long, limited boolean", "times string", (None,),
-                        late_s, window_s + late_s)
+        out = []
+        for now, own in zip(rows["epoch_s"], rows["hits"], strict=True):
+            out.append((hits if hits is not None and now - at < ttl_s else None,))
+            if isinstance(own, str) and own:
+                hits, at = own, now
+        return (hits, at), out
+
+    return keyed_stream(frames.select("device_id", "seq", "epoch_s", "hits"), step, "kb_context string",
+                        "hits string, at double", (None, None), late_s, ttl_s)
+
+
+def rate_stream(requests: DataFrame, window_s: int, limit: int, late_s: float, key: str = "device_id") -> DataFrame:
+    """Requests of the device in the last ``window_s`` seconds, and whether that is too many (as
+    ``flow.request_rates``: requests at the very same time count each other)."""
+    def step(state, rows):
+        now = rows["epoch_s"].to_numpy(float)
+        times = np.concatenate([np.array(state[0] or [], float), now])
+        n = np.searchsorted(times, now, "right") - np.searchsorted(times, now - window_s, "left")
+        return (times[times >= now[-1] - window_s].tolist(),), [(int(x), bool(x > limit)) for x in n]
+
+    return keyed_stream(requests.select(key, "seq", "epoch_s"), step, "n_recent long, limited boolean",
+                        "times array<double>", (None,), late_s, window_s, key)
 
 
 def liveness_stream(signals: DataFrame, ttl_s: float) -> DataFrame:

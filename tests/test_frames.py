@@ -31,22 +31,6 @@ def test_gate_rules(spark):
     assert [got[3, i] for i in range(4)] == [None, None, None, "read_rate_limit"]
 
 
-def test_stream_equals_replay(spark):
-    policy = gate.GatePolicy(dup_distance=2, min_interval_s=14400.0, force_distance=7)
-    frames = view(spark, SF, "a_frames").select("device_id", "seq", "epoch_s", "trigger", "phash")
-    folder = tempfile.mkdtemp(prefix="roomgraph-frames-")
-    stored = frames.withColumn("ts", F.timestamp_micros((F.col("epoch_s") * 1e6).cast("long")))
-    stored.repartitionByRange(4, "ts").write.mode("overwrite").parquet(folder + "/in")
-    source = spark.readStream.schema(stored.schema).parquet(folder + "/in").withWatermark("ts", "30 days")
-    query = (gate.stream(source, policy).writeStream.format("memory").queryName("judged")
-             .option("checkpointLocation", folder + "/ckpt").outputMode("append").start())
-    query.processAllAvailable()
-    query.stop()
-    cols = ["device_id", "seq", "reject_reason", "hash_distance"]
-    got, want = spark.table("judged").select(*cols), gate.replay(frames, policy).select(*cols)
-    assert got.count() == want.count() and got.exceptAll(want).count() == 0
-
-
 @pytest.mark.parametrize("raw,stage,advice", [
     ('{"advice":"go","risk_level":"danger"}', "json", "go"),
     ('```json\n{"advice":"go"}\n```', "json", "go"),

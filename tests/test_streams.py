@@ -45,35 +45,84 @@ def same(got, want):
     assert got.count() == want.count() and got.exceptAll(want).count() == 0
 
 
-def test_gate_puts_late_rows_aside(spark, frames, tmp_path):
-    policy = gate.GatePolicy(dup_distance=2, min_interval_s=14400.0, force_distance=7)
+DAYS = 86400.0
+
+
+def played(spark, parts, stream, out):
+    """The whole stream in micro-batches of one part each, then one of a far later row of a device of its
+    own, so that the watermark passes all; without that device's row."""
+    last = parts[0].limit(1).withColumns({"device_id": F.lit(-1).cast("long"), "seq": F.lit(-1).cast("long"), "epoch_s": F.lit(4e9)})
+    for i, part in enumerate([*parts, last]):
+        part.coalesce(1).write.parquet(f"{out}/in/p{i}")
+        time.sleep(0.05)
+    source = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", "true").parquet(f"{out}/in")
+    query = (stream(source).writeStream.foreachBatch(keyed.late_writer(f"{out}/out"))
+             .option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start())
+    assert query.awaitTermination(150)
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == len(parts) + 1
+    return tuple(spark.read.parquet(f"{out}/out/{k}").filter("device_id >= 0") for k in ("kept", "dead_letter"))
+
+
+def jumbled(frames, late_s, parts=5):
+    """``frames`` in an order in which none comes after one that is more than ``late_s`` newer."""
+    key = F.col("epoch_s") + F.pmod(F.xxhash64("device_id", "seq"), F.lit(1000)) / 1000.0 * late_s
+    bounds = frames.select(key.alias("k")).approxQuantile("k", [i / parts for i in range(1, parts)], 0.0)
+    at = sum(((key > b).cast("int") for b in bounds), F.lit(0))
+    return [frames.filter(at == i) for i in range(parts)]
+
+
+POLICY = gate.GatePolicy(dup_distance=2, min_interval_s=14400.0, force_distance=7)
+
+
+def test_rows_out_of_order_change_nothing(spark, frames, tmp_path):
+    late_s = 5 * DAYS
+    parts = jumbled(frames, late_s)
+    orders = [p.agg(F.min("epoch_s"), F.max("epoch_s")).head() for p in parts]
+    assert all(b[0] < a[1] for a, b in zip(orders[:-1], orders[1:]))  # they do overlap
+    wants = {
+        "gate": (lambda s: keyed.gate_stream(s, POLICY, late_s), gate.replay(frames.drop("hits"), POLICY),
+                 ["device_id", "seq", "reject_reason", "hash_distance", "since_last_call_s"]),
+        "kb": (lambda s: keyed.context_stream(s, DAYS, late_s), flow.context_asof(frames.drop("hits"), frames, DAYS),
+               ["seq", "kb_context"]),
+        "rate": (lambda s: keyed.rate_stream(s, 86400, 2, late_s), flow.request_rates(frames.select(
+            F.col("device_id").alias("session_id"), "seq", F.col("epoch_s").alias("t_s")), 86400, 2), ["seq", "n_recent", "limited"]),
+    }
+    for name, (stream, want, cols) in wants.items():
+        kept, dead = played(spark, parts, stream, str(tmp_path / name))
+        assert dead.count() == 0
+        same(kept.select(*cols), want.select(*cols))
+        assert kept.filter(F.col(cols[2 if name == "gate" else 1]).isNotNull()).count() > 10
+
+
+def test_rows_behind_the_watermark_come_back_marked(spark, frames, tmp_path):
     early, rest = halves(frames)
-    late = early.filter(F.col("seq") % 50 == 0)
-    late = late.join(rest.select("device_id").distinct(), "device_id", "left_semi").select(*early.columns)
-    late = late.join(early.groupBy("device_id").agg(F.max("epoch_s").alias("m")), "device_id").filter(
-        F.col("epoch_s") < F.col("m") - 3600).select(*early.columns)
+    newest = rest.agg(F.max("epoch_s")).head()[0]
+    late = early.filter((F.col("seq") % 50 == 0) & (F.col("epoch_s") < newest - 3600))
     ids = [r.seq for r in late.collect()]
     in_time = frames.filter(~F.col("seq").isin(ids))
-    out = str(tmp_path)
-    play(spark, [early.filter(~F.col("seq").isin(ids)), rest, late],
-         lambda s: keyed.gate_stream(s, policy, 3600.0).writeStream.foreachBatch(keyed.late_writer(f"{out}/out")), out)
-    assert ids and sorted(r.seq for r in spark.read.parquet(f"{out}/out/dead_letter").collect()) == sorted(ids)
+    odd = late.limit(1).withColumns({"epoch_s": F.lit(None).cast("double"), "seq": F.lit(-7).cast("long")})
+    kept, dead = played(spark, [early.filter(~F.col("seq").isin(ids)), rest, late.unionByName(odd)],
+                        lambda s: keyed.gate_stream(s, POLICY, 3600.0), str(tmp_path))
+    assert ids and sorted(r.seq for r in dead.collect()) == sorted([*ids, -7])
+    assert [r.epoch_s for r in dead.filter("seq = -7").collect()] == [None]
     cols = ["device_id", "seq", "reject_reason", "hash_distance"]
-    same(spark.read.parquet(f"{out}/out/kept").select(*cols), gate.replay(in_time, policy).select(*cols))
-
-
-def test_context_and_rates_equal_batch(spark, frames, tmp_path):
-    for name, stream, want in (
-        ("kb", lambda s: keyed.context_stream(s, 86400.0, 1e9), flow.context_asof(frames.drop("hits"), frames, 86400.0)),
-        ("rate", lambda s: keyed.rate_stream(s, 86400, 2, 1e9), flow.request_rates(
-            frames.select(F.col("device_id").alias("session_id"), "seq", F.col("epoch_s").alias("t_s")), 86400, 2)),
-    ):
-        out = str(tmp_path / name)
-        play(spark, halves(frames), lambda s: stream(s).writeStream.foreachBatch(keyed.late_writer(f"{out}/out")), out)  # noqa: B023
-        got = spark.read.parquet(f"{out}/out/kept")
-        cols = ["seq", "kb_context"] if name == "kb" else ["seq", "n_recent", "limited"]
-        same(got.select(*cols), want.select(*cols))
-        assert got.filter(F.col(cols[1]).isNotNull()).count() > 10
+    same(kept.select(*cols), gate.replay(in_time, POLICY).select(*cols))
+
+
+def test_order_ties_and_forgetting(spark, tmp_path):
+    schema = "device_id long, seq long, epoch_s double, hits string"
+    rows = [[(1, 2, 100.0, "A")], [(1, 4, 50.0, "B"), (1, 3, 120.0, ""), (1, 1, 100.0, "")], [(1, 5, 120.0, "C"), (2, 1, 200.0, None)],
+            [(1, 6, 900.0, "")], [(1, 7, 900.0, "")], [(2, 9, 9000.0, "")], [(1, 8, 9001.0, "")]]
+    parts = [spark.createDataFrame(r, schema) for r in rows]
+    kept, _ = played(spark, parts, lambda s: keyed.context_stream(s, 60.0, 100.0), str(tmp_path / "kb"))
+    assert {(r.device_id, r.seq): r.kb_context for r in kept.collect()} == {
+        (1, 4): None, (1, 1): "B", (1, 2): "B", (1, 3): "A", (1, 5): "A", (1, 6): None, (1, 7): None, (1, 8): None,
+        (2, 1): None, (2, 9): None}
+    kept, _ = played(spark, parts, lambda s: keyed.rate_stream(s, 60, 2, 100.0), str(tmp_path / "rate"))
+    assert {(r.device_id, r.seq): (r.n_recent, r.limited) for r in kept.filter("device_id = 1").collect()} == {
+        (1, 4): (1, False), (1, 1): (3, True), (1, 2): (3, True), (1, 3): (4, True), (1, 5): (4, True), (1, 6): (2, False),
+        (1, 7): (2, False), (1, 8): (1, False)}
 
 
 def test_newest_and_liveness(spark, frames, tmp_path):
