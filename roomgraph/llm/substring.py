@@ -162,9 +162,11 @@ def repeats(rows: DataFrame, window: int, k: int) -> DataFrame:
         return stored(few_files(df, n, 1000))
 
     found = anchors(rows, window, k)
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    marked = kept(found.join(often.select("anchor"), "anchor").groupBy("key").agg(
-        F.collect_set("anchor").alias("often")))
+    # counted sides are stored, so that both sides of a join come from exchanges of its own: only then
+    # does Spark split an anchor that very many documents share
+    often = kept(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor"))
+    marked = kept(found.join(often, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("often")))
+    drop_stored(often)
     paths = kept(named_paths(rows.join(marked, "key"), window, k))
     drop_stored(marked)
 
@@ -176,17 +178,19 @@ def repeats(rows: DataFrame, window: int, k: int) -> DataFrame:
         "doc", "version", "lo", "n"))
     drop_stored(paths)
 
-    forks = firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    leaders = kept(firsts.join(forks.select("anchor"), "anchor", "left_semi").groupBy(
+    forks = kept(firsts.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor"))
+    leaders = kept(firsts.join(forks, "anchor", "left_semi").groupBy(
         F.col("first.doc").alias("doc"), F.col("first.version").alias("version")).agg(
         F.collect_set("first.lo").alias("los")))
+    drop_stored(forks)
     drop_stored(firsts)
     edges = kept(opened_paths(rows.join(leaders, ["doc", "version"]), window, k))
     drop_stored(leaders)
-    shared = edges.groupBy("anchor", "edge").agg(
-        F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    single = kept(edges.join(shared.select("anchor", "edge", "first"), ["anchor", "edge"]).filter(
+    shared = kept(edges.groupBy("anchor", "edge").agg(
+        F.min(place).alias("first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor", "edge", "first"))
+    single = kept(edges.join(shared, ["anchor", "edge"]).filter(
         F.col("first") != place).select("doc", "version", "lo", F.lit(1).alias("n")))
+    drop_stored(shared)
     drop_stored(edges)
     return whole.unionByName(single)
 

@@ -46,13 +46,14 @@ def records(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     ``least_bytes``, or null where the page's own payload is stored.
 
     Payloads that occur once have no row in the counted side, which is aggregated before its
-    shuffle; a payload shared by very many pages is split by Spark's skew join.
+    shuffle and stored: so both sides of the join come from exchanges of its own, and a payload
+    shared by very many pages is split by Spark's skew join.
     """
     rows = pages.select(
         F.col(page_id).cast("long").alias("page_id"), text_of(url).alias("url"),
         text_of(html).alias("html"),
     ).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    shared = (
+    shared = stored(
         rows.filter(F.octet_length("html") >= least_bytes).groupBy("sha1")
         .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1").select("sha1", "first_id")
