@@ -258,16 +258,37 @@ def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     wanted: dict[str, tuple[str, float]],
-    bins: int = 4096,
+    bins: int = 256,
+    most: int = 100_000,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key: ``wanted[name] = (column, p)``.
 
-    One way for keys of every size. Equal values of a key and column are merged with their counts,
-    values go into ``bins`` equal-width bins between the extremes, cumulative counts of the bins
-    tell which ones hold the wanted ranks, and only those are ordered. Interpolation is that of
-    Spark's percentile, to the last bit. Nulls don't count; a key without a value has null.
+    Keys of up to ``most`` rows are one aggregation, whose state is a key's values. Larger ones are
+    spread: see ``ranked_quantiles``. Both interpolate as Spark's percentile does and give the same
+    bits. Nulls don't count; a key without a value has null.
     """
     keys = list(keys)
+    df = df.select(*keys, *dict.fromkeys(c for c, _ in wanted.values()))
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(
+        *[F.col(k).alias(f"_large_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys]
+    small = df.join(large, same, "left_anti").groupBy(*keys).agg(
+        *[F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(name) for name, (c, p) in wanted.items()])
+    return small.unionByName(ranked_quantiles(df.join(large, same, "left_semi"), keys, wanted, bins))
+
+
+def ranked_quantiles(
+    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]], bins: int = 256
+) -> DataFrame:
+    """``exact_quantiles`` of keys that may hold most of the rows.
+
+    Equal values of a key and column are merged with their counts, values go into ``bins`` bins
+    between splitters drawn from a mergeable sketch of the values, so that a bin holds about the same
+    number of them however they are spread; cumulative counts of the bins tell which ones hold the
+    wanted ranks, and only those are ordered.
+    """
+    named, keys = list(keys), ["_key"]  # a struct, so that null keys join as well
+    df = df.withColumn("_key", F.struct(*named))
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     place = {c: i for i, c in enumerate(columns)}
     per = [*keys, "_col"]
@@ -277,13 +298,10 @@ def exact_quantiles(
         .groupBy(*per, "_v").agg(F.count("_v").alias("_c"))
     )
     valid = merged.filter(F.col("_v").isNotNull())
-    sizes = valid.groupBy(*per).agg(
-        F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    span = F.col("_hi") - F.col("_lo")
-    spot = F.when(
-        span > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / span * F.lit(bins)), F.lit(bins - 1))
-    ).otherwise(F.lit(0))
-    valid = valid.join(sizes, per).withColumn("_bin", spot)
+    sizes = valid.groupBy(*per).agg(F.sum("_c").alias("_n"), F.percentile_approx(
+        "_v", [i / bins for i in range(1, bins)] or [0.5], 20 * bins).alias("_splits"))
+    spot = F.size(F.filter("_splits", lambda x: x < F.col("_v")))
+    valid = valid.join(sizes, per).withColumn("_bin", spot).drop("_splits")
     before = Window.partitionBy(*per).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     counts = (
         valid.groupBy(*per, "_bin").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
@@ -323,4 +341,5 @@ def exact_quantiles(
         merged.select(*keys, F.lit(None).cast("string").alias("_q"),
                       F.lit(None).cast("double").alias("_value")).distinct())
     return rows.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_q") == name, F.col("_value"))).alias(name) for name in wanted])
+        *[F.max(F.when(F.col("_q") == name, F.col("_value"))).alias(name) for name in wanted]
+    ).select(*[F.col(f"_key.{k}").alias(k) for k in named], *wanted)

@@ -46,11 +46,25 @@ def test_quantiles_of_hot_keys(spark):
     plain = df.groupBy("k").agg(
         *[F.percentile(c, F.lit(p)).alias(name) for name, (c, p) in wanted.items()]
     ).toPandas().sort_values("k")[["k", *wanted]]
-    for bins in (1, 8, 4096):
-        got = scaling.exact_quantiles(df, ["k"], wanted, bins).toPandas().sort_values("k")
+    middle = sorted(r["count"] for r in df.groupBy("k").count().collect())[1]
+    for bins, most in ((1, 0), (8, 0), (256, 0), (16, middle), (16, 10**6)):
+        got = scaling.exact_quantiles(df, ["k"], wanted, bins, most).toPandas().sort_values("k")
         assert got[["k", *wanted]].values.tolist() == plain.values.tolist()  # to the last bit
     empty = df.limit(3).select("k", F.lit(None).cast("double").alias("v"), "t")
-    assert all(r.a is None for r in scaling.exact_quantiles(empty, ["k"], {"a": ("v", 0.5)}).collect())
+    for most in (0, 10**6):
+        assert all(r.a is None for r in scaling.exact_quantiles(empty, ["k"], {"a": ("v", 0.5)}, 8, most).collect())
+
+
+def test_bins_of_a_heavy_tailed_key_are_even(spark):
+    """One value far out doesn't put all others into one bin."""
+    df = spark.range(20_000).select(F.lit(None).cast("int").alias("k"), F.when(F.col("id") == 0, 1e300).otherwise(
+        1 + F.col("id") * 1e-9).alias("v"))
+    got = scaling.ranked_quantiles(df, ["k"], {"a": ("v", 0.5), "b": ("v", 1.0)}, 64)
+    want = df.groupBy("k").agg(F.percentile("v", F.lit(0.5)).alias("a"), F.max("v").alias("b")).head()
+    assert got.head() == want
+    splits = df.agg(F.percentile_approx("v", [i / 64 for i in range(1, 64)], 1280)).head()[0]
+    sizes = df.groupBy(F.size(F.filter(F.array(*map(F.lit, splits)), lambda x: x < F.col("v")))).count().agg(F.max("count")).head()[0]
+    assert sizes < 4 * 20_000 / 64
 
 
 def test_staircase_and_last_known(spark):
