@@ -231,6 +231,14 @@ def candidates(pooled: DataFrame) -> DataFrame:
     )
 
 
+def appearances(pooled: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """Every sighting of each candidate in order of arrival: (scene_id, candidate_id, place, frame, bbox,
+    crop_file), the box in whole pixels. ``pooled`` carries frame, ``bbox`` and crop_file."""
+    box = F.struct(*[F.col(f"bbox.{c}").cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    seen = pooled.select("scene_id", "candidate_id", "ord", "frame", box.alias("bbox"), "crop_file")
+    return positions(seen, ["scene_id", "candidate_id"], "ord", width, "place").drop("ord")
+
+
 def pool_stats(all_rows: DataFrame, pooled: DataFrame) -> DataFrame:
     """Rows per outcome and scene: known_skip, merged, new."""
     seen = all_rows.select("scene_id", "ord").join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roomgraph.operators.scaling import last_known, top_k, with_previous
+from roomgraph.operators.scaling import last_known, positions, top_k, with_previous
 
 RELATION = ["scene_id", "subject", "predicate", "object"]
 
@@ -208,6 +208,18 @@ def apply_corrections(
     return corrected, log
 
 
+def node_sources(nodes: DataFrame, corrections: DataFrame, bucket: int = 100_000) -> DataFrame:
+    """(node_id, place, source): each node's own ``sources`` and then those of its corrections in ``ord``
+    order. A row each, so a node that is corrected very often is no long list. Corrections of unknown
+    nodes are left out, as ``apply_corrections`` does."""
+    own = nodes.select("node_id", F.coalesce("sources", F.array().cast("array<string>")).alias("_s"))
+    first = own.select("node_id", F.posexplode("_s").alias("_p", "source")).select(
+        "node_id", (F.col("_p") + 1).cast("long").alias("place"), "source")
+    later = positions(corrections.select("node_id", "ord", "source"), ["node_id"], "ord", bucket, "_p").join(
+        own.select("node_id", F.size("_s").alias("_n")), "node_id")
+    return first.unionByName(later.select("node_id", (F.col("_p") + F.col("_n")).cast("long").alias("place"), "source"))
+
+
 def move_nodes(
     nodes: DataFrame, moves: DataFrame, bucket: int = 100_000
 ) -> tuple[DataFrame, DataFrame]:

@@ -68,6 +68,14 @@ def run_report(calls: DataFrame, keys: list[str]) -> DataFrame:
     return totals.join(latency_summary(calls, keys), keys)
 
 
+def histogram_percentile(histogram: DataFrame, keys: list[str], p: float) -> DataFrame:
+    """Per key the smallest bound that at least the share ``p`` of its cumulative counts lies under."""
+    cells = F.collect_list(F.struct("le", "n"))  # as many as there are bounds
+    reached = F.filter("_cells", lambda c: c["n"] >= F.col("_all") * p)
+    return histogram.groupBy(*keys).agg(cells.alias("_cells"), F.max("n").alias("_all")).select(
+        *keys, F.array_min(F.transform(reached, lambda c: c["le"])).alias("le"), F.col("_all").alias("n"))
+
+
 def latency_histogram(
     rows: DataFrame, keys: list[str], seconds: Column, bounds: tuple[float, ...] = E2E_BUCKETS
 ) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roomgraph.fixed_values import FILTERED_TEXT
+from roomgraph.fixed_values import E2E_BUCKETS, FILTERED_TEXT
 from roomgraph.functions import answers as a
 from roomgraph.functions import geometry as g
 from roomgraph.operators import assemble, lifecycle, relations, reports, scaling, search
@@ -218,6 +218,29 @@ def outcomes_by_minute(spark, sf):
         F.unix_seconds("window.start").alias("start_s"), "outcome", "n", "latency_ms")
 
 
+_BOUNDS = ", ".join(str(b) for b in E2E_BUCKETS)
+_HISTOGRAM = f"""
+ b AS (SELECT unnest([{_BOUNDS}, CAST('inf' AS DOUBLE)]) AS le), w AS (SELECT CAST(floor(epoch_s/3600)*3600 AS BIGINT) AS start_s, latency_ms/1000.0::DOUBLE AS s FROM {{a_model_log}}),
+ h AS (SELECT start_s, le, CAST(count(*) FILTER (s <= le) AS BIGINT) AS n FROM w, b GROUP BY 1, 2)"""
+
+
+def _latency_windows(spark, sf):
+    return flow.windowed_latency(t.view(spark, sf, "a_model_log").select(
+        F.timestamp_micros((F.col("epoch_s") * 1e6).cast("long")).alias("ts"), "latency_ms"), "1 hour")
+
+
+@query("latency_by_hour", f"WITH {_HISTOGRAM} SELECT start_s, le, n FROM h")
+def latency_by_hour(spark, sf):
+    return _latency_windows(spark, sf).select(F.unix_seconds("window.start").alias("start_s"), "le", "n")
+
+
+@query("latency_p95_by_hour", f"""
+WITH {_HISTOGRAM} SELECT start_s, min(le) FILTER (n >= 0.95 * m) AS le, max(m) AS n FROM (SELECT *, max(n) OVER (PARTITION BY start_s) AS m FROM h) x GROUP BY 1""")
+def latency_p95_by_hour(spark, sf):
+    return reports.histogram_percentile(_latency_windows(spark, sf), ["window"], 0.95).select(
+        F.unix_seconds("window.start").alias("start_s"), "le", "n")
+
+
 @query("rejects_logged", """
 SELECT device_id, seq, rejected_by AS node, coalesce(reject_reason,'') AS reason, CASE WHEN reject_reason='rate_limit' THEN '' ELSE phash END AS phash, CASE WHEN rejected_by='gate' THEN k END AS since_last_call_s FROM (
  SELECT f.*, CASE WHEN f.bits<2 THEN 'gate' WHEN k%17=0 THEN 'rules' END AS rejected_by, CASE WHEN f.bits<1 THEN 'rate_limit' WHEN f.bits<2 THEN 'duplicate' WHEN k%17=0 THEN 'too_blurry' END AS reject_reason FROM {a_frames} f) r WHERE rejected_by IS NOT NULL""")

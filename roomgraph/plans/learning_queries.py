@@ -421,6 +421,17 @@ def candidate_pool(spark, sf):
     return learn.candidates(pooled(spark, sf)).drop("center")
 
 
+@query("candidate_appearances", f"""
+WITH {_POOLED}
+SELECT scene_id, candidate_id, row_number() OVER (PARTITION BY scene_id, candidate_id ORDER BY ord) AS place, frame, CAST(trunc(cx*37.3) AS INT) AS x1, CAST(trunc(cy*21.7-30) AS INT) AS y1,
+ CAST(trunc(cx*37.3+10.9) AS INT) AS x2, CAST(trunc(cy*21.7-15.2) AS INT) AS y2, concat('crop_', ord) AS crop_file FROM numbered""")
+def candidate_appearances(spark, sf):
+    sides = {"x1": F.col("cx") * 37.3, "y1": F.col("cy") * 21.7 - 30, "x2": F.col("cx") * 37.3 + 10.9, "y2": F.col("cy") * 21.7 - 15.2}
+    seen = pooled(spark, sf).withColumns({
+        "bbox": F.struct(*[v.alias(k) for k, v in sides.items()]), "crop_file": F.concat(F.lit("crop_"), F.col("ord").cast("string"))})
+    return learn.appearances(seen).select("scene_id", "candidate_id", "place", "frame", "bbox.*", "crop_file")
+
+
 @query("candidate_pool_placed")
 def candidate_pool_placed(spark, sf):
     """Pool of the novel rows with places, where arrival order matters."""
@@ -699,6 +710,18 @@ def correction_log(spark, sf):
     return log.drop("t_s", "source")
 
 
+@query("node_sources", f"""
+WITH {_CORR}, n AS (SELECT node_id, CASE j%3 WHEN 0 THEN CAST([] AS VARCHAR[]) WHEN 1 THEN ['vlm'] ELSE ['vlm','user'] END AS own FROM {{a_objects}})
+SELECT node_id, CAST(unnest(range(1, len(own)+1)) AS BIGINT) AS place, unnest(own) AS source FROM n
+UNION ALL SELECT c.node_id, len(own) + row_number() OVER (PARTITION BY c.node_id ORDER BY ord), concat('s', t_s % 3) FROM corr c JOIN n ON n.node_id=c.node_id""")
+def node_sources(spark, sf):
+    j = F.col("j") % 3
+    own = F.when(j == 0, F.array().cast("array<string>")).when(j == 1, F.array(F.lit("vlm"))).otherwise(
+        F.array(F.lit("vlm"), F.lit("user")))
+    said = _corrections(spark, sf).withColumn("source", F.concat(F.lit("s"), (F.col("t_s") % 3).cast("string")))
+    return lifecycle.node_sources(t.objects(spark, sf).select("node_id", own.alias("sources")), said, _ORDERS_1000)
+
+
 @query("moves_history", """
 WITH mv AS (SELECT concat('obj_', CAST(l_partkey AS VARCHAR)) AS node_id, l_orderkey*100000000000+l_linenumber*10000000000+l_partkey*10000+l_suppkey AS ord, l_orderkey AS t_s, CAST(l_suppkey%60 AS DOUBLE)/10 AS x FROM {lineitem}),
  p AS (SELECT m.node_id, m.ord, t_s, lag(x) OVER (PARTITION BY m.node_id ORDER BY m.ord) AS px, j, (xmin+xmax)/2 AS sx FROM mv m JOIN {a_objects} o ON o.node_id=m.node_id)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roomgraph.functions import answers as a
+from roomgraph.operators.reports import latency_histogram
 from roomgraph.operators.scaling import BUCKET, CONTEXT, sessionize, with_halo
 
 
@@ -171,3 +172,10 @@ def windowed_counts(frames: DataFrame, every: str = "1 minute", late: str = "10
     return frames.withWatermark("ts", late).groupBy(F.window("ts", every), "outcome").agg(
         F.count(F.lit(1)).alias("n"), F.sum("latency_ms").alias("latency_ms")
     )
+
+
+def windowed_latency(frames: DataFrame, every: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """Latency histogram (cumulative counts per bound) of each time window, for streams and tables
+    (columns ``ts``, ``latency_ms``). A window's state is its counts, which merge."""
+    windows = frames.withWatermark("ts", late).withColumn("window", F.window("ts", every))
+    return latency_histogram(windows, ["window"], F.col("latency_ms") / 1000.0)

@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from roomgraph.operators import lifecycle
+from roomgraph.operators import lifecycle, reports
 from roomgraph.plans.learning_queries import _relation_sightings
 from roomgraph.sources.testtables import view
 from roomgraph.streaming import flow, gate, keyed
@@ -125,6 +125,26 @@ def test_order_ties_and_forgetting(spark, tmp_path):
         (1, 7): (2, False), (1, 8): (1, False)}
 
 
+def test_latency_histograms_of_windows(spark, frames, tmp_path):
+    rows = frames.select("device_id", "seq", "epoch_s").withColumns({
+        "ts": F.timestamp_seconds("epoch_s"), "latency_ms": F.pmod(F.xxhash64("seq"), F.lit(9000))})
+    key = [F.unix_seconds("window.start").alias("start_s"), "le", "n"]
+    want = flow.windowed_latency(rows, "1 day")
+    late_s, out = 5 * DAYS, str(tmp_path)
+    parts = jumbled(rows, late_s)
+    last = rows.limit(1).withColumns({"ts": F.timestamp_seconds(F.lit(4e9)), "latency_ms": F.lit(1).cast("long")})
+    for i, part in enumerate([*parts, last]):
+        part.coalesce(1).write.parquet(f"{out}/in/p{i}")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{out}/in")
+    query = flow.windowed_latency(source, "1 day", f"{int(late_s)} seconds").writeStream.format("parquet").option(
+        "path", f"{out}/out").option("checkpointLocation", f"{out}/ckpt").trigger(availableNow=True).start()
+    assert query.awaitTermination(150) and query.exception() is None
+    got = spark.read.parquet(f"{out}/out")
+    same(got.select(*key), want.select(*key))
+    p95 = [reports.histogram_percentile(h, ["window"], 0.95) for h in (got, want)]
+    same(*p95)
+
+
 def test_newest_and_liveness(spark, frames, tmp_path):
     out = str(tmp_path / "new")
     play(spark, halves(frames), lambda s: s.writeStream.foreachBatch(keyed.newest_writer(f"{out}/out")), out)
