@@ -241,79 +241,105 @@ def trajectory_stats(track: DataFrame, fallback_dt: float = 1.0 / 15.0) -> DataF
     )
 
 
-_DECISION = "scene_id long, run long, keep_from long, kx double, ky double, kz double"
+#: First look-ahead of a run's end, in frame numbers, and its growth from one try to the next.
+_AHEAD, _AHEAD_GROWTH = 64, 16
 
 
-def _decide_runs(max_jump: float):
-    def decide(runs: pd.DataFrame) -> pd.DataFrame:
-        kept, out = None, []
-        for r in runs.sort_values("run").itertuples(index=False):
-            head, keep_from = np.array([r.hx, r.hy, r.hz]), None
-            if kept is None or np.sqrt(((head - kept) ** 2).sum()) <= max_jump:
-                keep_from = r.first_no
-            elif pd.notna(r.start_no):
-                keep_from = r.start_no
-            basis = (np.nan,) * 3 if kept is None else tuple(kept)
-            out.append((r.scene_id, r.run, keep_from, *basis))
-            if keep_from is not None:
-                kept = np.array([r.lx, r.ly, r.lz])
-        frame = pd.DataFrame(out, columns=["scene_id", "run", "keep_from", "kx", "ky", "kz"])
-        return frame.astype({"keep_from": "Int64"})
+def _next_stations(ends: DataFrame, stations: DataFrame, max_jump: float) -> DataFrame:
+    """For each run's end the earliest later station within ``max_jump``, if there is one.
 
-    return decide
+    Ends look ahead in growing stretches of frame numbers: one try is an equi-join on the scene, a
+    stretch and a cell of space, so no key holds more of a scene than that. An end that has found
+    its station, or has looked past the scene's last one, takes no part in the next try.
+    """
+    cell = max_jump * 1.001  # a hair over the reach, against rounding
+    at = {f"_g{a}": F.floor(F.col(f"c{a}") / F.lit(cell)) for a in _AXES}
+    placed = stations.select("scene_id", "run", "frame_no", *[f"c{a}" for a in _AXES]).withColumns(at)
+    last = stations.groupBy("scene_id").agg(F.max("frame_no").alias("_last_no"))
+    open_ends, links, ahead = ends.join(last, "scene_id"), None, _AHEAD
+    while True:
+        open_ends = cut_lineage(open_ends.filter(F.col("end_no") < F.col("_last_no")))
+        if open_ends.isEmpty():
+            break
+        stretch = F.floor(F.col("end_no") / F.lit(ahead))
+        asked = open_ends.withColumn("_stretch", F.explode(F.array(stretch, stretch + 1)))
+        for a in _AXES:
+            own = F.floor(F.col(f"l{a}") / F.lit(cell))
+            asked = asked.withColumn(f"_g{a}", F.explode(F.sequence(own - 1, own + 1)))
+        there = placed.withColumn("_stretch", F.floor(F.col("frame_no") / F.lit(ahead))).select(
+            "scene_id", "_stretch", *at, F.col("run").alias("next_run"), "frame_no",
+            *[f"c{a}" for a in _AXES])
+        d = [F.col(f"c{a}") - F.col(f"l{a}") for a in _AXES]
+        found = cut_lineage(
+            asked.join(there, ["scene_id", "_stretch", *at])
+            .filter((F.col("frame_no") > F.col("end_no"))
+                    & (F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]) <= max_jump))
+            .groupBy("scene_id", "run")
+            .agg(F.min(F.struct("frame_no", "next_run")).alias("_m"))
+            .select("scene_id", "run", F.col("_m.next_run").alias("next_run"),
+                    F.col("_m.frame_no").alias("entry_no"))
+        )
+        links = found if links is None else links.unionByName(found)
+        seen_to = (F.floor(F.col("end_no") / F.lit(ahead)) + 2) * F.lit(ahead) - 1
+        open_ends = open_ends.join(found, ["scene_id", "run"], "left_anti").filter(
+            seen_to < F.col("_last_no"))
+        ahead *= _AHEAD_GROWTH
+    if links is None:
+        empty = ends.select("scene_id", "run", F.col("run").alias("next_run"),
+                            F.col("end_no").alias("entry_no"))
+        return empty.limit(0)
+    return links
+
+
+def _on_the_way(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Runs reached from each scene's first one along ``links``, by pointer doubling.
+
+    After k rounds the first 2^k runs of a way are known and each pointer spans 2^k links.
+    """
+    reached, fresh = roots, roots
+    jump = links.select("scene_id", "run", F.col("next_run").alias("far"))
+    while True:
+        # all known runs jump: those of the first 2^k reach the next 2^k
+        fresh = cut_lineage(
+            reached.join(jump, ["scene_id", "run"]).select("scene_id", F.col("far").alias("run")))
+        if fresh.isEmpty():
+            return reached
+        reached = cut_lineage(reached.unionByName(fresh))
+        onward = jump.select("scene_id", F.col("run").alias("far"), F.col("far").alias("_far"))
+        jump = cut_lineage(
+            jump.join(onward, ["scene_id", "far"]).select("scene_id", "run", F.col("_far").alias("far")))
 
 
 def drop_jumps(track: DataFrame, max_jump: float = 2.0, bucket: int = 100_000) -> DataFrame:
-    """Drop stations farther than ``max_jump`` from the last *kept* station.
-
-    A scene is first cut into runs of short steps: once a station of a run is kept, the rest
-    of the run is. Only heads and ends of runs go through the sequential rule, on the
-    assumption that a run whose head is too far is dropped whole. A join then looks for
-    stations of dropped runs that are close enough after all; where there are some, the
-    earliest run of each scene is corrected and the rule applied again.
+    """Drop stations farther than ``max_jump`` from the last *kept* station (frame_no order).
+
+    A scene is first cut into runs of short steps: once a station of a run is kept, the rest of the
+    run is, and the station kept after its end is the earliest later one within reach. These links
+    between runs are found by joins on cells; pointer doubling from the scene's first run then
+    tells in a logarithm of rounds which runs are entered, and a run is kept from where it is
+    entered. No scene is walked in one task. A station without coordinates is dropped, unless it is
+    the first, after which nothing follows.
     """
     linked = steps(track, bucket).withColumn(
-        "_head", (F.col("step_m").isNull() | (F.col("step_m") > max_jump)).cast("long")
+        "_head", F.coalesce(F.col("step_m") > max_jump, F.lit(True)).cast("long")
     )
-    stations = running_total(linked, ["scene_id"], "frame_no", "_head", bucket, "run").drop(
-        "_head", "step_m", "dt_s"
+    stations = cut_lineage(
+        running_total(linked, ["scene_id"], "frame_no", "_head", bucket, "run").drop(
+            "_head", "step_m", "dt_s"
+        )
     )
     at = F.struct("cx", "cy", "cz")
-    runs = stations.groupBy("scene_id", "run").agg(
-        F.min("frame_no").alias("first_no"),
-        F.min_by(at, "frame_no").alias("h"),
-        F.max_by(at, "frame_no").alias("l"),
-    ).select(
-        "scene_id", "run", "first_no",
-        *[F.col(f"h.c{a}").alias(f"h{a}") for a in _AXES],
-        *[F.col(f"l.c{a}").alias(f"l{a}") for a in _AXES],
-    )
-    runs = cut_lineage(runs)
-    starts = runs.select("scene_id", "run", F.lit(None).cast("long").alias("start_no")).limit(0)
-    while True:
-        known = runs.join(starts, ["scene_id", "run"], "left")
-        decided = cut_lineage(
-            known.groupBy("scene_id").applyInPandas(_decide_runs(max_jump), _DECISION)
-        )
-        dropped = decided.filter(F.col("keep_from").isNull())
-        near = F.sqrt(
-            (F.col("cx") - F.col("kx")) ** 2 + (F.col("cy") - F.col("ky")) ** 2
-            + (F.col("cz") - F.col("kz")) ** 2
-        ) <= max_jump
-        missed = (
-            stations.join(dropped, ["scene_id", "run"])
-            .filter(near)
-            .groupBy("scene_id")
-            .agg(F.min(F.struct("run", "frame_no")).alias("m"))
-            .select("scene_id", F.col("m.run").alias("run"), F.col("m.frame_no").alias("start_no"))
-        )
-        missed = cut_lineage(missed)
-        if missed.isEmpty():
-            break
-        starts = starts.unionByName(missed)
-    keep = decided.filter(F.col("keep_from").isNotNull()).select("scene_id", "run", "keep_from")
+    ends = stations.groupBy("scene_id", "run").agg(
+        F.max("frame_no").alias("end_no"), F.max_by(at, "frame_no").alias("l"),
+    ).select("scene_id", "run", "end_no", *[F.col(f"l.c{a}").alias(f"l{a}") for a in _AXES])
+    links = cut_lineage(_next_stations(ends, stations, max_jump))
+    roots = cut_lineage(stations.groupBy("scene_id").agg(F.min("run").alias("run")))
+    reached = _on_the_way(links, roots)
+    entered = links.join(reached, ["scene_id", "run"]).select(
+        "scene_id", F.col("next_run").alias("run"), "entry_no")
+    first = roots.withColumn("entry_no", F.lit(None).cast(links.schema["entry_no"].dataType))
     return (
-        stations.join(keep, ["scene_id", "run"])
-        .filter(F.col("frame_no") >= F.col("keep_from"))
-        .drop("run", "keep_from")
+        stations.join(entered.unionByName(first), ["scene_id", "run"])
+        .filter(F.coalesce(F.col("frame_no") >= F.col("entry_no"), F.lit(True)))
+        .drop("run", "entry_no")
     )
