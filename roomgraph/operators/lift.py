@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from roomgraph.functions import geometry as g
+from roomgraph.operators.spatial import LEAF, cells_met, with_leaf
 
 _PIXEL_CELL = 64
 DETECTION = ["scene_id", "det_id"]
@@ -22,10 +23,16 @@ def project_frames(points: DataFrame, frames: DataFrame, lens: Column) -> DataFr
 
     ``points`` carry scene_id and p, ``frames`` scene_id, frame and pose.
     """
+    kept = [c for c in (*points.columns, *frames.columns) if c not in ("scene_id", "pose")]
+    # everything that follows works per frame; one exchange serves all of it
+    return _projected(points.join(frames, "scene_id"), kept, lens).repartition("scene_id", "frame")
+
+
+def _projected(pairs: DataFrame, kept: list[str], lens: Column) -> DataFrame:
+    """Image place ``u``, ``v`` and ``depth`` of the point ``p`` of each row seen from its ``pose``."""
     # One step per projection, and the result passes through a generator: filters on image
     # coordinates would otherwise be pushed under the join with every step written out anew.
-    p, pose = F.col("p"), F.col("pose")
-    cam = g.to_camera(p, pose)
+    cam = g.to_camera(F.col("p"), F.col("pose"))
     floor = F.greatest(F.col("_cz"), F.lit(g.TINY))
     bent = 1.0 + lens.k * (F.col("_x") * F.col("_x") + F.col("_y") * F.col("_y"))
     shot = F.struct(
@@ -33,18 +40,57 @@ def project_frames(points: DataFrame, frames: DataFrame, lens: Column) -> DataFr
         (lens.f * F.col("_y") * F.col("_bent") + lens.cy).alias("v"),
         F.col("_cz").alias("depth"),
     )
-    kept = [c for c in (*points.columns, *frames.columns) if c not in ("scene_id", "pose")]
     return (
-        points.join(frames, "scene_id")
-        .withColumns({"_cx": cam.x, "_cy": cam.y, "_cz": cam.z})
+        pairs.withColumns({"_cx": cam.x, "_cy": cam.y, "_cz": cam.z})
         .withColumns({"_x": F.col("_cx") / floor, "_y": F.col("_cy") / floor})
         .withColumn("_bent", bent)
         .select("scene_id", *kept, F.inline(F.array(shot)))
-        # everything that follows works per frame; one exchange serves all of it
-        .repartition("scene_id", "frame")
     )
 
 
+def _step(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns through a generator, past which Spark does not write an expression out again."""
+    return df.select("*", F.inline(F.array(F.struct(*[v.alias(c) for c, v in columns.items()]))))
+
+
+#: Depth below which a point is not seen, and what an image range is widened by against rounding.
+_NEAREST, _HAIR = 0.1, 0.01
+
+
+def _may_see(lens: Column):
+    """Keep frames whose image range ``_u1.._u2``, ``_v1.._v2`` a point between two corners may fall into.
+
+    Interval arithmetic along the projection: each step takes the range of the step before to a
+    range that holds every value possible, so no visible point is lost.
+    """
+
+    def meets(df: DataFrame, low: dict, high: dict) -> DataFrame:
+        pose, hair = F.col("pose"), F.lit(_HAIR)
+        mid = g.to_camera(F.struct(*[((F.col(low[a]) + F.col(high[a])) / 2).alias(a) for a in "xyz"]), pose)
+        half = [(F.col(high[a]) - F.col(low[a])) / 2 for a in "xyz"]
+        reach = [sum((F.abs(pose[f"r{i}{j}"]) * half[j] for j in range(1, 3)),
+                     F.abs(pose[f"r{i}0"]) * half[0]) * (1 + 1e-9) + 1e-9 for i in range(3)]
+        df = _step(df, {f"_m{a}": mid[a] for a in "xyz"} | {f"_h{a}": r for a, r in zip("xyz", reach)})
+        near = F.greatest(F.col("_mz") - F.col("_hz"), F.lit(_NEAREST))
+        far = F.greatest(F.col("_mz") + F.col("_hz"), F.lit(_NEAREST))
+        lo, hi = ({a: F.col(f"_m{a}") + sign * F.col(f"_h{a}") for a in "xy"} for sign in (-1, 1))
+        df = _step(
+            df.filter(F.col("_mz") + F.col("_hz") >= _NEAREST),
+            {f"_lo{a}": lo[a] / F.when(lo[a] < 0, near).otherwise(far) for a in "xy"}
+            | {f"_hi{a}": hi[a] / F.when(hi[a] > 0, near).otherwise(far) for a in "xy"},
+        )
+        least = [F.greatest(F.lit(0.0), F.col(f"_lo{a}"), -F.col(f"_hi{a}")) for a in "xy"]
+        most = [F.greatest(F.abs(f"_lo{a}"), F.abs(f"_hi{a}")) for a in "xy"]
+        df = _step(df, {f"_b{i}": 1.0 + lens.k * (x * x + y * y) for i, (x, y) in ((1, least), (2, most))})
+        for a, centre, (first, last) in (("x", lens.cx, ("_u1", "_u2")), ("y", lens.cy, ("_v1", "_v2"))):
+            ends = [lens.f * F.col(f"_{e}{a}") * F.col(b) for e in ("lo", "hi") for b in ("_b1", "_b2")]
+            df = df.filter((F.least(*ends) + centre - hair <= F.col(last))
+                           & (F.greatest(*ends) + centre + hair >= F.col(first)))
+        return df
+
+    return meets
+
+
 def _pixel(value: Column) -> Column:
     return F.floor(value / F.lit(float(_PIXEL_CELL)))
 
@@ -60,15 +106,24 @@ def _in_cells(detections: DataFrame, x1: Column, y1: Column, x2: Column, y2: Col
 def points_in_detections(
     detections: DataFrame, points: DataFrame, poses: DataFrame, lens: Column, margin: float = 3.0
 ) -> DataFrame:
-    """Points whose image falls into the box of a detection (grown by ``margin`` pixels)."""
+    """Points whose image falls into the box of a detection (grown by ``margin`` pixels).
+
+    A frame meets only the cells of space that its detections' part of the image may show, and only
+    points of those are projected; the product of a scene's points and frames is never formed.
+    """
     box = F.col("bbox")
     x1, y1, x2, y2 = box.x1 - margin, box.y1 - margin, box.x2 + margin, box.y2 + margin
-    used = poses.join(
-        detections.select("scene_id", "frame").distinct(), ["scene_id", "frame"], "left_semi"
-    ).select("scene_id", "frame", "pose")
+    asked = detections.groupBy("scene_id", "frame").agg(
+        F.min(x1).alias("_u1"), F.max(x2).alias("_u2"), F.min(y1).alias("_v1"), F.max(y2).alias("_v2"))
+    used = poses.select("scene_id", "frame", "pose").join(asked, ["scene_id", "frame"])
+    p = F.col("p")
+    finite = F.abs(p.x) + F.abs(p.y) + F.abs(p.z) < float("inf")
+    placed = with_leaf(points.select("scene_id", "p").filter(finite), p)
+    met = cells_met(used, placed, ["scene_id"], g.make_box(*[p[a] for a in "xyz"] * 2), _may_see(lens))
+    in_sight = placed.join(met.select("scene_id", *LEAF, "frame", "pose"), ["scene_id", *LEAF])
     shots = (
-        project_frames(points.select("scene_id", "p"), used, lens)
-        .filter(F.col("depth") > 0.1)
+        _projected(in_sight, ["p", "frame"], lens)
+        .filter(F.col("depth") > _NEAREST)
         .withColumns({"_cu": _pixel(F.col("u")), "_cv": _pixel(F.col("v"))})
     )
     boxes = _in_cells(

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roomgraph.functions.geometry import BOX_FIELDS, make_box
+from roomgraph.functions.geometry import BOX_FIELDS, box_center, make_box, ray_hits_box
 
 # Half of the eight neighbours: with it every unordered pair of cells is visited once.
 _HALF_STENCIL = ((0, 0), (1, 0), (0, 1), (1, 1), (1, -1))
@@ -163,3 +164,71 @@ def footprint_pairs(
 def pair_box(side: str) -> Column:
     """The box of one side of a pair row."""
     return make_box(*[F.col(f"{side}_{f}") for f in BOX_FIELDS])
+
+
+# ---- things met by a view or a ray ------------------------------------------------------------
+
+#: Edges of the nested cells in metres, from the widest to the leaf.
+CELL_EDGES = (64.0, 8.0, 1.0)
+LEAF = ("_lx", "_ly", "_lz")
+
+
+def with_leaf(items: DataFrame, at: Column) -> DataFrame:
+    """Add the leaf cell of the place ``at``; the columns are named in ``LEAF``."""
+    return items.withColumns(
+        {c: F.floor(at[a] / F.lit(CELL_EDGES[-1])) for c, a in zip(LEAF, "xyz")})
+
+
+def cells_met(viewers: DataFrame, items: DataFrame, keys: Sequence[str], box: Column, meets) -> DataFrame:
+    """Each viewer with the leaf cells whose content it may meet.
+
+    ``items`` come from ``with_leaf``; ``box`` is what one of them covers (a point has its corners
+    in the same place). Each cell knows the box around its content, so an item may be larger than its cell
+    and belongs to one all the same, and empty space costs nothing. Cells are nested: a viewer goes
+    from a cell to the ones inside only where ``meets(viewers, low, high)`` allows it, a function that
+    adds the columns it needs and keeps the viewers which may meet something between the corners ``low``
+    and ``high``, column names by axis. It must never lose a real meeting. Only the
+    widest cells, of which a scene has few, are joined on ``keys`` alone.
+    """
+    keys = list(keys)
+    corners = {f"_{side}{a}": box[f"{a}{side}"] for side in ("min", "max") for a in "xyz"}
+    around = [getattr(F, c[1:4])(c).alias(c) for c in corners]
+    level = items.select(*keys, *LEAF, *[v.alias(c) for c, v in corners.items()])
+    level = level.groupBy(*keys, *LEAF).agg(*around)
+    cells = [level]
+    for inner, outer in zip(CELL_EDGES[:0:-1], CELL_EDGES[-2::-1]):
+        ratio = round(outer / inner)
+        up = {f"_up{a}": F.floor(F.col(c) / F.lit(ratio)) for c, a in zip(LEAF, "xyz")}
+        cells[0] = cells[0].withColumns(up)
+        level = cells[0].groupBy(*keys, *up).agg(*around).select(
+            *keys, *[F.col(u).alias(c) for u, c in zip(up, LEAF)], *corners)
+        cells.insert(0, level)
+    low, high = ({a: f"_{side}{a}" for a in "xyz"} for side in ("min", "max"))
+    kept = viewers.columns
+    met = meets(viewers.join(cells[0], keys), low, high).select(*kept, *LEAF)
+    for level in cells[1:]:
+        above = met.select(*kept, *[F.col(c).alias(f"_up{a}") for c, a in zip(LEAF, "xyz")])
+        met = meets(above.join(level, [*keys, "_upx", "_upy", "_upz"]), low, high).select(*kept, *LEAF)
+    return met
+
+
+def ray_hits(rays: DataFrame, objects: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every ray (``eye``, ``look``) with each object whose ``box`` it hits, by nested cells.
+
+    Columns are those of both sides, the keys once. A ray or box with a null or NaN hits nothing.
+    """
+    whole = [F.col(f"box.{f}").isNotNull() & ~F.isnan(f"box.{f}") for f in BOX_FIELDS]
+    placed = with_leaf(objects.filter(reduce(lambda a, b: a & b, whole)), box_center(F.col("box")))
+
+    def meets(df: DataFrame, low: dict, high: dict) -> DataFrame:
+        # the box around a cell's content holds each box in it, and a slab that is entered later or
+        # left earlier only shrinks; rounding is monotone, so no hit is lost to it either
+        around = make_box(*[F.col(side[a]) for side in (low, high) for a in "xyz"])
+        return df.filter(ray_hits_box(F.col("eye"), F.col("look"), around))
+
+    met = cells_met(rays, placed, keys, F.col("box"), meets)
+    return (
+        placed.join(met, [*keys, *LEAF])
+        .filter(ray_hits_box(F.col("eye"), F.col("look"), F.col("box")))
+        .drop(*LEAF)
+    )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from roomgraph.functions import geometry as g
 from roomgraph.operators import relations as rel
 from roomgraph.operators.spatial import footprint_pairs, pair_box
+from roomgraph.operators.spatial import ray_hits as hit_by_rays
 from roomgraph.plans.catalog import query
 from roomgraph.sources import testtables as t
 
@@ -87,11 +88,7 @@ def ray_hits(spark, sf):
         "scene_id", "frame_no", g.camera_center(F.col("pose")).alias("eye"),
         g.make_point(F.col("pose.r20"), F.col("pose.r21"), F.col("pose.r22")).alias("look"),
     )
-    return (
-        t.objects(spark, sf).join(looks, "scene_id")
-        .filter(g.ray_hits_box(F.col("eye"), F.col("look"), F.col("box")))
-        .select("scene_id", "frame_no", "node_id")
-    )
+    return hit_by_rays(looks, t.objects(spark, sf), ["scene_id"]).select("scene_id", "frame_no", "node_id")
 
 
 _EGO = """
