@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomgraph.functions import geometry as g
-from roomgraph.operators.scaling import top_k
+from roomgraph.operators.scaling import exact_quantiles, top_k
 from roomgraph.session import cut_lineage
 
+#: Points of a scene that one block of plane voting holds.
+_BLOCK = 4096
+
 
 def _hypotheses(points: DataFrame, count: int, seed: int, fits) -> DataFrame:
     """Planes through triples of points drawn by hash order, at most ``count`` per scene.
@@ -45,14 +50,88 @@ def _distance(prefix: str = "") -> Column:
     )
 
 
-def _best_planes(points: DataFrame, planes: DataFrame, reach: float, least: int) -> DataFrame:
-    """Best-supported plane per scene; counts are partial sums before the shuffle."""
-    votes = (
-        points.join(planes, "scene_id")
-        .groupBy("scene_id", "h", "nx", "ny", "nz", "d")
-        .agg(F.count_if(_distance() <= reach).alias("n_inliers"))
-        .filter(F.col("n_inliers") >= least)
+def _in_blocks(points: DataFrame) -> DataFrame:
+    """Points with a block of about ``_BLOCK`` points of their scene; points with a null are left out.
+
+    Equal points share a block; voting merges them before they are moved.
+    """
+    whole = points.select("scene_id", "p").filter(
+        F.col("scene_id").isNotNull() & F.col("p.x").isNotNull() & F.col("p.y").isNotNull()
+        & F.col("p.z").isNotNull())
+    # stored, so that Spark can split a scene that holds a large part of the points in this join
+    sizes = cut_lineage(whole.groupBy("scene_id").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("_blocks")))
+    spot = F.pmod(F.xxhash64("p.x", "p.y", "p.z"), F.col("_blocks"))
+    return whole.join(sizes, "scene_id").withColumn("_block", spot).drop("_blocks")
+
+
+#: Points that are held against all planes at a time.
+_SLICE = 512
+_POINT_LISTS, _PLANE_LISTS = ("x", "y", "z", "w"), ("h", "nx", "ny", "nz", "d")
+_VOTE = "scene_id long, h long, nx double, ny double, nz double, d double, n long"
+
+
+def _lists(batch: pa.RecordBatch, names: tuple[str, ...]):
+    """Columns of lists as flat arrays, and where each row's entries begin and end in them."""
+    ends = np.asarray(batch.column(names[0]).offsets)
+    return [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in names], ends - ends[0]
+
+
+def _count_blocks(reach: float):
+    def count(batches):
+        for batch in batches:
+            (x, y, z, weight), points_at = _lists(batch, _POINT_LISTS)
+            planes, planes_at = _lists(batch, _PLANE_LISTS)
+            n = np.zeros(len(planes[0]), np.int64)
+            for row in range(batch.num_rows):
+                mine = slice(planes_at[row], planes_at[row + 1])
+                _, nx, ny, nz, d = (v[mine, None] for v in planes)
+                for at in range(points_at[row], points_at[row + 1], _SLICE):
+                    part = slice(at, min(at + _SLICE, points_at[row + 1]))
+                    # the same sums in the same order as in _distance, so the same bits
+                    far = nx * x[None, part]
+                    far += ny * y[None, part]
+                    far += nz * z[None, part]
+                    far += d
+                    hit = np.abs(far, out=far) <= reach
+                    repeated = np.flatnonzero(weight[part] > 1)
+                    n[mine] += np.count_nonzero(hit, axis=1) + hit[:, repeated] @ (weight[part][repeated] - 1)
+            scenes = np.repeat(batch.column("scene_id").to_numpy(), np.diff(planes_at))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(v) for v in (scenes, *planes, n)], names=["scene_id", *_PLANE_LISTS, "n"])
+
+    return count
+
+
+def plane_votes(points: DataFrame, planes: DataFrame, reach: float) -> DataFrame:
+    """Points within ``reach`` of each plane of their scene, as ``n_inliers`` beside the plane.
+
+    ``planes`` carry scene_id, h (unique in the scene), the unit normal nx, ny, nz and d; a scene has
+    at most some hundreds. A block of points is held against all of them at once and gives one
+    vector of counts, so no row is made for a point and a plane. Planes of scenes without points
+    don't come back.
+    """
+    return _votes(_in_blocks(points), planes, reach)
+
+
+def _votes(points: DataFrame, planes: DataFrame, reach: float) -> DataFrame:
+    merged = points.groupBy("scene_id", "_block", "p").agg(F.count(F.lit(1)).alias("w"))
+    # the lists of a row grow together, so their entries belong together
+    blocks = merged.groupBy("scene_id", "_block").agg(
+        *[F.collect_list(f"p.{a}").alias(a) for a in "xyz"], F.collect_list("w").alias("w"))
+    asked = cut_lineage(planes.groupBy("scene_id").agg(
+        F.collect_list(F.col("h").cast("long")).alias("h"),
+        *[F.collect_list(c).alias(c) for c in ("nx", "ny", "nz", "d")]))
+    batched = blocks.join(asked, "scene_id").select(
+        F.col("scene_id").cast("long"), *_POINT_LISTS, *_PLANE_LISTS)
+    return (
+        batched.mapInArrow(_count_blocks(reach), _VOTE)
+        .groupBy("scene_id", "h", "nx", "ny", "nz", "d").agg(F.sum("n").alias("n_inliers"))
     )
+
+
+def _best_planes(points: DataFrame, planes: DataFrame, reach: float, least: int) -> DataFrame:
+    """Best-supported plane per scene (the first drawn on ties), if ``least`` points are on it."""
+    votes = _votes(points, planes, reach).filter(F.col("n_inliers") >= least)
     plane = F.struct("nx", "ny", "nz", "d", "n_inliers")
     return votes.groupBy("scene_id").agg(
         F.max_by(plane, F.struct("n_inliers", -F.col("h"))).alias("best")
@@ -67,16 +146,15 @@ def _peel(
     Returns the inlier points with ``plane_no`` and the plane. Scenes without a plane that
     is good enough leave the loop.
     """
-    left, found = points.select("scene_id", "p"), []
+    left, found = cut_lineage(_in_blocks(points)), []
     for no in range(rounds):
-        left = cut_lineage(left)
         planes = _hypotheses(left, hypotheses, seed + no, fits)
         best = cut_lineage(_best_planes(left, planes, reach, least))
         if best.isEmpty():
             break
-        judged = left.join(best, "scene_id").withColumn("_in", _distance() <= reach)
-        found.append(judged.filter("_in").drop("_in").withColumn("plane_no", F.lit(no)))
-        left = judged.filter(~F.col("_in")).select("scene_id", "p")
+        judged = cut_lineage(left.join(best, "scene_id").withColumn("_in", _distance() <= reach))
+        found.append(judged.filter("_in").drop("_in", "_block").withColumn("plane_no", F.lit(no)))
+        left = judged.filter(~F.col("_in")).select("scene_id", "p", "_block")
     if not found:
         empty = points.select("scene_id", "p").limit(0)
         return empty.withColumns(
@@ -91,14 +169,14 @@ def _peel(
 
 def _extent(inliers: DataFrame) -> DataFrame:
     """Axis-aligned extent of each plane, not below the floor."""
-    p = F.col("p")
-    return inliers.groupBy("scene_id", "plane_no").agg(
+    p, keys = F.col("p"), ["scene_id", "plane_no"]
+    middle = exact_quantiles(inliers.select(*keys, p.z.alias("_z")), keys, {"top_z": ("_z", 0.5)})
+    return inliers.groupBy(*keys).agg(
         *[F.min(p[a]).alias(f"{a}min") for a in "xyz"],
         *[F.max(p[a]).alias(f"{a}max") for a in "xyz"],
-        F.median("p.z").alias("top_z"),
         F.first(F.struct("nx", "ny", "nz")).alias("normal"),
         F.count(F.lit(1)).alias("n_inliers"),
-    ).withColumn("zmin", F.greatest(F.lit(0.0), F.col("zmin")))
+    ).withColumn("zmin", F.greatest(F.lit(0.0), F.col("zmin"))).join(middle, keys)
 
 
 def walls(points: DataFrame, hypotheses: int = 500, rounds: int = 6) -> DataFrame:

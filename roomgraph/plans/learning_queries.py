@@ -256,6 +256,20 @@ def registration_rate(spark, sf):
 # ---- planes ------------------------------------------------------------------------------------------
 
 
+@query("plane_votes", """
+SELECT p.scene_id, q.frame_no, count(*) FILTER (WHERE abs(q.r20*p.x+q.r21*p.y+q.r22*p.z-2.0) <= 0.2) AS n_inliers
+FROM {a_points} p JOIN {a_poses} q ON q.scene_id=p.scene_id GROUP BY 1,2""")
+def plane_votes(spark, sf):
+    """How many points lie on each camera's plane of depth 2 through its scene."""
+    facing = t.poses(spark, sf).select(
+        "scene_id", F.col("frame_no").alias("h"), F.col("pose.r20").alias("nx"),
+        F.col("pose.r21").alias("ny"), F.col("pose.r22").alias("nz"), F.lit(-2.0).alias("d"),
+    )
+    return planes.plane_votes(t.points(spark, sf), facing, 0.2).select(
+        "scene_id", F.col("h").alias("frame_no"), "n_inliers"
+    )
+
+
 @query("support_planes")
 def support_planes(spark, sf):
     return planes.support_surfaces(t.points(spark, sf)).select(

@@ -2,10 +2,11 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from roomgraph.functions import geometry as g
-from roomgraph.operators import align, associate, planes, search
+from roomgraph.operators import align, associate, lift, planes, search, spatial
 from roomgraph.operators import relations as rel
 
 
@@ -166,3 +167,103 @@ def test_gravity_of_planar_walk(spark):
                             (-F.col("x"), -F.col("z"), F.col("y"))))
     v = align.gravity(poses).collect()[0].gravity
     assert abs(v.gz) > 0.999 and v.gz > 0
+
+
+def _kept_by_loop(track):
+    kept, out = None, []
+    for row in track.sort_values("frame_no").itertuples():
+        here = np.array([row.cx, row.cy, row.cz], float)
+        if kept is None or np.sqrt(((here - kept) ** 2).sum()) <= 2.0:
+            kept = here
+            out.append((row.scene_id, row.frame_no))
+    return out
+
+
+def test_jump_filter_equals_loop(spark):
+    rng = np.random.default_rng(5)
+    parts = []
+    for scene in range(12):
+        n = int(rng.integers(1, 260))
+        steps = rng.normal(0, 0.6, (n, 3))
+        places = np.cumsum(steps, axis=0) + rng.choice([0, 0, 0, 6, -9], n)[:, None]
+        no = np.sort(rng.choice(20_000 if scene % 2 else 300, n, replace=False))
+        track = pd.DataFrame(places, columns=["cx", "cy", "cz"])
+        if scene == 3:
+            track.loc[5:9, "cy"] = None
+        if scene == 4:
+            track.loc[0, "cx"] = None
+        parts.append(track.assign(scene_id=scene, frame_no=no, host_mono_ns=0))
+    want = [pair for part in parts for pair in _kept_by_loop(part)]
+    track = spark.createDataFrame(pd.concat(parts)).withColumns(
+        {c: F.when(~F.isnan(c), F.col(c)) for c in ("cx", "cy", "cz")})
+    got = [(r.scene_id, r.frame_no) for r in align.drop_jumps(track).select("scene_id", "frame_no").collect()]
+    assert sorted(got) == sorted(want)
+    assert align.drop_jumps(track.limit(0)).count() == 0
+
+
+def test_rays_by_cells_equal_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    low = rng.uniform(-30, 30, (300, 3))
+    high = low + rng.uniform(0, 12, (300, 3))
+    low[0], high[0] = -200, 200  # around everything
+    low[1], high[1] = 1e6, 1e6 + 5  # far from everything
+    boxes = [(i % 3, i, *map(float, (*a, *b))) for i, (a, b) in enumerate(zip(low, high))]
+    boxes += [(0, 900, None, 0.0, 0.0, 1.0, 1.0, 1.0), (0, 901, float("nan"), 0.0, 0.0, 1.0, 1.0, 1.0)]
+    looks = rng.normal(0, 1, (60, 3))
+    looks[:5] = [[1, 0, 0], [0, -1, 0], [0, 0, 1], [0, 0, 0], [1, 1, 0]]
+    rays = [(i % 3, i, *map(float, (*e, *d))) for i, (e, d) in enumerate(zip(rng.uniform(-30, 30, (60, 3)), looks))]
+    objects = spark.createDataFrame(boxes, ["scene_id", "node", *g.BOX_FIELDS]).select(
+        "scene_id", "node", g.make_box(*[F.col(f) for f in g.BOX_FIELDS]).alias("box"))
+    views = spark.createDataFrame(rays, "scene_id long, ray long, ex double, ey double, ez double, dx double, dy double, dz double")
+    views = views.select("scene_id", "ray", g.make_point(*[F.col(f"e{a}") for a in "xyz"]).alias("eye"),
+                         g.make_point(*[F.col(f"d{a}") for a in "xyz"]).alias("look"))
+    want = objects.filter("node < 900").join(views, "scene_id").filter(
+        g.ray_hits_box(F.col("eye"), F.col("look"), F.col("box"))).select("ray", "node").collect()
+    got = spatial.ray_hits(views, objects, ["scene_id"]).select("ray", "node").collect()
+    assert len(want) > 60 and sorted(got) == sorted(want)
+    assert spatial.ray_hits(views, objects.limit(0), ["scene_id"]).count() == 0
+
+
+@pytest.mark.parametrize("bend", [0.05, -0.2, 0.0])
+def test_points_by_cells_equal_all_pairs(spark, bend):
+    rng = np.random.default_rng(7)
+    points = [(int(i % 2), *map(float, p)) for i, p in enumerate(rng.uniform(-12, 12, (1500, 3)))]
+    points += [(0, float("nan"), 0.0, 1.0), (0, float("inf"), 0.0, 1.0), (0, None, 0.0, 1.0), (1, 1e7, 1e7, 1e7)]
+    turns = [np.linalg.qr(rng.normal(0, 1, (3, 3)))[0] for _ in range(8)]
+    poses = [(i % 2, f"f{i}", *map(float, (*r.ravel(), *rng.uniform(-4, 4, 3)))) for i, r in enumerate(turns)]
+    marks = [(i % 2, f"f{i % 8}", i, float(x), float(y), float(x + 60), float(y + 50))
+             for i, (x, y) in enumerate(zip(rng.uniform(0, 580, 40), rng.uniform(0, 310, 40)))]
+    names = [f"r{i}{j}" for i in range(3) for j in range(3)]
+    poses = spark.createDataFrame(poses, ["scene_id", "frame", *names, "tx", "ty", "tz"]).select(
+        "scene_id", "frame", g.make_pose([F.col(c) for c in names], [F.col(c) for c in ("tx", "ty", "tz")]).alias("pose"))
+    marks = spark.createDataFrame(marks, "scene_id long, frame string, det_id long, x1 double, y1 double, x2 double, y2 double"
+                                  ).select("scene_id", "frame", "det_id", F.struct("x1", "y1", "x2", "y2").alias("bbox"))
+    cloud = spark.createDataFrame(points, "scene_id long, x double, y double, z double").select(
+        "scene_id", g.make_point(*map(F.col, "xyz")).alias("p"))
+    lens = F.struct(F.lit(500.0).alias("f"), F.lit(320.0).alias("cx"), F.lit(180.0).alias("cy"), F.lit(bend).alias("k"))
+    box = F.col("bbox")
+    want = (
+        lift.project_frames(cloud, poses, lens).join(marks, ["scene_id", "frame"])
+        .filter((F.col("depth") > 0.1) & F.col("u").between(box.x1 - 3, box.x2 + 3) & F.col("v").between(box.y1 - 3, box.y2 + 3))
+        .select("det_id", "p", "depth").collect()
+    )
+    got = lift.points_in_detections(marks, cloud, poses, lens).select("det_id", "p", "depth").collect()
+    assert len(want) > 20 and sorted(got) == sorted(want)
+
+
+def test_plane_votes_equal_all_pairs(spark):
+    rng = np.random.default_rng(8)
+    cloud = rng.uniform(0, 3, (9000, 3)).round(2)
+    cloud[:3000] = cloud[0]  # one place holds a third of all points
+    rows = [(int(i % 7 == 0), *map(float, p)) for i, p in enumerate(cloud)] + [(1, None, 0.0, 0.0)]
+    slants = rng.normal(0, 1, (25, 3))
+    slants /= np.linalg.norm(slants, axis=1)[:, None]
+    sheets = [(s, h, *map(float, n), -1.0) for s in (0, 1, 5) for h, n in enumerate(slants)]
+    points = spark.createDataFrame(rows, "scene_id long, x double, y double, z double").select(
+        "scene_id", g.make_point(*map(F.col, "xyz")).alias("p"))
+    sheets = spark.createDataFrame(sheets, "scene_id long, h long, nx double, ny double, nz double, d double")
+    want = points.join(sheets, "scene_id").groupBy("scene_id", "h").agg(
+        F.count_if(planes._distance() <= 0.1).alias("n_inliers")).collect()
+    got = planes.plane_votes(points, sheets, 0.1).select("scene_id", "h", "n_inliers").collect()
+    assert len(want) == 50 and sorted(got) == sorted(want)
+    assert planes.plane_votes(points.limit(0), sheets, 0.1).count() == 0
