@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from roomgraph.fixed_values import MULTI_VIEW_WEIGHT
 from roomgraph.functions import geometry as g
 from roomgraph.functions import words as w
-from roomgraph.operators.scaling import positions, top_k
+from roomgraph.operators.scaling import positions, stretches, top_k
 from roomgraph.operators.similarity import best_matches, cosine
 from roomgraph.operators.spatial import footprint_pairs, near_pairs
 from roomgraph.session import cut_lineage
 
 SIM_TOL = 0.82
 NEAR_TOL = 1.0
+_SPAN = 10_000  # frame numbers a task looks at together
 
 
 # ---- are two observations the same object? ------------------------------------------------------
@@ -262,37 +263,77 @@ _MERGE_STATE = (
 )
 
 
-def _maybe_pairs(rows: DataFrame, sim_tol: float, near: float) -> DataFrame:
-    """Pairs of components that some merge inside them could make one object.
+def _starred(rows: DataFrame, group: list[str]) -> DataFrame:
+    """Links (scene_id, u, v) from every component of a group to the group's smallest one."""
+    hubs = cut_lineage(rows.groupBy(*group).agg(F.min("comp").alias("u")))
+    return (
+        rows.select(*group, "comp").distinct().join(hubs, group).filter(F.col("comp") > F.col("u"))
+        .select("scene_id", "u", F.col("comp").alias("v"))
+    )
+
+
+def _named_links(rows: DataFrame) -> DataFrame:
+    """Links that give the components of all named pairs of one colour, or a blank one, whose names
+    are of one family or whose hulls overlap, without the pairs.
+
+    Equal family and colour: a star. Equal colour and overlapping hulls: a star for each stretch
+    of overlapping hulls. A blank colour agrees with all: its star, or its stretches, stand among
+    those of each colour of the class.
+    """
+    keys = ["scene_id", "class"]
+    named = rows.filter(F.col("name").isNotNull()).select(
+        *keys, "comp", "lo", "hi", w.name_family(F.col("name")).alias("_f"),
+        w.strip(F.coalesce("color", F.lit(""))).alias("_c"))
+
+    def with_blanks(groups: DataFrame, blanks: DataFrame, by: list[str]) -> DataFrame:
+        """The groups' rows, and the blank ones once for each other colour."""
+        colors = groups.filter("_c <> ''").select(*by, "_c").distinct()
+        return groups.unionByName(blanks.drop("_c").join(colors, by).select(*groups.columns))
+
+    kin = named.select(*keys, "_f", "_c", "comp")
+    kin_blank = kin.filter("_c = ''").groupBy(*keys, "_f", "_c").agg(F.min("comp").alias("comp"))
+    family = _starred(with_blanks(kin, kin_blank, [*keys, "_f"]), [*keys, "_f", "_c"])
+
+    spans = named.filter(F.col("lo") < F.col("hi")).select(*keys, "_c", "comp", "lo", "hi")
+    blank = stretches(spans.filter("_c = ''"), [*keys, "_c"], "lo", "hi", _SPAN, "_s")
+    whole = blank.groupBy(*keys, "_c", "_s").agg(
+        F.min("comp").alias("comp"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    timed = stretches(with_blanks(spans, whole.drop("_s"), keys), [*keys, "_c"], "lo", "hi", _SPAN, "_s")
+    return family.unionByName(_starred(timed, [*keys, "_c", "_s"]))
+
+
+def _maybe_links(rows: DataFrame, sim_tol: float, near: float) -> DataFrame:
+    """Links (scene_id, u, v) of components that some merge inside them could make one object.
 
     ``rows`` carry ``comp`` and the hull of the component's windows. Merging only ever swaps
     identities within a component and widens windows up to its hull, so a pair that fails here
     can't come to match: windows can meet only where the hulls overlap, and names, colours,
-    features and places are those of some member.
+    features and places are those of some member. Named pairs are linked by stars; pairs are
+    made of near places, and of overlapping hulls where one side has no name.
     """
     keys = ["scene_id", "class"]
     held = ["ord", "comp", "name", "color", "feature", "center", "lo", "hi"]
     placed = near_pairs(
         rows.filter(F.col("center").isNotNull()), keys, "ord", F.col("center"), near, []
     ).select(*keys, "a_ord", "b_ord")
-    hulls = rows.groupBy(*keys, "comp").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    hulls = rows.groupBy(*keys, "comp").agg(
+        F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+        F.every(F.col("name").isNotNull()).alias("_named"))
     spans = hulls.withColumn(
         "box", g.make_box(F.col("lo") / 100.0, 0.0, 0.0, F.col("hi") / 100.0, 0.0, 0.0))
-    meeting = footprint_pairs(spans, spans, keys, ["comp"], ["comp"]).filter(
-        F.col("l_comp") < F.col("r_comp"))
-    member = rows.select(*keys, "comp", "ord")
+    loose = spans.filter(~F.col("_named"))
+    meeting = footprint_pairs(loose, spans, keys, ["comp"], ["comp", "_named"]).filter(
+        F.col("r__named") | (F.col("l_comp") < F.col("r_comp")))
+    member = rows.select(*keys, "comp", "ord", F.col("name").isNotNull().alias("_n"))
     timed = (
-        meeting.join(member.select(*keys, F.col("comp").alias("l_comp"), F.col("ord").alias("x")), [*keys, "l_comp"])
-        .join(member.select(*keys, F.col("comp").alias("r_comp"), F.col("ord").alias("y")), [*keys, "r_comp"])
+        meeting.join(member.select(*keys, F.col("comp").alias("l_comp"), F.col("ord").alias("x"), F.col("_n").alias("_nx")),
+                     [*keys, "l_comp"])
+        .join(member.select(*keys, F.col("comp").alias("r_comp"), F.col("ord").alias("y"), F.col("_n").alias("_ny")),
+              [*keys, "r_comp"])
+        .filter(~(F.col("_nx") & F.col("_ny")))
         .select(*keys, F.least("x", "y").alias("a_ord"), F.greatest("x", "y").alias("b_ord"))
     )
-    kin = rows.filter(F.col("name").isNotNull()).select(
-        *keys, "ord", w.name_family(F.col("name")).alias("_f"))
-    family = (
-        kin.withColumnRenamed("ord", "a_ord").join(kin.withColumnRenamed("ord", "b_ord"), [*keys, "_f"])
-        .filter(F.col("a_ord") < F.col("b_ord")).select(*keys, "a_ord", "b_ord")
-    )
-    pairs = placed.unionByName(timed).unionByName(family).distinct()
+    pairs = placed.unionByName(timed).distinct()
     for side in ("a", "b"):
         full = rows.select(*keys, *[F.col(c).alias(f"{side}_{c}") for c in held])
         pairs = pairs.join(full, [*keys, f"{side}_ord"])
@@ -300,12 +341,12 @@ def _maybe_pairs(rows: DataFrame, sim_tol: float, near: float) -> DataFrame:
     together = close | (F.least("a_hi", "b_hi") > F.greatest("a_lo", "b_lo"))
     alike = F.coalesce(cosine(F.col("a_feature"), F.col("b_feature")) >= sim_tol, F.lit(False))
     named = F.col("a_name").isNotNull() & F.col("b_name").isNotNull()
-    by_name = w.same_color(F.col("a_color"), F.col("b_color")) & (
-        (w.name_family(F.col("a_name")) == w.name_family(F.col("b_name"))) | together)
-    return pairs.filter(
-        (F.col("a_comp") != F.col("b_comp")) & F.when(named, by_name).otherwise(alike & together)
-    ).select("scene_id", F.least("a_comp", "b_comp").alias("u"),
-             F.greatest("a_comp", "b_comp").alias("v")).distinct()
+    color = [w.strip(F.coalesce(f"{side}_color", F.lit(""))) for side in ("a", "b")]
+    agree = (color[0] == color[1]) | (color[0] == "") | (color[1] == "")
+    apart = pairs.filter(
+        (F.col("a_comp") != F.col("b_comp")) & together & F.when(named, agree).otherwise(alike)
+    ).select("scene_id", F.least("a_comp", "b_comp").alias("u"), F.greatest("a_comp", "b_comp").alias("v"))
+    return apart.unionByName(_named_links(rows)).distinct()
 
 
 def _settled_components(rows: DataFrame, sim_tol: float, near: float) -> DataFrame:
@@ -314,7 +355,7 @@ def _settled_components(rows: DataFrame, sim_tol: float, near: float) -> DataFra
     placed = cut_lineage(rows.withColumns(
         {"comp": F.col("ord"), "lo": F.col("first_no"), "hi": F.col("last_no")}))
     while True:
-        links = cut_lineage(_maybe_pairs(placed, sim_tol, near))
+        links = cut_lineage(_maybe_links(placed, sim_tol, near))
         if links.isEmpty():
             return placed
         both = links.unionByName(links.select("scene_id", F.col("v").alias("u"), F.col("u").alias("v")))
@@ -329,58 +370,73 @@ def _settled_components(rows: DataFrame, sim_tol: float, near: float) -> DataFra
 
 def _merge_walk(sim_tol: float, near: float):
     """The walk over one component, in ``ord`` order: the first pair (by the earlier, then the
-    later one) that is the same object is merged in the earlier one's place; then anew."""
+    later one) that is the same object is merged in the earlier one's place; then anew.
+
+    A place is settled once it matches no other. Settled places can only come to match the one
+    that a merge has just changed, and that is always the first unsettled place; so its row of
+    matches is all that is looked at, and the walk holds a few numbers a place.
+    """
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ord").reset_index(drop=True)
         n = len(part)
-        known = part["named"].to_numpy(bool)
-        family, color = part["_f"].to_numpy(object), part["_c"].to_numpy(object)
-        feature = np.array(part["feature"].tolist(), float)
-        norm = np.sqrt((feature * feature).sum(1))
-        center = part[["_x", "_y", "_z"]].to_numpy(float)
-        conf = part["median_conf"].to_numpy(float)
+        # what stands in each place; a merge moves the surer one's values into the earlier place
+        held = {
+            "named": part["named"].to_numpy(bool).copy(),
+            "family": pd.factorize(part["_f"])[0],
+            "color": np.where(part["_c"] == "", -1, pd.factorize(part["_c"])[0]),
+            "feature": np.array(part["feature"].tolist(), float),
+            "center": part[["_x", "_y", "_z"]].to_numpy(float).copy(),
+            "conf": part["median_conf"].to_numpy(float).copy(),
+            "ord": part["ord"].to_numpy().copy(),
+        }
+        held["norm"] = np.sqrt((held["feature"] ** 2).sum(1))
+        named, family, color, feature, norm, center = (
+            held[c] for c in ("named", "family", "color", "feature", "norm", "center"))
         first, last = part["first_no"].to_numpy().copy(), part["last_no"].to_numpy().copy()
         seen = part["n_observations"].to_numpy().copy()
-        who, here = np.arange(n), np.ones(n, bool)  # the identity in each place
+        here, settled = np.ones(n, bool), np.zeros(n, bool)
 
         def same(i: int) -> np.ndarray:
             """Which places hold the same object as place ``i``."""
-            a, b = who[i], who
             over = np.minimum(last[i], last) - np.maximum(first[i], first)
             short = np.minimum(last[i] - first[i], last - first)
             meet = (over > 0) & (short > 0) & (over >= 0.5 * short)
             with np.errstate(invalid="ignore"):
-                near_by = np.sqrt(((center[a] - center[b]) ** 2).sum(1)) <= near
+                near_by = np.sqrt(((center[i] - center) ** 2).sum(1)) <= near
             together = near_by | meet
-            colors = (color[b] == color[a]) | (color[b] == "") | (color[a] == "")
-            cos = feature[b] @ feature[a] / np.maximum(norm[a] * norm[b], 1e-9)
-            out = np.where(known[a] & known[b], colors & ((family[b] == family[a]) | together),
+            colors = (color == color[i]) | (color == -1) | (color[i] == -1)
+            cos = feature @ feature[i] / np.maximum(norm[i] * norm, 1e-9)
+            out = np.where(named[i] & named, colors & ((family == family[i]) | together),
                            (cos >= sim_tol) & together)
             out[i] = False
             return out & here
 
-        match = np.array([same(i) for i in range(n)]) if n else np.zeros((0, 0), bool)
         told: list[list[dict]] = [[] for _ in range(n)]
-        ords, step = part["ord"].to_numpy(), 0
-        while True:
-            rows = np.flatnonzero(np.triu(match, 1).any(1))
-            if not len(rows):
-                break
-            i = rows[0]
-            j = i + 1 + np.flatnonzero(match[i, i + 1:])[0]
-            a, b = who[i], who[j]
-            keep, gone = (a, b) if conf[a] >= conf[b] else (b, a)
+        i = step = 0
+        while i < n:
+            if settled[i] or not here[i]:
+                i += 1
+                continue
+            matches = np.flatnonzero(same(i))
+            if not len(matches):
+                settled[i] = True
+                continue
+            after = matches[matches > i]
+            i, j = (matches[0], i) if matches[0] < i else (i, after[0])
+            settled[i], here[j] = False, False
+            keep, gone = (j, i) if held["conf"][j] > held["conf"][i] else (i, j)
             seen[i] += seen[j]
             first[i], last[i] = min(first[i], first[j]), max(last[i], last[j])
-            who[i], here[j] = keep, False
-            match[j, :] = match[:, j] = False
-            match[i, :] = match[:, i] = same(i)
-            told[i] += told[j] + [{"step": step, "keep": int(ords[keep]), "gone": int(ords[gone]),
-                                   "n": int(seen[i])}]
+            told[i] += told[j] + [{"step": step, "keep": int(held["ord"][keep]),
+                                   "gone": int(held["ord"][gone]), "n": int(seen[i])}]
+            told[j] = []
+            if keep == j:
+                for values in held.values():
+                    values[i] = values[j]
             step += 1
         return pd.DataFrame({
-            "scene_id": part["scene_id"], "ord": ords, "keeper": ords[who], "first_no": first,
+            "scene_id": part["scene_id"], "ord": part["ord"], "keeper": held["ord"], "first_no": first,
             "last_no": last, "n_observations": seen, "absorbed": told,
         })[here]
 

@@ -246,6 +246,32 @@ def islands(
     return df.withColumn("_cell", first).join(labelled, [*keys, "_cell"]).drop("_cell")
 
 
+def stretches(
+    df: DataFrame, keys: Sequence[str], low: str, high: str, width: float, name: str
+) -> DataFrame:
+    """Label rows by the stretch of overlapping intervals they belong to: the stretch's smallest ``low``.
+
+    Intervals that only touch are apart; each must have ``low`` < ``high``. Work is done on the
+    longest interval for each distinct ``low``, in buckets of ``width`` with what the earlier
+    buckets reach.
+    """
+    keys = list(keys)
+    longest = df.groupBy(*keys, low).agg(F.max(high).alias("_h")).withColumn(
+        BUCKET, F.floor(F.col(low) / F.lit(width)))
+    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*keys, BUCKET).orderBy(low)
+    reach = longest.groupBy(*keys, BUCKET).agg(F.max("_h").alias("_m")).withColumn(
+        "_carry", F.max("_m").over(before)).select(*keys, BUCKET, "_carry")
+    reached = F.greatest(F.max("_h").over(inner.rowsBetween(Window.unboundedPreceding, -1)), "_carry")
+    opened = longest.join(reach, [*keys, BUCKET]).withColumn(
+        "_o", F.when(F.coalesce(F.col(low) >= reached, F.lit(True)), F.col(low)))
+    last_open = opened.groupBy(*keys, BUCKET).agg(F.max("_o").alias("_m")).withColumn(
+        "_from", F.max("_m").over(before)).select(*keys, BUCKET, "_from")
+    labelled = opened.join(last_open, [*keys, BUCKET]).select(
+        *keys, low, F.coalesce(F.max("_o").over(inner), "_from").alias(name))
+    return df.join(labelled, [*keys, low])
+
+
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rn"
 ) -> DataFrame:

@@ -79,3 +79,20 @@ def test_staircase_and_last_known(spark):
     got = scaling.last_known(gappy, ["k"], "t", {"w": "prev"}, 45).toPandas().sort_values(["k", "t"])
     want = got.groupby("k")["w"].transform(lambda s: s.ffill().shift())
     assert np.allclose(got["prev"], want, equal_nan=True)
+
+
+def test_stretches_of_overlapping_intervals(spark):
+    rng = np.random.default_rng(4)
+    data = [(int(k), int(lo), int(lo + n)) for k, lo, n in zip(
+        rng.integers(0, 4, 600), rng.integers(-3000, 3000, 600), rng.integers(1, 40, 600))]
+    data += [(9, 0, 5), (9, 5, 7), (9, 6, 8), (9, 6, 30), (9, 29, 31), (9, 31, 32)]  # touching ends are apart
+    want, reach = {}, {}
+    for k, lo, hi in sorted(data):
+        label, top = reach.get(k, (None, None))
+        if top is None or lo >= top:
+            label, top = lo, hi
+        reach[k] = (label, max(top, hi))
+        want[k, lo, hi] = label
+    df = spark.createDataFrame(data, "k long, lo long, hi long")
+    got = scaling.stretches(df, ["k"], "lo", "hi", 50, "s").collect()
+    assert len(got) == len(data) and {(r.k, r.lo, r.hi): r.s for r in got} == want
