@@ -265,7 +265,7 @@ _MERGE_STATE = (
 
 def _starred(rows: DataFrame, group: list[str]) -> DataFrame:
     """Links (scene_id, u, v) from every component of a group to the group's smallest one."""
-    hubs = cut_lineage(rows.groupBy(*group).agg(F.min("comp").alias("u")))
+    hubs = rows.groupBy(*group).agg(F.min("comp").alias("u"))
     return (
         rows.select(*group, "comp").distinct().join(hubs, group).filter(F.col("comp") > F.col("u"))
         .select("scene_id", "u", F.col("comp").alias("v"))
@@ -350,10 +350,24 @@ def _maybe_links(rows: DataFrame, sim_tol: float, near: float) -> DataFrame:
 
 
 def _settled_components(rows: DataFrame, sim_tol: float, near: float) -> DataFrame:
-    """``rows`` with ``comp``: no merge can ever lead from one component into another."""
+    """``rows`` with ``comp``: no merge can ever lead from one component into another.
+
+    Named instances of one family and colour begin as one component. In each round a component
+    joins the smallest one it is linked to, and at once the one which that joins.
+    """
     hull = ["scene_id", "comp"]
-    placed = cut_lineage(rows.withColumns(
-        {"comp": F.col("ord"), "lo": F.col("first_no"), "hi": F.col("last_no")}))
+
+    def with_hulls(df: DataFrame) -> DataFrame:
+        return cut_lineage(df.join(df.groupBy(*hull).agg(
+            F.min("first_no").alias("lo"), F.max("last_no").alias("hi")), hull))
+
+    kin = ["scene_id", "class", "_f", "_c"]
+    looks = rows.withColumns({  # without a name there is no family, and nothing to join
+        "_f": F.when(F.col("name").isNotNull(), w.name_family(F.col("name"))),
+        "_c": w.strip(F.coalesce("color", F.lit("")))})
+    first = looks.groupBy(*kin).agg(F.min("ord").alias("_to"))
+    placed = with_hulls(looks.join(first, kin, "left").select(
+        *rows.columns, F.coalesce("_to", "ord").alias("comp")))
     while True:
         links = cut_lineage(_maybe_links(placed, sim_tol, near))
         if links.isEmpty():
@@ -361,11 +375,10 @@ def _settled_components(rows: DataFrame, sim_tol: float, near: float) -> DataFra
         both = links.unionByName(links.select("scene_id", F.col("v").alias("u"), F.col("u").alias("v")))
         label = both.groupBy("scene_id", F.col("u").alias("comp")).agg(
             F.least(F.min("v"), F.first("u")).alias("_to"))
-        moved = placed.join(label, hull, "left").withColumn(
-            "comp", F.coalesce("_to", "comp")).drop("_to", "lo", "hi")
-        hulls = moved.groupBy(*hull).agg(
-            F.min("first_no").alias("lo"), F.max("last_no").alias("hi"))
-        placed = cut_lineage(moved.join(hulls, hull))
+        further = label.select("scene_id", F.col("comp").alias("_to"), F.col("_to").alias("_then"))
+        label = label.join(further, ["scene_id", "_to"]).select(*hull, F.col("_then").alias("_to"))
+        placed = with_hulls(placed.join(label, hull, "left").withColumn(
+            "comp", F.coalesce("_to", "comp")).drop("_to", "lo", "hi"))
 
 
 def _merge_walk(sim_tol: float, near: float):
