@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -205,18 +206,74 @@ def newest_writer(folder: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
+_MANIFEST = "bucket long, batch long, buckets long"
+
+
+def _manifest(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """Which micro-batch wrote each bucket of the table's version ``number``."""
+    if number < 0:
+        return spark.createDataFrame([], _MANIFEST)
+    return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest/version={number}")
+
+
+def _read_buckets(spark: SparkSession, folder: str, places: list) -> DataFrame:
+    return spark.read.parquet(*[f"{folder}/data/batch={r.batch}/bucket={r.bucket}" for r in places])
+
+
+def _remove(spark: SparkSession, folders: list[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def upsert_writer(
-    folder: str, merge: Callable[[DataFrame, DataFrame | None], DataFrame]
+    folder: str, keys: list[str], merge: Callable[[DataFrame, DataFrame | None], DataFrame], buckets: int = 256
 ) -> Callable[[DataFrame, int], None]:
-    """Keeps a table: version n is ``merge(batch n, version n - 1)``."""
+    """Keeps a table by hash buckets of ``keys``: only the buckets that a micro-batch touches are
+    merged, ``merge(rows of the batch, the table's rows of these buckets or None)``, and written.
+
+    ``merge`` must treat each key by itself; rows with null keys are rows like others. A batch writes
+    its own folder and then the manifest of its version, which names the writer of each bucket; so a
+    batch that runs again starts from the version before and replaces its own files, and readers see
+    whole versions. Files that neither the last version nor the one before it names are removed. The
+    driver holds one line a bucket. The number of buckets is kept with the table; another one is
+    an error.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+
     def write(batch: DataFrame, number: int) -> None:
-        spark, batch = batch.sparkSession, batch.persist()  # the merge reads it more than once
-        before = spark.read.parquet(f"{folder}/version={number - 1}") if number else None
-        merge(batch, before).write.mode("overwrite").parquet(f"{folder}/version={number}")
-        batch.unpersist()
+        spark = batch.sparkSession
+        rows = batch.withColumn("_bucket", bucket).persist()  # read for its buckets and by the merge
+        touched = {r["_bucket"] for r in rows.select("_bucket").distinct().collect()}
+        before = _manifest(spark, folder, number - 1).collect()
+        if any(r.buckets != buckets for r in before):
+            raise ValueError(f"the table has {before[0].buckets} buckets, not {buckets}")
+        old = [r for r in before if r.bucket in touched]
+        if touched:
+            merged = merge(rows.drop("_bucket"), _read_buckets(spark, folder, old) if old else None)
+            merged.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").mode(
+                "overwrite").parquet(f"{folder}/data/batch={number}")
+        now = [(r.bucket, r.batch, buckets) for r in before if r.bucket not in touched]
+        now += [(b, number, buckets) for b in touched]
+        spark.createDataFrame(now, _MANIFEST).coalesce(1).write.mode("overwrite").parquet(
+            f"{folder}/manifest/version={number}")
+        rows.unpersist()
+        if number >= 2:  # a batch that runs again needs the version before it
+            needed = {(r.bucket, r.batch) for r in before}
+            stale = f"{folder}/manifest/version={number - 2}"
+            try:
+                unused = [r for r in _manifest(spark, folder, number - 2).collect() if (r.bucket, r.batch) not in needed]
+            except AnalysisException:  # removed when this batch ran before
+                return
+            _remove(spark, [*[f"{folder}/data/batch={r.batch}/bucket={r.bucket}" for r in unused], stale])
 
     return write
 
 
 def version(spark: SparkSession, folder: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/version={number}")
+    """The table after micro-batch ``number``; the last two are kept. Without any row it has no columns yet,
+    which is an error."""
+    places = _manifest(spark, folder, number).collect()
+    if not places:
+        raise ValueError("no batch has brought rows yet")
+    return _read_buckets(spark, folder, places)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roomgraph.operators import lifecycle, reports
-from roomgraph.plans.learning_queries import _relation_sightings
+from roomgraph.plans.learning_queries import _ingest_batch, _relation_sightings
 from roomgraph.sources.testtables import view
 from roomgraph.streaming import flow, gate, keyed
 
@@ -156,11 +156,50 @@ def test_newest_and_liveness(spark, frames, tmp_path):
     same(got, flow.liveness(frames, F.lit(0.0)).select("device_id", "last_seen_s"))
 
 
+def files(spark, folder):
+    return {r.f for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.parquet").load(folder).select(F.col("path").alias("f")).collect()}
+
+
 def test_tables_kept_by_batches(spark, tmp_path):
     seen = _relation_sightings(spark, SF)
-    out = str(tmp_path)
+    out = str(tmp_path / "relations")
+    merge = lambda b, old: lifecycle.upsert_relations(b, old, 2)
     play(spark, halves(seen, "ord"),
-         lambda s: s.writeStream.foreachBatch(keyed.upsert_writer(f"{out}/out", lambda b, old: lifecycle.upsert_relations(b, old, 2))), out)
+         lambda s: s.writeStream.foreachBatch(keyed.upsert_writer(f"{out}/out", lifecycle.RELATION, merge, 16)), out)
     flat = lambda d: d.withColumn("view_tags", F.map_entries("view_tags"))
     want = flat(lifecycle.upsert_relations(seen, min_confirmations=2))
     same(flat(keyed.version(spark, f"{out}/out", 1)).select(*want.columns), want)
+
+    objects = _ingest_batch(spark, SF)
+    out = str(tmp_path / "objects")
+    play(spark, halves(objects, "ord"), lambda s: s.writeStream.foreachBatch(
+        keyed.upsert_writer(f"{out}/out", ["scene_id", "node_id"], lifecycle.ingest_objects, 16)), out)
+    flat = lambda d: d.withColumn("attributes", F.sort_array(F.map_entries("attributes")))
+    want = flat(lifecycle.ingest_objects(objects))
+    same(flat(keyed.version(spark, f"{out}/out", 1)).select(*want.columns), want)
+
+
+def test_a_batch_rewrites_its_own_buckets(spark, tmp_path):
+    schema, out = "k long, n long", str(tmp_path)
+    batches = [[(k, 1) for k in range(200)], [(3, 5), (None, 1)], [], [(3, 7), (4, 1), (None, 2)], [(3, 1)]]
+    want: dict = {}
+
+    def merge(batch, old):
+        rows = batch if old is None else batch.unionByName(old)
+        return rows.groupBy("k").agg(F.sum("n").alias("n"))
+
+    write = keyed.upsert_writer(out, ["k"], merge, 64)
+    for number, rows in enumerate(batches):
+        before = files(spark, f"{out}/data") if number else set()
+        for k, n in rows:
+            want[k] = want.get(k, 0) + n
+        for _ in range(2):  # a batch that runs again changes nothing
+            write(spark.createDataFrame(rows, schema), number)
+            assert {r.k: r.n for r in keyed.version(spark, out, number).collect()} == want
+        if number:  # as many new files as keys, all others as they were
+            assert len(files(spark, f"{out}/data") - before) <= len(rows)
+    held = {f"batch={r.batch}/bucket={r.bucket}" for n in (3, 4) for r in keyed._manifest(spark, out, n).collect()}
+    assert {"/".join(f.split("/")[-3:-1]) for f in files(spark, f"{out}/data")} == held
+    with pytest.raises(ValueError):
+        keyed.upsert_writer(out, ["k"], merge, 8)(spark.createDataFrame([(1, 1)], schema), 5)
