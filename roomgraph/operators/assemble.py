@@ -127,11 +127,11 @@ def relation_texts(edges: DataFrame, limit: int = 3) -> DataFrame:
     )
 
 
-def text_edges(objects: DataFrame, supports: DataFrame) -> DataFrame:
+def text_edges(objects: DataFrame, supports: DataFrame, limit: int = 3) -> DataFrame:
     """The edges relation texts draw on, in the order pairs are formed.
 
     Pairs of objects come before supports; within a pair on, above, near. For ``above``
-    only the earliest object of each label is needed.
+    only the first ``limit`` labels are needed, as all have one confidence.
     """
     pair, place = F.lit(0), F.lit(1)
     rank = {"on": 0, "above": 1, "near": 2}
@@ -146,7 +146,7 @@ def text_edges(objects: DataFrame, supports: DataFrame) -> DataFrame:
 
     return (
         ordered(rel.on_edges(objects), pair, rank["on"])
-        .unionByName(ordered(rel.first_below_by_label(objects), pair, rank["above"]))
+        .unionByName(ordered(rel.first_below(objects, limit), pair, rank["above"]))
         .unionByName(ordered(rel.near_edges(objects), pair, rank["near"]))
         .unionByName(ordered(rel.support_edges(objects, supports), place, 0))
     )

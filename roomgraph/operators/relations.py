@@ -14,7 +14,7 @@ from roomgraph.fixed_values import (
     CONF_ON_SUPPORT,
 )
 from roomgraph.functions.geometry import box_center, footprint_overlap, make_box
-from roomgraph.operators.scaling import BUCKET, CONTEXT, prefix_best
+from roomgraph.operators.scaling import BUCKET, CONTEXT, prefix_top
 from roomgraph.operators.spatial import footprint_pairs, near_pairs, pair_box
 
 SCENE = ["scene_id"]
@@ -226,24 +226,22 @@ def above_edges(objects: DataFrame, subjects: DataFrame, margin: float = 0.02) -
     )
 
 
-def first_below_by_label(objects: DataFrame, margin: float = 0.02) -> DataFrame:
-    """For each object and each label below it, the earliest object of that label.
+def first_below(objects: DataFrame, limit: int, margin: float = 0.02) -> DataFrame:
+    """For each object the ``limit`` labels below it whose earliest objects come first, with these.
 
-    Enough for texts, which name each label once. Built from one short staircase of
-    earliest objects by height per label, so a scene costs objects times labels.
+    Enough for texts, which name few labels, each once. Heights are swept in slabs, so no object
+    meets another or the labels of its scene.
     """
     tall = _with_height(objects)
-    steps = prefix_best(tall, ["scene_id", "label"], "zc", "ord", _SLAB, "object_ord")
+    tops = prefix_top(tall, SCENE, "zc", "ord", "label", limit, margin, _SLAB, "_tops")
     subjects = tall.select(
-        "scene_id",
-        F.col("node_id").alias("subject"),
-        F.col("ord").alias("subject_ord"),
-        F.col("zc").alias("_zs"),
-    )
+        "scene_id", "zc", F.col("node_id").alias("subject"), F.col("ord").alias("subject_ord"))
     return (
-        subjects.join(steps, "scene_id")
-        .filter(F.col("_zs") - F.col("zc") > margin)
-        .groupBy("scene_id", "subject", "subject_ord", F.col("label").alias("object_label"))
-        .agg(F.min("object_ord").alias("object_ord"))
-        .withColumns({"predicate": F.lit("above"), "confidence": F.lit(CONF_ABOVE)})
+        subjects.join(tops, ["scene_id", "zc"])
+        .withColumn("_t", F.explode("_tops"))
+        .select(
+            "scene_id", "subject", "subject_ord", F.col("_t.l").alias("object_label"),
+            F.col("_t.v").alias("object_ord"), F.lit("above").alias("predicate"),
+            F.lit(CONF_ABOVE).alias("confidence"),
+        )
     )

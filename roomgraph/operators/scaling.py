@@ -7,10 +7,13 @@ its buckets. All of them return exactly what the plain window over the key would
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 BUCKET = "_bucket"
@@ -224,6 +227,66 @@ def prefix_best(
     )
 
 
+def _tops(df: DataFrame, keys: list[str], value: Column, label: Column, k: int, name: str) -> DataFrame:
+    """The ``k`` labels of a key with the smallest values, as an array of (v, l), smallest first."""
+    once = df.groupBy(*keys, label.alias("_l")).agg(F.min(value).alias("_v"))
+    return top_k(once, keys, [F.asc("_v"), F.asc("_l")], k, "_rn").groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_v").alias("v"), F.col("_l").alias("l")))).alias(name))
+
+
+def _tops_below(df: DataFrame, keys: list[str], order: str, k: int, reach: float, name: str) -> DataFrame:
+    """For each row that is no context row, the merged ``tops`` of its key's rows that lie more than
+    ``reach`` below it in ``order``. Rows pass once, in order; what waits is what lies within reach."""
+    columns = [*keys, order, "tops", CONTEXT]
+    schema = StructType([df.schema[c] for c in (*keys, order)]).add(name, df.schema["tops"].dataType)
+
+    def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, best, waiting = None, {}, deque()
+        for batch in batches:
+            out = []
+            for *here, at, tops, context in zip(*[batch[c].tolist() for c in columns]):
+                if here != key:
+                    key, best, waiting = here, {}, deque()
+                while waiting and at - waiting[0][0] > reach:
+                    for top in waiting.popleft()[1]:
+                        if top["l"] not in best or top["v"] < best[top["l"]]:
+                            best[top["l"]] = top["v"]
+                    if len(best) > k:
+                        best = dict(sorted(best.items(), key=lambda e: (e[1], e[0] or ""))[:k])
+                waiting.append((at, tops))
+                if not context:
+                    first = sorted(best.items(), key=lambda e: (e[1], e[0] or ""))
+                    out.append((*here, at, [{"v": v, "l": label} for label, v in first]))
+            yield pd.DataFrame(out, columns=schema.names)
+
+    moved = df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, order)
+    return moved.mapInPandas(sweep, schema)
+
+
+def prefix_top(
+    df: DataFrame, keys: Sequence[str], order: str, value: str, label: str, k: int, reach: float,
+    width: float, name: str,
+) -> DataFrame:
+    """For each distinct ``order`` of a key, of the rows more than ``reach`` below it the ``k`` labels with
+    the smallest ``value``: an array ``name`` of (v, l), smallest first.
+
+    Equal places are merged first. Each bucket of ``width`` is swept by itself, behind the last ``reach``
+    of the bucket before and what the buckets below that hold, which a sweep over buckets of ``k`` labels
+    tells. Rows without a place are left out; values must be there and differ between labels.
+    """
+    keys = list(keys)
+    placed = df.filter(F.col(order).isNotNull() & ~F.isnan(order))
+    levels = _tops(placed, [*keys, order], F.col(value), F.col(label), k, "tops")
+    near = with_halo(levels, order, width, width)  # the whole bucket before
+    bucketed = levels.withColumn(BUCKET, F.floor(F.col(order) / F.lit(width)).cast("double"))
+    totals = _tops(bucketed.withColumn("_t", F.explode("tops")), [*keys, BUCKET], F.col("_t.v"), F.col("_t.l"), k, "tops")
+    lower = _tops_below(totals.withColumn(CONTEXT, F.lit(False)), keys, BUCKET, k, 1.0, "tops")
+    carried = lower.filter(F.size("tops") > 0).select(
+        *keys, F.lit(float("-inf")).alias(order), "tops", F.col(BUCKET).cast("long").alias(BUCKET),
+        F.lit(True).alias(CONTEXT))
+    return _tops_below(near.unionByName(carried), [*keys, BUCKET], order, k, reach, name).drop(BUCKET)
+
+
 def islands(
     df: DataFrame, keys: Sequence[str], low: Column, high: Column, cell: float, name: str
 ) -> DataFrame:

@@ -96,3 +96,22 @@ def test_stretches_of_overlapping_intervals(spark):
     df = spark.createDataFrame(data, "k long, lo long, hi long")
     got = scaling.stretches(df, ["k"], "lo", "hi", 50, "s").collect()
     assert len(got) == len(data) and {(r.k, r.lo, r.hi): r.s for r in got} == want
+
+
+def test_prefix_top_equals_plain_search(spark):
+    rng = np.random.default_rng(6)
+    n = 900
+    data = [(int(k), float(z), int(o), str(lab)) for k, z, o, lab in zip(
+        rng.integers(0, 3, n), np.where(rng.random(n) < 0.5, rng.normal(0, 2, n), rng.integers(-6, 7, n) / 4),
+        rng.permutation(n), rng.choice(list("abcdefgh"), n))]
+    data += [(7, 1.0, 5000, "a"), (8, float("nan"), 5001, "a"), (8, None, 5002, "b"), (8, 9.0, 5003, None), (8, 10.0, 5004, "c"), (8, 11.0, 5005, "c")]
+    df = spark.createDataFrame(data, "k long, z double, o long, l string")
+    for top, reach in ((3, 0.02), (1, 0.25)):
+        got = scaling.prefix_top(df, ["k"], "z", "o", "l", top, reach, 0.5, "t").collect()
+        rows = [r for r in data if r[1] is not None and r[1] == r[1]]
+        assert len(got) == len({r[:2] for r in rows})
+        for r in got:
+            best = {}
+            for _, _, o, lab in sorted((x for x in rows if x[0] == r.k and r.z - x[1] > reach), key=lambda x: x[2]):
+                best.setdefault(lab, o)
+            assert [(t.l, t.v) for t in r.t] == list(best.items())[:top]
