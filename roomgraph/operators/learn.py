@@ -296,9 +296,10 @@ def _named_links(rows: DataFrame) -> DataFrame:
 
     spans = named.filter(F.col("lo") < F.col("hi")).select(*keys, "_c", "comp", "lo", "hi")
     blank = stretches(spans.filter("_c = ''"), [*keys, "_c"], "lo", "hi", _SPAN, "_s")
-    whole = blank.groupBy(*keys, "_c", "_s").agg(
-        F.min("comp").alias("comp"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    timed = stretches(with_blanks(spans, whole.drop("_s"), keys), [*keys, "_c"], "lo", "hi", _SPAN, "_s")
+    whole = cut_lineage(blank.groupBy(*keys, "_c", "_s").agg(
+        F.min("comp").alias("comp"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_s"))
+    colored = cut_lineage(with_blanks(spans, whole, keys))
+    timed = cut_lineage(stretches(colored, [*keys, "_c"], "lo", "hi", _SPAN, "_s"))
     return family.unionByName(_starred(timed, [*keys, "_c", "_s"]))
 
 
