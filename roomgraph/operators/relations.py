@@ -14,7 +14,7 @@ from roomgraph.fixed_values import (
     CONF_ON_SUPPORT,
 )
 from roomgraph.functions.geometry import box_center, footprint_overlap, make_box
-from roomgraph.operators.scaling import BUCKET, CONTEXT, prefix_top
+from roomgraph.operators.scaling import BUCKET, CONTEXT, prefix_top, shuffled
 from roomgraph.operators.spatial import footprint_pairs, near_pairs, pair_box
 
 SCENE = ["scene_id"]
@@ -162,8 +162,8 @@ def above_counts(objects: DataFrame, margin: float = 0.02) -> DataFrame:
     upward = _count_lower(
         tall.select("scene_id", (-F.col("zc")).alias("zc")), margin, "n_above"
     ).withColumn("zc", -F.col("zc"))
-    counts = downward.join(upward, ["scene_id", "zc"])
-    return tall.select("scene_id", "ord", "node_id", "zc").join(counts, ["scene_id", "zc"])
+    counts = shuffled(downward).join(upward, ["scene_id", "zc"])
+    return shuffled(tall.select("scene_id", "ord", "node_id", "zc")).join(counts, ["scene_id", "zc"])
 
 
 def _count_lower(heights: DataFrame, margin: float, name: str) -> DataFrame:
@@ -215,7 +215,7 @@ def above_edges(objects: DataFrame, subjects: DataFrame, margin: float = 0.02) -
     )
     return (
         _with_height(objects)
-        .join(asked, "scene_id")
+        .join(shuffled(asked), "scene_id")
         .filter(F.col("_zs") - F.col("zc") > margin)
         .select(
             *_edge(F.col("subject"), "above", F.col("node_id"), CONF_ABOVE),
@@ -237,7 +237,7 @@ def first_below(objects: DataFrame, limit: int, margin: float = 0.02) -> DataFra
     subjects = tall.select(
         "scene_id", "zc", F.col("node_id").alias("subject"), F.col("ord").alias("subject_ord"))
     return (
-        subjects.join(tops, ["scene_id", "zc"])
+        shuffled(subjects).join(tops, ["scene_id", "zc"])
         .withColumn("_t", F.explode("_tops"))
         .select(
             "scene_id", "subject", "subject_ord", F.col("_t.l").alias("object_label"),

@@ -335,6 +335,15 @@ def stretches(
     return df.join(labelled, [*keys, low])
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that goes by shuffles, whatever Spark guesses of its size.
+
+    The guess is that of the files: packed columns, and rows that an ``explode`` adds, make it many
+    times too small, and the side would pass whole through the driver.
+    """
+    return df.hint("merge")
+
+
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, name: str = "rn"
 ) -> DataFrame:

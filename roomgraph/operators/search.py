@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from roomgraph.fixed_values import FROM_MEMORY_PREFIX, NOT_FOUND_TEXT
 from roomgraph.functions import geometry as g
 from roomgraph.functions import words as w
-from roomgraph.operators.scaling import top_k
+from roomgraph.operators.scaling import shuffled, top_k
 
 
 def contained_pairs(small: DataFrame, s: str, big: DataFrame, b: str) -> DataFrame:
@@ -23,7 +23,7 @@ def contained_pairs(small: DataFrame, s: str, big: DataFrame, b: str) -> DataFra
         "_g", w.first_gram(F.col(s)))
     outer = big.select("scene_id", b).filter(F.col(b) != "").distinct().withColumn(
         "_g", F.explode(w.grams(F.col(b))))
-    return inner.join(outer, ["scene_id", "_g"]).filter(F.contains(F.col(b), F.col(s))).drop("_g")
+    return shuffled(inner).join(outer, ["scene_id", "_g"]).filter(F.contains(F.col(b), F.col(s))).drop("_g")
 
 
 # ---- locate ----------------------------------------------------------------------------------
@@ -59,29 +59,29 @@ def locate(questions: DataFrame, nodes: DataFrame) -> DataFrame:
     keywords = asked.select("scene_id", "kw").distinct()
     texted = _node_texts(nodes)
     shape = ["scene_id", "_label", "_category", "_direct", "_aliases"]
-    kinds = texted.select(*shape).distinct().join(
+    kinds = shuffled(texted.select(*shape).distinct()).join(
         keywords.select("scene_id").distinct(), "scene_id", "left_semi")
 
-    exact = keywords.join(
+    exact = shuffled(keywords).join(
         kinds.withColumn("kw", F.explode(F.array_distinct(F.array("_label", "_category")))),
         ["scene_id", "kw"],
     ).withColumn("score", F.lit(3))
-    within = contained_pairs(keywords, "kw", kinds, "_direct").join(
+    within = shuffled(contained_pairs(keywords, "kw", kinds, "_direct")).join(
         kinds, ["scene_id", "_direct"]).withColumn("score", F.lit(2))
-    alias = contained_pairs(keywords, "kw", kinds, "_aliases").join(
+    alias = shuffled(contained_pairs(keywords, "kw", kinds, "_aliases")).join(
         kinds, ["scene_id", "_aliases"]).withColumn("score", F.lit(1))
     # the empty word is inside every text of its scene
-    everywhere = keywords.filter("kw = ''").join(kinds, "scene_id").withColumn("score", F.lit(2))
+    everywhere = shuffled(keywords.filter("kw = ''")).join(kinds, "scene_id").withColumn("score", F.lit(2))
     wanted = (
         exact.select("kw", *shape, "score")
         .unionByName(within.select("kw", *shape, "score"))
         .unionByName(alias.select("kw", *shape, "score"))
         .unionByName(everywhere.select("kw", *shape, "score"))
-        .join(asked, ["scene_id", "kw"])
+        .join(shuffled(asked), ["scene_id", "kw"])
         .groupBy("query_id", *shape)
         .agg(F.max("score").alias("score"))
     )
-    return wanted.join(texted, shape).drop(*shape[1:])
+    return shuffled(wanted).join(texted, shape).drop(*shape[1:])
 
 
 def locate_ranked(questions: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -109,7 +109,7 @@ def children_of(nodes: DataFrame) -> DataFrame:
         "scene_id", F.col("parent_id").alias("node_id"), F.col("node_id").alias("child_id"),
         F.col("ord").alias("child_ord"),
     )
-    return nodes.select("scene_id", "node_id", "label").join(child, ["scene_id", "node_id"])
+    return shuffled(nodes.select("scene_id", "node_id", "label")).join(child, ["scene_id", "node_id"])
 
 
 def _side(questions: DataFrame, hint: str, nodes: DataFrame, name: str) -> DataFrame:
@@ -123,8 +123,8 @@ def _standing(questions: DataFrame, hint: str, nodes: DataFrame, name: str) -> D
     """Nodes with a height that a hint names in its scene; an empty hint names all of them."""
     tall = nodes.filter(F.col("box").isNotNull()).select(
         "scene_id", F.col("node_id").alias(name), g.box_center(F.col("box")).z.alias(f"_z_{name}"))
-    every = questions.filter(F.col(hint) == "").select("query_id", "scene_id").join(tall, "scene_id")
-    named = _side(questions, hint, nodes, name).join(tall, ["scene_id", name])
+    every = questions.filter(F.col(hint) == "").select("query_id", "scene_id").join(shuffled(tall), "scene_id")
+    named = _side(questions, hint, nodes, name).join(shuffled(tall), ["scene_id", name])
     return every.unionByName(named.select(*every.columns))
 
 
@@ -135,7 +135,7 @@ def relational_above(questions: DataFrame, nodes: DataFrame, margin: float = 0.0
     subjects = _standing(asked, "subject_hint", nodes, "subject")
     objects = _standing(asked, "object_hint", nodes, "object").drop("scene_id")
     return (
-        subjects.join(objects, "query_id")
+        shuffled(subjects).join(objects, "query_id")
         .filter(F.col("_z_subject") - F.col("_z_object") > margin)
         .select("query_id", "scene_id", "subject", F.lit("above").alias("predicate"), "object")
     )
@@ -168,20 +168,20 @@ def relational(questions: DataFrame, nodes: DataFrame, relations: DataFrame,
     # start from located subjects where there is a hint, from the scene otherwise
     with_subject = (
         _side(questions, "subject_hint", nodes, "subject")
-        .join(asked, ["query_id", "scene_id"])
-        .join(edges, ["scene_id", "subject"])
+        .join(shuffled(asked), ["query_id", "scene_id"])
+        .join(shuffled(edges), ["scene_id", "subject"])
         .filter(fits)
     )
     any_subject = (
-        asked.filter(F.col("subject_hint") == "").join(edges, "scene_id").filter(fits)
+        asked.filter(F.col("subject_hint") == "").join(shuffled(edges), "scene_id").filter(fits)
     )
     found = with_subject.unionByName(any_subject)
     objects = _side(questions, "object_hint", nodes, "object")
     hinted = found.filter(F.col("object_hint") != "").join(
-        objects, ["query_id", "scene_id", "object"], "left_semi"
+        shuffled(objects), ["query_id", "scene_id", "object"], "left_semi"
     )
     free = found.filter(F.col("object_hint") == "").join(
-        nodes.select("scene_id", F.col("node_id").alias("object")), ["scene_id", "object"],
+        shuffled(nodes.select("scene_id", F.col("node_id").alias("object"))), ["scene_id", "object"],
         "left_semi",
     )
     told = hinted.unionByName(free).select("query_id", "scene_id", "subject", "predicate", "object")
@@ -193,7 +193,7 @@ def egocentric_answers(located: DataFrame, viewers: DataFrame) -> DataFrame:
     ego = g.egocentric(g.position(F.col("center"), F.col("box")), F.col("pose"))
     second = F.coalesce(F.nullif(F.col("layer2_text"), F.lit("")), F.col("layer1_text"))
     return (
-        located.join(viewers.select("scene_id", "pose"), "scene_id")
+        shuffled(located).join(viewers.select("scene_id", "pose"), "scene_id")
         .withColumn("ego", ego)
         .withColumn("layer2", second)
         .drop("pose")
@@ -225,7 +225,7 @@ def _matches(asked: DataFrame, memory: DataFrame) -> DataFrame:
     shape = ["scene_id", "_name", "_hint", "_color"]
     questions = asked.select("scene_id", "q").distinct().withColumn(
         "keywords", w.expand_question(F.col("q")))
-    kinds = memory.select(*shape).distinct().join(
+    kinds = shuffled(memory.select(*shape).distinct()).join(
         questions.select("scene_id").distinct(), "scene_id", "left_semi")
     words = questions.select(
         "scene_id", "q", F.explode(F.array_union(F.array("q"), F.col("keywords"))).alias("s"))
@@ -234,14 +234,14 @@ def _matches(asked: DataFrame, memory: DataFrame) -> DataFrame:
     touching = contained_pairs(words, "s", parts, "p").unionByName(
         contained_pairs(parts, "p", words, "s")
     ).distinct()
-    by_text = words.join(touching, ["scene_id", "s"]).join(parts, ["scene_id", "p"])
-    by_family = questions.withColumn("_f", w.name_family(F.col("q"))).join(
+    by_text = shuffled(words).join(touching, ["scene_id", "s"]).join(shuffled(parts), ["scene_id", "p"])
+    by_family = shuffled(questions.withColumn("_f", w.name_family(F.col("q")))).join(
         kinds.withColumn("_f", w.name_family(F.col("_name"))), ["scene_id", "_f"])
     # an empty name is inside every keyword
-    nameless = questions.join(kinds.filter("_name = ''"), "scene_id")
+    nameless = shuffled(questions).join(kinds.filter("_name = ''"), "scene_id")
     pairs = (
         by_text.select("q", *shape).unionByName(by_family.select("q", *shape))
-        .unionByName(nameless.select("q", *shape)).distinct().join(questions, ["scene_id", "q"])
+        .unionByName(nameless.select("q", *shape)).distinct().join(shuffled(questions), ["scene_id", "q"])
     )
     score = _score(F.col("q"), F.col("keywords"), F.col("_name"), F.col("_hint"), F.col("_color"))
     return pairs.withColumn("score", score).filter(F.col("score") > 0).drop("keywords")
@@ -289,8 +289,8 @@ def retrieve(
         }
     )
     hits = (
-        asked.join(_matches(asked, named), ["scene_id", "q"])
-        .join(named, ["scene_id", "_name", "_hint", "_color"])
+        shuffled(asked).join(_matches(asked, named), ["scene_id", "q"])
+        .join(shuffled(named), ["scene_id", "_name", "_hint", "_color"])
     )
     best = top_k(
         hits, ["query_id"],
@@ -305,7 +305,7 @@ def retrieve(
         )
     )
     if viewers is not None:
-        kept = kept.join(viewers.select("scene_id", F.col("pose").alias("_pose")), "scene_id", "left")
+        kept = shuffled(kept).join(viewers.select("scene_id", F.col("pose").alias("_pose")), "scene_id", "left")
         pose = F.col("_pose")
     else:
         pose = F.lit(None).cast(
@@ -332,7 +332,7 @@ def answers(questions: DataFrame, matches: DataFrame) -> DataFrame:
         F.lit(FROM_MEMORY_PREFIX), F.array_join(F.transform("_lines", lambda l: l.line), "；")
     )
     empty = w.clean(F.col("text")) == ""
-    return questions.join(lines, "query_id", "left").select(
+    return shuffled(questions).join(lines, "query_id", "left").select(
         "query_id",
         "scene_id",
         found.alias("found"),

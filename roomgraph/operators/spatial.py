@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomgraph.functions.geometry import BOX_FIELDS, box_center, make_box, ray_hits_box
+from roomgraph.operators.scaling import shuffled
 
 # Half of the eight neighbours: with it every unordered pair of cells is visited once.
 _HALF_STENCIL = ((0, 0), (1, 0), (0, 1), (1, 1), (1, -1))
@@ -57,7 +58,7 @@ def near_pairs(
     d = [F.col(f"l_{c}") - F.col(f"r_{c}") for c in ("px", "py", "pz")]
     lower = F.col(f"l_{order}") < F.col(f"r_{order}")
     pairs = (
-        left.join(right, [*keys, "_cx", "_cy"])
+        shuffled(left).join(right, [*keys, "_cx", "_cy"])
         .filter(~F.col("_same") | lower)
         .withColumn("distance", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
         .filter(F.col("distance") <= reach)
@@ -103,7 +104,7 @@ def _on_grid(df: DataFrame, keys: list[str], other_levels: DataFrame, side: str)
     own = F.col(f"{side}_level")
     levels = F.array_distinct(F.concat(F.array(own), F.filter("_levels", lambda v: v > own)))
     placed = (
-        df.join(other_levels, keys)
+        shuffled(df).join(other_levels, keys)
         .withColumn("_lv", F.explode(levels))
         .withColumn("_s", _side_of(F.col("_lv")))
     )
@@ -151,7 +152,7 @@ def footprint_pairs(
         on.append("_band")
     side = _side_of(F.col("_lv"))
     low = {axis: F.greatest(f"l_{axis}min", f"r_{axis}min") for axis in ("x", "y")}
-    pairs = a.join(b, on).filter(F.col("_lv") == F.greatest("l_level", "r_level"))
+    pairs = shuffled(a).join(b, on).filter(F.col("_lv") == F.greatest("l_level", "r_level"))
     for axis in ("x", "y"):
         # the cell that holds the lower corner of the shared rectangle reports the pair
         pairs = pairs.filter(
@@ -205,10 +206,10 @@ def cells_met(viewers: DataFrame, items: DataFrame, keys: Sequence[str], box: Co
         cells.insert(0, level)
     low, high = ({a: f"_{side}{a}" for a in "xyz"} for side in ("min", "max"))
     kept = viewers.columns
-    met = meets(viewers.join(cells[0], keys), low, high).select(*kept, *LEAF)
+    met = meets(shuffled(viewers).join(cells[0], keys), low, high).select(*kept, *LEAF)
     for level in cells[1:]:
         above = met.select(*kept, *[F.col(c).alias(f"_up{a}") for c, a in zip(LEAF, "xyz")])
-        met = meets(above.join(level, [*keys, "_upx", "_upy", "_upz"]), low, high).select(*kept, *LEAF)
+        met = meets(shuffled(above).join(level, [*keys, "_upx", "_upy", "_upz"]), low, high).select(*kept, *LEAF)
     return met
 
 
@@ -228,7 +229,7 @@ def ray_hits(rays: DataFrame, objects: DataFrame, keys: Sequence[str]) -> DataFr
 
     met = cells_met(rays, placed, keys, F.col("box"), meets)
     return (
-        placed.join(met, [*keys, *LEAF])
+        shuffled(placed).join(met, [*keys, *LEAF])
         .filter(ray_hits_box(F.col("eye"), F.col("look"), F.col("box")))
         .drop(*LEAF)
     )

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from roomgraph.operators import scaling
+from roomgraph.operators import assemble, relations, scaling, search
 
 
 def frame(spark, n=400, seed=1):
@@ -115,3 +115,27 @@ def test_prefix_top_equals_plain_search(spark):
             for _, _, o, lab in sorted((x for x in rows if x[0] == r.k and r.z - x[1] > reach), key=lambda x: x[2]):
                 best.setdefault(lab, o)
             assert [(t.l, t.v) for t in r.t] == list(best.items())[:top]
+
+
+def test_questions_of_large_scenes_pass_no_side_through_the_driver(spark, tmp_path):
+    """Files are small for what they hold, so their size must not make Spark broadcast a side."""
+    spark.sql("""
+        SELECT 0L AS scene_id, id AS ord, concat('n', id) AS node_id, 'cup' AS label, 'cup' AS category,
+          'cup' AS name, 'red' AS color, 'cup' AS label_hint, 'ocr' AS source, 'cup' AS text, '' AS layer1_text,
+          'red cup' AS layer2_text, array('red') AS aliases, 0.5D AS confidence, id AS query_id, 'on' AS predicate,
+          'cup' AS subject_hint, 'red' AS object_hint, CAST(NULL AS STRING) AS parent_id, 1D AS top_z,
+          concat('s', id) AS support_id,
+          named_struct('xmin', 0D, 'ymin', 0D, 'zmin', 0D, 'xmax', 1D, 'ymax', 1D, 'zmax', 1D) AS box,
+          named_struct('x', 0D, 'y', 0D, 'z', 0D) AS center FROM range(4)""").write.parquet(str(tmp_path / "t"))
+    t = spark.read.parquet(str(tmp_path / "t"))
+    edges = t.select("scene_id", F.col("node_id").alias("subject"), "predicate", F.lit("n1").alias("object"),
+                     F.lit("active").alias("status"))
+    questions = t.select("query_id", "scene_id", "text", "predicate", "subject_hint", "object_hint")
+    nodes = t.drop("query_id", "text", "predicate")
+    for found in (
+        search.locate_ranked(questions, nodes, 1), search.relational(questions, nodes, edges, upright=True),
+        search.retrieve(questions, nodes), assemble.text_edges(nodes, nodes),
+        relations.on_edges(nodes), relations.near_edges(nodes), relations.support_edges(nodes, nodes),
+    ):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan, found.columns
