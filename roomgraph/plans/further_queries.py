@@ -108,7 +108,7 @@ def located_first(spark, sf):
     own = o.select(F.col("ord").alias("query_id"), F.col("label").alias("_own"))
     like = o.select("scene_id", F.col("label").alias("_own"), "node_id").groupBy("scene_id", "_own").agg(
         F.collect_set("node_id").alias("ids"))
-    truth = asked.join(own, "query_id").join(like, ["scene_id", "_own"]).select(
+    truth = scaling.shuffled(asked).join(own, "query_id").join(scaling.shuffled(like), ["scene_id", "_own"]).select(
         "query_id", F.when(F.col("query_id") % 6 == 3, F.array().cast("array<string>")).otherwise(F.col("ids")).alias("expect"))
     first = search.locate_ranked(asked, memory(spark, sf), 1)
     return reports.judge_located(truth, first).select("query_id", "pass")
