@@ -9,7 +9,7 @@ from roomgraph.functions import geometry as g
 from roomgraph.functions import words as w
 from roomgraph.operators import assemble, search
 from roomgraph.operators import relations as rel
-from roomgraph.operators.scaling import top_k
+from roomgraph.operators.scaling import shuffled, top_k
 from roomgraph.plans.catalog import query
 from roomgraph.plans.scene_queries import NEAR_SQL, ON_SQL, SUPPORT_SQL, _TAG
 from roomgraph.sources import testtables as t
@@ -282,7 +282,7 @@ def where_is(spark, sf):
     texts = assemble.relation_texts(
         assemble.text_edges(t.objects(spark, sf), t.supports(spark, sf))
     )
-    return seen.join(texts, ["scene_id", "node_id"], "left").select(
+    return shuffled(seen).join(texts, ["scene_id", "node_id"], "left").select(
         "query_id", "node_id", "label", "layer2", F.col("ego.tag").alias("tag"),
         F.round("ego.distance", 6).alias("distance"),
         F.coalesce("relation_text", F.lit("")).alias("relation_text"),
