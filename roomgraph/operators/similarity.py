@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from roomgraph.operators.scaling import top_k
 
-_BLOCK = 2048
+#: Each row is moved once for every block of the other side. So a block may be large, and a key has few of
+#: them: about ``_SIDE`` where that is enough, for tasks enough, and more only once blocks are full.
+_FULL, _SIDE, _LEAST = 65_536, 8, 2048
+#: Similarities of a pair of blocks that are held at a time.
+_CELLS = 1 << 22
 _FLOOR = 1e-9
 
 
@@ -29,10 +33,15 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(_FLOOR))
 
 
+def _blocks() -> Column:
+    n = F.count(F.lit(1))
+    return F.greatest(F.ceil(n / _FULL), F.least(F.lit(_SIDE), F.ceil(n / _LEAST)))
+
+
 def _in_blocks(df: DataFrame, keys: list[str], ident: str, own: str, other: str, theirs: DataFrame):
     """Rows of one side with their block, once for each block of the other side."""
-    mine = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("_mine"))
-    facing = theirs.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("_theirs"))
+    mine = df.groupBy(*keys).agg(_blocks().alias("_mine"))
+    facing = theirs.groupBy(*keys).agg(_blocks().alias("_theirs"))
     return (
         df.join(mine.join(facing, keys), keys)
         .withColumn(own, F.pmod(F.xxhash64(ident), F.col("_mine")))
@@ -50,31 +59,35 @@ def _score_blocks(keys: Sequence[str], k: int, min_sim: float, strict: bool, dig
             return pd.DataFrame(columns=columns)
         q = np.stack(queries["feature"].to_numpy()).astype(float)
         m = np.stack(gallery["feature"].to_numpy()).astype(float)
-        norms = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(m, axis=1)[None, :]
-        sim = q @ m.T / np.maximum(norms, _FLOOR)
-        if digits is not None:
-            sim = np.round(sim, digits)
-        ok = sim > min_sim if strict else sim >= min_sim
+        q_norm, m_norm = np.linalg.norm(q, axis=1), np.linalg.norm(m, axis=1)
         labels = pd.concat([queries["conflict"], gallery["conflict"]]).fillna("")
         codes, names = pd.factorize(labels)
         blank = np.array([name == "" for name in names])[codes]
         a, b = codes[: len(q)], codes[len(q):]
-        ok &= (
-            (a[:, None] == b[None, :]) | blank[: len(q)][:, None] | blank[len(q):][None, :]
-        )
         rank_ord = gallery["match_ord"].to_numpy()
-        rows, cols = [], []
-        for i in range(len(q)):
-            hit = np.flatnonzero(ok[i])
-            if len(hit) > k:
-                hit = hit[np.lexsort((rank_ord[hit], -sim[i, hit]))[:k]]
-            rows.extend([i] * len(hit))
-            cols.extend(hit)
+        rows, cols, sims = [], [], []
+        step = max(1, _CELLS // len(m))
+        for low in range(0, len(q), step):
+            part = slice(low, low + step)
+            sim = q[part] @ m.T / np.maximum(q_norm[part, None] * m_norm[None, :], _FLOOR)
+            if digits is not None:
+                sim = np.round(sim, digits)
+            ok = sim > min_sim if strict else sim >= min_sim
+            ok &= (
+                (a[part, None] == b[None, :]) | blank[: len(q)][part, None] | blank[len(q):][None, :]
+            )
+            for i in range(len(sim)):
+                hit = np.flatnonzero(ok[i])
+                if len(hit) > k:
+                    hit = hit[np.lexsort((rank_ord[hit], -sim[i, hit]))[:k]]
+                rows.extend([low + i] * len(hit))
+                cols.extend(hit)
+                sims.extend(sim[i, hit])
         out = {name: [value] * len(rows) for name, value in zip(keys, key[:n])}
         out["query_id"] = queries["query_id"].to_numpy()[rows] if rows else []
         out["match_id"] = gallery["match_id"].to_numpy()[cols] if rows else []
         out["match_ord"] = rank_ord[cols] if rows else []
-        out["similarity"] = sim[rows, cols] if rows else []
+        out["similarity"] = sims
         return pd.DataFrame(out, columns=columns)
 
     return score

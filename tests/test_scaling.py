@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from roomgraph.operators import assemble, relations, scaling, search
+from roomgraph.operators import assemble, relations, scaling, search, similarity
 
 
 def frame(spark, n=400, seed=1):
@@ -139,3 +139,25 @@ def test_questions_of_large_scenes_pass_no_side_through_the_driver(spark, tmp_pa
     ):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan, found.columns
+
+
+def test_large_blocks_keep_copies_few_and_give_the_same_matches(spark, monkeypatch):
+    rows = spark.range(40_000).select(F.lit(0).alias("kb"), "id")
+    # 20 copies of each row in blocks of 2048
+    assert similarity._in_blocks(rows, ["kb"], "id", "_a", "_b", rows).count() <= 8 * 40_000
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (60, 4)).astype(float)
+    words = np.array(["", "a", "b"])[rng.integers(0, 3, 60)]
+    q = pd.DataFrame({"query_id": range(60), "feature": list(vectors), "conflict": words})
+    m = pd.DataFrame({"match_id": range(60), "match_ord": range(60), "feature": list(vectors), "conflict": words})
+    score = similarity._score_blocks(["kb"], 3, 0.5, False, 9)
+    whole = score((0, 0, 0), q, m)
+    monkeypatch.setattr(similarity, "_CELLS", 60 * 7)
+    pd.testing.assert_frame_equal(whole, score((0, 0, 0), q, m))
+    norms = np.maximum(np.linalg.norm(vectors, axis=1)[:, None] * np.linalg.norm(vectors, axis=1), 1e-9)
+    sim = np.round(vectors @ vectors.T / norms, 9)
+    want = []
+    for i in range(60):
+        free = [j for j in range(60) if sim[i, j] >= 0.5 and (words[i] == words[j] or "" in (words[i], words[j]))]
+        want.append(sorted(free, key=lambda j: (-sim[i, j], j))[:3])
+    assert [set(whole.loc[whole.query_id == i, "match_id"]) for i in range(60)] == [set(w) for w in want]
