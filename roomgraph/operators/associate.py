@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +14,7 @@ from pyspark.sql import types as T
 from roomgraph.fixed_values import TIGHT_FAMILIES
 from roomgraph.functions import geometry as g
 from roomgraph.functions import words as w
-from roomgraph.operators.scaling import exact_quantiles, islands, positions, top_k
+from roomgraph.operators.scaling import exact_quantiles, islands, positions, shuffled, top_k
 from roomgraph.session import cut_lineage
 
 # ---- suppression ------------------------------------------------------------------------------
@@ -44,56 +47,90 @@ def suppress_overlaps(detections: DataFrame, iou: float = 0.45, cell: int = 128)
 
 # ---- association ---------------------------------------------------------------------------------
 
-_BUNDLE_ROWS = 50_000
-
 
-def _greedy(orders: list[str], dist: float, family_dist: float):
-    """Per bundle: walk each island in order and join sightings to the closest instance."""
+def _greedy(keys: list[str], orders: list[str], dist: float, family_dist: float):
+    """Walk each island of sorted rows in order and join sightings to the closest instance."""
 
-    def walk(rows: pd.DataFrame) -> np.ndarray:
-        xyz = rows[["x", "y", "z"]].to_numpy(dtype=float)
-        classes, families = rows["class"].to_numpy(), rows["family"].to_numpy()
-        tight = rows["tight"].to_numpy()
+    def walk(xyz: np.ndarray, classes: np.ndarray, families: np.ndarray, tight: np.ndarray) -> np.ndarray:
         members: list[list[int]] = []
+        ordered: list[list[list[float]]] = []  # the members' places by axis, sorted
+        plain = not np.isnan(xyz).any()
         centers = np.empty((16, 3))
-        first_class, first_family = [], []
-        out = np.empty(len(rows), dtype=np.int64)
-        for i in range(len(rows)):
-            pick = -1
-            if members:
-                gap = np.sqrt(((centers[: len(members)] - xyz[i]) ** 2).sum(axis=1))
-                same = np.where(np.array(first_class) == classes[i], gap, np.inf)
+        first_class, first_family = np.empty((2, 16), dtype=np.int64)
+        out = np.empty(len(xyz), dtype=np.int64)
+        for i in range(len(xyz)):
+            pick, n = -1, len(members)
+            if n:
+                gap = np.sqrt(((centers[:n] - xyz[i]) ** 2).sum(axis=1))
+                same = np.where(first_class[:n] == classes[i], gap, np.inf)
                 j = int(same.argmin())
                 best = same[j]
                 if best < dist:
                     pick = j
                 if tight[i]:
-                    kin = np.where(np.array(first_family) == families[i], gap, np.inf)
+                    kin = np.where(first_family[:n] == families[i], gap, np.inf)
                     k = int(kin.argmin())
                     if kin[k] < family_dist and (pick < 0 or kin[k] <= best):
                         pick = k
             if pick < 0:
-                pick = len(members)
+                pick = n
                 members.append([])
-                first_class.append(classes[i])
-                first_family.append(families[i])
+                ordered.append([[], [], []])
                 if pick == len(centers):
                     centers = np.vstack([centers, np.empty_like(centers)])
-            members[pick].append(i)
+                    first_class = np.concatenate([first_class, np.empty_like(first_class)])
+                    first_family = np.concatenate([first_family, np.empty_like(first_family)])
+                first_class[pick], first_family[pick] = classes[i], families[i]
             mine = members[pick]
-            centers[pick] = xyz[i] if len(mine) < 3 else np.median(xyz[mine], axis=0)
+            mine.append(i)
+            for values, v in zip(ordered[pick], xyz[i].tolist()):
+                insort(values, v)
+            low, high = (len(mine) - 1) // 2, len(mine) // 2
+            if len(mine) < 3:
+                centers[pick] = xyz[i]
+            elif plain:
+                centers[pick] = [(s[low] + s[high]) / 2 if low < high else s[low] for s in ordered[pick]]
+            else:
+                centers[pick] = np.median(xyz[mine], axis=0)
             out[i] = mine[0]
         return out
 
-    def run(bundle: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        for _, rows in bundle.groupby(["match", "_ix", "_iy", "_iz"], sort=False):
-            rows = rows.sort_values(orders, kind="stable").reset_index(drop=True)
-            head = walk(rows)
-            for c in orders:
-                rows["first_" + c] = rows[c].to_numpy()[head]
-            parts.append(rows)
-        return pd.concat(parts)
+    def starts(rows: pd.DataFrame) -> np.ndarray:
+        new = np.zeros(len(rows), dtype=bool)
+        new[:1] = True
+        for c in keys:
+            values = rows[c].to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    def joined(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.reset_index(drop=True)
+        xyz, tight = rows[["x", "y", "z"]].to_numpy(dtype=float), rows["tight"].to_numpy()
+        classes, families = (pd.factorize(rows[c])[0] for c in ("class", "family"))
+        head, at = np.arange(len(rows)), [*starts(rows), len(rows)]
+        for low, high in zip(at, at[1:]):
+            if high - low > 1:
+                part = slice(low, high)
+                head[part] = low + walk(xyz[part], classes[part], families[part], tight[part])
+        return rows.assign(**{"first_" + c: rows[c].to_numpy()[head] for c in orders})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the island that may go on in the next batch
+        for batch in batches:
+            if batch.empty:
+                continue
+            at = starts(batch)
+            if held and all(held[-1][c].iloc[-1] == batch[c].iloc[0] for c in keys):
+                at = at[1:]
+            if len(at):
+                held.append(batch.iloc[: at[-1]])
+                whole = pd.concat(held)
+                if len(whole):
+                    yield joined(whole)
+                held = []
+            held.append(batch.iloc[at[-1] if len(at) else 0:])
+        if held:
+            yield joined(pd.concat(held))
 
     return run
 
@@ -113,42 +150,45 @@ def associate(
 
     Only equal classes, or equal families where labels are interchangeable, can meet, and
     never across a gap wider than the reach along any axis: the reference point of an
-    instance is a per-axis median of its members. These parts are walked on their own;
-    small ones are bundled so that a task call is worth its overhead.
+    instance is a per-axis median of its members. These parts are walked on their own, many
+    to a task, as they come sorted out of one exchange.
     """
     family = w.class_family(F.col("class"))
     tight = family.isin(*TIGHT_FAMILIES)
     reach = max(dist, family_dist)
     base = sightings.withColumns(
         {"family": family, "tight": tight, "match": F.when(tight, family).otherwise(F.col("class"))}
+        | {f"_c{axis}": F.floor(F.col(axis) / F.lit(reach)) for axis in "xyz"}
     )
+    place = ["scene_id", "match", "_cx", "_cy", "_cz"]
     keys = ["scene_id", "match"]
+    # islands are a matter of occupied cells alone; stored, as each axis reads the one before twice
+    cells = cut_lineage(base.select(*place).distinct())
     for axis in "xyz":
-        base = islands(base, keys, F.col(axis), F.col(axis), reach, f"_i{axis}")
+        cell = F.col(f"_c{axis}")
+        cells = cut_lineage(islands(cells, keys, cell, cell, 1, f"_i{axis}"))
         keys = [*keys, f"_i{axis}"]
-    rows_of_scene = base.groupBy("scene_id").agg(
-        F.ceil(F.count(F.lit(1)) / _BUNDLE_ROWS).alias("_bundles")
-    )
-    bundled = base.join(rows_of_scene, "scene_id").withColumn(
-        "_bundle", F.pmod(F.xxhash64(*keys[1:]), F.col("_bundles"))
-    ).drop("_bundles")
+    placed = shuffled(base).join(cells, place).drop("_cx", "_cy", "_cz")
     firsts = ["first_" + c for c in orders]
     schema = T.StructType(
-        [*bundled.schema.fields,
-         *[T.StructField(f, bundled.schema[c].dataType) for c, f in zip(orders, firsts)]]
+        [*placed.schema.fields,
+         *[T.StructField(f, placed.schema[c].dataType) for c, f in zip(orders, firsts)]]
     )
     walked = (
-        bundled.groupBy("scene_id", "_bundle")
-        .applyInPandas(_greedy(orders, dist, family_dist), schema)
-        .drop("_ix", "_iy", "_iz", "_bundle", "tight", "match")
+        placed.repartition(*keys)
+        .sortWithinPartitions(*keys, *[F.asc_nulls_last(c) for c in orders])
+        .mapInPandas(_greedy(keys, orders, dist, family_dist), schema)
+        .drop("_ix", "_iy", "_iz", "tight", "match")
     )
+    # stored, so that numbering does not walk again
+    walked = cut_lineage(walked)
     numbered = positions(
         walked.filter(" AND ".join(f"{c} <=> {f}" for c, f in zip(orders, firsts))).select(
             "scene_id", *firsts
         ),
         ["scene_id"], firsts[0], width=1, name="instance_no", ties=firsts[1:],
     )
-    return walked.join(
+    return shuffled(walked).join(
         numbered.withColumn("instance_no", F.col("instance_no") - 1), ["scene_id", *firsts]
     )
 

@@ -267,3 +267,19 @@ def test_plane_votes_equal_all_pairs(spark):
     got = planes.plane_votes(points, sheets, 0.1).select("scene_id", "h", "n_inliers").collect()
     assert len(want) == 50 and sorted(got) == sorted(want)
     assert planes.plane_votes(points.limit(0), sheets, 0.1).count() == 0
+
+
+def test_islands_that_go_on_over_batches_are_walked_whole():
+    rng = np.random.default_rng(7)
+    n = 90
+    rows = pd.DataFrame({
+        "scene_id": np.repeat([1, 2, 2], 30), "match": np.repeat(["cup", "cup", "mug"], 30), "_ix": 0,
+        "ord": np.tile(np.arange(30), 3), "class": np.repeat(["cup", "cup", "mug"], 30), "tight": False,
+        **{a: rng.uniform(0, 1, n) for a in "xyz"}})
+    rows["family"] = rows["class"]
+    run = associate._greedy(["scene_id", "match", "_ix"], ["ord"], 0.6, 0.2)
+    whole = pd.concat(run(iter([rows])), ignore_index=True)
+    assert len(whole) == n and whole["first_ord"].nunique() > 1
+    for size in (1, 7, 30, 45):
+        parts = [rows.iloc[i:i + size] for i in range(0, n, size)]
+        pd.testing.assert_frame_equal(pd.concat(run(iter(parts)), ignore_index=True), whole)
