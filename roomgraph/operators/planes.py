@@ -10,20 +10,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomgraph.functions import geometry as g
-from roomgraph.operators.scaling import exact_quantiles, top_k
+from roomgraph.operators.scaling import by_size, exact_quantiles, top_k
 from roomgraph.session import cut_lineage
 
 #: Points of a scene that one block of plane voting holds.
 _BLOCK = 4096
+#: Points of a scene up to which one task searches all its planes.
+_WHOLE = 100_000
 
 
-def _hypotheses(points: DataFrame, count: int, seed: int, fits) -> DataFrame:
+def _draw(seed: int) -> Column:
+    """The order in which points are drawn; equal places follow each other."""
+    return F.xxhash64(F.lit(seed), "p.x", "p.y", "p.z")
+
+
+def _hypotheses(points: DataFrame, count: int, seed: int, slope: tuple[float, float]) -> DataFrame:
     """Planes through triples of points drawn by hash order, at most ``count`` per scene.
 
-    The draw is a top-k by hash, so it is repeatable and pruned before the shuffle.
+    The draw is a top-k by hash, so it is repeatable and pruned before the shuffle. ``slope`` bounds
+    the upright part of the unit normal.
     """
-    draw = F.xxhash64(F.lit(seed), "p.x", "p.y", "p.z")
-    drawn = top_k(points.select("scene_id", "p"), ["scene_id"], [draw.asc(), F.asc("p")], 3 * count)
+    drawn = top_k(
+        points.select("scene_id", "p"), ["scene_id"], [_draw(seed).asc(), F.asc("p")], 3 * count)
     slot = (F.col("rn") - 1) % 3
     triples = drawn.groupBy("scene_id", F.floor((F.col("rn") - 1) / 3).alias("h")).agg(
         *[F.max(F.when(slot == i, F.col("p"))).alias(f"p{i}") for i in range(3)]
@@ -38,7 +46,7 @@ def _hypotheses(points: DataFrame, count: int, seed: int, fits) -> DataFrame:
         .filter(F.col("_s") >= 1e-9)
         .withColumns({f"n{k}": up * n[i] / F.col("_s") for i, k in enumerate("xyz")})
         .withColumn("d", -(F.col("nx") * a.x + F.col("ny") * a.y + F.col("nz") * a.z))
-        .filter(fits)
+        .filter(F.abs("nz").between(*slope))
         .select("scene_id", "h", "nx", "ny", "nz", "d")
     )
 
@@ -50,14 +58,19 @@ def _distance(prefix: str = "") -> Column:
     )
 
 
+def _placed(points: DataFrame) -> DataFrame:
+    """Points of a scene with all three coordinates."""
+    return points.select("scene_id", "p").filter(
+        F.col("scene_id").isNotNull() & F.col("p.x").isNotNull() & F.col("p.y").isNotNull()
+        & F.col("p.z").isNotNull())
+
+
 def _in_blocks(points: DataFrame) -> DataFrame:
     """Points with a block of about ``_BLOCK`` points of their scene; points with a null are left out.
 
     Equal points share a block; voting merges them before they are moved.
     """
-    whole = points.select("scene_id", "p").filter(
-        F.col("scene_id").isNotNull() & F.col("p.x").isNotNull() & F.col("p.y").isNotNull()
-        & F.col("p.z").isNotNull())
+    whole = _placed(points)
     # stored, so that Spark can split a scene that holds a large part of the points in this join
     sizes = cut_lineage(whole.groupBy("scene_id").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("_blocks")))
     spot = F.pmod(F.xxhash64("p.x", "p.y", "p.z"), F.col("_blocks"))
@@ -76,6 +89,18 @@ def _lists(batch: pa.RecordBatch, names: tuple[str, ...]):
     return [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in names], ends - ends[0]
 
 
+def _within(planes, points, reach: float) -> np.ndarray:
+    """Which points lie within ``reach`` of which planes, a row for each plane."""
+    nx, ny, nz, d = (v[:, None] for v in planes)
+    x, y, z = points
+    # the same sums in the same order as in _distance, so the same bits
+    far = nx * x[None]
+    far += ny * y[None]
+    far += nz * z[None]
+    far += d
+    return np.abs(far, out=far) <= reach
+
+
 def _count_blocks(reach: float):
     def count(batches):
         for batch in batches:
@@ -84,15 +109,10 @@ def _count_blocks(reach: float):
             n = np.zeros(len(planes[0]), np.int64)
             for row in range(batch.num_rows):
                 mine = slice(planes_at[row], planes_at[row + 1])
-                _, nx, ny, nz, d = (v[mine, None] for v in planes)
+                sheets = [v[mine] for v in planes[1:]]
                 for at in range(points_at[row], points_at[row + 1], _SLICE):
                     part = slice(at, min(at + _SLICE, points_at[row + 1]))
-                    # the same sums in the same order as in _distance, so the same bits
-                    far = nx * x[None, part]
-                    far += ny * y[None, part]
-                    far += nz * z[None, part]
-                    far += d
-                    hit = np.abs(far, out=far) <= reach
+                    hit = _within(sheets, (x[part], y[part], z[part]), reach)
                     repeated = np.flatnonzero(weight[part] > 1)
                     n[mine] += np.count_nonzero(hit, axis=1) + hit[:, repeated] @ (weight[part][repeated] - 1)
             scenes = np.repeat(batch.column("scene_id").to_numpy(), np.diff(planes_at))
@@ -138,17 +158,14 @@ def _best_planes(points: DataFrame, planes: DataFrame, reach: float, least: int)
     ).select("scene_id", "best.*")
 
 
-def _peel(
-    points: DataFrame, rounds: int, hypotheses: int, reach: float, least: int, seed: int, fits
+def _peel_large(
+    points: DataFrame, rounds: int, hypotheses: int, reach: float, least: int, seed: int,
+    slope: tuple[float, float],
 ) -> DataFrame:
-    """Take the best plane of every scene, remove its points, repeat.
-
-    Returns the inlier points with ``plane_no`` and the plane. Scenes without a plane that
-    is good enough leave the loop.
-    """
+    """``_peel`` round by round over all scenes at once, with the points of a scene in blocks."""
     left, found = cut_lineage(_in_blocks(points)), []
     for no in range(rounds):
-        planes = _hypotheses(left, hypotheses, seed + no, fits)
+        planes = _hypotheses(left, hypotheses, seed + no, slope)
         best = cut_lineage(_best_planes(left, planes, reach, least))
         if best.isEmpty():
             break
@@ -167,6 +184,86 @@ def _peel(
     return out
 
 
+_PEELED = ("scene_id long, x double, y double, z double, nx double, ny double, nz double, d double, "
+           "n_inliers long, plane_no int")
+_PEELED_ARROW = pa.schema([
+    ("scene_id", pa.int64()), *[(c, pa.float64()) for c in ("x", "y", "z", "nx", "ny", "nz", "d")],
+    ("n_inliers", pa.int64()), ("plane_no", pa.int32())])
+
+
+def _peel_scene(rounds: int, hypotheses: int, reach: float, least: int, slope: tuple[float, float]):
+    """All rounds of ``_peel`` over one scene; ``_draw<no>`` is the order in which a round draws."""
+
+    def drawn(order: np.ndarray, xyz: np.ndarray) -> np.ndarray:
+        """The points of the triples, in the order of the draw."""
+        first = np.arange(len(order))
+        if len(order) > 3 * hypotheses:
+            first = np.flatnonzero(order <= np.partition(order, 3 * hypotheses - 1)[3 * hypotheses - 1])
+        first = first[np.lexsort((*xyz[::-1, first], order[first]))][: 3 * hypotheses]
+        return first[: len(first) // 3 * 3].reshape(-1, 3).T
+
+    def planes(xyz: np.ndarray, triples: np.ndarray) -> list[np.ndarray]:
+        # the same steps in the same order as in _hypotheses, so the same bits
+        a, b, c = (xyz[:, t] for t in triples)
+        u, v = b - a, c - a
+        n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
+        size = np.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
+        up = np.where(n[2] < 0, -1.0, 1.0)
+        nx, ny, nz = (up * m / size for m in n)
+        d = -(nx * a[0] + ny * a[1] + nz * a[2])
+        fit = (size >= 1e-9) & (np.abs(nz) >= slope[0]) & (np.abs(nz) <= slope[1])
+        return [m[fit] for m in (nx, ny, nz, d)]
+
+    def peel(scene: pa.Table) -> pa.Table:
+        xyz = np.array([scene.column(c).to_numpy() for c in "xyz"])
+        left, found = np.arange(scene.num_rows), []
+        for no in range(rounds):
+            here = xyz[:, left]
+            with np.errstate(all="ignore"):
+                sheets = planes(here, drawn(scene.column(f"_draw{no}").to_numpy()[left], here))
+                votes = np.zeros(len(sheets[0]), np.int64)
+                for at in range(0, len(left), _SLICE):
+                    votes += np.count_nonzero(_within(sheets, here[:, at:at + _SLICE], reach), axis=1)
+                if not len(votes) or votes.max() < least:
+                    break
+                best = votes.argmax()
+                hit = _within([m[best:best + 1] for m in sheets], here, reach)[0]
+            rows = int(votes[best])
+            found.append(pa.table(
+                [scene.column("scene_id").take(pa.array(left[hit])), *here[:, hit],
+                 *[np.full(rows, m[best]) for m in sheets], np.full(rows, rows),
+                 np.full(rows, no, np.int32)], schema=_PEELED_ARROW))
+            left = left[~hit]
+        return pa.concat_tables(found) if found else _PEELED_ARROW.empty_table()
+
+    return peel
+
+
+def _peel(
+    points: DataFrame, rounds: int, hypotheses: int, reach: float, least: int, seed: int,
+    slope: tuple[float, float],
+) -> DataFrame:
+    """Take the best plane of every scene, remove its points, repeat.
+
+    Returns the inlier points with ``plane_no`` and the plane. Scenes without a plane that
+    is good enough leave the loop. A scene of up to ``_WHOLE`` points is moved once and goes through
+    its rounds in one call; larger ones go round by round, spread over blocks.
+    """
+    small, large = by_size(_placed(points), ["scene_id"], _WHOLE)
+    # the draws are hashed behind the exchange, so they are not moved
+    scenes = small.repartition("scene_id").select(
+        F.col("scene_id").cast("long"), "p.x", "p.y", "p.z",
+        *[_draw(seed + no).alias(f"_draw{no}") for no in range(rounds)])
+    out = scenes.groupBy("scene_id").applyInArrow(
+        _peel_scene(rounds, hypotheses, reach, least, slope), _PEELED)
+    out = out.select("scene_id", g.make_point(*map(F.col, "xyz")).alias("p"),
+                     "nx", "ny", "nz", "d", "n_inliers", "plane_no")
+    if large is not None:
+        out = out.unionByName(_peel_large(large, rounds, hypotheses, reach, least, seed, slope))
+    # stored, as its extents read it more than once
+    return cut_lineage(out)
+
+
 def _extent(inliers: DataFrame) -> DataFrame:
     """Axis-aligned extent of each plane, not below the floor."""
     p, keys = F.col("p"), ["scene_id", "plane_no"]
@@ -182,7 +279,7 @@ def _extent(inliers: DataFrame) -> DataFrame:
 def walls(points: DataFrame, hypotheses: int = 500, rounds: int = 6) -> DataFrame:
     """Upright planes between floor and ceiling, as anchors."""
     band = points.filter((F.col("p.z") > 0.3) & (F.col("p.z") < 3.0))
-    upright = F.abs("nz") <= math.sin(math.radians(20.0))
+    upright = (0.0, math.sin(math.radians(20.0)))
     planes = _extent(_peel(band, rounds, hypotheses, 0.08, 50, 2, upright))
     return planes.select(
         "scene_id",
@@ -199,7 +296,7 @@ def walls(points: DataFrame, hypotheses: int = 500, rounds: int = 6) -> DataFram
 def support_surfaces(points: DataFrame, hypotheses: int = 400, rounds: int = 8) -> DataFrame:
     """Level planes at furniture height, as thin slabs."""
     band = points.filter((F.col("p.z") >= 0.2) & (F.col("p.z") <= 2.2))
-    level = F.abs("nz") >= math.cos(math.radians(15.0))
+    level = (math.cos(math.radians(15.0)), math.inf)
     planes = _extent(_peel(band, rounds, hypotheses, 0.05, 40, 3, level))
     return support_summary(planes)
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from roomgraph.session import cut_lineage
+
 BUCKET = "_bucket"
 CONTEXT = "_context"
 
@@ -352,6 +354,39 @@ def top_k(
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
 
 
+#: Hash buckets in which rows are counted before the keys of full buckets are.
+_KEY_BUCKETS = 65_536
+
+
+def large_keys(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
+    """The keys with more than ``most`` rows, null keys too, or None without any.
+
+    Rows are counted by hash buckets, so nearly nothing is moved, and by keys only in buckets that
+    hold more than ``most``. There is at most one such key for ``most`` rows: few enough to broadcast.
+    """
+    marked = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(_KEY_BUCKETS)).alias("_kb"))
+
+    def over(marked: DataFrame, by: list[str]) -> DataFrame:
+        counted = marked.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+        return counted.filter(F.col("_n") > most).select(*by)
+
+    full = cut_lineage(over(marked, ["_kb"]))
+    if full.isEmpty():
+        return None
+    large = cut_lineage(over(marked.join(F.broadcast(full), "_kb", "left_semi"), list(keys)))
+    return None if large.isEmpty() else large
+
+
+def by_size(df: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of keys of up to ``most`` rows, and those of larger ones (None without any)."""
+    large = large_keys(df, keys, most)
+    if large is None:
+        return df, None
+    large = F.broadcast(large.toDF(*[f"_large_{k}" for k in keys]))
+    same = [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys]
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -367,12 +402,10 @@ def exact_quantiles(
     """
     keys = list(keys)
     df = df.select(*keys, *dict.fromkeys(c for c, _ in wanted.values()))
-    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).select(
-        *[F.col(k).alias(f"_large_{k}") for k in keys])
-    same = [F.col(k).eqNullSafe(F.col(f"_large_{k}")) for k in keys]
-    small = df.join(large, same, "left_anti").groupBy(*keys).agg(
+    small, large = by_size(df, keys, most)
+    out = small.groupBy(*keys).agg(
         *[F.percentile(F.col(c).cast("double"), F.lit(float(p))).alias(name) for name, (c, p) in wanted.items()])
-    return small.unionByName(ranked_quantiles(df.join(large, same, "left_semi"), keys, wanted, bins))
+    return out if large is None else out.unionByName(ranked_quantiles(large, keys, wanted, bins))
 
 
 def ranked_quantiles(

@@ -144,6 +144,26 @@ def test_planted_surfaces(spark):
     assert abs(side.normal.nx) > 0.95 and side.n_inliers >= 250
 
 
+def test_planes_of_scenes_in_one_call_equal_those_round_by_round(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    parts = []
+    for scene, n in ((0, 2500), (1, 300), (2, 2), (3, 400)):
+        xyz = rng.uniform(0, 3, (n, 3)).round(2)
+        xyz[: n // 3, 2] = 0.75  # a table, and repeated points
+        xyz[n // 3: n // 2] = xyz[0]
+        parts += [(scene, *map(float, p)) for p in xyz]
+    parts += [(None, 1.0, 1.0, 1.0), (1, None, 1.0, 1.0), (3, float("nan"), 1.0, 1.0), (3, float("inf"), -0.0, 1.0)]
+    points = spark.createDataFrame(parts, "scene_id long, x double, y double, z double").select(
+        "scene_id", g.make_point(*map(F.col, "xyz")).alias("p"))
+
+    def found(whole):
+        monkeypatch.setattr(planes, "_WHOLE", whole)
+        return [sorted(map(str, search(points, 60, 3).collect())) for search in (planes.walls, planes.support_surfaces)]
+
+    by_rounds = found(0)
+    assert found(100_000) == by_rounds and found(1000) == by_rounds and all(map(len, by_rounds))
+
+
 def test_jump_filter_with_return(spark):
     xs = [0, 0.5, 1, 9, 9.5, 1.5, 2, 20, 3.5, 3.6, 30, 28, 5]
     pdf = pd.DataFrame({"scene_id": 1, "frame_no": range(len(xs)), "cx": np.array(xs, float), "cy": 0.0,

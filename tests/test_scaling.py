@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from roomgraph.operators import assemble, relations, scaling, search, similarity
@@ -161,3 +162,12 @@ def test_large_blocks_keep_copies_few_and_give_the_same_matches(spark, monkeypat
         free = [j for j in range(60) if sim[i, j] >= 0.5 and (words[i] == words[j] or "" in (words[i], words[j]))]
         want.append(sorted(free, key=lambda j: (-sim[i, j], j))[:3])
     assert [set(whole.loc[whole.query_id == i, "match_id"]) for i in range(60)] == [set(w) for w in want]
+
+
+def test_large_keys_are_split_off(spark):
+    rows = [(None, "a")] * 5 + [(1, "a")] * 6 + [(1, None)] * 2 + [(2, "b")] * 4
+    df = spark.createDataFrame(rows, "k long, s string")
+    small, large = scaling.by_size(df, ["k", "s"], 4)
+    assert sorted(map(str, small.distinct().collect())) == sorted(map(str, [Row(k=1, s=None), Row(k=2, s="b")]))
+    assert small.count() == 6 and large.count() == 11
+    assert scaling.by_size(df, ["k", "s"], 6)[1] is None
