@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from roomgraph.fixed_values import MULTI_VIEW_WEIGHT
 from roomgraph.functions import geometry as g
 from roomgraph.functions import words as w
-from roomgraph.operators.scaling import positions, stretches, top_k
+from roomgraph.operators.scaling import by_size, positions, stretches, top_k
 from roomgraph.operators.similarity import best_matches, cosine
 from roomgraph.operators.spatial import footprint_pairs, near_pairs
 from roomgraph.session import cut_lineage
@@ -257,6 +257,9 @@ _INSTANCE = [
 ]
 
 
+#: Instances of a scene up to which it is walked whole, without finding its components first.
+_WALK = 2_000
+
 _MERGE_STATE = (
     "scene_id long, ord long, keeper long, first_no long, last_no long, n_observations long, "
     "absorbed array<struct<step:long,keep:long,gone:long,n:long>>"
@@ -383,7 +386,7 @@ def _settled_components(rows: DataFrame, sim_tol: float, near: float) -> DataFra
 
 
 def _merge_walk(sim_tol: float, near: float):
-    """The walk over one component, in ``ord`` order: the first pair (by the earlier, then the
+    """The walk over one component, or a scene, in ``ord`` order: the first pair (by the earlier, then the
     later one) that is the same object is merged in the earlier one's place; then anew.
 
     A place is settled once it matches no other. Settled places can only come to match the one
@@ -394,6 +397,7 @@ def _merge_walk(sim_tol: float, near: float):
     def walk(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("ord").reset_index(drop=True)
         n = len(part)
+        kind = pd.factorize(part["class"])[0]  # -1 without a class, and like nothing
         # what stands in each place; a merge moves the surer one's values into the earlier place
         held = {
             "named": part["named"].to_numpy(bool).copy(),
@@ -424,7 +428,7 @@ def _merge_walk(sim_tol: float, near: float):
             out = np.where(named[i] & named, colors & ((family == family[i]) | together),
                            (cos >= sim_tol) & together)
             out[i] = False
-            return out & here
+            return out & here & (kind == kind[i]) & (kind >= 0)
 
         told: list[list[dict]] = [[] for _ in range(n)]
         i = step = 0
@@ -465,15 +469,20 @@ def merge_duplicates(
     The result is that of one plain loop over each scene: in ``ord`` order the first pair that is
     the same object is merged and stands in the earlier one's place, until no pair is left. The
     more confident one keeps its identity, the earlier one if they tie; observations add up and
-    windows widen. Components that no merge can leave are found first; each is walked by itself,
-    which gives the loop's result as pairs of different components never touch. Instances without
-    a feature take no part.
+    windows widen. A scene of up to ``_WALK`` instances is walked as it is. In larger ones components
+    that no merge can leave are found first; each is walked by itself, which gives the loop's result
+    as pairs of different components never touch. Instances without a feature take no part.
     """
+    instances = cut_lineage(instances.select(*_INSTANCE))  # sizes, looks and identities read it anew
     idle = instances.filter(F.col("feature").isNull()).select(*_INSTANCE)
     rows = instances.filter(F.col("feature").isNotNull()).select(*_INSTANCE)
-    placed = _settled_components(rows, sim_tol, near)
+    small, large = by_size(
+        rows.filter(F.col("scene_id").isNotNull() & F.col("ord").isNotNull()), ["scene_id"], _WALK)
+    placed = small.withColumn("comp", F.lit(None).cast("long"))
+    if large is not None:
+        placed = placed.unionByName(_settled_components(large, sim_tol, near).drop("lo", "hi"))
     looks = placed.select(
-        "scene_id", "comp", "ord", "feature", "first_no", "last_no", "n_observations", "median_conf",
+        "scene_id", "comp", "ord", "class", "feature", "first_no", "last_no", "n_observations", "median_conf",
         F.col("name").isNotNull().alias("named"), w.name_family(F.col("name")).alias("_f"),
         w.strip(F.coalesce("color", F.lit(""))).alias("_c"),
         F.col("center.x").alias("_x"), F.col("center.y").alias("_y"), F.col("center.z").alias("_z"),

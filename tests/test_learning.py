@@ -132,6 +132,12 @@ def test_merging_equals_plain_loop(spark):
     assert merges > 60
 
 
+def test_scenes_walked_whole_or_by_components_merge_alike(spark, monkeypatch):
+    test_merging_equals_plain_loop(spark)  # a scene at once
+    monkeypatch.setattr(learn, "_WALK", 0)
+    test_merging_equals_plain_loop(spark)
+
+
 def test_confirmation_rules(spark):
     views = spark.createDataFrame(
         [("a", 1, "杯子", "白"), ("a", 2, "杯子", "白"), ("b", 1, "杯子", "白"), ("c", 1, "杯子", "白"),
