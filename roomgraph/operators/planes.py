@@ -65,8 +65,9 @@ def _placed(points: DataFrame) -> DataFrame:
         & F.col("p.z").isNotNull())
 
 
-def _in_blocks(points: DataFrame) -> DataFrame:
-    """Points with a block of about ``_BLOCK`` points of their scene; points with a null are left out.
+def _in_blocks(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points with a block of about ``_BLOCK`` points of their scene, and the blocks of each scene as
+    their number ``_blocks``; points with a null are left out.
 
     Equal points share a block; voting merges them before they are moved.
     """
@@ -74,21 +75,15 @@ def _in_blocks(points: DataFrame) -> DataFrame:
     # stored, so that Spark can split a scene that holds a large part of the points in this join
     sizes = cut_lineage(whole.groupBy("scene_id").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).alias("_blocks")))
     spot = F.pmod(F.xxhash64("p.x", "p.y", "p.z"), F.col("_blocks"))
-    return whole.join(sizes, "scene_id").withColumn("_block", spot).drop("_blocks")
+    return whole.join(sizes, "scene_id").withColumn("_block", spot).drop("_blocks"), sizes
 
 
 #: Points that are held against all planes at a time.
 _SLICE = 512
-_POINT_LISTS, _PLANE_LISTS = ("x", "y", "z", "w"), ("h", "nx", "ny", "nz", "d")
+_PLANE = ["scene_id", "h", "nx", "ny", "nz", "d"]
 _VOTE = "scene_id long, h long, nx double, ny double, nz double, d double, n long"
 
 
-def _lists(batch: pa.RecordBatch, names: tuple[str, ...]):
-    """Columns of lists as flat arrays, and where each row's entries begin and end in them."""
-    ends = np.asarray(batch.column(names[0]).offsets)
-    return [batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in names], ends - ends[0]
-
-
 def _within(planes, points, reach: float) -> np.ndarray:
     """Which points lie within ``reach`` of which planes, a row for each plane."""
     nx, ny, nz, d = (v[:, None] for v in planes)
@@ -101,23 +96,19 @@ def _within(planes, points, reach: float) -> np.ndarray:
     return np.abs(far, out=far) <= reach
 
 
-def _count_blocks(reach: float):
-    def count(batches):
-        for batch in batches:
-            (x, y, z, weight), points_at = _lists(batch, _POINT_LISTS)
-            planes, planes_at = _lists(batch, _PLANE_LISTS)
-            n = np.zeros(len(planes[0]), np.int64)
-            for row in range(batch.num_rows):
-                mine = slice(planes_at[row], planes_at[row + 1])
-                sheets = [v[mine] for v in planes[1:]]
-                for at in range(points_at[row], points_at[row + 1], _SLICE):
-                    part = slice(at, min(at + _SLICE, points_at[row + 1]))
-                    hit = _within(sheets, (x[part], y[part], z[part]), reach)
-                    repeated = np.flatnonzero(weight[part] > 1)
-                    n[mine] += np.count_nonzero(hit, axis=1) + hit[:, repeated] @ (weight[part][repeated] - 1)
-            scenes = np.repeat(batch.column("scene_id").to_numpy(), np.diff(planes_at))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v) for v in (scenes, *planes, n)], names=["scene_id", *_PLANE_LISTS, "n"])
+def _count_block(reach: float):
+    """Count the points of a block, each ``w`` times, on each plane of its scene."""
+
+    def count(points: pa.Table, planes: pa.Table) -> pa.Table:
+        x, y, z, weight = (points.column(c).to_numpy() for c in ("x", "y", "z", "w"))
+        sheets = [planes.column(c).to_numpy() for c in ("nx", "ny", "nz", "d")]
+        n = np.zeros(planes.num_rows, np.int64)
+        for at in range(0, points.num_rows, _SLICE):
+            part = slice(at, at + _SLICE)
+            hit = _within(sheets, (x[part], y[part], z[part]), reach)
+            repeated = np.flatnonzero(weight[part] > 1)
+            n += np.count_nonzero(hit, axis=1) + hit[:, repeated] @ (weight[part][repeated] - 1)
+        return planes.select(_PLANE).append_column("n", pa.array(n))
 
     return count
 
@@ -130,28 +121,27 @@ def plane_votes(points: DataFrame, planes: DataFrame, reach: float) -> DataFrame
     vector of counts, so no row is made for a point and a plane. Planes of scenes without points
     don't come back.
     """
-    return _votes(_in_blocks(points), planes, reach)
-
-
-def _votes(points: DataFrame, planes: DataFrame, reach: float) -> DataFrame:
-    merged = points.groupBy("scene_id", "_block", "p").agg(F.count(F.lit(1)).alias("w"))
-    # the lists of a row grow together, so their entries belong together
-    blocks = merged.groupBy("scene_id", "_block").agg(
-        *[F.collect_list(f"p.{a}").alias(a) for a in "xyz"], F.collect_list("w").alias("w"))
-    asked = cut_lineage(planes.groupBy("scene_id").agg(
-        F.collect_list(F.col("h").cast("long")).alias("h"),
-        *[F.collect_list(c).alias(c) for c in ("nx", "ny", "nz", "d")]))
-    batched = blocks.join(asked, "scene_id").select(
-        F.col("scene_id").cast("long"), *_POINT_LISTS, *_PLANE_LISTS)
+    return _votes(*_in_blocks(points), planes, reach)
+
+
+def _votes(points: DataFrame, sizes: DataFrame, planes: DataFrame, reach: float) -> DataFrame:
+    block = ["scene_id", "_block"]
+    merged = points.groupBy(*block, "p").agg(F.count(F.lit(1)).alias("w")).select(*block, "p.x", "p.y", "p.z", "w")
+    asked = planes.withColumn("h", F.col("h").cast("long")).join(sizes, "scene_id").select(
+        F.col("scene_id").cast("long"), *_PLANE[1:],
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block"))
+    # a task holds one block and its planes at a time, however many blocks it gets
     return (
-        batched.mapInArrow(_count_blocks(reach), _VOTE)
-        .groupBy("scene_id", "h", "nx", "ny", "nz", "d").agg(F.sum("n").alias("n_inliers"))
+        merged.groupBy(*block).cogroup(asked.groupBy(*block)).applyInArrow(_count_block(reach), _VOTE)
+        .groupBy(*_PLANE).agg(F.sum("n").alias("n_inliers"))
     )
 
 
-def _best_planes(points: DataFrame, planes: DataFrame, reach: float, least: int) -> DataFrame:
+def _best_planes(
+    points: DataFrame, sizes: DataFrame, planes: DataFrame, reach: float, least: int
+) -> DataFrame:
     """Best-supported plane per scene (the first drawn on ties), if ``least`` points are on it."""
-    votes = _votes(points, planes, reach).filter(F.col("n_inliers") >= least)
+    votes = _votes(points, sizes, planes, reach).filter(F.col("n_inliers") >= least)
     plane = F.struct("nx", "ny", "nz", "d", "n_inliers")
     return votes.groupBy("scene_id").agg(
         F.max_by(plane, F.struct("n_inliers", -F.col("h"))).alias("best")
@@ -163,10 +153,11 @@ def _peel_large(
     slope: tuple[float, float],
 ) -> DataFrame:
     """``_peel`` round by round over all scenes at once, with the points of a scene in blocks."""
-    left, found = cut_lineage(_in_blocks(points)), []
+    blocks, sizes = _in_blocks(points)
+    left, found = cut_lineage(blocks), []
     for no in range(rounds):
         planes = _hypotheses(left, hypotheses, seed + no, slope)
-        best = cut_lineage(_best_planes(left, planes, reach, least))
+        best = cut_lineage(_best_planes(left, sizes, planes, reach, least))
         if best.isEmpty():
             break
         judged = cut_lineage(left.join(best, "scene_id").withColumn("_in", _distance() <= reach))
