@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from roomgraph.fixed_values import TIGHT_FAMILIES
 from roomgraph.functions import geometry as g
 from roomgraph.functions import words as w
-from roomgraph.operators.scaling import exact_quantiles, islands, positions, shuffled, top_k
+from roomgraph.operators.scaling import by_size, exact_quantiles, islands, positions, shuffled, top_k
 from roomgraph.session import cut_lineage
 
 # ---- suppression ------------------------------------------------------------------------------
@@ -211,14 +212,34 @@ def class_votes(observations: DataFrame, keys: list[str], topk: int = 3) -> Data
     )
 
 
-def roll_up(
-    observations: DataFrame, keys: list[str], order: Column, min_frames: int = 2
-) -> DataFrame:
-    """One row per instance seen in at least ``min_frames`` frames.
+#: Sightings of an instance up to which it is rolled up in one place.
+_WHOLE = 100_000
 
-    ``observations`` carry frame_no, class, conf, x, y, z and a ``box``; ``order`` breaks
-    ties between equally confident evidence.
-    """
+
+def _rolled_at_once(observations: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """Summary, medians and box extents of each instance from one exchange of its sightings."""
+    moved = observations.select(
+        *keys, "frame_no", "class", "conf", "x", "y", "z",
+        *[F.col(f"box.{f}").alias(f) for f in g.BOX_FIELDS], order.alias("_order"),
+    ).repartition(*keys)
+    in_order = Window.partitionBy(*keys, "frame_no").orderBy("_order")
+    whole = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    marked = moved.withColumns(
+        {f: F.avg(f).over(whole) for f in g.BOX_FIELDS} | {"_nth": F.row_number().over(in_order)})
+    first = F.col("_nth") == 1  # a frame counts once
+    half = {"cx": "x", "cy": "y", "cz": "z", "median_conf": "conf"}
+    return marked.groupBy(*keys).agg(
+        F.count(F.when(first, F.col("frame_no"))).alias("n_observations"),
+        F.min("frame_no").alias("first_no"),
+        F.max("frame_no").alias("last_no"),
+        F.max_by(F.struct("frame_no", "class", "conf"), F.struct("conf", "_order")).alias("evidence"),
+        *[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(name) for name, c in half.items()],
+        *[F.percentile(F.when(first, F.col(f)).cast("double"), F.lit(0.25)).alias(f) for f in g.BOX_FIELDS],
+    )
+
+
+def _rolled_spread(observations: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """``_rolled_at_once`` of instances that may hold most of the rows."""
     middle = exact_quantiles(
         observations, keys,
         {"cx": ("x", 0.5), "cy": ("y", 0.5), "cz": ("z", 0.5), "median_conf": ("conf", 0.5)},
@@ -232,10 +253,25 @@ def roll_up(
         F.min("frame_no").alias("first_no"),
         F.max("frame_no").alias("last_no"),
         F.max_by(F.struct("frame_no", "class", "conf"), F.struct("conf", order)).alias("evidence"),
-    ).filter(F.col("n_observations") >= min_frames)
+    )
+    return summary.join(middle, keys).join(boxes, keys)
+
+
+def roll_up(
+    observations: DataFrame, keys: list[str], order: Column, min_frames: int = 2
+) -> DataFrame:
+    """One row per instance seen in at least ``min_frames`` frames.
+
+    ``observations`` carry frame_no, class, conf, x, y, z and a ``box``; ``order`` breaks
+    ties between equally confident evidence. Rows without one of the keys are left out. Sightings are
+    moved once, save those of instances with more than ``_WHOLE`` of them.
+    """
+    small, large = by_size(observations.dropna(subset=keys), keys, _WHOLE)
+    rolled = _rolled_at_once(small, keys, order)
+    if large is not None:
+        rolled = rolled.unionByName(_rolled_spread(large, keys, order))
     return (
-        summary.join(middle, keys)
-        .join(boxes, keys)
+        rolled.filter(F.col("n_observations") >= min_frames)
         .withColumn("center", g.make_point(F.col("cx"), F.col("cy"), F.col("cz")))
         .withColumn("box", g.make_box(*[F.col(f) for f in g.BOX_FIELDS]))
         .drop("cx", "cy", "cz", *g.BOX_FIELDS)
