@@ -10,6 +10,7 @@ from roomgraph.functions import geometry as g
 from roomgraph.operators.spatial import LEAF, cells_met, with_leaf
 
 _PIXEL_CELL = 64
+_HELD = 64  # boxes of a frame that go with one of its rows
 DETECTION = ["scene_id", "det_id"]
 
 
@@ -58,7 +59,8 @@ _NEAREST, _HAIR = 0.1, 0.01
 
 
 def _may_see(lens: Column):
-    """Keep frames whose image range ``_u1.._u2``, ``_v1.._v2`` a point between two corners may fall into.
+    """Keep, of a frame's image boxes ``_boxes``, those a point between two corners may fall into, and
+    frames with such boxes.
 
     Interval arithmetic along the projection: each step takes the range of the step before to a
     range that holds every value possible, so no visible point is lost.
@@ -82,11 +84,13 @@ def _may_see(lens: Column):
         least = [F.greatest(F.lit(0.0), F.col(f"_lo{a}"), -F.col(f"_hi{a}")) for a in "xy"]
         most = [F.greatest(F.abs(f"_lo{a}"), F.abs(f"_hi{a}")) for a in "xy"]
         df = _step(df, {f"_b{i}": 1.0 + lens.k * (x * x + y * y) for i, (x, y) in ((1, least), (2, most))})
-        for a, centre, (first, last) in (("x", lens.cx, ("_u1", "_u2")), ("y", lens.cy, ("_v1", "_v2"))):
-            ends = [lens.f * F.col(f"_{e}{a}") * F.col(b) for e in ("lo", "hi") for b in ("_b1", "_b2")]
-            df = df.filter((F.least(*ends) + centre - hair <= F.col(last))
-                           & (F.greatest(*ends) + centre + hair >= F.col(first)))
-        return df
+        ends = {a: [lens.f * F.col(f"_{e}{a}") * F.col(b) for e in ("lo", "hi") for b in ("_b1", "_b2")] for a in "xy"}
+        centre = {"x": lens.cx, "y": lens.cy}
+        df = _step(df, {f"_from{a}": F.least(*ends[a]) + centre[a] - hair for a in "xy"}
+                   | {f"_to{a}": F.greatest(*ends[a]) + centre[a] + hair for a in "xy"})
+        inside = F.filter("_boxes", lambda b: (b.x2 >= F.col("_fromx")) & (b.x1 <= F.col("_tox"))
+                          & (b.y2 >= F.col("_fromy")) & (b.y1 <= F.col("_toy")))
+        return df.withColumn("_boxes", inside).filter(F.size("_boxes") > 0)
 
     return meets
 
@@ -108,32 +112,30 @@ def points_in_detections(
 ) -> DataFrame:
     """Points whose image falls into the box of a detection (grown by ``margin`` pixels).
 
-    A frame meets only the cells of space that its detections' part of the image may show, and only
-    points of those are projected; the product of a scene's points and frames is never formed.
+    A frame meets only the cells of space that its detections may show, and goes to each with the boxes
+    that may show something of it, at most about ``_HELD`` in a row. Points are projected and held against these
+    boxes where they lie, so only hits are left to move; the product of a scene's points and frames is never formed.
     """
-    box = F.col("bbox")
-    x1, y1, x2, y2 = box.x1 - margin, box.y1 - margin, box.x2 + margin, box.y2 + margin
-    asked = detections.groupBy("scene_id", "frame").agg(
-        F.min(x1).alias("_u1"), F.max(x2).alias("_u2"), F.min(y1).alias("_v1"), F.max(y2).alias("_v2"))
-    used = poses.select("scene_id", "frame", "pose").join(asked, ["scene_id", "frame"])
+    frame, bbox = ["scene_id", "frame"], F.col("bbox")
+    grown = F.struct(
+        "det_id", (bbox.x1 - margin).alias("x1"), (bbox.y1 - margin).alias("y1"),
+        (bbox.x2 + margin).alias("x2"), (bbox.y2 + margin).alias("y2"))
+    rows = detections.groupBy(*frame).agg(F.ceil(F.count(F.lit(1)) / _HELD).alias("_rows"))
+    asked = (
+        detections.select(*frame, grown.alias("b")).join(rows, frame)
+        .groupBy(*frame, F.pmod(F.xxhash64("b"), F.col("_rows")).alias("_row"))
+        .agg(F.collect_list("b").alias("_boxes"))
+    )
+    used = poses.select(*frame, "pose").join(asked.drop("_row"), frame)
     p = F.col("p")
     finite = F.abs(p.x) + F.abs(p.y) + F.abs(p.z) < float("inf")
     placed = with_leaf(points.select("scene_id", "p").filter(finite), p)
     met = cells_met(used, placed, ["scene_id"], g.make_box(*[p[a] for a in "xyz"] * 2), _may_see(lens))
-    in_sight = placed.join(met.select("scene_id", *LEAF, "frame", "pose"), ["scene_id", *LEAF])
-    shots = (
-        _projected(in_sight, ["p", "frame"], lens)
-        .filter(F.col("depth") > _NEAREST)
-        .withColumns({"_cu": _pixel(F.col("u")), "_cv": _pixel(F.col("v"))})
-    )
-    boxes = _in_cells(
-        detections.select("scene_id", "frame", "det_id", "bbox"), x1, y1, x2, y2
-    )
-    return (
-        shots.join(boxes, ["scene_id", "frame", "_cu", "_cv"])
-        .filter((F.col("u") >= x1) & (F.col("u") <= x2) & (F.col("v") >= y1) & (F.col("v") <= y2))
-        .select("scene_id", "det_id", "p", "depth")
-    )
+    in_sight = placed.join(met.select("scene_id", *LEAF, "pose", "_boxes"), ["scene_id", *LEAF])
+    shots = _projected(in_sight, ["p", "_boxes"], lens).filter(F.col("depth") > _NEAREST)
+    u, v = F.col("u"), F.col("v")
+    hit = F.filter("_boxes", lambda b: (u >= b.x1) & (u <= b.x2) & (v >= b.y1) & (v <= b.y2))
+    return shots.select("scene_id", "p", "depth", F.inline(hit)).select("scene_id", "det_id", "p", "depth")
 
 
 def foreground(hits: DataFrame, slab: float = 0.6) -> DataFrame:
