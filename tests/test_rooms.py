@@ -303,3 +303,41 @@ def test_islands_that_go_on_over_batches_are_walked_whole():
     for size in (1, 7, 30, 45):
         parts = [rows.iloc[i:i + size] for i in range(0, n, size)]
         pd.testing.assert_frame_equal(pd.concat(run(iter(parts)), ignore_index=True), whole)
+
+
+def test_instances_rolled_up_at_once_equal_those_spread(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    n = 600
+    pdf = pd.DataFrame({
+        "scene_id": rng.integers(0, 3, n), "inst": rng.integers(0, 9, n) ** 2 // 20, "frame_no": rng.integers(0, 30, n),
+        "class": rng.choice(["cup", "mug"], n), "conf": rng.integers(1, 9, n) / 8, "k": np.arange(n),
+        **{a: rng.integers(0, 64, n) / 16 for a in "xyz"}})
+    seen = spark.createDataFrame(pdf).withColumn("x", F.when(F.col("k") % 5 > 0, F.col("x"))).withColumn(
+        "inst", F.when(F.col("k") % 50 > 0, F.col("inst"))).withColumn("box", g.make_box(
+            F.col("x") - 0.5, F.col("y") - 0.5, F.col("z") - 0.5, F.col("x") + 0.5, F.col("y") + 0.5, F.col("z") + 0.5))
+
+    def rolled(whole):
+        monkeypatch.setattr(associate, "_WHOLE", whole)
+        columns = ["scene_id", "inst", "n_observations", "first_no", "last_no", "evidence", "median_conf", "center", "box"]
+        rows = associate.roll_up(seen, ["scene_id", "inst"], F.col("k")).select(*columns)
+        return sorted(rows.selectExpr(
+            "*", "transform(array(center.x, center.y, box.xmin, box.zmax), v -> round(v, 9)) AS r"
+        ).drop("center", "box").collect())
+
+    by_joins = rolled(0)
+    assert len(by_joins) == 12 and rolled(1000) == by_joins and rolled(30) == by_joins
+
+
+@pytest.mark.parametrize("bend", [0.0, 0.05])
+def test_boxes_of_a_frame_go_in_several_rows(spark, monkeypatch, bend):
+    monkeypatch.setattr(lift, "_HELD", 2)
+    test_points_by_cells_equal_all_pairs(spark, bend)
+
+
+def test_a_block_is_counted_by_itself():
+    block = planes.pa.table({"x": [0.0, 1.0, 2.0], "y": [0.0] * 3, "z": [0.0] * 3, "w": [1, 5, 1]})
+    sheets = planes.pa.table({"scene_id": [7, 7], "h": [0, 1], "nx": [1.0, 0.0], "ny": [0.0, 1.0], "nz": [0.0, 0.0],
+                              "d": [-1.0, 0.0], "_block": [0, 0]})
+    counted = planes._count_block(0.1)(block, sheets).to_pydict()
+    assert counted["h"] == [0, 1] and counted["n"] == [5, 7]
+    assert planes._count_block(0.1)(block.slice(0, 0), sheets)["n"].to_pylist() == [0, 0]
