@@ -358,6 +358,15 @@ def top_k(
 _KEY_BUCKETS = 65_536
 
 
+def rows_and_fullest(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Number of rows, and of those in the fullest hash bucket of the keys: no key has more."""
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(_KEY_BUCKETS)).alias("_kb")
+    counted = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n"), F.max("_n")).head()
+    # what was moved only to be counted can go now, not at the end of the job
+    df.sparkSession._jvm.System.gc()
+    return counted[0] or 0, counted[1] or 0
+
+
 def large_keys(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
     """The keys with more than ``most`` rows, null keys too, or None without any.
 

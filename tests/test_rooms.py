@@ -131,6 +131,83 @@ def test_association_equals_naive_walk(spark):
     assert got["instance_no"].tolist() == want
 
 
+def sightings_of_scenes(spark):
+    """Five scenes: rows that come twice, equal orders, missing orders, NaN places, a crowded class, odd types."""
+    rng = np.random.default_rng(31)
+    n = 1500
+    names = ["cup", "mug", "bucket", "chair", "laptop", "pillow", "blanket", "container"]
+    pdf = pd.DataFrame({
+        "scene_id": rng.integers(0, 5, n), "frame_no": np.arange(n) // 9, "ord": rng.permutation(n), "conf": rng.integers(1, 9, n) / 8,
+        "class": np.where(np.arange(n) % 3 > 0, "chair", rng.choice(names, n)),
+        **{a: rng.uniform(0, 4, n).round(2) for a in "xyz"}, "s": 0.25})
+    rows = spark.createDataFrame(pd.concat([pdf, pdf[pdf["ord"] % 40 == 0]]))
+    k = F.col("ord")
+    return rows.withColumns({
+        "x": F.when(k % 97 > 0, F.when(k % 83 > 0, F.col("x")).otherwise(F.lit(float("nan")))),
+        "class": F.when(k % 89 > 0, F.col("class")), "scene_id": F.when(k % 101 > 0, F.col("scene_id")),
+        "conf": F.when(k % 53 > 0, F.col("conf")), "empty": F.lit(None).cast("string"),
+        "tags": F.array(k, k + 1), "seen_at": F.timestamp_seconds(k), "box": g.make_box(
+            F.col("x"), F.col("y"), F.col("z"), F.col("x") + F.col("s"), F.col("y") + F.col("s"), F.col("z") + F.col("s")),
+    }).withColumns({
+        "text": F.when(k % 31 > 0, F.concat(F.lit("t"), (k % 700).cast("string"))), "ord": F.when(k % 61 > 0, k % 900)})
+
+
+def test_scenes_walked_at_once_equal_those_spread(spark, monkeypatch):
+    seen, orders = sightings_of_scenes(spark).persist(), ["frame_no", "ord", "text"]
+
+    def of(scene):
+        monkeypatch.setattr(associate, "_SCENE", scene)
+        monkeypatch.setattr(associate, "_HELD", 70)  # many blocks
+        got = associate.associate(seen, orders)
+        summed = associate.instances(got, F.struct(*orders)).drop("center", "box")
+        return (sorted(map(str, got.drop("_part", "_place").collect())), got.schema["_part"].nullable,
+                sorted(map(str, summed.select(*sorted(summed.columns)).collect())))
+
+    rows, some_spread, summed = of(0)
+    placed = seen.dropna(subset=["scene_id", "class", "x"])
+    sizes = sorted(r[1] for r in placed.groupBy("scene_id").count().collect())
+    assert some_spread and len(rows) > 1400 and len(summed) > 100
+    for scene, spread in ((100_000, False), (sizes[-2], True)):
+        got = of(scene)
+        assert got[0] == rows and got[1] == spread and got[2] == summed
+    seen.unpersist()
+
+
+def test_short_islands_walked_together_equal_the_walk():
+    rng = np.random.default_rng(32)
+    sizes = np.sort(rng.integers(2, 60, 40))[::-1]
+    starts = np.cumsum(sizes) - sizes
+    n = int(sizes.sum())
+    tight = np.repeat(rng.random(40) < 0.5, sizes)
+    classes = np.where(tight, rng.integers(0, 3, n), 0)
+    xyz = rng.integers(0, 12, (n, 3)) / 10
+    head = np.arange(n)
+    associate._walk_together(xyz, classes, tight, starts, sizes, 0.6, 0.2, head)
+    walk = associate._walk(0.6, 0.2)
+    for low, size in zip(starts, sizes):
+        part = slice(low, low + size)
+        assert (head[part] == low + walk(xyz[part], classes[part], classes[part] * 0, tight[part])).all()
+
+
+def test_sightings_are_moved_once_and_not_stored(spark, monkeypatch, tmp_path):
+    from roomgraph.plans import all_queries
+
+    def stored(_):
+        raise AssertionError("stored")
+
+    monkeypatch.setattr(associate, "cut_lineage", stored)
+    n = 4000
+    lines = spark.range(n).selectExpr(
+        "id div 4 AS l_orderkey", "id * 37 % 50 AS l_partkey", "id % 20 AS l_suppkey", "cast(id % 4 + 1 AS int) AS l_linenumber",
+        "cast(id % 50 + 1 AS double) AS l_quantity")
+    parts = spark.range(50).selectExpr("id AS p_partkey", "concat('red ', if(id % 2 = 0, 'cup', 'gear'), ' x') AS p_name")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    found = all_queries.QUERIES["associate_instances"](spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("- Exchange ") == 1 and found.count() > 100
+
+
 def test_planted_surfaces(spark):
     rng = np.random.default_rng(5)
     flat = np.c_[rng.uniform(0, 2, 400), rng.uniform(0, 2, 400), 0.75 + rng.normal(0, 0.005, 400)]
