@@ -209,6 +209,24 @@ _SCENE, _TOGETHER = 100_000, 131_072
 _HELD, _SHORT = 400_000, 256
 
 
+def _block(rows: pa.Table) -> bytes:
+    """Rows in compressed columns; texts once each."""
+    for i, field in enumerate(rows.schema):
+        if pa.types.is_string(field.type):
+            rows = rows.set_column(i, field.name, rows.column(i).dictionary_encode())
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as stream:
+        stream.write_table(rows)
+    return pa.compress(sink.getvalue(), codec="zstd", asbytes=True)
+
+
+def _unblock(block: pa.Buffer) -> pa.Table:
+    """The rows of a ``_block``."""
+    rows = pa.ipc.open_stream(pa.CompressedInputStream(pa.BufferReader(block), "zstd")).read_all()
+    return rows.cast(pa.schema([
+        pa.field(f.name, f.type.value_type) if pa.types.is_dictionary(f.type) else f for f in rows.schema]))
+
+
 def _pack(parts: int):
     """Rows of a task in compressed column blocks, one for each group of scenes among ``_HELD`` rows."""
 
@@ -219,12 +237,7 @@ def _pack(parts: int):
         part = part[order]
         rows = rows.drop_columns(["_scene"]).take(order).combine_chunks()
         at = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
-        out = []
-        for low, high in zip(at, at[1:]):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema) as stream:
-                stream.write_table(rows.slice(low, high - low))
-            out.append(pa.compress(sink.getvalue(), codec="zstd", asbytes=True))
+        out = [_block(rows.slice(low, high - low)) for low, high in zip(at, at[1:])]
         return pa.RecordBatch.from_arrays(
             [pa.array(part[at[:-1]], pa.int64()), pa.array(out, pa.binary())], names=["_part", "_rows"])
 
@@ -345,9 +358,7 @@ def _walk_packed(orders: list[str], dist: float, family_dist: float):
     """Unpack the scenes of a group, walk their islands and number their instances: columns as lists."""
 
     def run(blocks: pa.Array) -> dict:
-        rows = pa.concat_tables(
-            [pa.ipc.open_stream(pa.CompressedInputStream(pa.BufferReader(b.as_buffer()), "zstd")).read_all()
-             for b in blocks]).combine_chunks()
+        rows = pa.concat_tables([_unblock(b.as_buffer()) for b in blocks]).combine_chunks()
         names, classes = _strings(rows["class"])
         family = [CLASS_FAMILY.get(c, c) for c in names]
         known = {f: i for i, f in enumerate(dict.fromkeys(family))}

@@ -7,6 +7,7 @@ its buckets. All of them return exactly what the plain window over the key would
 
 from __future__ import annotations
 
+import gc
 from collections import deque
 from collections.abc import Iterator, Sequence
 
@@ -363,6 +364,7 @@ def rows_and_fullest(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     bucket = F.pmod(F.xxhash64(*keys), F.lit(_KEY_BUCKETS)).alias("_kb")
     counted = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n"), F.max("_n")).head()
     # what was moved only to be counted can go now, not at the end of the job
+    gc.collect()
     df.sparkSession._jvm.System.gc()
     return counted[0] or 0, counted[1] or 0
 
